@@ -1,0 +1,31 @@
+"""Session helpers shared by the operators."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A folder of our own is used only where the cluster names none (tests, laptops).
+    """
+    context = spark.sparkContext
+    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if configured is None:
+        configured = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder.
+
+    Used where one reconcile result feeds several writes (state, events, counters), so the
+    join behind it runs once and survives the loss of executors.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
