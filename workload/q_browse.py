@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import findings as rules
 from shelfmark.operators import inventory, linkage, reconcile
 from shelfmark.plans import browse, stats
-from workload.registry import query
+from workload.registry import PARTS, query
 
 _FILE = "media_file_id, category, relative_path, state, layout, media_info_error"
 
@@ -278,17 +278,21 @@ def _(c):
     return stats.track_totals(c.files, c.tracks)
 
 
+PARTS["lib_stats"], PARTS["meta_stats"], PARTS["track_stats"] = LIBRARY_STATS, _METADATA, _TRACKS
+
+
 @query("a05_inventory_stats", f"""
-WITH lib AS ({LIBRARY_STATS}), meta AS ({_METADATA}), trk AS ({_TRACKS})
-SELECT 'library_active_count' AS metric, category AS key, active_count AS n FROM lib UNION ALL SELECT 'library_missing_count', category, missing_count FROM lib
-UNION ALL SELECT 'library_active_total_size_bytes', category, active_total_size_bytes FROM lib
-UNION ALL SELECT 'total', 'active_count', CAST(sum(active_count) AS BIGINT) FROM lib UNION ALL SELECT 'total', 'missing_count', CAST(sum(missing_count) AS BIGINT) FROM lib
-UNION ALL SELECT 'total', 'active_total_size_bytes', CAST(sum(active_total_size_bytes) AS BIGINT) FROM lib
+SELECT 'library_active_count' AS metric, category AS key, active_count AS n FROM {{lib_stats}} UNION ALL SELECT 'library_missing_count', category, missing_count FROM {{lib_stats}}
+UNION ALL SELECT 'library_active_total_size_bytes', category, active_total_size_bytes FROM {{lib_stats}}
+UNION ALL SELECT 'total', 'active_count', CAST(sum(active_count) AS BIGINT) FROM {{lib_stats}} UNION ALL SELECT 'total', 'missing_count', CAST(sum(missing_count) AS BIGINT) FROM {{lib_stats}}
+UNION ALL SELECT 'total', 'active_total_size_bytes', CAST(sum(active_total_size_bytes) AS BIGINT) FROM {{lib_stats}}
 UNION ALL {_HISTOGRAMS}
-UNION ALL SELECT 'metadata', 'success_count', success_count FROM meta UNION ALL SELECT 'metadata', 'error_count', error_count FROM meta UNION ALL SELECT 'metadata', 'not_probed_count', not_probed_count FROM meta
-UNION ALL SELECT 'tracks', 'video_count', video_count FROM trk UNION ALL SELECT 'tracks', 'audio_count', audio_count FROM trk UNION ALL SELECT 'tracks', 'subtitle_count', subtitle_count FROM trk
+UNION ALL SELECT 'metadata', 'success_count', success_count FROM {{meta_stats}} UNION ALL SELECT 'metadata', 'error_count', error_count FROM {{meta_stats}}
+UNION ALL SELECT 'metadata', 'not_probed_count', not_probed_count FROM {{meta_stats}}
+UNION ALL SELECT 'tracks', 'video_count', video_count FROM {{track_stats}} UNION ALL SELECT 'tracks', 'audio_count', audio_count FROM {{track_stats}}
+UNION ALL SELECT 'tracks', 'subtitle_count', subtitle_count FROM {{track_stats}}
 UNION ALL SELECT 'most_recent_scan', 'scan_run_id', max(scan_run_id) FROM {{runs}}
-""".replace("{{runs}}", "{runs}"))
+""")
 def _(c):
     return stats.inventory_stats(c.files, c.libraries, c.runs, c.tracks)
 

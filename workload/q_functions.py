@@ -201,8 +201,10 @@ def _(c):
 
 # Ratcliff-Obershelp on distinct pairs: split at the longest common block (first in a, then in
 # b) until no piece has one; the matched length is the sum of the blocks.
+PARTS["names"] = f"SELECT DISTINCT {FOLD.format('p_name')} AS t FROM {{part}}"
+PARTS["priorities"] = f"SELECT DISTINCT {FOLD.format('o_orderpriority')} AS t FROM {{orders}}"
 PARTS["title_pairs"] = f"""
-SELECT DISTINCT {FOLD.format('parsed_title')} AS a, {FOLD.format('title')} AS b FROM {{hits}}
+SELECT x.t AS a, y.t AS b FROM {{names}} x, {{names}} y UNION SELECT x.t, y.t FROM {{priorities}} x, {{priorities}} y
 UNION SELECT DISTINCT {FOLD.format('parsed_title')}, {FOLD.format('original_title')} FROM {{hits}} WHERE original_title IS NOT NULL"""
 PARTS["blocks"] = """
 SELECT * FROM (WITH RECURSIVE piece(a, b, x, y, n) AS (

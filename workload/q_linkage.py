@@ -1 +1,221 @@
-"""Placeholder."""
+"""Record linkage: blocks, scores, ranks, decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.functions import titles
+from shelfmark.operators import linkage
+from workload.q_functions import FOLD
+from workload.registry import PARTS, query, run_ts
+
+_YEAR = "CASE WHEN c.parsed_year IS NULL THEN NULL WHEN m.release_year IS NULL THEN 0.5e0 WHEN c.parsed_year = m.release_year THEN 1e0 WHEN abs(c.parsed_year - m.release_year) = 1 THEN 0.6e0 ELSE 0e0 END"
+
+
+def _runtime(local, other):
+    return f"CASE WHEN {local} IS NULL OR coalesce({other}, 0) = 0 THEN NULL WHEN abs({local} - {other}) / {other} <= 0.05 THEN 1e0 WHEN abs({local} - {other}) / {other} <= 0.15 THEN 0.6e0 ELSE 0e0 END"
+
+
+def _mean(parts: dict[str, str]) -> str:
+    total = " + ".join(f"coalesce({s} * {w}, 0e0)" for s, w in parts.items())
+    weight = " + ".join(f"CASE WHEN {s} IS NULL THEN 0e0 ELSE {w} END" for s, w in parts.items())
+    return f"({total}) / ({weight})"
+
+
+PARTS["movie_blocks"] = f"""
+SELECT DISTINCT {FOLD.format('title')} AS block, * FROM {{movies}} UNION SELECT {FOLD.format('original_title')}, * FROM {{movies}} WHERE original_title IS NOT NULL"""
+PARTS["exact_pairs"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY coalesce(ys, 0) DESC, coalesce(popularity, 0) DESC, provider_id) AS n
+FROM (SELECT c.media_file_id, c.parsed_year, c.local_seconds, m.provider_id, m.title, m.release_year, m.popularity, m.runtime_seconds, {_YEAR} AS ys
+  FROM {{candidates}} c JOIN {{movie_blocks}} m ON m.block = {FOLD.format('c.parsed_title')} WHERE c.candidate_type = 'MOVIE')"""
+PARTS["exact_matches"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, coalesce(popularity, 0) DESC, provider_id) AS rank
+FROM (SELECT *, round({_mean({'1e0': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})}, 4) AS total_score
+  FROM (SELECT *, CASE WHEN n <= 3 THEN {_runtime('local_seconds', 'runtime_seconds')} END AS rs FROM {{exact_pairs}} WHERE n <= 20))"""
+
+
+def _movies(c):
+    return c.candidates.where("candidate_type = 'MOVIE'")
+
+
+def _rows(df, *fields):
+    return df.select("media_file_id", F.posexplode("matches").alias("p", "m")).select(
+        "media_file_id", (F.col("p") + 1).cast("long").alias("rank"), *[F.col(f"m.{f}") for f in fields])
+
+
+@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}")
+def _(c):
+    return _rows(linkage.match_movies(_movies(c), c.movies), "provider_id", "total_score")
+
+
+@query("w03_preliminary_top", f"""
+SELECT DISTINCT {FOLD.format('c.parsed_title')} AS block, c.parsed_year AS year, e.provider_id, e.n - 1 AS position FROM {{exact_pairs}} e JOIN {{candidates}} c ON c.media_file_id = e.media_file_id WHERE e.n <= 3
+""")
+def _(c):
+    queries = _movies(c).select(titles.fold_title(F.col("parsed_title")).alias("block"), F.col("parsed_year").alias("year"))
+    pages = linkage.title_pages(queries, c.movies)
+    return pages.select("block", "year", F.posexplode(F.slice("results", 1, linkage.DETAIL_LOOKUPS)).alias("position", "r")).select(
+        "block", "year", F.col("r.provider_id").alias("provider_id"), F.col("position").cast("long").alias("position"))
+
+
+# Given search hits, titles unequal.
+_T = FOLD.format("h.parsed_title")
+PARTS["hit_scores"] = f"""
+SELECT h.*, greatest(r.ratio, coalesce(o.ratio, 0)) AS ts, {_YEAR.replace('c.', 'h.').replace('m.', 'h.')} AS ys
+FROM {{hits}} h JOIN {{ratios}} r ON r.a = {_T} AND r.b = {FOLD.format('h.title')} LEFT JOIN {{ratios}} o ON o.a = {_T} AND o.b = {FOLD.format('h.original_title')}"""
+PARTS["hit_matches"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, coalesce(popularity, 0) DESC, provider_id) AS rank
+FROM (SELECT *, round({_mean({'ts': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})}, 4) AS total_score
+  FROM (SELECT *, CASE WHEN n <= 3 THEN {_runtime('local_seconds', 'runtime_seconds')} END AS rs
+    FROM (SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY round({_mean({'ts': '0.5e0', 'ys': '0.35e0'})}, 4) DESC, position, provider_id) AS n FROM {{hit_scores}})))"""
+
+
+@query("w01_movie_rank", "SELECT media_file_id, rank, provider_id, total_score FROM {hit_matches}")
+def _(c):
+    return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "total_score")
+
+
+@query("g06_movie_score", """
+SELECT media_file_id, rank, provider_id, round(ts, 4) AS title_score, ys AS year_score, rs AS runtime_score, 1e0 AS type_score, total_score,
+  CASE WHEN ts >= 0.999 THEN 'exact normalized title match' WHEN ts >= 0.8 THEN 'close title similarity' WHEN ts > 0 THEN 'weak title similarity' ELSE 'no meaningful title similarity' END AS first_reason
+FROM {hit_matches}
+""")
+def _(c):
+    return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "title_score", "year_score", "runtime_score", "type_score", "total_score", "reasons").withColumn(
+        "first_reason", F.get("reasons", F.lit(0))).drop("reasons")
+
+
+_DECIDED = """
+SELECT c.media_file_id, t.total_score AS top_score, round(t.total_score - coalesce(s.total_score, 0), 4) AS gap,
+  CASE WHEN coalesce(t.total_score, 0) < 0.6 THEN 'NO_MATCH' WHEN t.total_score >= 0.9 AND round(t.total_score - coalesce(s.total_score, 0), 4) >= 0.1 AND c.parsed_year IS NOT NULL THEN 'RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status, c.parsed_year
+FROM {candidates} c LEFT JOIN {%s} t ON t.media_file_id = c.media_file_id AND t.rank = 1 LEFT JOIN {%s} s ON s.media_file_id = c.media_file_id AND s.rank = 2
+WHERE c.candidate_type = 'MOVIE'"""
+PARTS["movie_decisions"] = _DECIDED % ("exact_matches", "exact_matches")
+PARTS["hit_decisions"] = _DECIDED % ("hit_matches", "hit_matches") + " AND t.media_file_id IS NOT NULL"
+
+
+@query("w05_runner_up_gap", "SELECT media_file_id, top_score, gap FROM {hit_decisions}")
+def _(c):
+    return linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE").select("media_file_id", "top_score", "gap")
+
+
+_MOVIE_WHY = """
+SELECT media_file_id, status, CASE status WHEN 'RESOLVED' THEN 'HIGH' WHEN 'REVIEW_REQUIRED' THEN 'MEDIUM' END AS confidence,
+  CASE WHEN top_score IS NULL THEN 'no provider search results' WHEN status = 'NO_MATCH' THEN printf('top score %%.4f below minimum plausible threshold 0.6', top_score)
+    WHEN status = 'RESOLVED' THEN printf('top score %%.4f >= 0.9', top_score) || printf('; score gap %%.4f >= 0.1', gap) || '; known local year, no provider type conflict'
+    ELSE printf('top score %%.4f is plausible but did not meet the auto-resolve bar', top_score) || CASE WHEN gap < 0.1 THEN printf('; score gap %%.4f below 0.1 -- competing result too close', gap) ELSE '' END
+      || CASE WHEN parsed_year IS NULL THEN '; local year is unknown; movies without a year never auto-resolve' ELSE '' END END AS reasons
+FROM {%s}"""
+
+
+def _decision(df):
+    return df.select("media_file_id", "status", "confidence", F.array_join("decision_reasons", "; ").alias("reasons"))
+
+
+@query("g08_movie_decision", _MOVIE_WHY % "movie_decisions")
+def _(c):
+    return _decision(linkage.decide(linkage.match_movies(_movies(c), c.movies), "MOVIE"))
+
+
+@query("g08_movie_decision_on_hits", _MOVIE_WHY % "hit_decisions")
+def _(c):
+    return _decision(linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE"))
+
+
+# --- episodes -------------------------------------------------------------------------
+
+PARTS["short_list"] = f"""
+SELECT block, provider_id, title FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY provider_id) AS n FROM (SELECT *, {FOLD.format('title')} AS block FROM {{series}})) WHERE n <= 2"""
+PARTS["episode_matches"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, series_provider_id) AS rank
+FROM (SELECT *, round({_mean({'1e0': '0.35e0', 'one': '0.4e0', 'es': '0.15e0', 'rs': '0.1e0'})}, 4) AS total_score
+  FROM (SELECT c.media_file_id, c.candidate_type, s.provider_id AS series_provider_id, e.provider_id, c.season_number, c.episode_number, 1e0 AS one, r.ratio AS es, {_runtime('c.local_seconds', 'e.runtime_seconds')} AS rs
+    FROM {{candidates}} c JOIN {{short_list}} s ON s.block = {FOLD.format('c.parsed_series_title')}
+    JOIN {{episodes}} e ON e.series_provider_id = s.provider_id AND e.season_number = c.season_number AND e.episode_number = c.episode_number
+    LEFT JOIN {{ratios}} r ON r.a = {FOLD.format('c.episode_title')} AND r.b = {FOLD.format('e.episode_title')}
+    WHERE c.candidate_type IN ('EPISODE', 'SPECIAL')))"""
+PARTS["episode_decisions"] = """
+SELECT c.media_file_id, c.candidate_type, t.total_score AS top_score, round(t.total_score - coalesce(s.total_score, 0), 4) AS gap,
+  CASE WHEN coalesce(t.total_score, 0) < 0.6 THEN 'NO_MATCH' WHEN t.total_score >= 0.9 AND round(t.total_score - coalesce(s.total_score, 0), 4) >= 0.1 AND c.candidate_type = 'EPISODE' THEN 'RESOLVED' ELSE 'REVIEW_REQUIRED' END AS status
+FROM {candidates} c LEFT JOIN {episode_matches} t ON t.media_file_id = c.media_file_id AND t.rank = 1 LEFT JOIN {episode_matches} s ON s.media_file_id = c.media_file_id AND s.rank = 2
+WHERE c.candidate_type IN ('EPISODE', 'SPECIAL')"""
+
+
+def _shows(c):
+    return c.candidates.where(F.col("candidate_type").isin("EPISODE", "SPECIAL"))
+
+
+@query("w02_episode_rank", "SELECT media_file_id, rank, series_provider_id, provider_id FROM {episode_matches}")
+def _(c):
+    return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "series_provider_id", "provider_id")
+
+
+@query("g07_episode_score", """
+SELECT media_file_id, rank, provider_id, season_number, episode_number, round(es, 4) AS episode_title_score, rs AS runtime_score, total_score FROM {episode_matches}
+""")
+def _(c):
+    return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "provider_id", "season_number", "episode_number",
+                 "episode_title_score", "runtime_score", "total_score")
+
+
+@query("w04_series_short_list", "SELECT block, provider_id AS series_provider_id, title AS series_title FROM {short_list}")
+def _(c):
+    return linkage.series_short_list(c.series)
+
+
+@query("w04_series_rank_on_hits", f"""
+SELECT media_file_id, series_provider_id, round(ratio, 6) AS similarity, series_rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY ratio DESC, series_provider_id) AS series_rank FROM (
+    SELECT DISTINCT c.media_file_id, s.provider_id AS series_provider_id, r.ratio FROM {{candidates}} c JOIN {{lineitem}} l ON l.l_orderkey = c.media_file_id JOIN {{series}} s ON s.provider_id = l.l_partkey
+    JOIN {{ratios}} r ON r.a = {FOLD.format('c.parsed_series_title')} AND r.b = {FOLD.format('s.title')})) WHERE series_rank <= 2
+""")
+def _(c):
+    hits = c.lineitem.select(F.col("l_orderkey").alias("media_file_id"), F.col("l_partkey").alias("series_provider_id")).distinct()
+    pairs = c.candidates.where("parsed_series_title IS NOT NULL").join(hits, "media_file_id").join(
+        c.series.select(F.col("provider_id").alias("series_provider_id"), F.col("title").alias("series_title")), "series_provider_id")
+    return linkage.rank_series(pairs).select(
+        "media_file_id", "series_provider_id", F.round("similarity", 6).alias("similarity"), F.col("series_rank").cast("long").alias("series_rank"))
+
+
+@query("g09_episode_decision", """
+SELECT media_file_id, status, CASE status WHEN 'RESOLVED' THEN 'HIGH' WHEN 'REVIEW_REQUIRED' THEN 'MEDIUM' END AS confidence,
+  CASE WHEN top_score IS NULL THEN 'no provider series/episode results' WHEN status = 'NO_MATCH' THEN printf('top score %.4f below minimum plausible threshold 0.6', top_score)
+    WHEN status = 'RESOLVED' THEN printf('top score %.4f >= 0.9', top_score) || printf('; score gap %.4f >= 0.1', gap) || '; exact season/episode match, no provider type conflict'
+    ELSE printf('top score %.4f is plausible but did not meet the auto-resolve bar', top_score) || CASE WHEN gap < 0.1 THEN printf('; score gap %.4f below 0.1 -- competing series/episode result', gap) ELSE '' END
+      || CASE WHEN candidate_type = 'SPECIAL' THEN '; local candidate is SPECIAL/EXTRA; provider mapping requires review' ELSE '' END END AS reasons
+FROM {episode_decisions}
+""")
+def _(c):
+    return _decision(linkage.decide(linkage.match_episodes(_shows(c), c.series, c.episodes), "EPISODE"))
+
+
+PARTS["evaluated"] = """
+SELECT c.media_file_id, CASE WHEN c.candidate_type IN ('UNKNOWN', 'EXTRA') THEN 'SKIPPED' WHEN c.media_file_id % 101 = 0 THEN 'FAILED' ELSE coalesce(m.status, e.status) END AS status,
+  CASE WHEN c.candidate_type IN ('UNKNOWN', 'EXTRA') THEN NULL WHEN c.candidate_type = 'MOVIE' THEN c.parsed_title ELSE c.parsed_series_title END AS query_text,
+  CASE WHEN c.candidate_type = 'MOVIE' THEN c.parsed_year END AS query_year,
+  CASE WHEN c.candidate_type NOT IN ('UNKNOWN', 'EXTRA') AND c.media_file_id % 101 = 0 THEN 'timeout' END AS error_message
+FROM {candidates} c LEFT JOIN {movie_decisions} m ON m.media_file_id = c.media_file_id LEFT JOIN {episode_decisions} e ON e.media_file_id = c.media_file_id"""
+
+
+def evaluated(c):
+    errors = c.candidates.where("media_file_id % 101 = 0").select("media_file_id", F.lit("timeout").alias("error_message"))
+    return linkage.evaluate(c.candidates, c.movies, c.series, c.episodes, errors)
+
+
+@query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}")
+def _(c):
+    return evaluated(c).select("media_file_id", "status", "query_text", "query_year", "error_message")
+
+
+@query("r11_record_attempts", """
+SELECT e.media_file_id, e.status, count(x.rank) AS matches, count(*) FILTER (WHERE x.rank = 1 AND e.status = 'RESOLVED') AS selected, min(CASE WHEN x.rank = 1 AND e.status = 'RESOLVED' THEN x.provider_id END) AS selected_provider_id
+FROM {evaluated} e LEFT JOIN (SELECT media_file_id, rank, provider_id FROM {exact_matches} UNION ALL SELECT media_file_id, rank, provider_id FROM {episode_matches}) x ON x.media_file_id = e.media_file_id AND e.status NOT IN ('SKIPPED', 'FAILED')
+GROUP BY e.media_file_id, e.status
+""")
+def _(c):
+    attempts, matches = linkage.recorded(evaluated(c), run_ts())
+    per = matches.groupBy("attempt_id").agg(
+        F.count(F.lit(1)).alias("matches"), F.count_if("selected").alias("selected"),
+        F.min(F.when(F.col("selected"), F.col("provider_id"))).alias("selected_provider_id"))
+    return attempts.join(per, "attempt_id", "left").select(
+        "media_file_id", "status", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
