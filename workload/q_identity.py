@@ -1 +1,158 @@
-"""Placeholder."""
+"""Identities, assignments, reviews and overrides."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators import identity, ingest
+from workload.registry import PARTS, query, run_ts
+
+
+@query("r10_identity_upsert", """
+SELECT media_type, provider_id, coalesce(n.title, o.title) AS title, CASE WHEN n.provider_id IS NULL THEN 'LEFT' WHEN o.provider_id IS NULL THEN 'CREATED' WHEN o.title IS NOT DISTINCT FROM n.title THEN 'UNCHANGED' ELSE 'UPDATED' END AS outcome
+FROM (SELECT media_type, provider_id, title FROM {identities} WHERE identity_id % 3 <> 0) o
+FULL OUTER JOIN (SELECT media_type, provider_id, title FROM (
+    SELECT i.media_type, i.provider_id, CASE WHEN l.l_linenumber > 5 THEN i.title || ' II' ELSE i.title END AS title, row_number() OVER (PARTITION BY i.media_type, i.provider_id ORDER BY l.l_orderkey DESC, l.l_linenumber DESC) AS n
+    FROM {lineitem} l JOIN {identities} i ON i.identity_id = l.l_partkey) WHERE n = 1) n USING (media_type, provider_id)
+""")
+def _(c):
+    fields = ["title", "release_year"]
+    stored = c.identities.where("identity_id % 3 <> 0").select("identity_id", "media_type", "provider_id", *fields, run_ts().alias("updated_at"))
+    seen = c.lineitem.join(c.identities, F.col("l_partkey") == F.col("identity_id")).select(
+        "media_type", "provider_id", F.when(F.col("l_linenumber") > 5, F.concat("title", F.lit(" II"))).otherwise(F.col("title")).alias("title"),
+        "release_year", "l_orderkey", "l_linenumber")
+    return identity.upsert_identities(stored, seen, run_ts(), ["l_orderkey", "l_linenumber"], fields).select(
+        "media_type", "provider_id", "title", "outcome")
+
+
+def _assigned(c):
+    stored = c.assignments.select(
+        F.col("assignment_id").alias("id"), "media_file_id", "identity_id", "assignment_method", "confidence", "status", "created_at", "updated_at")
+    incoming = c.assignments.where("media_file_id % 2 = 0").select(
+        "media_file_id", F.expr("CASE WHEN media_file_id % 10 = 0 THEN identity_id + 1 ELSE identity_id END AS identity_id"),
+        "assignment_method", F.expr("CASE WHEN media_file_id % 14 = 0 THEN 'LOW' ELSE confidence END AS confidence"))
+    return identity.assign(stored, incoming, run_ts())
+
+
+@query("r12_assign_identity", """
+SELECT media_file_id, identity_id, confidence, status, 'KEPT' AS outcome FROM {assignments} WHERE status <> 'ACTIVE' OR media_file_id % 2 = 1 OR (media_file_id % 10 <> 0 AND media_file_id % 14 <> 0)
+UNION ALL SELECT media_file_id, identity_id, confidence, 'SUPERSEDED', 'CLOSED' FROM {assignments} WHERE status = 'ACTIVE' AND media_file_id % 2 = 0 AND (media_file_id % 10 = 0 OR media_file_id % 14 = 0)
+UNION ALL SELECT media_file_id, CASE WHEN media_file_id % 10 = 0 THEN identity_id + 1 ELSE identity_id END, CASE WHEN media_file_id % 14 = 0 THEN 'LOW' ELSE confidence END, 'ACTIVE', 'OPENED' FROM {assignments}
+  WHERE media_file_id % 2 = 0 AND (status <> 'ACTIVE' OR media_file_id % 10 = 0 OR media_file_id % 14 = 0)
+""")
+def _(c):
+    return _assigned(c).select("media_file_id", "identity_id", "confidence", "status", "outcome")
+
+
+# The last event of a user decides on the attempt or assignment of that number.
+PARTS["last_decisions"] = """
+SELECT key_id, event_type, decision_id, decided_at FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY decided_at DESC, decision_id DESC) AS n FROM {decisions}) WHERE n = 1"""
+
+
+@query("r13_review_decisions", """
+SELECT a.attempt_id, CASE d.event_type WHEN 'click' THEN 'RESOLVED' WHEN 'view' THEN 'NO_MATCH' ELSE a.status END AS status,
+  CASE d.event_type WHEN 'click' THEN a.attempt_id * 100 + 2 WHEN 'view' THEN NULL ELSE a.selected_match_id END AS selected_match_id
+FROM {attempts} a LEFT JOIN {last_decisions} d ON d.key_id * 3 = a.attempt_id
+""")
+def _(c):
+    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c))
+    return reviewed.select("attempt_id", "status", "selected_match_id")
+
+
+def _reviews(c):
+    action = F.expr("CASE event_type WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'REJECT' WHEN 'error' THEN 'SELECT' ELSE 'OTHER' END")
+    return c.decisions.select(
+        (F.col("key_id") * 3).alias("attempt_id"), action.alias("action"), F.expr("CASE WHEN event_type = 'click' THEN key_id * 300 + 2 END").alias("match_id"),
+        "decided_at", "decision_id")
+
+
+@query("r13_review_rejects", """
+SELECT d.key_id * 3 AS attempt_id, CASE WHEN a.attempt_id IS NULL THEN 'no such attempt' WHEN d.event_type = 'error' THEN 'no match named' ELSE 'unknown action' END AS reject_reason
+FROM {last_decisions} d LEFT JOIN {attempts} a ON a.attempt_id = d.key_id * 3 WHERE a.attempt_id IS NULL OR d.event_type NOT IN ('click', 'view')
+""")
+def _(c):
+    return identity.review_attempts(c.attempts, _reviews(c))[1].select("attempt_id", "reject_reason")
+
+
+@query("r13_reviewed_matches", """
+SELECT m.match_id, coalesce(m.match_id = CASE d.event_type WHEN 'click' THEN a.attempt_id * 100 + 2 WHEN 'view' THEN NULL ELSE a.selected_match_id END, FALSE) AS selected,
+  CASE WHEN m.score >= 0.9 THEN 'HIGH' WHEN m.score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS manual_confidence
+FROM {matches} m LEFT JOIN {attempts} a ON a.attempt_id = m.attempt_id LEFT JOIN {last_decisions} d ON d.key_id * 3 = a.attempt_id
+""")
+def _(c):
+    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c))
+    return identity.review_matches(c.matches, reviewed).select("match_id", "selected", "manual_confidence")
+
+
+def _on_assignments(c):
+    return c.decisions.select((F.col("key_id") * 10).alias("assignment_id"), "decided_by", "decided_at", "decision_id")
+
+
+@query("r13_revoke", """
+SELECT a.assignment_id, CASE WHEN d.key_id IS NOT NULL AND a.status = 'ACTIVE' THEN 'REVOKED' ELSE a.status END AS status FROM {assignments} a LEFT JOIN {last_decisions} d ON d.key_id * 10 = a.assignment_id
+""")
+def _(c):
+    return identity.revoke(c.assignments, _on_assignments(c), run_ts())[0].select("assignment_id", "status")
+
+
+@query("r13_confirm", """
+SELECT a.assignment_id, CASE WHEN a.confirmed_by IS NULL AND d.key_id IS NOT NULL AND a.status = 'ACTIVE' AND a.assignment_method = 'MANUAL' THEN 'reviewer' ELSE a.confirmed_by END AS confirmed_by
+FROM {assignments} a LEFT JOIN {last_decisions} d ON d.key_id * 10 = a.assignment_id
+""")
+def _(c):
+    return identity.confirm(c.assignments, _on_assignments(c), run_ts())[0].select("assignment_id", "confirmed_by")
+
+
+@query("r13_confirm_rejects", """
+SELECT d.key_id * 10 AS assignment_id, CASE WHEN a.assignment_id IS NULL THEN 'no such assignment' WHEN a.status <> 'ACTIVE' THEN 'assignment is ' || a.status || ', not ACTIVE' ELSE 'assignment was made automatically; nothing to confirm' END AS reject_reason
+FROM {last_decisions} d LEFT JOIN {assignments} a ON d.key_id * 10 = a.assignment_id WHERE a.assignment_id IS NULL OR a.status <> 'ACTIVE' OR a.assignment_method <> 'MANUAL'
+""")
+def _(c):
+    return identity.confirm(c.assignments, _on_assignments(c), run_ts())[1].select("assignment_id", "reject_reason")
+
+
+PARTS["override_rows"] = """
+SELECT *, lead(entry_at) OVER (PARTITION BY media_file_id ORDER BY entry_at, entry_id) AS cleared_at FROM (
+  SELECT * FROM {override_log} WHERE action = 'CLEAR' OR (candidate_type = 'MOVIE' AND trim(title) <> '')
+    OR (candidate_type = 'EPISODE' AND series_title IS NOT NULL AND season_number IS NOT NULL AND episode_numbers IS NOT NULL))"""
+
+
+@query("r14_override_history", """
+SELECT entry_id AS override_id, media_file_id, cleared_at IS NULL AS is_open, CAST(floor(epoch(cleared_at)) AS BIGINT) AS cleared_epoch FROM {override_rows} WHERE action = 'CREATE'
+""")
+def _(c):
+    history, _rejects = identity.override_history(c.override_log)
+    return history.select("override_id", "media_file_id", F.col("cleared_at").isNull().alias("is_open"), F.unix_seconds("cleared_at").alias("cleared_epoch"))
+
+
+@query("r14_override_rejects", """
+SELECT entry_id, CASE WHEN candidate_type = 'MOVIE' THEN 'a MOVIE override requires a non-empty title' WHEN candidate_type <> 'EPISODE' THEN 'unsupported override candidate_type' WHEN series_title IS NULL THEN 'an EPISODE override requires a non-empty series title'
+  WHEN season_number IS NULL THEN 'an EPISODE override requires a season number' ELSE 'an EPISODE override requires at least one episode number' END AS reject_reason
+FROM {override_log} WHERE entry_id NOT IN (SELECT entry_id FROM {override_rows})
+""")
+def _(c):
+    return identity.override_history(c.override_log)[1].select("entry_id", "reject_reason")
+
+
+@query("p11_active_overrides", "SELECT media_file_id, entry_id AS override_id, candidate_type FROM {override_rows} WHERE action = 'CREATE' AND cleared_at IS NULL")
+def _(c):
+    return identity.active_overrides(identity.override_history(c.override_log)[0]).select("media_file_id", "override_id", "candidate_type")
+
+
+@query("j11_effective_candidate", """
+SELECT media_file_id, CASE WHEN o.entry_id IS NULL THEN 'PARSED' ELSE 'MANUAL_OVERRIDE' END AS source, CASE WHEN o.entry_id IS NULL THEN p.candidate_type ELSE o.candidate_type END AS candidate_type,
+  CASE WHEN o.entry_id IS NULL THEN p.confidence ELSE 'HIGH' END AS confidence, CASE WHEN o.entry_id IS NULL THEN p.parsed_title ELSE o.title END AS parsed_title,
+  CASE WHEN o.entry_id IS NULL THEN p.episode_number ELSE o.episode_numbers[1] END AS episode_number, p.candidate_id, o.entry_id AS override_id
+FROM {candidates} p FULL OUTER JOIN (SELECT * FROM {override_rows} WHERE action = 'CREATE' AND cleared_at IS NULL) o USING (media_file_id)
+""")
+def _(c):
+    parsed = c.candidates.withColumn("episode_numbers", F.when(F.col("episode_number").isNotNull(), F.array("episode_number")))
+    return identity.effective(parsed, identity.override_history(c.override_log)[0]).select(
+        "media_file_id", "source", "candidate_type", "confidence", "parsed_title", "episode_number", "candidate_id", "override_id")
+
+
+@query("j12_override_lineage", """
+SELECT a.assignment_id, t.override_id AS plan_override_id FROM {assignments} a LEFT JOIN {attempts} t ON t.attempt_id = a.attempt_id
+""")
+def _(c):
+    return ingest.override_lineage(c.assignments, c.attempts).select("assignment_id", "plan_override_id")
