@@ -51,9 +51,9 @@ def _kinds(c):
 
 
 PARTS["resolved_destinations"] = f"""
-SELECT *, CASE WHEN destination_error IS NULL THEN root END AS destination_library, CASE WHEN destination_error IS NULL THEN CASE media_type WHEN 'MOVIE' THEN root || '/' || {_SAFE.format(_MOVIE_STEM)}
+SELECT *, CASE WHEN destination_error IS NULL THEN root END AS destination_library, CASE WHEN destination_error IS NULL AND destination_kind IS NOT NULL THEN CASE media_type WHEN 'MOVIE' THEN root || '/' || {_SAFE.format(_MOVIE_STEM)}
     ELSE root || '/' || {_SAFE.format('title')} || '/Season ' || lpad(CAST(season_number AS VARCHAR), 2, '0') END END AS destination_directory,
-  CASE WHEN destination_error IS NULL THEN CASE media_type WHEN 'MOVIE' THEN {_SAFE.format(_MOVIE_STEM)} ELSE {_SAFE.format(_SHOW_STEM)} END || extension END AS destination_filename
+  CASE WHEN destination_error IS NULL AND destination_kind IS NOT NULL THEN CASE media_type WHEN 'MOVIE' THEN {_SAFE.format(_MOVIE_STEM)} ELSE {_SAFE.format(_SHOW_STEM)} END || extension END AS destination_filename
 FROM (SELECT *, CASE WHEN destination_kind IS NULL THEN NULL WHEN (media_type = 'MOVIE') <> (destination_kind IN ('movie', 'kids_movie')) THEN 'destination category ''' || destination_kind || ''' is not valid for a ' || media_type || ' identity'
       WHEN destination_kind = 'kids_tv' THEN 'no NAS root configured for destination category ''kids_shows''' WHEN media_type = 'MOVIE' AND release_year IS NULL THEN 'resolved identity has no release year; cannot build a movie destination'
       WHEN media_type = 'EPISODE' AND (season_number IS NULL OR episode_number IS NULL) THEN 'resolved identity has no season/episode number; cannot build an episode destination'
