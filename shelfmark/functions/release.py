@@ -92,7 +92,11 @@ def clean_separators(text: Column) -> Column:
 
 def year_match(text: Column) -> Column:
     """The substring holding the year: parenthesised, else bracketed, else the first bare one."""
-    return F.coalesce(*[first(text, form) for form in YEAR_FORMS])
+    paren, bracket, bare = YEAR_FORMS
+    return F.coalesce(
+        F.when(F.contains(text, F.lit("(")), first(text, paren)),
+        F.when(F.contains(text, F.lit("[")), first(text, bracket)),
+        first(text, bare))
 
 
 def year_of(match: Column) -> Column:
@@ -127,8 +131,13 @@ def without_tokens(text: Column) -> Column:
 
 
 def clean_release(df: DataFrame, source: str, name: str) -> DataFrame:
-    """Add struct ``name``: title, year, year_match, edition, part_number, removed_tokens."""
-    t, y, e, p = (f"__{name}_{x}" for x in ("text", "year", "edition", "part"))
+    """Add ``<name>_title``, ``_year``, ``_year_match``, ``_edition``, ``_part_number`` and
+    ``_removed_tokens`` of a text column.
+
+    Plain columns, not a struct: Spark inlines struct members into every later use, which would
+    run the patterns again each time.
+    """
+    t, y, e, p = (f"{name}_{x}" for x in ("text", "year_match", "edition", "part_number"))
     df = df.withColumn(t, clean_separators(F.col(source)))
     df = df.withColumn(y, year_match(F.col(t)))
     df = df.withColumn(t, without_year(F.col(t), F.col(y)))
@@ -136,17 +145,15 @@ def clean_release(df: DataFrame, source: str, name: str) -> DataFrame:
     df = df.withColumn(t, F.when(F.col(e).isNull(), F.col(t)).otherwise(without_first(F.col(t), EDITION_PATTERN)))
     df = df.withColumn(p, first(F.col(t), PART))
     df = df.withColumn(t, F.when(F.col(p).isNull(), F.col(t)).otherwise(without_first(F.col(t), PART)))
-    return df.withColumn(
-        name,
-        F.struct(
-            F.coalesce(clean_separators(without_tokens(F.col(t))), F.lit("")).alias("title"),
-            year_of(F.col(y)).alias("year"),
-            F.col(y).alias("year_match"),
-            edition_of(F.col(e)).alias("edition"),
-            part_of(F.col(p)).alias("part_number"),
-            F.coalesce(technical_tokens(F.col(t)), F.array().cast("array<string>")).alias("removed_tokens"),
-        ),
-    ).drop(t, y, e, p)
+    df = df.withColumn(f"{name}_removed_tokens", F.coalesce(technical_tokens(F.col(t)), F.array().cast("array<string>")))
+    found = F.size(f"{name}_removed_tokens") > 0
+    df = df.withColumn(t, F.when(found, without_tokens(F.col(t))).otherwise(F.col(t)))
+    return df.withColumns({
+        f"{name}_title": F.coalesce(clean_separators(F.col(t)), F.lit("")),
+        f"{name}_year": year_of(F.col(y)),
+        e: edition_of(F.col(e)),
+        p: part_of(F.col(p)),
+    }).drop(t)
 
 
 def titles_similar(a: Column, b: Column) -> Column:

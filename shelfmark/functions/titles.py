@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 
 
 @lru_cache(maxsize=1)
-def _ascii_forms() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form holds ASCII, split by the length of that form."""
-    sources, targets, longer = [], [], {}
+def _ascii_forms() -> tuple[str, str, str]:
+    """Characters whose compatibility form holds ASCII: those with one letter as two aligned
+    strings, those with more as the text of a map (character, control 1, form; control 2)."""
+    sources, targets, longer = [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
@@ -24,14 +25,15 @@ def _ascii_forms() -> tuple[str, str, dict[str, str]]:
             sources.append(char)
             targets.append(plain)
         elif plain:
-            longer[char] = plain
-    return "".join(sources), "".join(targets), longer
+            longer.append(f"{char}\x01{plain}")
+    return "".join(sources), "".join(targets), "\x02".join(longer)
 
 
 def _to_ascii(title: Column) -> Column:
     """Strip accents and drop what has no ASCII form; only non-ASCII titles pay for it."""
     sources, targets, longer = _ascii_forms()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    # One literal that Spark folds into a map when it optimises the plan.
+    table = F.str_to_map(F.lit(longer), F.lit("\x02"), F.lit("\x01"))
     one = F.translate(title, sources, targets)
     spelled = F.array_join(
         F.transform(F.split(one, ""), lambda c: F.when(c <= F.lit("\x7f"), c).otherwise(
@@ -59,18 +61,22 @@ def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     equal, else their Ratcliff-Obershelp ratio (not symmetric: ``a`` is the local title).
 
     The ratio has no built-in. It is computed once per distinct pair of unequal folded titles
-    and joined back.
+    and joined back. Rows that need no ratio (a side missing, or equal titles, which one popular
+    title can make most of all rows) take a join key of their own, so they spread evenly.
     """
-    fa, fb = f"__{out}_a", f"__{out}_b"
-    folded = df.withColumns({fa: fold_title(F.col(a)), fb: fold_title(F.col(b))})
-    blank = F.coalesce(F.col(fa), F.lit("")).eqNullSafe("") | F.coalesce(F.col(fb), F.lit("")).eqNullSafe("")
+    fa, fb, k = f"__{out}_a", f"__{out}_b", f"__{out}_k"
+    folded = df.withColumns({fa: F.coalesce(fold_title(F.col(a)), F.lit("")), fb: F.coalesce(fold_title(F.col(b)), F.lit(""))})
+    blank = (F.col(fa) == "") | (F.col(fb) == "")
     unequal = ~blank & (F.col(fa) != F.col(fb))
+    pair_key = F.xxhash64(fa, fb)
     ratios = (
         folded.where(unequal).select(fa, fb).distinct()
-        .withColumn(f"__{out}", _ratio(F.col(fa), F.col(fb)))
+        .withColumns({f"__{out}": _ratio(F.col(fa), F.col(fb)), k: pair_key})
     )
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = folded.withColumn(k, F.when(unequal, pair_key).otherwise(F.xxhash64(*hashable)))
     return (
-        folded.join(ratios, [fa, fb], "left")
+        keyed.join(ratios, [k, fa, fb], "left")
         .withColumn(out, F.when(blank, 0.0).when(F.col(fa) == F.col(fb), 1.0).otherwise(F.col(f"__{out}")))
-        .drop(fa, fb, f"__{out}")
+        .drop(fa, fb, k, f"__{out}")
     )

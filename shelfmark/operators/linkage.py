@@ -70,7 +70,7 @@ def title_pages(queries: DataFrame, movies: DataFrame, page: int = SEARCH_PAGE)
         (-preliminary).alias("__a"), (-F.coalesce("movie.popularity", F.lit(0.0))).alias("__b"),
         F.col("movie.provider_id").alias("__c"), F.col("movie").alias("movie"))
     return hits.groupBy("block", "year").agg(
-        F.transform(F.slice(F.array_sort(F.collect_list(entry)), 1, page), lambda e: e["movie"]).alias("results"))
+        F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, page), lambda e: e["movie"]).alias("results"))
 
 
 def movie_score(local: dict[str, Column], movie: Column, title_score: Column, runtime: Column) -> Column:
@@ -113,7 +113,7 @@ def match_movies(candidates: DataFrame, movies: DataFrame, page: int = SEARCH_PA
         runtime = F.when(position < DETAIL_LOOKUPS, F.col("local_seconds"))
         return movie_score(_local(), movie, F.lit(1.0), runtime)
 
-    ranked = F.array_sort(F.transform(F.col("results"), scored))
+    ranked = F.sort_array(F.transform(F.col("results"), scored))
     return joined.withColumn("matches", F.coalesce(ranked, F.array().cast(_array_type(joined, ranked)))).drop(
         "block", "year", "__block", "__year", "results")
 
@@ -142,7 +142,7 @@ def match_movie_pairs(pairs: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
     runtime = F.when(F.col("__n") <= DETAIL_LOOKUPS, F.col("local_seconds"))
     match = movie_score(_local(), F.col("movie"), F.col("__score"), runtime)
     return pairs.groupBy("media_file_id", "parsed_title", "parsed_year", "candidate_type").agg(
-        F.array_sort(F.collect_list(match)).alias("matches"))
+        F.sort_array(F.collect_list(match)).alias("matches"))
 
 
 def series_short_list(series: DataFrame, limit: int = SERIES_LOOKUPS) -> DataFrame:
@@ -203,7 +203,7 @@ def match_episodes(candidates: DataFrame, series: DataFrame, episodes: DataFrame
     compared = with_similarity(found.withColumn("__local", local_title), "__local", "ep_title", "__episode")
     title_score = F.when(F.col("__local").isNotNull() & F.col("ep_title").isNotNull(), F.col("__episode"))
     ranked = compared.groupBy("media_file_id").agg(
-        F.array_sort(F.collect_list(episode_score(F.lit(1.0), title_score))).alias("matches"))
+        F.sort_array(F.collect_list(episode_score(F.lit(1.0), title_score))).alias("matches"))
     kind = ranked.schema["matches"].dataType
     return candidates.join(ranked, "media_file_id", "left").withColumn(
         "matches", F.coalesce("matches", F.array().cast(kind)))
@@ -330,6 +330,15 @@ def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False)
     return candidates.join(attempts.select("media_file_id"), "media_file_id", "left_anti")
 
 
+def match_rows(attempts: DataFrame) -> DataFrame:
+    """Ranked matches as rows (media_file_id, rank, match).
+
+    The outer form keeps Spark from filtering on the array first, which would score it twice.
+    """
+    rows = attempts.select("media_file_id", F.posexplode_outer("matches").alias("__p", "match"))
+    return rows.where(F.col("__p").isNotNull()).select("media_file_id", (F.col("__p") + 1).alias("rank"), "match")
+
+
 def recorded(attempts: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
     """Attempt rows and their ranked match rows, ready to append.
 
@@ -341,8 +350,10 @@ def recorded(attempts: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]
     match_id = lambda rank: F.xxhash64("attempt_id", rank)
     resolved = F.col("status") == "RESOLVED"
     rows = keyed.withColumn("selected_match_id", F.when(resolved, match_id(F.lit(1)))).drop("matches")
-    matches = keyed.select("attempt_id", "media_file_id", resolved.alias("__resolved"),
-                           F.posexplode("matches").alias("__p", "m")).select(
+    # The outer form keeps Spark from filtering on the array first, which would score it twice.
+    listed = keyed.select("attempt_id", "media_file_id", resolved.alias("__resolved"),
+                          F.posexplode_outer("matches").alias("__p", "m")).where(F.col("__p").isNotNull())
+    matches = listed.select(
         match_id((F.col("__p") + 1)).alias("match_id"), "attempt_id", "media_file_id",
         (F.col("__p") + 1).alias("rank"), "m.*", (F.col("__resolved") & (F.col("__p") == 0)).alias("selected"))
     return rows, matches

@@ -26,53 +26,49 @@ def _route(df: DataFrame) -> DataFrame:
     return df.withColumn("__route", F.when(movie, "MOVIE").when(tv, "TV").otherwise("OPEN"))
 
 
-def _movie_evidence(df: DataFrame) -> DataFrame:
-    """Struct ``__movie`` for rows of the movie and open routes."""
+def _movie_columns(df: DataFrame) -> DataFrame:
+    """Columns ``__m_*`` for rows of the movie and open routes."""
     mine = F.col("__route").isin("MOVIE", "OPEN")
     in_folder = F.col("layout").isin("movie_folder", "movie_collection_folder")
     df = df.withColumns({
         "__mf": F.when(mine, paths.stem(F.col("filename"))),
         "__mp": F.when(mine & in_folder, paths.parent_name(F.col("parent_directory"))),
     })
-    df = release.clean_release(df, "__mf", "__file")
-    df = release.clean_release(df, "__mp", "__folder")
-    f, p = F.col("__file"), F.col("__folder")
-    file_titled, folder_titled = release.has_real_title(f["title"]), release.has_real_title(p["title"])
-    title_source = (
-        F.when(file_titled & f["year"].isNotNull(), "filename")
-        .when(folder_titled & p["year"].isNotNull(), "parent_directory")
-        .when(file_titled, "filename")
-        .when(folder_titled, "parent_directory")
-    )
+    df = release.clean_release(df, "__mf", "__f")
+    df = release.clean_release(df, "__mp", "__p")
+    f, p = (lambda c: F.col(f"__f_{c}")), (lambda c: F.col(f"__p_{c}"))
+    df = df.withColumns({"__f_ok": release.has_real_title(f("title")), "__p_ok": release.has_real_title(p("title"))})
     df = df.withColumns({
-        "__ts": title_source,
-        "__clash": F.coalesce(f["year"] != p["year"], F.lit(False))
-        | (file_titled & folder_titled & ~release.titles_similar(f["title"], p["title"])),
+        "__m_source": F.when(f("ok") & f("year").isNotNull(), "filename")
+        .when(p("ok") & p("year").isNotNull(), "parent_directory")
+        .when(f("ok"), "filename").when(p("ok"), "parent_directory"),
+        "__m_clash": F.coalesce(f("year") != p("year"), F.lit(False))
+        | (f("ok") & p("ok") & ~release.titles_similar(f("title"), p("title"))),
     })
-    chosen = lambda field: F.when(F.col("__ts") == "filename", f[field]).when(F.col("__ts") == "parent_directory", p[field])
-    title, year = chosen("title"), chosen("year")
+    source, clash = F.col("__m_source"), F.col("__m_clash")
+    chosen = lambda c: F.when(source == "filename", f(c)).when(source == "parent_directory", p(c))
+    df = df.withColumns({"__m_title": chosen("title"), "__m_year": chosen("year")})
+    title, year = F.col("__m_title"), F.col("__m_year")
     # Part number 0 counts as absent on the file side, as the folder's then applies.
-    part = F.coalesce(F.nullif(f["part_number"], F.lit(0)), p["part_number"])
-    return df.withColumn("__movie", F.struct(
-        F.when(title.isNull(), "UNKNOWN").otherwise("MOVIE").alias("candidate_type"),
-        F.when(title.isNull(), "UNKNOWN").when(F.col("__clash") | release.is_ambiguous(title), "LOW")
-        .when(year.isNotNull(), "HIGH").otherwise("MEDIUM").alias("confidence"),
-        title.alias("parsed_title"), year.alias("parsed_year"),
-        F.coalesce(f["edition"], p["edition"]).alias("edition"), part.alias("part_number"),
-        F.struct(
-            F.when(F.col("__clash"), "title_or_year_mismatch_between_filename_and_folder").alias("conflict"),
-            F.nullif(f["title"], F.lit("")).alias("filename_title"), f["year"].alias("filename_year"),
-            F.nullif(p["title"], F.lit("")).alias("folder_title"), p["year"].alias("folder_year"),
-            F.array_sort(F.array_union(f["removed_tokens"], p["removed_tokens"])).alias("removed_tokens"),
-            F.when(title.isNotNull(), F.col("__ts")).alias("title_source"),
-            chosen("year_match").alias("year_match"),
-            F.when(year.isNotNull(), F.col("__ts")).alias("year_source"),
-        ).alias("evidence"),
-    )).drop("__mf", "__mp", "__file", "__folder", "__ts", "__clash")
-
-
-def _tv_evidence(df: DataFrame) -> DataFrame:
-    """Struct ``__tv`` for rows of the TV and open routes."""
+    part = F.coalesce(F.nullif(f("part_number"), F.lit(0)), p("part_number"))
+    return df.withColumns({
+        "__m_type": F.when(title.isNull(), "UNKNOWN").otherwise("MOVIE"),
+        "__m_confidence": F.when(title.isNull(), "UNKNOWN").when(clash | release.is_ambiguous(title), "LOW")
+        .when(year.isNotNull(), "HIGH").otherwise("MEDIUM"),
+        "__m_edition": F.coalesce(f("edition"), p("edition")),
+        "__m_part": part,
+        "__m_evidence": F.when(mine, F.struct(
+            F.when(clash, "title_or_year_mismatch_between_filename_and_folder").alias("conflict"),
+            F.nullif(f("title"), F.lit("")).alias("filename_title"), f("year").alias("filename_year"),
+            F.nullif(p("title"), F.lit("")).alias("folder_title"), p("year").alias("folder_year"),
+            F.sort_array(F.array_union(f("removed_tokens"), p("removed_tokens"))).alias("removed_tokens"),
+            source.alias("title_source"), F.when(year.isNotNull(), chosen("year_match")).alias("year_match"),
+            F.when(year.isNotNull(), source).alias("year_source"))),
+    })
+
+
+def _tv_columns(df: DataFrame) -> DataFrame:
+    """Columns ``__t_*`` for rows of the TV and open routes."""
     mine = F.col("__route").isin("TV", "OPEN")
     layout = F.col("layout")
     parent = paths.parent_name(F.col("parent_directory"))
@@ -91,38 +87,38 @@ def _tv_evidence(df: DataFrame) -> DataFrame:
         "__tail": release.by_form(form, lambda p: release.around(stem, p, "$2")),
         "__bonus": F.when(form.isNull(), release.first(stem, release.BONUS_PATTERN)),
     })
-    for source, name in (("__ff", "__fc"), ("__head", "__sc"), ("__tail", "__ec")):
+    for source, name in (("__ff", "__a"), ("__head", "__b"), ("__tail", "__c")):
         df = release.clean_release(df, source, name)
-    good = lambda name: F.when(
-        (F.col(name)["title"] != "") & ~release.is_ambiguous(F.col(name)["title"]), F.col(name)["title"])
-    df = df.withColumns({"__folder_title": good("__fc"), "__file_title": good("__sc")})
+    good = lambda title: F.when((title != "") & ~release.is_ambiguous(title), title)
     hit, bonus, folder_season = F.col("__hit"), F.col("__bonus"), F.col("__fs")
-    folder_title, file_title = F.col("__folder_title"), F.col("__file_title")
-    season = release.season_of(hit)
-    episodes = release.episodes_of(form, hit)
-    clash = F.coalesce(folder_season != season, F.lit(False))
-    series = F.when(form.isNotNull(), F.coalesce(file_title, folder_title)).otherwise(folder_title)
-    return df.withColumn("__tv", F.struct(
-        F.when(form.isNotNull(), F.when(season == 0, "SPECIAL").otherwise("EPISODE"))
-        .when(bonus.isNotNull(), "EXTRA").otherwise("UNKNOWN").alias("candidate_type"),
-        F.when(form.isNotNull(), F.when(series.isNull() | clash, "LOW").when(file_title.isNotNull(), "HIGH").otherwise("MEDIUM"))
-        .when(bonus.isNotNull(), F.when(folder_title.isNotNull(), "MEDIUM").otherwise("LOW"))
-        .otherwise("UNKNOWN").alias("confidence"),
-        series.alias("parsed_series_title"), season.alias("season_number"),
-        F.get(episodes, F.lit(0)).alias("episode_number"), episodes.alias("episode_numbers"),
-        F.when(form.isNotNull(), good("__ec")).alias("episode_title"),
-        F.when(season == 0, "season_zero").otherwise(release.bonus_type(bonus)).alias("special_type"),
-        F.struct(
+    numbered = form.isNotNull()
+    df = df.withColumns({
+        "__folder_title": good(F.col("__a_title")), "__file_title": good(F.col("__b_title")),
+        "__t_episode_title": F.when(numbered, good(F.col("__c_title"))),
+        "__t_season": release.season_of(hit), "__t_episodes": release.episodes_of(form, hit),
+    })
+    folder_title, file_title, season = F.col("__folder_title"), F.col("__file_title"), F.col("__t_season")
+    df = df.withColumns({
+        "__t_series": F.when(numbered, F.coalesce(file_title, folder_title)).otherwise(folder_title),
+        "__t_clash": F.coalesce(folder_season != season, F.lit(False)),
+    })
+    series, clash = F.col("__t_series"), F.col("__t_clash")
+    return df.withColumns({
+        "__t_type": F.when(numbered, F.when(season == 0, "SPECIAL").otherwise("EPISODE"))
+        .when(bonus.isNotNull(), "EXTRA").otherwise("UNKNOWN"),
+        "__t_confidence": F.when(numbered, F.when(series.isNull() | clash, "LOW").when(
+            file_title.isNotNull(), "HIGH").otherwise("MEDIUM"))
+        .when(bonus.isNotNull(), F.when(folder_title.isNotNull(), "MEDIUM").otherwise("LOW")).otherwise("UNKNOWN"),
+        "__t_special": F.when(season == 0, "season_zero").otherwise(release.bonus_type(bonus)),
+        "__t_evidence": F.when(mine, F.struct(
             F.when(clash, "season_mismatch_between_filename_and_season_folder").alias("conflict"),
             season.alias("filename_season"), folder_season.alias("folder_season"),
-            F.when(form.isNull() & bonus.isNull(), folder_title).alias("folder_series_title"),
+            F.when(~numbered & bonus.isNull(), folder_title).alias("folder_series_title"),
             F.coalesce(hit, bonus).alias("matched_text"),
             F.coalesce(form, F.when(bonus.isNotNull(), "extra_keyword")).alias("pattern"),
-            F.when(form.isNotNull(), F.when(file_title.isNotNull(), "filename").when(
-                folder_title.isNotNull(), "parent_directory")).alias("series_title_source"),
-        ).alias("evidence"),
-    )).drop("__stem", "__fs", "__ff", "__form", "__hit", "__head", "__tail", "__bonus",
-            "__fc", "__sc", "__ec", "__folder_title", "__file_title")
+            F.when(numbered, F.when(file_title.isNotNull(), "filename").when(
+                folder_title.isNotNull(), "parent_directory")).alias("series_title_source"))),
+    })
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -131,23 +127,27 @@ def parse(files: DataFrame) -> DataFrame:
     No shuffle: every step is a projection. Files of the other route carry nulls through it.
     An open-route file is a TV candidate when its name says so, a movie when it has a year.
     """
-    df = _tv_evidence(_movie_evidence(_route(files)))
-    route, m, t = F.col("__route"), F.col("__movie"), F.col("__tv")
-    movie = (route == "MOVIE") | (
-        (route == "OPEN") & (t["candidate_type"] == "UNKNOWN") & m["parsed_year"].isNotNull())
-    pick = {
-        "candidate_type": F.when(movie, m["candidate_type"]).otherwise(t["candidate_type"]),
-        "confidence": F.when(movie, m["confidence"]).otherwise(t["confidence"]),
+    df = _tv_columns(_movie_columns(_route(files)))
+    route = F.col("__route")
+    df = df.withColumn("__movie", (route == "MOVIE") | (
+        (route == "OPEN") & (F.col("__t_type") == "UNKNOWN") & F.col("__m_year").isNotNull()))
+    movie = F.col("__movie")
+    either = lambda m, t: F.when(movie, F.col(m)).otherwise(F.col(t))
+    of_movie, of_tv = (lambda c: F.when(movie, F.col(c))), (lambda c: F.when(~movie, F.col(c)))
+    picked = {
+        "candidate_type": either("__m_type", "__t_type"),
+        "confidence": either("__m_confidence", "__t_confidence"),
         "parser_version": F.lit(PARSER_VERSION),
-        **{c: F.when(movie, m[c]) for c in ("parsed_title", "parsed_year")},
-        **{c: F.when(~movie, t[c]) for c in (
-            "parsed_series_title", "season_number", "episode_number", "episode_numbers", "episode_title")},
-        **{c: F.when(movie, m[c]) for c in ("edition", "part_number")},
-        "special_type": F.when(~movie, t["special_type"]),
-        "evidence": F.struct(
-            F.when(movie, m["evidence"]).alias("movie"), F.when(~movie, t["evidence"]).alias("tv")),
+        "parsed_title": of_movie("__m_title"), "parsed_year": of_movie("__m_year"),
+        "parsed_series_title": of_tv("__t_series"), "season_number": of_tv("__t_season"),
+        "episode_number": F.when(~movie, F.get("__t_episodes", F.lit(0))), "episode_numbers": of_tv("__t_episodes"),
+        "episode_title": of_tv("__t_episode_title"),
+        "edition": of_movie("__m_edition"), "part_number": of_movie("__m_part"), "special_type": of_tv("__t_special"),
+        "evidence": F.struct(of_movie("__m_evidence").alias("movie"), of_tv("__t_evidence").alias("tv")),
     }
-    return df.withColumns(pick).drop("__route", "__movie", "__tv")
+    # A one-row generator ends the projections: without it a filter on a parsed column is pushed
+    # below them and parses every name a second time.
+    return df.select(*files.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in picked.items()]))))
 
 
 def candidates(files: DataFrame) -> DataFrame:

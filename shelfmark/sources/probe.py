@@ -60,7 +60,7 @@ def decode(df: DataFrame, payload: str = "payload", error: str | None = None) ->
     is a file that was not probed, and gets neither metadata nor an error. Metadata columns are
     null beside an error.
     """
-    raw = F.col(payload)
+    raw, kept = F.col(payload), df.columns
     listing = F.get_json_object(raw, "$.media.track")
     # One track may stand as a bare object where a list is expected.
     wrapped = F.when(F.startswith(F.ltrim(listing), F.lit("{")), F.concat(F.lit("["), listing, F.lit("]"))).otherwise(listing)
@@ -83,11 +83,15 @@ def decode(df: DataFrame, payload: str = "payload", error: str | None = None) ->
     df = df.withColumn("media_info_error", problem).withColumn("__general", general)
     good = F.col("__own").isNull() & raw.isNotNull() & F.col("media_info_error").isNull()
     g = F.col("__general")
-    return df.withColumns({
+    decoded = {
         "container": F.when(good, text(g["Format"])),
         "duration_seconds": F.when(good, number(g["Duration"])),
         "overall_bitrate": F.when(good, whole(g["OverallBitRate"])),
         "video_tracks": F.when(good, F.transform(of("Video"), _video)),
         "audio_tracks": F.when(good, F.transform(of("Audio"), _audio)),
         "subtitle_tracks": F.when(good, F.transform(of("Text"), _subtitle)),
-    }).drop("__own", "__tracks", "__general")
+        "media_info_error": F.col("media_info_error"),
+    }
+    # A one-row generator: a filter on a decoded column would otherwise be pushed below the
+    # decoding and parse every payload again.
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in decoded.items()]))))

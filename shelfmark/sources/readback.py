@@ -17,7 +17,7 @@ def child_pages(children: DataFrame, parent: str, order: str, fields: list[str],
     """
     return (
         children.groupBy(parent, F.floor(F.col(order) / page_size).cast("long").alias("page"))
-        .agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(out))
+        .agg(F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(out))
     )
 
 
@@ -35,7 +35,7 @@ def track_pages(tracks: DataFrame, fields: list[str], page_size: int = PAGE) ->
     entry = F.struct("track_index", *fields)
 
     def of(kind):
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(f"{kind}_tracks")
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(f"{kind}_tracks")
 
     page = F.floor(F.col("track_index") / page_size).cast("long").alias("track_page")
     return tracks.groupBy("media_file_id", page).agg(of("video"), of("audio"), of("subtitle"))

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.session import spread
+
 RUN_TS = "TIMESTAMP '2024-02-01 00:00:00'"
 
 INPUTS: dict[str, str] = {
@@ -257,8 +259,8 @@ def needs(sql: str) -> list[str]:
 class Catalog:
     """Inputs of one run as DataFrames, each built once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._built = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
+        self.spark, self.sf_dir, self._heavy, self._built = spark, sf_dir, heavy, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -268,7 +270,8 @@ class Catalog:
         return self._built[name]
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if self._heavy and name in ("orders", "lineitem") else table
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text.replace('"exists"', "`exists`"), **{n: getattr(self, n) for n in needs(text)})

@@ -103,26 +103,26 @@ def _(c):
 @query("f05_edition_labels", "SELECT edition, count(*) AS n FROM {released} GROUP BY edition")
 def _(c):
     df = release.clean_release(_stems(c), "raw", "r")
-    return df.groupBy(F.col("r.edition").alias("edition")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(F.col("r_edition").alias("edition")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f06_part_number", "SELECT row_id, part_number FROM {released}")
 def _(c):
-    return release.clean_release(_stems(c), "raw", "r").select("row_id", F.col("r.part_number").alias("part_number"))
+    return release.clean_release(_stems(c), "raw", "r").select("row_id", F.col("r_part_number").alias("part_number"))
 
 
 @query("f07_technical_tokens", "SELECT row_id, array_to_string(removed_tokens, '|') AS removed_tokens FROM {released}")
 def _(c):
-    return release.clean_release(_stems(c), "raw", "r").select("row_id", F.array_join("r.removed_tokens", "|").alias("removed_tokens"))
+    return release.clean_release(_stems(c), "raw", "r").select("row_id", F.array_join("r_removed_tokens", "|").alias("removed_tokens"))
 
 
 @query("f08_release_text", """
 SELECT row_id, title, year, year_match, edition, part_number, array_to_string(removed_tokens, '|') AS removed_tokens FROM {released}
-""")
+""", heavy=True)
 def _(c):
     df = release.clean_release(_stems(c), "raw", "r")
-    return df.select("row_id", "r.title", "r.year", "r.year_match", "r.edition", "r.part_number",
-                     F.array_join("r.removed_tokens", "|").alias("removed_tokens"))
+    return df.select("row_id", *[F.col(f"r_{n}").alias(n) for n in ("title", "year", "year_match", "edition", "part_number")],
+                     F.array_join("r_removed_tokens", "|").alias("removed_tokens"))
 
 
 @query("f09_title_tests", r"""
@@ -226,7 +226,7 @@ SELECT a, b, CASE WHEN a = b THEN 1.0e0 ELSE 2.0e0 * CAST(matched AS DOUBLE) / (
 @query("f15_title_similarity", f"""
 SELECT h.media_file_id, h.provider_id, round(r.ratio, 6) AS similarity FROM {{hits}} h
 JOIN {{ratios}} r ON r.a = {FOLD.format('h.parsed_title')} AND r.b = {FOLD.format('h.title')}
-""")
+""", heavy=True)
 def _(c):
     return titles.with_similarity(c.hits, "parsed_title", "title", "similarity").select(
         "media_file_id", "provider_id", F.round("similarity", 6).alias("similarity"))

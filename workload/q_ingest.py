@@ -140,7 +140,7 @@ FROM (SELECT media_file_id, verification_status, dir, fn, len(gate) = 0 AS clear
 SELECT media_file_id, status, verification_status, CASE WHEN clear THEN dir END AS destination_directory, CASE WHEN clear THEN fn END AS destination_filename, array_to_string(list_concat(blocks, reviews), '; ') AS blocking_reasons,
   CASE status WHEN 'BLOCKED' THEN 'Blocked: ' || array_to_string(blocks, '; ') WHEN 'REVIEW_REQUIRED' THEN 'Review required: ' || array_to_string(reviews, '; ') ELSE 'Ready for review; no blocking issues found.' END AS summary
 FROM {generated}
-""")
+""", heavy=True)
 def _(c):
     return _generated(c).select("media_file_id", "status", "verification_status", "destination_directory", "destination_filename",
                                 F.array_join("blocking_reasons", "; ").alias("blocking_reasons"), "summary")
@@ -148,7 +148,7 @@ def _(c):
 
 @query("g16_plan_actions", """
 SELECT media_file_id, CASE WHEN clear AND dir IS NOT NULL THEN 'VALIDATE_SOURCE|VERIFY_MEDIA|CREATE_DIRECTORY|MOVE|REFRESH_INVENTORY|REQUEST_PLEX_REFRESH' ELSE 'VALIDATE_SOURCE|VERIFY_MEDIA' END AS actions FROM {generated}
-""")
+""", heavy=True)
 def _(c):
     return _generated(c).select("media_file_id", F.array_join(F.transform("actions", lambda a: a["action_type"]), "|").alias("actions"))
 
@@ -240,7 +240,7 @@ _IN = lambda group: "list_has_any(failed, [" + ", ".join(f"'{x}'" for x in check
 @query("g17_readiness_audit", f"""
 SELECT plan_id, CASE WHEN {_IN('BLOCKED')} THEN 'BLOCKED' WHEN {_IN('STALE')} THEN 'STALE' WHEN {_IN('INCOMPLETE')} THEN 'INCOMPLETE' ELSE 'READY_FOR_EXECUTOR' END AS readiness_status, array_to_string(failed, '|') AS failed, CAST(25 AS BIGINT) AS checks
 FROM {{audit_rows}}
-""")
+""", heavy=True)
 def _(c):
     files = c.files.where("media_file_id % 35 <> 0")
     snapshot = c.files.select("media_file_id", F.col("absolute_path").alias("source_path"), F.expr("size_bytes + CASE WHEN media_file_id % 33 = 0 THEN 1 ELSE 0 END AS source_size_bytes"), F.col("mtime").alias("source_mtime"))

@@ -39,11 +39,11 @@ def _movies(c):
 
 
 def _rows(df, *fields):
-    return df.select("media_file_id", F.posexplode("matches").alias("p", "m")).select(
-        "media_file_id", (F.col("p") + 1).cast("long").alias("rank"), *[F.col(f"m.{f}") for f in fields])
+    return linkage.match_rows(df).select(
+        "media_file_id", F.col("rank").cast("long").alias("rank"), *[F.col(f"match.{f}") for f in fields])
 
 
-@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}")
+@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}", heavy=True)
 def _(c):
     return _rows(linkage.match_movies(_movies(c), c.movies), "provider_id", "total_score")
 
@@ -70,7 +70,7 @@ FROM (SELECT *, round({_mean({'ts': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})},
     FROM (SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY round({_mean({'ts': '0.5e0', 'ys': '0.35e0'})}, 4) DESC, position, provider_id) AS n FROM {{hit_scores}})))"""
 
 
-@query("w01_movie_rank", "SELECT media_file_id, rank, provider_id, total_score FROM {hit_matches}")
+@query("w01_movie_rank", "SELECT media_file_id, rank, provider_id, total_score FROM {hit_matches}", heavy=True)
 def _(c):
     return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "total_score")
 
@@ -79,7 +79,7 @@ def _(c):
 SELECT media_file_id, rank, provider_id, round(ts, 4) AS title_score, ys AS year_score, rs AS runtime_score, 1e0 AS type_score, total_score,
   CASE WHEN ts >= 0.999 THEN 'exact normalized title match' WHEN ts >= 0.8 THEN 'close title similarity' WHEN ts > 0 THEN 'weak title similarity' ELSE 'no meaningful title similarity' END AS first_reason
 FROM {hit_matches}
-""")
+""", heavy=True)
 def _(c):
     return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "title_score", "year_score", "runtime_score", "type_score", "total_score", "reasons").withColumn(
         "first_reason", F.get("reasons", F.lit(0))).drop("reasons")
@@ -94,7 +94,7 @@ PARTS["movie_decisions"] = _DECIDED % ("exact_matches", "exact_matches")
 PARTS["hit_decisions"] = _DECIDED % ("hit_matches", "hit_matches") + " AND t.media_file_id IS NOT NULL"
 
 
-@query("w05_runner_up_gap", "SELECT media_file_id, top_score, gap FROM {hit_decisions}")
+@query("w05_runner_up_gap", "SELECT media_file_id, top_score, gap FROM {hit_decisions}", heavy=True)
 def _(c):
     return linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE").select("media_file_id", "top_score", "gap")
 
@@ -112,12 +112,12 @@ def _decision(df):
     return df.select("media_file_id", "status", "confidence", F.array_join("decision_reasons", "; ").alias("reasons"))
 
 
-@query("g08_movie_decision", _MOVIE_WHY % "movie_decisions")
+@query("g08_movie_decision", _MOVIE_WHY % "movie_decisions", heavy=True)
 def _(c):
     return _decision(linkage.decide(linkage.match_movies(_movies(c), c.movies), "MOVIE"))
 
 
-@query("g08_movie_decision_on_hits", _MOVIE_WHY % "hit_decisions")
+@query("g08_movie_decision_on_hits", _MOVIE_WHY % "hit_decisions", heavy=True)
 def _(c):
     return _decision(linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE"))
 
@@ -145,14 +145,14 @@ def _shows(c):
     return c.candidates.where(F.col("candidate_type").isin("EPISODE", "SPECIAL"))
 
 
-@query("w02_episode_rank", "SELECT media_file_id, rank, series_provider_id, provider_id FROM {episode_matches}")
+@query("w02_episode_rank", "SELECT media_file_id, rank, series_provider_id, provider_id FROM {episode_matches}", heavy=True)
 def _(c):
     return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "series_provider_id", "provider_id")
 
 
 @query("g07_episode_score", """
 SELECT media_file_id, rank, provider_id, season_number, episode_number, round(es, 4) AS episode_title_score, rs AS runtime_score, total_score FROM {episode_matches}
-""")
+""", heavy=True)
 def _(c):
     return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "provider_id", "season_number", "episode_number",
                  "episode_title_score", "runtime_score", "total_score")
@@ -184,7 +184,7 @@ SELECT media_file_id, status, CASE status WHEN 'RESOLVED' THEN 'HIGH' WHEN 'REVI
     ELSE printf('top score %.4f is plausible but did not meet the auto-resolve bar', top_score) || CASE WHEN gap < 0.1 THEN printf('; score gap %.4f below 0.1 -- competing series/episode result', gap) ELSE '' END
       || CASE WHEN candidate_type = 'SPECIAL' THEN '; local candidate is SPECIAL/EXTRA; provider mapping requires review' ELSE '' END END AS reasons
 FROM {episode_decisions}
-""")
+""", heavy=True)
 def _(c):
     return _decision(linkage.decide(linkage.match_episodes(_shows(c), c.series, c.episodes), "EPISODE"))
 
@@ -202,7 +202,7 @@ def evaluated(c):
     return linkage.evaluate(c.candidates, c.movies, c.series, c.episodes, errors)
 
 
-@query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}")
+@query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}", heavy=True)
 def _(c):
     return evaluated(c).select("media_file_id", "status", "query_text", "query_year", "error_message")
 
@@ -211,7 +211,7 @@ def _(c):
 SELECT e.media_file_id, e.status, count(x.rank) AS matches, count(*) FILTER (WHERE x.rank = 1 AND e.status = 'RESOLVED') AS selected, min(CASE WHEN x.rank = 1 AND e.status = 'RESOLVED' THEN x.provider_id END) AS selected_provider_id
 FROM {evaluated} e LEFT JOIN (SELECT media_file_id, rank, provider_id FROM {exact_matches} UNION ALL SELECT media_file_id, rank, provider_id FROM {episode_matches}) x ON x.media_file_id = e.media_file_id AND e.status NOT IN ('SKIPPED', 'FAILED')
 GROUP BY e.media_file_id, e.status
-""")
+""", heavy=True)
 def _(c):
     attempts, matches = linkage.recorded(evaluated(c), run_ts())
     per = matches.groupBy("attempt_id").agg(

@@ -67,7 +67,7 @@ SELECT media_file_id, trim(json_extract_string(tracks, '$[0].Format')) AS contai
   CASE WHEN json_array_length(tracks) > 1 THEN FALSE END AS second_default,
   CASE WHEN json_array_length(tracks) > 1 THEN TRUE END AS forced
 FROM ({_PARSED}) WHERE probe_error IS NULL AND json_extract_string(tracks, '$[0]."@type"') = 'General'
-""")
+""", heavy=True)
 def _(c):
     d = probe.decode(c.payloads, "payload", "probe_error").where("video_tracks IS NOT NULL")
     video, audio, text = F.get("video_tracks", F.lit(0)), F.col("audio_tracks"), F.get("subtitle_tracks", F.lit(0))

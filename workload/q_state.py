@@ -65,13 +65,13 @@ FROM (SELECT *, CASE WHEN old_id IS NULL OR new_id IS NULL THEN '' ELSE array_to
 
 @query("r02_snapshot_reconcile", """
 SELECT category, change_type, count(*) AS events FROM {file_changes} WHERE change_type IS NOT NULL GROUP BY category, change_type
-""")
+""", heavy=True)
 def _(c):
     events = inventory.change_events(reconciled(c), SCAN).join(c.libraries, "library_id")
     return events.groupBy("category", "change_type").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("r02_change_events", "SELECT absolute_path, change_type, nullif(fields, '') AS fields FROM {file_changes} WHERE change_type IS NOT NULL")
+@query("r02_change_events", "SELECT absolute_path, change_type, nullif(fields, '') AS fields FROM {file_changes} WHERE change_type IS NOT NULL", heavy=True)
 def _(c):
     events = inventory.change_events(reconciled(c), SCAN)
     return events.select("absolute_path", "change_type", F.array_join(F.transform("details", lambda d: d["field"]), "|").alias("fields"))
@@ -169,7 +169,7 @@ def _findings_run(c):
     return findings.reconcile_findings(stored, findings.evaluate(c.files.where("media_file_id % 5 <> 0")), run_ts())
 
 
-@query("r08_findings_reconcile", "SELECT rule_code, media_file_id, outcome, status, summary FROM {finding_outcomes}")
+@query("r08_findings_reconcile", "SELECT rule_code, media_file_id, outcome, status, summary FROM {finding_outcomes}", heavy=True)
 def _(c):
     return _findings_run(c).select("rule_code", "media_file_id", "outcome", "status", "summary")
 

@@ -14,11 +14,15 @@ CHECKS: dict[str, str] = {}
 PARTS: dict[str, str] = {}
 
 
-def query(name: str, check: str | None = None):
-    """Register ``fn(catalog)``; ``check`` is SQL over inputs and parts in braces."""
+def query(name: str, check: str | None = None, heavy: bool = False):
+    """Register ``fn(catalog)``; ``check`` is SQL over inputs and parts in braces.
+
+    ``heavy`` marks work that is costly per row (patterns, JSON, scoring): its input is spread
+    over the cores when it comes in fewer splits than there are cores.
+    """
 
     def register(fn: Callable[[Catalog], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Catalog(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Catalog(spark, sf_dir, heavy))
         if check is not None:
             CHECKS[name] = check
         return fn
