@@ -56,27 +56,35 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """Add ``out``: 0 when a side is missing or folds to nothing, 1 when the folded titles are
-    equal, else their Ratcliff-Obershelp ratio (not symmetric: ``a`` is the local title).
+def with_similarities(df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add, for each ``out: (a, b)``, the similarity of two title columns: 0 when a side is
+    missing or folds to nothing, 1 when the folded titles are equal, else their
+    Ratcliff-Obershelp ratio (not symmetric: ``a`` is the local title).
 
-    The ratio has no built-in. It is computed once per distinct pair of unequal folded titles
-    and joined back. Rows that need no ratio (a side missing, or equal titles, which one popular
-    title can make most of all rows) take a join key of their own, so they spread evenly.
+    The ratio has no built-in. It is computed once per distinct pair of unequal folded titles,
+    over all the column pairs together, and joined back. Rows that need no ratio (a side
+    missing, or equal titles, which one popular title can make most of all rows) take a join key
+    of their own, so they spread evenly.
     """
-    fa, fb, k = f"__{out}_a", f"__{out}_b", f"__{out}_k"
-    folded = df.withColumns({fa: F.coalesce(fold_title(F.col(a)), F.lit("")), fb: F.coalesce(fold_title(F.col(b)), F.lit(""))})
-    blank = (F.col(fa) == "") | (F.col(fb) == "")
-    unequal = ~blank & (F.col(fa) != F.col(fb))
-    pair_key = F.xxhash64(fa, fb)
-    ratios = (
-        folded.where(unequal).select(fa, fb).distinct()
-        .withColumns({f"__{out}": _ratio(F.col(fa), F.col(fb)), k: pair_key})
-    )
     hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    keyed = folded.withColumn(k, F.when(unequal, pair_key).otherwise(F.xxhash64(*hashable)))
-    return (
-        keyed.join(ratios, [k, fa, fb], "left")
-        .withColumn(out, F.when(blank, 0.0).when(F.col(fa) == F.col(fb), 1.0).otherwise(F.col(f"__{out}")))
-        .drop(fa, fb, k, f"__{out}")
-    )
+    row_key = F.xxhash64(*hashable)
+    names = {out: (f"__{out}_a", f"__{out}_b", f"__{out}_k", f"__{out}_r") for out in wanted}
+    text = lambda c: F.coalesce(fold_title(F.col(c)), F.lit(""))
+    folded = df.withColumns({
+        n: text(c) for out, sides in wanted.items() for n, c in zip(names[out][:2], sides)})
+    unequal = {out: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b)) for out, (a, b, _, _) in names.items()}
+    entries = F.array(*[F.when(unequal[out], F.struct(F.col(a).alias("a"), F.col(b).alias("b"))) for out, (a, b, _, _) in names.items()])
+    pairs = folded.select(F.inline(F.array_compact(entries))).distinct()
+    ratios = pairs.withColumns({"r": _ratio(F.col("a"), F.col("b")), "k": F.xxhash64("a", "b")})
+    result = folded.withColumns({
+        k: F.when(unequal[out], F.xxhash64(a, b)).otherwise(row_key) for out, (a, b, k, _) in names.items()})
+    for out, (a, b, k, r) in names.items():
+        found = ratios.select(F.col("a").alias(a), F.col("b").alias(b), F.col("k").alias(k), F.col("r").alias(r))
+        result = result.join(found, [k, a, b], "left").withColumn(
+            out, F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0).otherwise(F.col(r)))
+    return result.drop(*[n for group in names.values() for n in group])
+
+
+def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """``with_similarities`` of one pair of columns."""
+    return with_similarities(df, {out: (a, b)})

@@ -132,15 +132,29 @@ def claims(plans: DataFrame) -> DataFrame:
 
 def with_competitor(df: DataFrame, plans: DataFrame) -> DataFrame:
     """Add ``competing_plan_id``: another file's live plan on the same destination, lowest id."""
+    held = claims(plans).select(F.col("destination_directory").alias("__dir"), F.col("destination_filename").alias("__file"),
+                                "first_id", "first_file", "second_id")
     rival = F.when(F.col("first_file") == F.col("media_file_id"), F.col("second_id")).otherwise(F.col("first_id"))
-    return df.join(claims(plans), ["destination_directory", "destination_filename"], "left").withColumn(
-        "competing_plan_id", rival).drop("first_id", "first_file", "second_id")
+    keyed = df.withColumn("__key", reconcile.join_key(df, "destination_directory"))
+    same = (F.col("__key") == F.col("__dir")) & (F.coalesce("destination_filename", F.lit("")) == F.col("__file"))
+    return keyed.join(held, same, "left").withColumn("competing_plan_id", rival).drop(
+        "__key", "__dir", "__file", "first_id", "first_file", "second_id")
 
 
-def _occupied(df: DataFrame, holders: DataFrame, path: str, flag: str) -> DataFrame:
-    """Add a flag: ``path`` is held by a row of ``holders`` (absolute_path)."""
-    held = holders.select(F.col("absolute_path").alias("__held")).distinct().withColumn(flag, F.lit(True))
-    return df.join(held, F.col(path) == F.col("__held"), "left").drop("__held").withColumn(flag, F.coalesce(flag, F.lit(False)))
+def _holders(active: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """One row per held path: is it in the ACTIVE inventory, is it on disk."""
+    rows = active.select("absolute_path", F.lit(True).alias("__active"), F.lit(listing is None).alias("__listed"))
+    if listing is not None:
+        rows = rows.unionByName(listing.select("absolute_path", F.lit(False).alias("__active"), F.lit(True).alias("__listed")))
+    return rows.groupBy("absolute_path").agg(F.bool_or("__active").alias("__active"), F.bool_or("__listed").alias("__listed"))
+
+
+def with_holder(df: DataFrame, holders: DataFrame, path: str, flags: dict[str, str]) -> DataFrame:
+    """Left join ``holders`` on ``path``, with their flags renamed and false where nothing holds it."""
+    held = holders.select(F.col("absolute_path").alias("__held"), *[F.col(a).alias(b) for a, b in flags.items()])
+    keyed = df.withColumn("__key", reconcile.join_key(df, path))
+    return keyed.join(held, F.col("__key") == F.col("__held"), "left").drop("__key", "__held").withColumns(
+        {b: F.coalesce(b, F.lit(False)) for b in flags.values()})
 
 
 def with_collisions(df: DataFrame, inventory: DataFrame, plans: DataFrame, listing: DataFrame | None = None) -> DataFrame:
@@ -149,11 +163,9 @@ def with_collisions(df: DataFrame, inventory: DataFrame, plans: DataFrame, listi
     ``inventory`` is the file state (a MISSING row holds nothing); ``listing`` is a fresh
     listing of the destination roots and stands for what is on disk.
     """
-    active = inventory.where(F.col("state") == "ACTIVE").select("absolute_path")
-    listing = active if listing is None else listing.select("absolute_path")
-    df = _occupied(df, active, "destination_path", "__catalogued")
-    df = _occupied(df, listing, "destination_path", "__on_disk")
-    df = _occupied(df, listing, "destination_directory", "__dir_is_file")
+    holders = _holders(inventory.where(F.col("state") == "ACTIVE"), listing)
+    df = with_holder(df, holders, "destination_path", {"__active": "__catalogued", "__listed": "__on_disk"})
+    df = with_holder(df, holders, "destination_directory", {"__listed": "__dir_is_file"})
     df = with_competitor(df, plans)
     c = F.col
     reasons = F.array_compact(F.array(
@@ -342,9 +354,8 @@ def audit(plans: DataFrame, files: DataFrame, candidates: DataFrame, overrides:
     df = with_competitor(plans, plans)
     path = F.when(c("destination_filename").isNotNull(), F.concat_ws("/", "destination_directory", "destination_filename"))
     df = df.withColumn("__path", F.when(c("destination_directory").isNotNull(), path))
-    active = files.where(c("state") == "ACTIVE").select("absolute_path")
-    taken = active if listing is None else active.unionByName(listing.select("absolute_path"))
-    df = _occupied(df, taken, "__path", "__taken").withColumnsRenamed(renamed)
+    holders = _holders(files.where(c("state") == "ACTIVE"), listing)
+    df = with_holder(df, holders, "__path", {"__active": "__in_inventory", "__listed": "__on_disk"}).withColumnsRenamed(renamed)
     df = (
         df.join(source, "media_file_id", "left")
         .join(candidates.select("media_file_id", c("candidate_id").alias("current_candidate_id")), "media_file_id", "left")
@@ -361,6 +372,6 @@ def audit(plans: DataFrame, files: DataFrame, candidates: DataFrame, overrides:
         "current_blocking_finding_count": F.coalesce("current_blocking_finding_count", F.lit(0)),
         "destination_root_configured": F.coalesce("destination_root_configured", false),
         "destination_path_inside_root": F.coalesce(paths.is_under(c("destination_directory"), c("destination_library")), false),
-        "destination_still_unoccupied": ~c("__taken"),
+        "destination_still_unoccupied": ~(c("__in_inventory") | c("__on_disk")),
     })
-    return checks.evaluate_readiness(df).drop("__path", "__taken")
+    return checks.evaluate_readiness(df).drop("__path", "__in_inventory", "__on_disk")

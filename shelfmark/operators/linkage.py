@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scores
-from shelfmark.functions.titles import fold_title, with_similarity
+from shelfmark.functions.titles import fold_title, with_similarities, with_similarity
 
 # Sizes of a search page, of the detail look-ups on it, and of the series
 # short list.
@@ -129,8 +129,8 @@ def match_movie_pairs(pairs: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
     ``page`` by score without runtime are kept per attempt (before the shuffle), and the best
     few of those get their runtime compared.
     """
-    pairs = with_similarity(pairs, "parsed_title", "title", "__title")
-    pairs = with_similarity(pairs, "parsed_title", "original_title", "__original")
+    pairs = with_similarities(pairs, {
+        "__title": ("parsed_title", "title"), "__original": ("parsed_title", "original_title")})
     movie = F.struct("provider_id", "title", "original_title", "release_year", "popularity", "runtime_seconds")
     pairs = pairs.withColumn("__score", F.greatest("__title", "__original")).withColumn("movie", movie)
     bare = movie_score(_local(), F.col("movie"), F.col("__score"), F.lit(None).cast("double"))["total_score"]

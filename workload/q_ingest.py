@@ -80,7 +80,7 @@ def _(c):
     held = c.files.where("state = 'ACTIVE'").select(F.regexp_extract("absolute_path", "^/nas/[^/]+/[^/]+", 0).alias("absolute_path"))
     root = F.when(F.expr("media_file_id % 2 = 0"), "movies").otherwise("tv")
     plans = c.plans.select("plan_id", F.concat(F.lit("/nas/"), root, F.lit("/disk"), "media_file_id").alias("path"))
-    return ingest._occupied(plans, held, "path", "occupied").select("plan_id", "occupied")
+    return ingest.with_holder(plans, held.withColumn("held", F.lit(True)), "path", {"held": "occupied"}).select("plan_id", "occupied")
 
 
 PARTS["live_claims"] = "SELECT * FROM {plans} WHERE status NOT IN ('EXECUTED', 'SUPERSEDED')"
