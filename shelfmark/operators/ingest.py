@@ -198,7 +198,7 @@ def actions(source: Column, directory: Column, full_path: Column) -> Column:
 
 def action_rows(plans: DataFrame, key: str = "media_file_id") -> DataFrame:
     """Actions as rows numbered from 1."""
-    return plans.select(key, F.posexplode("actions").alias("__p", "a")).select(
+    return plans.select(key, F.posexplode_outer("actions").alias("__p", "a")).where(F.col("__p").isNotNull()).select(
         key, (F.col("__p") + 1).alias("action_order"), "a.*")
 
 

@@ -30,9 +30,12 @@ _ANY, _NO_YEAR = -1, 0
 
 
 def blocked(df: DataFrame, titles: list[str]) -> DataFrame:
-    """One row per distinct folded title of the record, under ``block``."""
+    """One row per distinct folded title of the record, under ``block``.
+
+    The outer form again: the plain one would fold every title twice.
+    """
     folded = F.array_distinct(F.array_compact(F.array(*[fold_title(F.col(t)) for t in titles])))
-    return df.withColumn("block", F.explode(folded)).where(F.col("block") != "")
+    return df.withColumn("block", F.explode_outer(folded)).where(F.col("block") != "")
 
 
 def _by_popularity() -> list[Column]:

@@ -69,7 +69,8 @@ def search_results(df: DataFrame, kind: str, payload: str = "payload", keep: tup
     """One row per search hit of each response page, with its position on the page."""
     ddl, fields = {"MOVIE": (MOVIE_DDL, movie_fields), "SERIES": (SERIES_DDL, series_fields)}[kind]
     page = F.from_json(F.col(payload), f"struct<results: array<struct<{_members(ddl)}>>>")
-    hits = df.select(*keep, F.posexplode(page["results"]).alias("position", "__p"))
+    # The outer form keeps Spark from filtering on the array first, which would parse it twice.
+    hits = df.select(*keep, F.posexplode_outer(page["results"]).alias("position", "__p"))
     return hits.where(F.col("__p.id").isNotNull()).select(*keep, "position", *fields(F.col("__p")))
 
 
