@@ -51,6 +51,9 @@ def reasons(*texts: Column) -> Column:
     return F.array_compact(F.array(*texts))
 
 
+# Fixed values in the functions below: the wording of reasons.
+
+
 def title_reason(label: str, score: Column) -> Column:
     return (
         F.when(score >= 0.999, f"exact normalized {label} match")

@@ -54,7 +54,7 @@ def _plausible() -> tuple[Column, Column]:
 def verify_media(files: DataFrame) -> DataFrame:
     """Add ``checks`` and ``verification_status`` to files with their blocking finding count.
 
-    Nothing past the probe check is judged for a file that was never probed.
+    Fixed values: the check codes, here and in the functions below. Nothing past the probe check is judged for a file that was never probed.
     """
     c = F.col
     never = c("media_info_error").isNull() & c("media_info_probed_at").isNull()

@@ -29,7 +29,10 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """The rules in their declared order, which is also their rank for listing."""
+    """The rules in their declared order, which is also their rank for listing.
+
+    Fixed values: codes, severities, summary texts and evidence keys.
+    """
     c = F.col
     active = c("state") == "ACTIVE"
     probed = c("media_info_probed_at").isNotNull() & c("media_info_error").isNull()

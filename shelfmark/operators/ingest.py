@@ -9,7 +9,8 @@ from shelfmark import schemas
 from shelfmark.functions import paths
 from shelfmark.operators import checks, reconcile
 
-# Plan statuses that hold no claim on a destination.
+# Fixed values in this module: the wording of errors, reasons and summaries, and the statuses
+# that hold no claim on a destination.
 NOT_COMPETING = ("EXECUTED", "SUPERSEDED")
 
 

@@ -226,7 +226,8 @@ def decide(attempts: DataFrame, kind: str) -> DataFrame:
     """Add top_score, gap, status, confidence and decision_reasons from ranked ``matches``.
 
     ``kind`` is MOVIE or EPISODE. The gap to a missing runner-up is the top score itself. A
-    movie without a year, a special and an extra never resolve by themselves.
+    movie without a year, a special and an extra never resolve by themselves. Fixed values: the
+    wording of reasons.
     """
     top, second = F.get("matches", F.lit(0)), F.get("matches", F.lit(1))
     score = top["total_score"]

@@ -301,3 +301,20 @@ def test_constraint_rows(spark):
     got = {(r.row_key, r.rule) for r in checks.violations(df, "id", {"state": schemas.FILE_STATES}, {"size": (0, None)}, ["size"]).collect()}
     assert got == {("2", "state in vocabulary"), ("3", "size in range"), ("3", "size required")}
     assert [r.row_key for r in checks.repeated(df, ["id"], "unique").collect()] == ["3"]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_shuffle_counts(spark, tmp_path):
+    """Rules and parsers move no rows; a reconcile moves each side once."""
+    state, _ = step(spark, spark.createDataFrame([], schemas.FILE_STATE), [("/a", 1, 10, None, 1)], 1)
+    state.write.parquet(f"{tmp_path}/state")
+    stored = spark.read.parquet(f"{tmp_path}/state")
+    libraries = spark.createDataFrame([(1,)], "library_id long")
+    r = inventory.reconcile_listing(stored, stored.select(*LIST), 2, ts(), libraries)
+    # One for each side and one for the distinct libraries, which are then broadcast.
+    assert shuffles(r.select("absolute_path", "change_type")) <= 3
+    files = stored.withColumns({"category": F.lit("movies"), "video_track_count": F.lit(1), "audio_track_count": F.lit(1)})
+    assert shuffles(naming.parse(files)) == shuffles(findings.evaluate(files)) == 0

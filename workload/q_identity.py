@@ -118,11 +118,11 @@ SELECT *, lead(entry_at) OVER (PARTITION BY media_file_id ORDER BY entry_at, ent
 
 
 @query("r14_override_history", """
-SELECT entry_id AS override_id, media_file_id, cleared_at IS NULL AS is_open, CAST(floor(epoch(cleared_at)) AS BIGINT) AS cleared_epoch FROM {override_rows} WHERE action = 'CREATE'
+SELECT entry_id AS override_id, media_file_id, cleared_at IS NULL AS is_open, strftime(cleared_at, '%Y-%m-%d %H:%M:%S') AS cleared FROM {override_rows} WHERE action = 'CREATE'
 """)
 def _(c):
     history, _rejects = identity.override_history(c.override_log)
-    return history.select("override_id", "media_file_id", F.col("cleared_at").isNull().alias("is_open"), F.unix_seconds("cleared_at").alias("cleared_epoch"))
+    return history.select("override_id", "media_file_id", F.col("cleared_at").isNull().alias("is_open"), F.date_format("cleared_at", "yyyy-MM-dd HH:mm:ss").alias("cleared"))
 
 
 @query("r14_override_rejects", """

@@ -135,7 +135,19 @@ def _(c):
     return naming.parse(loose).select("media_file_id", F.when(F.col("evidence.movie").isNotNull(), "MOVIE").otherwise("TV").alias("parser"))
 
 
-@query("f23_candidate_evidence")
+_Q = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+_N = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'null')"
+
+
+@query("f23_candidate_evidence", f"""
+SELECT media_file_id, '{{{{' || CASE WHEN clash THEN '"conflict":"title_or_year_mismatch_between_filename_and_folder",' ELSE '' END || '"filename_title":' || {_Q("nullif(ft, '')")} || ',"filename_year":' || {_N('fy')}
+  || ',"folder_title":' || {_Q("nullif(pt, '')")} || ',"folder_year":' || {_N('py')} || ',"removed_tokens":[' || array_to_string(list_transform(removed_tokens, lambda x: '"' || x || '"'), ',') || '],"title_source":' || {_Q('source')}
+  || CASE WHEN year IS NOT NULL THEN ',"year_match":' || {_Q('year_match')} ELSE '' END || ',"year_source":' || CASE WHEN year IS NULL THEN 'null' ELSE {_Q('source')} END || '}}}}' AS evidence_json FROM {{movie_parse}}
+UNION ALL SELECT media_file_id, CASE WHEN form IS NOT NULL THEN '{{{{' || CASE WHEN clash THEN '"conflict":"season_mismatch_between_filename_and_season_folder",' ELSE '' END || '"filename_season":' || {_N('season')}
+    || ',"folder_season":' || {_N('folder_season')} || ',"matched_text":' || {_Q('hit')} || ',"pattern":' || {_Q('form')} || ',"series_title_source":' || CASE WHEN file_title IS NOT NULL THEN '"filename"' WHEN folder_title IS NOT NULL THEN '"parent_directory"' ELSE 'null' END || '}}}}'
+  WHEN bonus IS NOT NULL THEN '{{{{"matched_text":' || {_Q('bonus')} || ',"pattern":"extra_keyword"}}}}'
+  ELSE '{{{{' || CASE WHEN folder_season IS NULL THEN '' ELSE '"folder_season":' || folder_season || ',' END || CASE WHEN folder_title IS NULL THEN '' ELSE '"folder_series_title":' || {_Q('folder_title')} || ',' END || '"pattern":null}}}}' END FROM {{tv_parse}}
+""", heavy=True)
 def _(c):
     return naming.parse(c.files).select("media_file_id", naming.evidence_text(F.col("evidence")).alias("evidence_json"))
 

@@ -159,7 +159,7 @@ def _(c):
 
 
 @query("r18_cache_upsert", """
-SELECT provider, request_key, response_json, CAST(floor(epoch(expires_at)) AS BIGINT) AS expires_epoch FROM (
+SELECT provider, request_key, response_json, strftime(expires_at, '%Y-%m-%d %H:%M:%S') AS expires FROM (
   SELECT *, row_number() OVER (PARTITION BY provider, request_key ORDER BY o DESC, fetched_at DESC, response_json DESC) AS n FROM (
     SELECT provider, request_key, response_json, fetched_at, expires_at, 0 AS o FROM {cache}
     UNION ALL
@@ -172,7 +172,7 @@ def _(c):
         F.col("ts").cast("timestamp").alias("fetched_at"), F.col("props").alias("response_json"))
     cache = c.cache.withColumns({"fetched_at": F.col("fetched_at").cast("timestamp"), "expires_at": F.col("expires_at").cast("timestamp")})
     merged = provider.cache_upsert(cache, fetches, 3600)
-    return merged.select("provider", "request_key", "response_json", F.unix_seconds("expires_at").alias("expires_epoch"))
+    return merged.select("provider", "request_key", "response_json", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires"))
 
 
 @query("s10_canonical_readback", """
