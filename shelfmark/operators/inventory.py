@@ -54,23 +54,26 @@ def reconcile_listing(state: DataFrame, listing: DataFrame, scan_id: int, run_ts
     """One full outer join of stored files with a listing.
 
     Returns one row per key: the file's ``next`` state, its ``change_type`` (null when nothing
-    happened) and ``changes``. ``scanned_libraries`` (library_id) are those whose root existed;
-    files of any other library stay as they are. The listing holds rows of scanned libraries.
+    happened) and ``changes``. ``scanned_libraries`` (library_id, one per configured category) are
+    those whose root existed; files of any other library stay as they are. Their few ids come in
+    as one scalar, as a join would shuffle all files by library. The listing holds rows of
+    scanned libraries.
 
     A listing row with neither metadata nor an error was not probed and leaves the stored
     metadata alone.
     """
     compared = COMPARED_FIELDS if compared is None else compared
-    scanned = scanned_libraries.select(F.col("library_id").alias("__scanned")).distinct()
+    scanned = scanned_libraries.agg(F.collect_set("library_id")).scalar()
     both = reconcile.pair(state, listing, [key])
-    both = both.join(scanned, F.col("old.library_id") == F.col("__scanned"), "left")
+    both = both.withColumn("__lost", F.col("new").isNull() & (F.col("old.state") == "ACTIVE")
+                           & F.array_contains(scanned, F.col("old.library_id")))
     old, new = F.col("old"), F.col("new")
     types = {f.name: f.dataType for f in state.schema.fields}
 
     probed = F.lit(metadata_enabled) & (
         F.col("new.video_tracks").isNotNull() | F.col("new.media_info_error").isNotNull())
     update = metadata_update(fields=[*METADATA_FIELDS, *TRACK_FIELDS])
-    lost = new.isNull() & (F.col("old.state") == "ACTIVE") & F.col("__scanned").isNotNull()
+    lost = F.col("__lost")
 
     def value(c: str) -> Column:
         if c == "media_file_id":

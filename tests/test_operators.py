@@ -314,7 +314,6 @@ def test_shuffle_counts(spark, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/state")
     libraries = spark.createDataFrame([(1,)], "library_id long")
     r = inventory.reconcile_listing(stored, stored.select(*LIST), 2, ts(), libraries)
-    # One for each side and one for the distinct libraries, which are then broadcast.
-    assert shuffles(r.select("absolute_path", "change_type")) <= 3
+    assert shuffles(r.select("absolute_path", "change_type")) == 2
     files = stored.withColumns({"category": F.lit("movies"), "video_track_count": F.lit(1), "audio_track_count": F.lit(1)})
     assert shuffles(naming.parse(files)) == shuffles(findings.evaluate(files)) == 0
