@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import jaccard_join
+from shelfmark.llm import jaccard_join, lm_score, packing, sharding
 from shelfmark.llm.common import table
 
 
@@ -14,8 +16,29 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), path, capacity=2048)
+
+
+def _fold(modulus: int):
+    """crc32 of the id as text, modulo a number; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), held_out=_fold(7) == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_interleave": op5_interleave,
+    "op6_harmonic_pack": op6_harmonic_pack,
+    "op9_bloom_lm": op9_bloom_lm,
 }
 
 
