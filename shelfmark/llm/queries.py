@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import jaccard_join, lm_score, packing, sharding
+from shelfmark.llm import jaccard_join, lm_score, packing, pq_dedup, sharding
 from shelfmark.llm.common import table
 
 
@@ -34,11 +34,16 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), held_out=_fold(7) == 2)
 
 
+def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op5_interleave": op5_interleave,
     "op6_harmonic_pack": op6_harmonic_pack,
     "op9_bloom_lm": op9_bloom_lm,
+    "op10_pq_dedup": op10_pq_dedup,
 }
 
 
