@@ -188,7 +188,8 @@ class Tree:
 
 
 def _walk(percent: int):
-    """One block pair of a shard: points of the left block are looked up in a tree over the right one."""
+    """One block pair of a shard: points of the left block are looked up in a tree over the right one. A pair that
+    shares several shards comes out of the lowest alone; `lower` holds a document's shards below this one."""
     def run(part: pa.Table) -> pa.Table:
         left, right = (part.filter(pc.equal(part["side"], side)) for side in (0, 1))
         found_a, found_b = [], []
@@ -196,9 +197,10 @@ def _walk(percent: int):
             tree = Tree(_points(right["point"].combine_chunks()))
             ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
             in_a, in_b = left["component"].to_numpy(), right["component"].to_numpy()
+            met_a, met_b = ([frozenset(x) for x in side["lower"].to_pylist()] for side in (left, right))
             for i, query in enumerate(_points(left["point"].combine_chunks())):
                 hits = tree.search(query, percent)
-                hits = hits[in_b[hits] != in_a[i]]
+                hits = [j for j in hits[in_b[hits] != in_a[i]] if met_a[i].isdisjoint(met_b[j])]
                 found_a.append(np.minimum(ids_a[i], ids_b[hits]))
                 found_b.append(np.maximum(ids_a[i], ids_b[hits]))
         a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
@@ -246,11 +248,12 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     open_shards = placed.groupBy("shard").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_shards = open_shards.where("lo <> hi").select("shard")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = (placed.join(open_shards, "shard").join(points, F.col("id") == F.col("doc_id"))
+    spread = (placed.join(open_shards, "shard").join(reps, F.col("id") == F.col("doc_id"))
+              .withColumn("lower", F.expr("filter(signatures, x -> x < shard)"))
               .withColumn("own", (F.pmod(F.xxhash64("id"), blocks)).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))))
     sides = spread.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id",
-                          "component", "point", F.explode(
+                          "component", "point", "lower", F.explode(
                               F.when(F.col("own") == F.col("other"), F.array(F.lit(0), F.lit(1)))
                               .when(F.col("own") < F.col("other"), F.array(F.lit(0)))
                               .otherwise(F.array(F.lit(1)))).alias("side"))
