@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import jaccard_join, lm_score, packing, pq_dedup, sharding
+from shelfmark.llm import decontaminate, jaccard_join, lm_score, packing, pq_dedup, pu_quality, sharding
 from shelfmark.llm.common import table
 
 
+def _fold(modulus: int):
+    """crc32 of the id as text, modulo a number; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pu_quality.learn(docs, table(spark, sf_dir, "labels"), trusted=_fold(5) != 0)
+    scored = pu_quality.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -25,9 +38,8 @@ def op6_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, capacity=2048)
 
 
-def _fold(modulus: int):
-    """crc32 of the id as text, modulo a number; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % modulus
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,9 +51,11 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pu_quality": op1_pu_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op5_interleave": op5_interleave,
     "op6_harmonic_pack": op6_harmonic_pack,
+    "op7_decontaminate": op7_decontaminate,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_pq_dedup": op10_pq_dedup,
 }
