@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,8 +179,6 @@ def learn(docs: DataFrame, labels: DataFrame, trusted: Column, id_col: str = "do
 def score(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with one more column, the score of its text (0 to 1, higher: good likelier). Null and empty texts get a
     score too. A column of that name is replaced; rows are scored one by one, so repeats and ties score alike."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
