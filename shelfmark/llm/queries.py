@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, jaccard_join, lm_score, packing, pq_dedup, pu_quality, sharding
+from shelfmark.llm import decontaminate, jaccard_join, lm_score, packing, pii, pq_dedup, pu_quality, sharding
 from shelfmark.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.learn(docs))
+
+
 def op5_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=8)
 
@@ -53,6 +58,7 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_bilstm_crf_pii": op4_bilstm_crf_pii,
     "op5_interleave": op5_interleave,
     "op6_harmonic_pack": op6_harmonic_pack,
     "op7_decontaminate": op7_decontaminate,
