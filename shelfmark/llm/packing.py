@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,6 +35,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # In the vocabulary's own alphabet each byte is one character.
+        size = self.tokenizer.get_vocab_size()
+        self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -41,21 +45,34 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        from array import array
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of each unit, from one pass over all of them in a row.
+
+        Units that open with a space follow each other directly; others are set off by a line end, which is a token
+        of its own. Units of white space alone are read singly. Tokens are cut where the units' bytes end."""
+        found = {u: self._ids(u).tobytes() for u in units if u.isspace()}
+        rest = [u for u in units if u not in found]
+        if rest:
+            joined = [u if u[0] == " " else "\n" + u for u in rest]
+            ids = self._ids("".join(joined))
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(u.encode()) for u in joined])) + 1
+            data, lo = ids.tobytes(), 0
+            for u, hi in zip(rest, (4 * ends).tolist()):
+                found[u] = data[lo if u[0] == " " else lo + 4:hi]
+                lo = hi
+        return found
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
-            return self._ids([text])[0]
+            return self._ids(text).tobytes()
         units, known = _UNIT.findall(text), self.known
         try:
             return b"".join(map(known.__getitem__, units))
         except KeyError:
-            new = [u for u in dict.fromkeys(units) if u not in known]
-            fresh = dict(zip(new, self._ids(new)))
+            fresh = self._units([u for u in dict.fromkeys(units) if u not in known])
             if len(known) < CACHED:
                 known.update(fresh)
                 return b"".join(map(known.__getitem__, units))
