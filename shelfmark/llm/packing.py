@@ -23,6 +23,7 @@ SHORT = 48
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Characters that Python counts as white space and the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_TAIL = ".,;:!?*&%$#|"
 _encoders: dict[str, Encoder] = {}
 
 
@@ -72,7 +73,17 @@ class Encoder:
         try:
             return b"".join(map(known.__getitem__, units))
         except KeyError:
-            fresh = self._units([u for u in dict.fromkeys(units) if u not in known])
+            # A word and the marks after it are tokens apart: words are looked up without them.
+            split = {}
+            for u in dict.fromkeys(units):
+                if u not in known:
+                    word = u.rstrip(_TAIL)
+                    split[u] = (word, u[len(word):]) if len(word) < len(u) and word[-1:].isalpha() else (u,)
+            parts = dict.fromkeys(p for ps in split.values() for p in ps)
+            fresh = self._units([p for p in parts if p not in known])
+            for u, ps in split.items():
+                if len(ps) > 1:
+                    fresh[u] = b"".join([known.get(p) or fresh[p] for p in ps])
             if len(known) < CACHED:
                 known.update(fresh)
                 return b"".join(map(known.__getitem__, units))
