@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, jaccard_join, lm_score, packing, pii, pq_dedup, pu_quality, sharding
+from shelfmark.llm import (
+    decontaminate, html_wrapper, jaccard_join, lm_score, packing, pii, pq_dedup, pu_quality, sharding, substring_dedup,
+)
 from shelfmark.llm.common import table
 
 
@@ -25,6 +27,10 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -47,6 +53,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), held_out=_fold(7) == 2)
 
@@ -57,11 +67,13 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
+    "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_bilstm_crf_pii": op4_bilstm_crf_pii,
     "op5_interleave": op5_interleave,
     "op6_harmonic_pack": op6_harmonic_pack,
     "op7_decontaminate": op7_decontaminate,
+    "op8_html_wrapper": op8_html_wrapper,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_pq_dedup": op10_pq_dedup,
 }
