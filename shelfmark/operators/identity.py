@@ -47,13 +47,14 @@ def identities_of(matches: DataFrame) -> DataFrame:
         number.alias("runtime_seconds"), text.alias("original_language"), "attempt_id", "media_file_id")
 
 
-def assign(assignments: DataFrame, incoming: DataFrame, run_ts: Column) -> DataFrame:
-    """Give files their identity: a repeat of identity, method and confidence changes nothing;
+def assign(assignments: DataFrame, incoming: DataFrame, run_ts: Column, order: list[str] | None = None) -> DataFrame:
+    """Give files their identity, the last incoming row per file (by ``order``, else by identity): a repeat of identity, method and confidence changes nothing;
     anything else supersedes the open row and opens a new one.
 
     Closed rows pass through untouched. Returns all rows with ``outcome``.
     """
     still_open = F.col("status") == "ACTIVE"
+    incoming = reconcile.latest(incoming, ["media_file_id"], order or ["identity_id", "assignment_method", "confidence"])
     new_id = F.xxhash64(F.lit("assignment"), "media_file_id", F.col("new.identity_id"), F.col("new.assignment_method"), run_ts.cast("timestamp"))
     current = reconcile.scd2(
         assignments.where(still_open), incoming, ["media_file_id"],
@@ -62,23 +63,27 @@ def assign(assignments: DataFrame, incoming: DataFrame, run_ts: Column) -> DataF
     return current.unionByName(closed)
 
 
-def review_attempts(attempts: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply SELECT (a match) and REJECT (all of them) decisions to attempts.
+def review_attempts(attempts: DataFrame, decisions: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply SELECT (a match of the attempt) and REJECT (all of them) decisions to attempts, the latest valid one last.
 
     Decisions: attempt_id, action, match_id, decided_at, decision_id.
     """
+    own = matches.select("attempt_id", "match_id", F.lit(True).alias("__own"))
+    flagged = decisions.join(own, ["attempt_id", "match_id"], "left")
+    action = F.col("decision.action")
+    selects = action == "SELECT"
     invalid = (
         F.when(F.col("state").isNull(), "no such attempt")
-        .when(~F.col("decision.action").isin("SELECT", "REJECT"), "unknown action")
-        .when((F.col("decision.action") == "SELECT") & F.col("decision.match_id").isNull(), "no match named"))
-    pairs, rejects = reconcile.apply_decisions(attempts, decisions, ["attempt_id"], invalid)
-    action = F.col("decision.action")
+        .when(~F.coalesce(action.isin("SELECT", "REJECT"), F.lit(False)), "unknown action")
+        .when(selects & F.col("decision.match_id").isNull(), "no match named")
+        .when(selects & F.col("decision.__own").isNull(), "the match is not one of the attempt"))
+    pairs, rejects = reconcile.apply_decisions(attempts, flagged, ["attempt_id"], invalid)
     changed = {
-        "status": F.when(action == "SELECT", "RESOLVED").when(action == "REJECT", "NO_MATCH").otherwise(F.col("state.status")),
-        "selected_match_id": F.when(action == "SELECT", F.col("decision.match_id")).when(
+        "status": F.when(selects, "RESOLVED").when(action == "REJECT", "NO_MATCH").otherwise(F.col("state.status")),
+        "selected_match_id": F.when(selects, F.col("decision.match_id")).when(
             action.isNull(), F.col("state.selected_match_id")),
     }
-    return pairs.select(*[changed[c].alias(c) if c in changed else F.col(f"state.{c}") for c in attempts.columns]), rejects
+    return pairs.select(*[changed[c].alias(c) if c in changed else F.col(f"state.{c}") for c in attempts.columns]), rejects.drop("__own")
 
 
 def review_matches(matches: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -105,13 +110,14 @@ def revoke(assignments: DataFrame, decisions: DataFrame, run_ts: Column) -> tupl
 
 
 def confirm(assignments: DataFrame, decisions: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Confirm ACTIVE, manually chosen assignments for ingest; a second time changes nothing."""
+    """Confirm ACTIVE, manually chosen assignments for ingest. The first valid decision counts; a later one, or one on
+    an assignment confirmed before, changes nothing."""
     status, method = F.col("state.status"), F.col("state.assignment_method")
     invalid = (
         F.when(F.col("state").isNull(), "no such assignment")
         .when(status != "ACTIVE", F.format_string("assignment is %s, not ACTIVE", status))
         .when(method != "MANUAL", "assignment was made automatically; nothing to confirm"))
-    pairs, rejects = reconcile.apply_decisions(assignments, decisions, ["assignment_id"], invalid)
+    pairs, rejects = reconcile.apply_decisions(assignments, decisions, ["assignment_id"], invalid, keep="first")
     hit = F.col("decision").isNotNull() & F.col("state.confirmed_for_ingest_at").isNull()
     changed = {
         "confirmed_for_ingest_at": F.when(hit, run_ts).otherwise(F.col("state.confirmed_for_ingest_at")),
@@ -121,6 +127,25 @@ def confirm(assignments: DataFrame, decisions: DataFrame, run_ts: Column) -> tup
     return pairs.select(*[changed[c].alias(c) if c in changed else F.col(f"state.{c}") for c in assignments.columns]), rejects
 
 
+def confirm_by_plan(assignments: DataFrame, plans: DataFrame, decisions: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Confirm the assignment behind a plan, as long as it is still the current one of the plan's file.
+
+    Decisions name a plan_id. The rejects carry the plan and the reason.
+    """
+    current = assignments.where(F.col("status") == "ACTIVE").select("media_file_id", F.col("assignment_id").alias("__current"))
+    named = plans.select("plan_id", "media_file_id", F.col("assignment_id").alias("__planned"), F.lit(True).alias("__known"))
+    asked = decisions.join(named, "plan_id", "left").join(current, "media_file_id", "left")
+    reason = (
+        F.when(F.col("__known").isNull(), "no such plan")
+        .when(F.col("__planned").isNull(), "plan has no resolved identity assignment to confirm")
+        .when(~F.col("__current").eqNullSafe(F.col("__planned")), "the plan's assignment is no longer the current one of its file"))
+    asked = asked.withColumns({"reject_reason": reason, "assignment_id": F.col("__planned")})
+    kept = [*decisions.columns, "assignment_id"]
+    stopped = asked.where(F.col("reject_reason").isNotNull()).select(*kept, "reject_reason")
+    confirmed, rejects = confirm(assignments, asked.where(F.col("reject_reason").isNull()).select(*kept), run_ts)
+    return confirmed, rejects.unionByName(stopped)
+
+
 # --- overrides ------------------------------------------------------------------------
 
 OVERRIDE_FIELDS = ["candidate_type", "title", "year", "series_title", "season_number", "episode_numbers", "episode_title"]
@@ -146,7 +171,9 @@ def override_history(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     Log: media_file_id, entry_id, entry_at, action and the override's fields. Each valid entry of a
     file closes the one before it, so a row's ``cleared_at`` is the time of the next entry.
     """
-    checked = log.withColumn("reject_reason", override_problem())
+    unplaced = F.col("media_file_id").isNull() | F.col("entry_at").isNull()
+    unknown = ~F.coalesce(F.col("action").isin("CREATE", "CLEAR"), F.lit(False))
+    checked = log.withColumn("reject_reason", F.when(unplaced, "no file or time").when(unknown, "unknown action").otherwise(override_problem()))
     rejects = checked.where(F.col("reject_reason").isNotNull())
     valid = checked.where(F.col("reject_reason").isNull())
     history = (

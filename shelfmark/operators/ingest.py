@@ -315,11 +315,13 @@ def reconcile_plans(stored: DataFrame, fresh: DataFrame, run_ts: Column, content
 
 
 def approve(plans: DataFrame, decisions: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Approve READY_FOR_REVIEW plans; anything else goes to the rejects."""
+    """Approve READY_FOR_REVIEW plans. The first valid decision approves; later ones find the plan approved and go to
+    the rejects with all others that do not apply."""
     status = F.col("state.status")
     invalid = F.when(F.col("state").isNull(), "no such plan").when(
         status != "READY_FOR_REVIEW", F.format_string("plan is %s, not READY_FOR_REVIEW", status))
-    pairs, rejects = reconcile.apply_decisions(plans, decisions, ["plan_id"], invalid)
+    pairs, rejects = reconcile.apply_decisions(
+        plans, decisions, ["plan_id"], invalid, keep="first", repeated=F.lit("plan is APPROVED, not READY_FOR_REVIEW"))
     hit = F.col("decision").isNotNull()
     changed = {"status": F.lit("APPROVED"), "approved_at": run_ts, "approved_by": F.col("decision.decided_by"), "updated_at": run_ts}
     return pairs.select(*[

@@ -1,14 +1,12 @@
-"""Inventory state: libraries, snapshot reconcile with change events, relocation, run log."""
+"""Inventory state: libraries, snapshot reconcile with change events, relocation, run records."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import reconcile
-from shelfmark.session import cut
 
 # Fields whose change makes an UPDATED event, in event order.
 PLACE_FIELDS = ["library_id", "relative_path", "filename", "extension", "parent_directory", "layout", "size_bytes", "mtime"]
@@ -186,85 +184,40 @@ def change_counts(events: DataFrame, key: str = "scan_run_id") -> DataFrame:
         F.count_if(F.col("change_type") == t).alias(f"{t.lower()}_count") for t in schemas.CHANGE_TYPES])
 
 
-# --- versions and run log -------------------------------------------------------------
+# --- one run --------------------------------------------------------------------------
 
-RUN_DDL = (
-    "scan_run_id long, status string, started_at timestamp, completed_at timestamp, "
-    "triggered_by string, scan_scope string, scope_category string, file_count long, "
-    "total_size_bytes long, added_count long, missing_count long, restored_count long, "
-    "updated_count long, error_message string"
-)
+def one_per_path(listing: DataFrame, key: str = "absolute_path") -> DataFrame:
+    """One row per path: nested roots list a file twice, and the last configured library has it."""
+    return reconcile.latest(listing, [key], ["library_id", "mtime"])
 
 
-def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Latest record of each run; a run in progress is superseded by its final record."""
-    try:
-        log = spark.read.schema(RUN_DDL).parquet(f"{root}/runs")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], RUN_DDL)
-    final = F.col("status") != "RUNNING"
-    return reconcile.latest(log, ["scan_run_id"], [], [final, F.col("completed_at")])
+def scan(state: DataFrame, listing: DataFrame, libraries: DataFrame, scan_id: int, run_ts: Column,
+         metadata_enabled: bool = True) -> DataFrame:
+    """A listing reconciled into the state: ``libraries`` (library_id, category, exists) are those in scope.
 
-
-def append_run(spark: SparkSession, root: str, record: DataFrame) -> None:
-    names = [p.split()[0] for p in RUN_DDL.split(", ")]
-    types = dict(p.split() for p in RUN_DDL.split(", "))
-    cols = [(F.col(n) if n in record.columns else F.lit(None)).cast(types[n]).alias(n) for n in names]
-    record.select(*cols).coalesce(1).write.mode("append").parquet(f"{root}/runs")
-
-
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """Newest COMPLETE run: the version readers follow."""
-    row = read_runs(spark, root).where(F.col("status") == "COMPLETE").agg(F.max("scan_run_id")).first()
-    return row[0]
-
-
-def read_state(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
-        return spark.createDataFrame([], schemas.FILE_STATE)
-    return spark.read.schema(schemas.FILE_STATE).parquet(f"{root}/media_files/version={version}")
-
-
-def read_changes(spark: SparkSession, root: str) -> DataFrame:
-    """Events of COMPLETE runs; the scan id is the partition column, so a range prunes folders."""
-    done = read_runs(spark, root).where(F.col("status") == "COMPLETE").select("scan_run_id")
-    return spark.read.parquet(f"{root}/scan_changes").join(done, "scan_run_id", "left_semi")
-
-
-def persist_scan(spark: SparkSession, root: str, listing: DataFrame, libraries: DataFrame, run_ts: Column,
-                 metadata_enabled: bool = True, scope_category: str | None = None) -> int:
-    """Reconcile a listing into a new version of the state.
-
-    ``libraries`` (library_id, category, exists) are those in scope. Nothing is visible until
-    the COMPLETE record is appended last; a failure leaves a FAILED record and files no reader
-    follows.
+    Write the result once; ``next_state``, ``change_events``, ``run_row`` and ``duplicate_ids`` read from what was
+    written. Listing rows of libraries whose root is absent are left out.
     """
-    runs = read_runs(spark, root)
-    scan_id = (runs.agg(F.max("scan_run_id")).first()[0] or 0) + 1
-    scope = "FULL" if scope_category is None else "CATEGORY"
-    about = {
-        "scan_run_id": F.lit(scan_id), "started_at": run_ts, "triggered_by": F.lit("SCAN"),
-        "scan_scope": F.lit(scope), "scope_category": F.lit(scope_category).cast("string")}
-    started = spark.range(1).withColumns(about)
-    append_run(spark, root, started.withColumn("status", F.lit("RUNNING")))
-    try:
-        scanned = libraries.where(F.col("exists")).select("library_id")
-        present = listing.join(scanned, "library_id", "left_semi")
-        reconciled = cut(reconcile_listing(
-            read_state(spark, root), present, scan_id, run_ts, scanned, metadata_enabled))
-        next_state(reconciled).write.parquet(f"{root}/media_files/version={scan_id}")
-        change_events(reconciled, scan_id).write.mode("append").partitionBy("scan_run_id").parquet(f"{root}/scan_changes")
-        seen = F.col("next.last_seen_scan_id") == scan_id
-        totals = reconciled.agg(
-            F.count_if(seen).alias("file_count"),
-            F.coalesce(F.sum(F.when(seen, F.col("next.size_bytes"))), F.lit(0)).alias("total_size_bytes"),
-            *[F.count_if(F.col("change_type") == t).alias(f"{t.lower()}_count") for t in schemas.CHANGE_TYPES])
-        append_run(spark, root, totals.withColumns({**about, "status": F.lit("COMPLETE"), "completed_at": run_ts}))
-    except Exception as failure:
-        append_run(spark, root, started.withColumns({
-            "status": F.lit("FAILED"), "completed_at": run_ts, "error_message": F.lit(str(failure))}))
-        raise
-    return scan_id
+    scanned = libraries.where(F.col("exists")).select("library_id")
+    present = one_per_path(listing.join(scanned, "library_id", "left_semi"))
+    return reconcile_listing(state, present, scan_id, run_ts, scanned, metadata_enabled)
+
+
+def run_row(reconciled: DataFrame, scan_id: int, run_ts: Column, scope_category: str | None = None,
+            triggered_by: str = "SCAN") -> DataFrame:
+    """The run's record: what was seen and what changed, as one row."""
+    seen = F.col("next.last_seen_scan_id") == scan_id
+    return reconciled.agg(
+        F.count_if(seen).alias("file_count"),
+        F.coalesce(F.sum(F.when(seen, F.col("next.size_bytes"))), F.lit(0)).alias("total_size_bytes"),
+        *[F.count_if(F.col("change_type") == t).alias(f"{t.lower()}_count") for t in schemas.CHANGE_TYPES],
+    ).select(
+        F.lit(scan_id).cast("long").alias("scan_run_id"), F.lit("COMPLETE").alias("status"), run_ts.alias("started_at"),
+        run_ts.alias("completed_at"), F.lit(triggered_by).alias("triggered_by"),
+        F.lit("FULL" if scope_category is None else "CATEGORY").alias("scan_scope"),
+        F.lit(scope_category).cast("string").alias("scope_category"), "*")
+
+
+def duplicate_ids(reconciled: DataFrame) -> DataFrame:
+    """Ids that two files share. New ids are hashes, so a run looks before it keeps them; none is the rule."""
+    return reconcile.duplicate_keys(reconciled.select("next.media_file_id"), ["media_file_id"])

@@ -2,13 +2,12 @@
 
 Two ways to find the rows a candidate is compared with:
 
-* exact titles: provider rows whose folded title equals the candidate's. A title shared by
-  very many rows is cut to the rows that can reach the result page before anything is joined,
-  which is exact (see ``title_pages``);
-* given pairs: search hits the provider returned, at most one page per query.
+* exact titles: provider rows whose folded title equals the candidate's. All results of a title are ranked once per
+  distinct (title, year) query; a candidate adds the few of them whose runtime is compared with its own, which are
+  all that can differ between candidates of one query;
+* given pairs: the search hits a provider returned, all of them.
 
-Results per attempt are one array of at most a page, best first, so ranking and deciding
-happen inside a row.
+Results are rows with a rank and are never cut. Deciding needs the best two of an attempt only.
 """
 
 from __future__ import annotations
@@ -19,14 +18,13 @@ from pyspark.sql import functions as F
 from shelfmark.functions import scores
 from shelfmark.functions.titles import fold_title, with_similarities, with_similarity
 
-# Sizes of a search page, of the detail look-ups on it, and of the series
-# short list.
-SEARCH_PAGE = 20
+# How many results have their runtime looked up, and how many given series their episodes.
 DETAIL_LOOKUPS = 3
 SERIES_LOOKUPS = 2
 ALGORITHM_VERSION = 1
 
-_ANY, _NO_YEAR = -1, 0
+# Results after the compared ones that can still be among the best two.
+_SPARE = 2
 
 
 def blocked(df: DataFrame, titles: list[str]) -> DataFrame:
@@ -38,42 +36,20 @@ def blocked(df: DataFrame, titles: list[str]) -> DataFrame:
     return df.withColumn("block", F.explode_outer(folded)).where(F.col("block") != "")
 
 
-def _by_popularity() -> list[Column]:
-    return [F.coalesce("popularity", F.lit(0.0)).desc(), F.col("provider_id").asc()]
+def title_results(queries: DataFrame, movies: DataFrame) -> DataFrame:
+    """All results of each distinct (block, year) query as rows, best preliminary score first: position from 0.
 
-
-def title_pages(queries: DataFrame, movies: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
-    """First result page of each distinct (block, year) query, best preliminary score first.
-
-    Inside a block the titles are equal, so the preliminary score depends on the year alone
-    and ties go by popularity. A page can therefore only hold the best ``page`` rows of the
-    query year, of the years beside it and of the rows without a year, and rows of the other
-    years: those reach it only when the first groups leave room, so the best ``2 * page`` of
-    the whole block contain all that can. The two row limits run before the shuffle.
+    Inside a block the titles are equal, so the preliminary score depends on the year alone and ties go by
+    popularity. There is a row per query and movie of the title, however many candidates ask.
     """
     fields = F.struct("provider_id", "title", "original_title", "release_year", "popularity", "runtime_seconds").alias("movie")
-    blocks = blocked(movies, ["title", "original_title"])
-    year = F.coalesce(F.col("release_year"), F.lit(_NO_YEAR))
-
-    def best(slot: Column, limit: int) -> DataFrame:
-        slotted = blocks.withColumn("slot", slot.cast("int"))
-        window = Window.partitionBy("block", "slot").orderBy(*_by_popularity())
-        return slotted.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= limit).select("block", "slot", fields)
-
-    entries = best(year, page).unionByName(best(F.lit(_ANY), 2 * page))
-    y = F.col("year")
-    slots = F.when(y.isNull(), F.array(F.lit(_ANY))).otherwise(
-        F.array(y - 1, y, y + 1, F.lit(_NO_YEAR), F.lit(_ANY)))
-    wanted = queries.select("block", F.col("year").cast("int").alias("year")).distinct().withColumn("slot", F.explode(slots))
-    release = F.col("movie.release_year")
-    far = release.isNotNull() & (F.abs(release - y) > 1)
-    hits = wanted.join(entries, ["block", "slot"]).where((F.col("slot") != _ANY) | y.isNull() | far)
-    preliminary = F.coalesce(scores.year_score(y, release), F.lit(0.0))
-    entry = F.struct(
-        (-preliminary).alias("__a"), (-F.coalesce("movie.popularity", F.lit(0.0))).alias("__b"),
-        F.col("movie.provider_id").alias("__c"), F.col("movie").alias("movie"))
-    return hits.groupBy("block", "year").agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(entry)), 1, page), lambda e: e["movie"]).alias("results"))
+    blocks = blocked(movies, ["title", "original_title"]).select("block", fields)
+    wanted = queries.where(F.coalesce(F.col("block"), F.lit("")) != "").select(
+        "block", F.col("year").cast("int").alias("year")).distinct()
+    preliminary = F.coalesce(scores.year_score(F.col("year"), F.col("movie.release_year")), F.lit(0.0))
+    order = [preliminary.desc(), F.coalesce("movie.popularity", F.lit(0.0)).desc(), F.col("movie.provider_id")]
+    place = F.row_number().over(Window.partitionBy("block", "year").orderBy(*order)) - 1
+    return wanted.join(blocks, "block").select("block", "year", place.alias("position"), "movie")
 
 
 def movie_score(local: dict[str, Column], movie: Column, title_score: Column, runtime: Column) -> Column:
@@ -101,36 +77,67 @@ def _local() -> dict[str, Column]:
     return {"year": F.col("parsed_year"), "type": F.col("candidate_type")}
 
 
-def match_movies(candidates: DataFrame, movies: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
-    """Exact-title matches of each candidate as ``matches``, ranked (empty array when none).
+def _queried(candidates: DataFrame) -> DataFrame:
+    """Candidates with their query. A title that folds to nothing gets a block of its own, which matches nothing."""
+    block = fold_title(F.col("parsed_title"))
+    own = F.concat(F.lit("\x00"), F.col("media_file_id").cast("string"))
+    return candidates.withColumns({
+        "block": F.when(F.coalesce(block, F.lit("")) != "", block).otherwise(own), "year": F.col("parsed_year").cast("int")})
+
+
+def _asked(keyed: DataFrame) -> DataFrame:
+    return keyed.where(~F.startswith(F.col("block"), F.lit("\x00"))).select("block", "year")
+
+
+def _scored(position: Column, detail: int) -> Column:
+    runtime = F.when(position < detail, F.col("local_seconds"))
+    return movie_score(_local(), F.col("movie"), F.lit(1.0), runtime)
+
+
+def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Candidates with ``matches``, the best two exact-title matches (fewer when there are none), and ``result_count``.
 
-    The candidate joins its query's page, one row to one row; scoring and ranking stay inside
-    the row. Runtime counts for the best few of the page only, as only those are looked up.
+    The candidate meets a row per query that holds its first ``detail`` results, whose runtime counts, and the next
+    two: what comes after is behind those two for every candidate. All matches as rows: ``movie_match_rows``.
     """
-    keyed = candidates.withColumns({"block": fold_title(F.col("parsed_title")), "year": F.col("parsed_year").cast("int")})
-    queries = keyed.where(F.coalesce(F.col("block"), F.lit("")) != "").select("block", "year")
-    pages = title_pages(queries, movies, page).withColumnRenamed("block", "__block").withColumnRenamed("year", "__year")
-    joined = keyed.join(pages, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")), "left")
+    keyed = _queried(candidates)
+    entry = F.struct("position", "movie")
+    heads = title_results(_asked(keyed), movies).groupBy("block", "year").agg(
+        F.sort_array(F.collect_list(F.when(F.col("position") < detail + _SPARE, entry))).alias("head"),
+        F.count(F.lit(1)).alias("result_count"))
+    heads = heads.withColumnsRenamed({"block": "__block", "year": "__year"})
+    joined = keyed.join(heads, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")), "left")
 
-    def scored(movie: Column, position: Column) -> Column:
-        runtime = F.when(position < DETAIL_LOOKUPS, F.col("local_seconds"))
-        return movie_score(_local(), movie, F.lit(1.0), runtime)
+    def scored(e: Column) -> Column:
+        runtime = F.when(e["position"] < detail, F.col("local_seconds"))
+        return movie_score(_local(), e["movie"], F.lit(1.0), runtime)
 
-    ranked = F.sort_array(F.transform(F.col("results"), scored))
-    return joined.withColumn("matches", F.coalesce(ranked, F.array().cast(_array_type(joined, ranked)))).drop(
-        "block", "year", "__block", "__year", "results")
+    ranked = F.slice(F.sort_array(F.transform(F.col("head"), scored)), 1, 2)
+    kind = joined.select(ranked.alias("x")).schema["x"].dataType
+    return joined.withColumns({
+        "matches": F.coalesce(ranked, F.array().cast(kind)), "result_count": F.coalesce("result_count", F.lit(0)),
+    }).drop("block", "year", "__block", "__year", "head")
 
 
-def _array_type(df: DataFrame, array: Column):
-    return df.select(array.alias("x")).schema["x"].dataType
+def _ranked(rows: DataFrame) -> DataFrame:
+    """(media_file_id, rank, match): all matches of an attempt, best first."""
+    rank = F.row_number().over(Window.partitionBy("media_file_id").orderBy("match"))
+    return rows.select("media_file_id", rank.alias("rank"), "match")
 
 
-def match_movie_pairs(pairs: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
-    """Matches of given pairs: one row per attempt (media_file_id) with ranked ``matches``.
+def movie_match_rows(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Every exact-title match of every candidate as ranked rows: as many as an attempt has results."""
+    keyed = _queried(candidates)
+    results = title_results(_asked(keyed), movies).withColumnsRenamed({"block": "__block", "year": "__year"})
+    joined = keyed.join(results, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")))
+    return _ranked(joined.withColumn("match", _scored(F.col("position"), detail)))
 
-    Pairs carry the candidate's columns and a provider row with its page position. The best
-    ``page`` by score without runtime are kept per attempt (before the shuffle), and the best
-    few of those get their runtime compared.
+
+def match_movie_pairs(pairs: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Every match of given pairs as ranked rows (media_file_id, rank, match).
+
+    Pairs carry the candidate's columns and a provider row with its page position. The best ``detail`` by score
+    without runtime are those whose runtime is compared.
     """
     pairs = with_similarities(pairs, {
         "__title": ("parsed_title", "title"), "__original": ("parsed_title", "original_title")})
@@ -138,18 +145,24 @@ def match_movie_pairs(pairs: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
     pairs = pairs.withColumn("__score", F.greatest("__title", "__original")).withColumn("movie", movie)
     bare = movie_score(_local(), F.col("movie"), F.col("__score"), F.lit(None).cast("double"))["total_score"]
     window = Window.partitionBy("media_file_id").orderBy(F.col("__bare").desc(), "position", "provider_id")
-    pairs = (
-        pairs.withColumn("__bare", bare)
-        .withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= page)
-    )
-    runtime = F.when(F.col("__n") <= DETAIL_LOOKUPS, F.col("local_seconds"))
-    match = movie_score(_local(), F.col("movie"), F.col("__score"), runtime)
-    return pairs.groupBy("media_file_id", "parsed_title", "parsed_year", "candidate_type").agg(
-        F.sort_array(F.collect_list(match)).alias("matches"))
+    pairs = pairs.withColumn("__bare", bare).withColumn("__n", F.row_number().over(window))
+    runtime = F.when(F.col("__n") <= detail, F.col("local_seconds"))
+    return _ranked(pairs.withColumn("match", movie_score(_local(), F.col("movie"), F.col("__score"), runtime)))
+
+
+def with_best(candidates: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidates with ``matches``, the best two of their ranked rows, and ``result_count``."""
+    best = rows.groupBy("media_file_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= 2, F.col("match")))).alias("matches"),
+        F.count(F.lit(1)).alias("result_count"))
+    kind = best.schema["matches"].dataType
+    return candidates.join(best, "media_file_id", "left").withColumns({
+        "matches": F.coalesce("matches", F.array().cast(kind)), "result_count": F.coalesce("result_count", F.lit(0))})
 
 
 def series_short_list(series: DataFrame, limit: int = SERIES_LOOKUPS) -> DataFrame:
-    """The series worth an episode look-up per folded title; all tie on similarity, so by id."""
+    """The series a remote look-up would ask for episodes, per folded title; all tie on similarity, so by id. A
+    catalog at hand needs no such limit: ``match_episodes`` compares all."""
     window = Window.partitionBy("block").orderBy("provider_id")
     return (
         series.withColumn("block", fold_title(F.col("title"))).where(F.col("block") != "")
@@ -158,11 +171,12 @@ def series_short_list(series: DataFrame, limit: int = SERIES_LOOKUPS) -> DataFra
     )
 
 
-def rank_series(pairs: DataFrame, limit: int = SERIES_LOOKUPS) -> DataFrame:
-    """Given series pairs: the best few per attempt by title similarity, then by id."""
+def rank_series(pairs: DataFrame, limit: int | None = SERIES_LOOKUPS) -> DataFrame:
+    """Given series pairs: the best few per attempt by title similarity, then by id; all with no limit."""
     scored = with_similarity(pairs, "parsed_series_title", "series_title", "similarity")
     window = Window.partitionBy("media_file_id").orderBy(F.col("similarity").desc(), "series_provider_id")
-    return scored.withColumn("series_rank", F.row_number().over(window)).where(F.col("series_rank") <= limit)
+    ranked = scored.withColumn("series_rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.where(F.col("series_rank") <= limit)
 
 
 def episode_score(series_score: Column, episode_title_score: Column) -> Column:
@@ -195,31 +209,34 @@ def episode_score(series_score: Column, episode_title_score: Column) -> Column:
 
 
 def match_episodes(candidates: DataFrame, series: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Episode matches of each candidate as ranked ``matches`` (at most one per short-listed series).
+    """Every episode match of each candidate as ranked rows: one per same-titled series that has the episode.
 
     A candidate without series title, season or episode number has none.
     """
-    complete = (
-        F.col("parsed_series_title").isNotNull() & F.col("season_number").isNotNull() & F.col("episode_number").isNotNull())
-    found = _with_episodes(candidates.where(complete), series, episodes)
-    local_title = F.nullif(F.col("episode_title"), F.lit(""))
-    compared = with_similarity(found.withColumn("__local", local_title), "__local", "ep_title", "__episode")
-    title_score = F.when(F.col("__local").isNotNull() & F.col("ep_title").isNotNull(), F.col("__episode"))
-    ranked = compared.groupBy("media_file_id").agg(
-        F.sort_array(F.collect_list(episode_score(F.lit(1.0), title_score))).alias("matches"))
-    kind = ranked.schema["matches"].dataType
-    return candidates.join(ranked, "media_file_id", "left").withColumn(
-        "matches", F.coalesce("matches", F.array().cast(kind)))
+    named = blocked(series, ["title"]).select(
+        "block", F.col("provider_id").alias("series_provider_id"), F.col("title").alias("series_title"))
+    keyed = candidates.withColumn("block", fold_title(F.col("parsed_series_title"))).where(F.col("block") != "")
+    return _episode_rows(keyed.join(named, "block").withColumn("similarity", F.lit(1.0)), episodes)
+
+
+def match_episode_pairs(pairs: DataFrame, episodes: DataFrame, limit: int | None = SERIES_LOOKUPS) -> DataFrame:
+    """Episode matches of given series hits as ranked rows: the candidate's columns with series_provider_id and
+    series_title. ``limit`` is how many series per attempt have their episodes looked up, None for all."""
+    return _episode_rows(rank_series(pairs, limit), episodes)
 
 
-def _with_episodes(candidates: DataFrame, series: DataFrame, episodes: DataFrame) -> DataFrame:
-    listed = candidates.withColumn("block", fold_title(F.col("parsed_series_title"))).join(series_short_list(series), "block")
+def _episode_rows(listed: DataFrame, episodes: DataFrame) -> DataFrame:
     catalog = episodes.select(
         "series_provider_id", "season_number", "episode_number",
         F.col("provider_id").alias("ep_id"), F.nullif(F.col("episode_title"), F.lit("")).alias("ep_title"),
         F.col("runtime_seconds").alias("ep_runtime"))
-    return listed.join(catalog, ["series_provider_id", "season_number", "episode_number"]).withColumns(
-        {"ep_season": F.col("season_number"), "ep_episode": F.col("episode_number")})
+    complete = F.col("season_number").isNotNull() & F.col("episode_number").isNotNull()
+    found = listed.where(complete).join(catalog, ["series_provider_id", "season_number", "episode_number"]).withColumns(
+        {"ep_season": F.col("season_number"), "ep_episode": F.col("episode_number"),
+         "__local": F.nullif(F.col("episode_title"), F.lit(""))})
+    compared = with_similarity(found, "__local", "ep_title", "__episode")
+    title_score = F.when(F.col("__local").isNotNull() & F.col("ep_title").isNotNull(), F.col("__episode"))
+    return _ranked(compared.withColumn("match", episode_score(F.col("similarity"), title_score)))
 
 
 def decide(attempts: DataFrame, kind: str) -> DataFrame:
@@ -269,39 +286,51 @@ def decide(attempts: DataFrame, kind: str) -> DataFrame:
     return df.withColumns({"confidence": confidence, "decision_reasons": why}).drop("top_type")
 
 
+COMPONENTS = ["title_score", "year_score", "runtime_score", "season_score", "episode_score", "episode_title_score", "type_score"]
 MATCH_DDL = (
-    "array<struct<provider_media_type:string, provider_id:bigint, title:string, release_year:int, "
+    "struct<provider_media_type:string, provider_id:bigint, title:string, release_year:int, "
     "series_title:string, series_provider_id:bigint, season_number:int, episode_number:int, "
-    "score:double, reasons:array<string>>>"
+    "score:double, reasons:array<string>, " + ", ".join(f"{c}:double" for c in COMPONENTS) + ">"
 )
 
 
+def stored_match(match: Column, kind: str) -> Column:
+    """A scored match of either kind in the common form, with all its score components."""
+    movie, none = kind == "MOVIE", F.lit(None)
+    own = {"release_year", "year_score"} if movie else {
+        "series_title", "series_provider_id", "season_number", "episode_number", "season_score", "episode_score", "episode_title_score"}
+    common = {"title_score", "runtime_score", "type_score"}
+    field = lambda c: match[c] if c in own | common else none
+    return F.struct(
+        F.lit(kind).alias("provider_media_type"), match["provider_id"], match["title"],
+        *[field(c) for c in ("release_year", "series_title", "series_provider_id", "season_number", "episode_number")],
+        match["total_score"], match["reasons"], *[field(c) for c in COMPONENTS]).cast(MATCH_DDL)
+
+
+def _origin(df: DataFrame) -> list[Column]:
+    """Where the searched candidate came from, null where its frame does not say."""
+    return [(F.col(c) if c in df.columns else F.lit(None)).cast("long").alias(c) for c in ("candidate_id", "override_id")]
+
+
 def _as_attempts(decided: DataFrame, kind: str) -> DataFrame:
     """Common attempt columns of either kind."""
     movie = kind == "MOVIE"
-    none = F.lit(None)
-
-    def match(m: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("provider_media_type"), m["provider_id"], m["title"],
-            m["release_year"] if movie else none, none if movie else m["series_title"],
-            none if movie else m["series_provider_id"], none if movie else m["season_number"],
-            none if movie else m["episode_number"], m["total_score"], m["reasons"])
-
     return decided.select(
-        "media_file_id", "status", "confidence",
+        "media_file_id", *_origin(decided), "status", "confidence",
         F.col("parsed_title" if movie else "parsed_series_title").alias("query_text"),
-        (F.col("parsed_year") if movie else none).cast("int").alias("query_year"),
-        none.cast("string").alias("error_message"),
-        F.transform("matches", match).cast(MATCH_DDL).alias("matches"))
+        (F.col("parsed_year") if movie else F.lit(None)).cast("int").alias("query_year"),
+        F.lit(None).cast("string").alias("error_message"), F.col("result_count").cast("long").alias("result_count"),
+        F.transform("matches", lambda m: stored_match(m, kind)).cast(f"array<{MATCH_DDL}>").alias("matches"))
 
 
 def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episodes: DataFrame,
-             provider_errors: DataFrame | None = None) -> DataFrame:
+             provider_errors: DataFrame | None = None, movie_hits: DataFrame | None = None,
+             series_hits: DataFrame | None = None) -> DataFrame:
     """One attempt per candidate: skipped, failed, or searched and decided.
 
-    ``candidates`` carry the file's duration as ``local_seconds``. ``provider_errors`` (media_file_id,
-    error_message) names look-ups that failed.
+    ``candidates`` carry the file's duration as ``local_seconds``; effective candidates also their override_id.
+    ``provider_errors`` (media_file_id, error_message) names look-ups that failed. Where search hits are given
+    (media_file_id with the provider's columns) they are what is compared, and titles need not be equal.
     """
     searchable = F.col("candidate_type").isin("MOVIE", "EPISODE", "SPECIAL")
     none = F.lit(None)
@@ -313,16 +342,26 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
     text = F.when(F.col("candidate_type") == "MOVIE", F.col("parsed_title")).otherwise(F.col("parsed_series_title"))
     year = F.when(F.col("candidate_type") == "MOVIE", F.col("parsed_year"))
     ended = candidates.where(~searchable | failed).select(
-        "media_file_id", F.when(searchable, "FAILED").otherwise("SKIPPED").alias("status"),
+        "media_file_id", *_origin(candidates), F.when(searchable, "FAILED").otherwise("SKIPPED").alias("status"),
         none.cast("string").alias("confidence"), F.when(searchable, text).alias("query_text"),
         F.when(searchable, year).cast("int").alias("query_year"),
-        F.when(searchable, F.col("error_message")).alias("error_message"), F.array().cast(MATCH_DDL).alias("matches"))
+        F.when(searchable, F.col("error_message")).alias("error_message"), F.lit(0).cast("long").alias("result_count"),
+        F.array().cast(f"array<{MATCH_DDL}>").alias("matches"))
     open_ = candidates.where(searchable & ~failed).drop("error_message")
-    films = match_movies(open_.where(F.col("candidate_type") == "MOVIE"), movies)
-    shows = match_episodes(open_.where(F.col("candidate_type") != "MOVIE"), series, episodes)
+    films, shows = open_.where(F.col("candidate_type") == "MOVIE"), open_.where(F.col("candidate_type") != "MOVIE")
+    local = ["media_file_id", "candidate_type", "parsed_title", "parsed_year", "local_seconds"]
+    episode = ["media_file_id", "candidate_type", "parsed_series_title", "season_number", "episode_number", "episode_title", "local_seconds"]
+    if movie_hits is None:
+        found = match_movies(films, movies)
+    else:
+        found = with_best(films, match_movie_pairs(films.select(*local).join(movie_hits, "media_file_id")))
+    if series_hits is None:
+        listed = match_episodes(shows.select(*episode), series, episodes)
+    else:
+        listed = match_episode_pairs(shows.select(*episode).join(series_hits, "media_file_id"), episodes)
     return (
-        _as_attempts(decide(films, "MOVIE"), "MOVIE")
-        .unionByName(_as_attempts(decide(shows, "EPISODE"), "EPISODE"))
+        _as_attempts(decide(found, "MOVIE"), "MOVIE")
+        .unionByName(_as_attempts(decide(with_best(shows, listed), "EPISODE"), "EPISODE"))
         .unionByName(ended)
     )
 
@@ -334,19 +373,12 @@ def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False)
     return candidates.join(attempts.select("media_file_id"), "media_file_id", "left_anti")
 
 
-def match_rows(attempts: DataFrame) -> DataFrame:
-    """Ranked matches as rows (media_file_id, rank, match).
-
-    The outer form keeps Spark from filtering on the array first, which would score it twice.
-    """
-    rows = attempts.select("media_file_id", F.posexplode_outer("matches").alias("__p", "match"))
-    return rows.where(F.col("__p").isNotNull()).select("media_file_id", (F.col("__p") + 1).alias("rank"), "match")
-
-
 def recorded(attempts: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Attempt rows and their ranked match rows, ready to append.
+    """Attempt rows and the match rows that decided them, ready to append.
 
-    Keys derive from the file and the run, so a match finds its attempt without a join.
+    Keys derive from the file and the run, so a match finds its attempt without a join. ``result_count`` says how many
+    results an attempt had; all of them as rows are ``movie_match_rows``, ``match_movie_pairs`` and
+    ``match_episodes``, with ``match_id`` from the attempt and the rank.
     """
     keyed = attempts.withColumns({
         "attempt_id": F.xxhash64("media_file_id", run_ts.cast("timestamp")),

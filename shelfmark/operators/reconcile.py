@@ -107,19 +107,30 @@ def scd2(open_rows: DataFrame, incoming: DataFrame, key: list[str], compare: lis
     return both.select(F.inline(F.array_compact(F.array(kept, opened))))
 
 
-def apply_decisions(state: DataFrame, decisions: DataFrame, key: list[str], invalid: Column) -> tuple[DataFrame, DataFrame]:
-    """Join the last decision per key to the state and split off the invalid ones.
-
-    ``decisions`` carries ``decided_at`` and ``decision_id`` for order. ``invalid`` gives the
-    reason text over columns of both sides (state columns under struct ``state``, null when the
-    key is unknown), or null when the decision may be applied. Returns (pairs, rejects); pairs
-    hold every state row with its valid decision, if any.
+def apply_decisions(state: DataFrame, decisions: DataFrame, key: list[str], invalid: Column, keep: str = "last",
+                    repeated: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Check every decision against the state, then let one valid decision per key count.
+
+    ``decisions`` carries ``decided_at`` and ``decision_id`` for order. ``invalid`` gives the reason text over the
+    structs ``state`` (null when the key is unknown) and ``decision``, or null when it may be applied. ``keep`` is
+    ``last`` where a later decision replaces an earlier one, ``first`` where the first settles the matter; with
+    ``repeated`` the valid ones after the first are rejects for that reason. Decisions without a key or a time are
+    rejects as well. Returns (pairs, rejects); pairs hold every state row with its decision, if any.
     """
-    last = latest(decisions, key, ["decided_at", "decision_id"])
+    order = F.struct("decision.decided_at", "decision.decision_id")
+    given = F.lit(True)
+    for k in key:
+        given = given & F.col(k).isNotNull()
+    untimed = decisions.where(F.col("decided_at").isNull() | ~given).select("*", F.lit("no key or time").alias("reject_reason"))
     current = state.select(*key, F.struct(*state.columns).alias("state"))
-    joined = current.join(last.select(*key, F.struct(*last.columns).alias("decision")), key, "full_outer")
-    joined = joined.withColumn("reject_reason", F.when(F.col("decision").isNotNull(), invalid))
-    rejects = joined.where(F.col("reject_reason").isNotNull()).select("decision.*", "reject_reason")
-    valid = F.when(F.col("reject_reason").isNull(), F.col("decision"))
-    pairs = joined.where(F.col("state").isNotNull()).select("state", valid.alias("decision"))
-    return pairs, rejects
+    timed = decisions.where(F.col("decided_at").isNotNull() & given).select(*key, F.struct(*decisions.columns).alias("decision"))
+    checked = timed.join(current, key, "left").withColumn("reject_reason", invalid)
+    rejects = checked.where(F.col("reject_reason").isNotNull()).select("decision.*", "reject_reason")
+    valid = checked.where(F.col("reject_reason").isNull()).select(*key, "decision")
+    pick = F.min_by if keep == "first" else F.max_by
+    chosen = valid.groupBy(*key).agg(pick("decision", order).alias("chosen"))
+    if repeated is not None:
+        late = valid.join(chosen, key).where(F.col("decision.decision_id") != F.col("chosen.decision_id"))
+        rejects = rejects.unionByName(late.select("decision.*", repeated.alias("reject_reason")))
+    pairs = current.join(chosen, key, "left").select("state", F.col("chosen").alias("decision"))
+    return pairs, rejects.unionByName(untimed)

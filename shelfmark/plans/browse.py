@@ -14,7 +14,6 @@ from shelfmark import schemas
 from shelfmark.functions.evidence import rank_in
 from shelfmark.operators.findings import RULE_CODES
 from shelfmark.operators.reconcile import latest
-from shelfmark.sources.readback import child_pages
 
 
 def _equal(df: DataFrame, **values) -> DataFrame:
@@ -139,15 +138,9 @@ def _beside_file(df: DataFrame, records: DataFrame) -> DataFrame:
     return df.join(records.select("media_file_id", "category", "absolute_path"), "media_file_id", "left")
 
 
-def with_children(parents: DataFrame, children: DataFrame, key: str, order: str, fields: list[str], out: str) -> DataFrame:
-    """Parents with their ordered children as an array (see ``child_pages``)."""
-    pages = child_pages(children, key, order, fields, out).withColumnRenamed("page", f"{out}_page")
-    return parents.join(pages, key, "left")
-
-
 def list_attempts(attempts: DataFrame, records: DataFrame, status: str | None = None, media_file_id: int | None = None,
                   category: str | None = None, limit: int | None = None) -> DataFrame:
-    """Newest first. Nest matches with ``with_children`` on the result, so a limit applies first."""
+    """Newest first. For matches join ``readback.child_rows`` to the result, so a limit applies first."""
     df = _beside_file(_equal(attempts, status=status, media_file_id=media_file_id), records)
     return _ordered(_equal(df, category=category), [F.desc("started_at"), F.desc("attempt_id")], limit)
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
@@ -41,45 +38,32 @@ def listed_files(listing: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def read_root(spark: SparkSession, category: str, root: str) -> DataFrame | None:
-    """List one root recursively (path, size and time only; contents are never read).
+def plain_path(path: Column) -> Column:
+    """One form for a path: local files without their scheme, no doubled slashes after it, none at the end."""
+    local = F.regexp_replace(path, "^[Ff][Ii][Ll][Ee]:/+", "/")
+    return F.regexp_replace(F.regexp_replace(local, "(?<!:)/{2,}", "/"), "(?<=.)/+$", "")
 
-    None when the root is absent. The file source leaves out names starting with ``_``; use a
-    listing table where those matter.
-    """
-    try:
-        found = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            .select("path", "length", "modificationTime")
-        )
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    base = F.lit(root.rstrip("/") + "/")
-    path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    return found.select(
-        F.lit(category).alias("category"),
-        F.substring(path, F.length(base) + 1, F.length(path)).alias("relative_path"),
-        F.col("length").alias("size_bytes"),
-        F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mtime"),
-    )
 
+def place_paths(paths_: DataFrame, categories: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """A table of paths (path, length, modified) against the configured roots, in their order.
 
-def scan_categories(spark: SparkSession, categories: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Files of every root, and the roots with their exists flag.
-
-    An absent root yields no files and ``exists = false``, which keeps its files from being
-    marked missing.
+    Returns listing rows (category, relative_path, size_bytes, mtime) of the paths below a root, and those below
+    none. A path below nested roots goes to the root configured last. A path listed twice counts once, as last
+    modified. Zero-byte files and any name are kept; null paths are among those below no root.
     """
-    listings = {c: read_root(spark, c, root) for c, root in categories.items()}
-    roots = spark.createDataFrame(
-        [(c, root, listings[c] is not None) for c, root in categories.items()],
-        "category string, root_path string, exists boolean",
-    )
-    empty = spark.createDataFrame([], "category string, relative_path string, size_bytes long, mtime double")
-    found = reduce(DataFrame.unionByName, [x for x in listings.values() if x is not None], empty)
-    return listed_files(found, roots), roots
+    path = plain_path(F.col("path"))
+    placed = F.lit(None).cast("struct<category: string, root: string>")
+    for category, root in categories.items():
+        base = F.concat(plain_path(F.lit(root)), F.lit("/")) if root.strip("/") else F.lit("/")
+        placed = F.when(F.startswith(F.col("__path"), base), F.struct(F.lit(category).alias("category"), base.alias("root"))).otherwise(placed)
+    rows = paths_.withColumn("__path", path).withColumn("__at", placed)
+    below = rows.where(F.col("__at").isNotNull()).groupBy("__path").agg(
+        F.max_by(F.struct("__at", "length", "modified"), F.struct("modified", "length")).alias("r"))
+    listing = below.select(
+        F.col("r.__at.category").alias("category"),
+        F.expr("substring(__path, length(r.__at.root) + 1)").alias("relative_path"),
+        F.col("r.length").alias("size_bytes"), F.col("r.modified").cast("double").alias("mtime"))
+    return listing, rows.where(F.col("__at").isNull()).drop("__path", "__at")
 
 
 def scoped(df: DataFrame, roots: DataFrame, category: str | None = None) -> DataFrame:

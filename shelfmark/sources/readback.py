@@ -1,24 +1,18 @@
-"""Reading the canonical state back: child rows under their parents, and report files."""
+"""Reading the canonical state back: child rows beside their parents, and report files."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGE = 1000
+def child_rows(parents: DataFrame, children: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """Parents with their children as rows, one per child and one for a parent without any.
 
-
-def child_pages(children: DataFrame, parent: str, order: str, fields: list[str], out: str, page_size: int = PAGE) -> DataFrame:
-    """Ordered children of each parent as arrays of at most ``page_size``.
-
-    ``order`` numbers the children of a parent without repeats, so the page of a child is
-    known from its own row and a parent with very many children spreads over many groups.
-    Ordinary parents have page 0 only.
+    ``order`` numbers the children of a parent; sort by it where order matters. Nothing is gathered by parent, so a
+    parent may have any number of children, and a short list of parents meets the children without grouping them.
     """
-    return (
-        children.groupBy(parent, F.floor(F.col(order) / page_size).cast("long").alias("page"))
-        .agg(F.sort_array(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias(out))
-    )
+    own = children.select(key, *dict.fromkeys([order, *fields]))
+    return parents.join(own, key, "left")
 
 
 def metadata_state() -> Column:
@@ -30,26 +24,15 @@ def metadata_state() -> Column:
     )
 
 
-def track_pages(tracks: DataFrame, fields: list[str], page_size: int = PAGE) -> DataFrame:
-    """Flat tracks (media_file_id, kind, track_index, ...) as three arrays per file and page."""
-    entry = F.struct("track_index", *fields)
-
-    def of(kind):
-        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, entry))).alias(f"{kind}_tracks")
-
-    page = F.floor(F.col("track_index") / page_size).cast("long").alias("track_page")
-    return tracks.groupBy("media_file_id", page).agg(of("video"), of("audio"), of("subtitle"))
-
-
 def canonical_files(files: DataFrame, tracks: DataFrame | None = None, fields: list[str] = ()) -> DataFrame:
-    """ACTIVE files with their metadata state and, from a flat track table, track arrays.
+    """ACTIVE files with their metadata state and, from a flat track table, a row per track.
 
     A state table that nests tracks on the file row needs no ``tracks`` and no join.
     """
     active = files.where(F.col("state") == "ACTIVE").withColumn("metadata_state", metadata_state())
     if tracks is None:
         return active
-    return active.join(track_pages(tracks, list(fields)), "media_file_id", "left")
+    return child_rows(active, tracks, "media_file_id", "track_index", ["kind", *fields])
 
 
 def report_totals(files: DataFrame) -> DataFrame:

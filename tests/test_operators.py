@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import checks, execution, findings, identity, ingest, inventory, linkage, naming, reconcile
-from shelfmark.sources import listing, probe
+from shelfmark.sources import listing, probe, readback
 
 TS = "2024-01-01 00:00:00"
 
@@ -51,16 +51,14 @@ def test_episode_names(spark):
     assert got[1].episode_title == "Pilot" and got[8].parsed_year == 1999
 
 
-def test_listing_of_a_folder(spark, tmp_path):
-    for name in ("a/Film.mkv", "b.MP4", ".hidden/x.mkv", "@eaDir/y.mkv", "~tmp.mkv", "notes.txt"):
-        path = tmp_path / name
-        path.parent.mkdir(exist_ok=True)
-        path.write_bytes(b"12345")
-    files, roots = listing.scan_categories(spark, {"movies": str(tmp_path), "tv": str(tmp_path / "absent")})
-    assert {(r.relative_path, r.extension, r.layout, r.size_bytes) for r in files.collect()} == {
-        ("a/Film.mkv", ".mkv", "movie_folder", 5), ("b.MP4", ".mp4", "movie_flat", 5)}
-    assert {r.category: r.exists for r in roots.collect()} == {"movies": True, "tv": False}
-    assert files.first().absolute_path.startswith(str(tmp_path))
+def test_paths_are_placed_under_their_roots(spark):
+    rows = [("file:///tmp/lib/sub/LongFilmName.mkv", 5, 1.0), ("/tmp/lib/Empty.mkv", 0, 1.0), ("file:/tmp/lib/_private.mkv", 3, 1.0), ("/tmp/lib/_private.mkv", 4, 2.0),
+            ("/tmp/library/No.mkv", 1, 1.0), ("/tmp/lib/tv/100%.mkv", 1, 1.0), ("s3a://box/films/A.mkv", 1, 1.0), ("s3a://other/films/A.mkv", 1, 1.0), (None, 1, 1.0)]
+    found, other = listing.place_paths(spark.createDataFrame(rows, "path string, length long, modified double"),
+                                       {"movies": "file:/tmp/lib/", "tv": "/tmp/lib/tv", "bucket": "s3a://box/films/"})
+    assert {(r.category, r.relative_path, r.size_bytes) for r in found.collect()} == {
+        ("movies", "sub/LongFilmName.mkv", 5), ("movies", "Empty.mkv", 0), ("movies", "_private.mkv", 4), ("tv", "100%.mkv", 1), ("bucket", "A.mkv", 1)}
+    assert {r.path for r in other.collect()} == {"/tmp/library/No.mkv", "s3a://other/films/A.mkv", None}
 
 
 def test_probe_payloads(spark):
@@ -131,20 +129,16 @@ def test_relocation_keeps_the_file(spark):
     assert (event.change_type, event.previous_absolute_path, [d.field for d in event.details]) == ("UPDATED", "/a", ["library_id", "absolute_path"])
 
 
-def test_versions_and_failed_runs(spark, tmp_path):
-    root = str(tmp_path)
-    libraries = spark.createDataFrame([(1, "movies", True)], "library_id long, category string, exists boolean")
-    assert inventory.current_version(spark, root) is None
-    assert inventory.persist_scan(spark, root, listed(spark, [("/a", 1, 10, None, 1)]), libraries, ts()) == 1
-    broken = listed(spark, [("/b", 1, 10, None, 1)]).withColumn("size_bytes", F.raise_error(F.lit("bad disk")).cast("long"))
-    with pytest.raises(Exception, match="bad disk"):
-        inventory.persist_scan(spark, root, broken, libraries, ts())
-    assert {r.scan_run_id: r.status for r in inventory.read_runs(spark, root).collect()} == {1: "COMPLETE", 2: "FAILED"}
-    assert [r.absolute_path for r in inventory.read_state(spark, root).collect()] == ["/a"]
-    assert inventory.persist_scan(spark, root, listed(spark, [("/a", 1, 10, None, 1), ("/b", 1, 5, None, 0)]), libraries, ts()) == 3
-    done = {r.scan_run_id: r for r in inventory.read_runs(spark, root).collect()}[3]
-    assert (done.file_count, done.total_size_bytes, done.added_count, done.updated_count) == (2, 15, 1, 0)
-    assert inventory.read_changes(spark, root).where("scan_run_id = 3").count() == 1
+def test_a_scan_counts_nested_roots_once(spark):
+    libraries = spark.createDataFrame([(1, "movies", True), (2, "tv", True), (3, "gone", False)], "library_id long, category string, exists boolean")
+    state = spark.createDataFrame([], schemas.FILE_STATE)
+    done = inventory.scan(state, listed(spark, [("/a", 1, 10, None, 1), ("/a", 2, 11, None, 1), ("/b", 1, 5, None, 0), ("/c", 3, 5, None, 0)]), libraries, 1, ts())
+    assert {(r.absolute_path, r.library_id) for r in inventory.next_state(done).collect()} == {("/a", 2), ("/b", 1)}
+    run = inventory.run_row(done, 1, ts(), scope_category="movies").first()
+    assert (run.file_count, run.total_size_bytes, run.added_count, run.updated_count, run.scan_scope) == (2, 16, 2, 0, "CATEGORY")
+    assert inventory.duplicate_ids(done).count() == 0
+    twice = done.select("absolute_path", F.struct(F.lit(7).alias("media_file_id")).alias("next"))
+    assert inventory.duplicate_ids(twice).first().row_count == 2
 
 
 # --- findings -------------------------------------------------------------------------
@@ -185,13 +179,14 @@ def test_findings_lifecycle(spark):
 
 # --- linkage --------------------------------------------------------------------------
 
-def test_title_pages_equal_brute_force(spark):
+def test_title_results_equal_brute_force(spark):
     rng = random.Random(7)
     movies = [(i, rng.choice(["Hot", "Hot", "Hot", "Cold", "Rare"]), rng.choice([None, None, "The Hot"]), rng.choice([None, *range(1990, 2000)]), rng.choice([None, *map(float, range(6))])) for i in range(600)]
     frame = spark.createDataFrame([(*m, None) for m in movies], "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
     queries = [("hot", 1995), ("hot", None), ("cold", 1990), ("rare", 2050), ("hot", 2001), ("rare", None)]
-    got = {(r.block, r.year): [x.provider_id for x in r.results] for r in linkage.title_pages(
-        spark.createDataFrame(queries, "block string, year int"), frame, page=5).collect()}
+    got = {}
+    for r in linkage.title_results(spark.createDataFrame([*queries, ("", 1990)], "block string, year int"), frame).orderBy("position").collect():
+        got.setdefault((r.block, r.year), []).append(r.movie.provider_id)
 
     def score(year, release):
         if year is None:
@@ -201,7 +196,28 @@ def test_title_pages_equal_brute_force(spark):
     for block, year in queries:
         hits = [m for m in movies if block in {m[1].lower(), (m[2] or "").lower().removeprefix("the ")}]
         hits.sort(key=lambda m: (-score(year, m[3]), -(m[4] or 0.0), m[0]))
-        assert got[(block, year)] == [m[0] for m in hits[:5]]
+        assert got[(block, year)] == [m[0] for m in hits]
+    assert set(got) == set(queries)
+
+
+def test_best_two_equal_all_matches(spark):
+    rng = random.Random(5)
+    movies = spark.createDataFrame([(i, rng.choice(["Hot", "Cold"]), None, rng.choice([None, 1999, 2000]), rng.choice([None, 1.0, 2.0]), rng.choice([None, 5000, 6000])) for i in range(80)],
+                                   "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
+    candidates = spark.createDataFrame([(i, "MOVIE", rng.choice(["hot", "Cold!", "???", None]), rng.choice([None, 1999, 2001]), rng.choice([None, 5000.0, 6100.0])) for i in range(60)],
+                                       "media_file_id long, candidate_type string, parsed_title string, parsed_year int, local_seconds double")
+    rows = linkage.movie_match_rows(candidates, movies)
+    best = {r.media_file_id: (r.result_count, [m.provider_id for m in r.matches]) for r in linkage.match_movies(candidates, movies).collect()}
+    every = {r.media_file_id: (r.result_count, [m.provider_id for m in r.matches]) for r in linkage.with_best(candidates, rows).collect()}
+    assert best == every and len(best) == 60 and max(n for n, _ in best.values()) > 20
+
+
+def test_no_given_hit_is_lost(spark):
+    pairs = spark.createDataFrame([(1, "MOVIE", "Film", 1999, 5000.0, i, i, f"Film {i}", None, 1999, None, 5000) for i in range(30)],
+                                  "media_file_id long, candidate_type string, parsed_title string, parsed_year int, local_seconds double, position int, provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
+    rows = linkage.match_movie_pairs(pairs).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 31))
+    assert sum(r.match.runtime_score is not None for r in rows) == 3
 
 
 @pytest.mark.parametrize("top, second, year, want", [
@@ -219,6 +235,47 @@ def test_specials_never_resolve(spark):
     assert [r.status for r in linkage.decide(df, "EPISODE").collect()] == ["RESOLVED", "REVIEW_REQUIRED"]
 
 
+# --- decision logs --------------------------------------------------------------------
+
+def _log(spark, rows, ddl):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{ddl}, decided_at string, decision_id int").withColumn("decided_at", F.col("decided_at").cast("timestamp"))
+
+
+def test_first_approval_counts(spark):
+    plans = spark.createDataFrame([(1, "READY_FOR_REVIEW", None, None, None), (2, "BLOCKED", None, None, None)],
+                                  "plan_id long, status string, approved_at timestamp, approved_by string, updated_at timestamp")
+    log = _log(spark, [(1, "second", "2024-01-02"), (1, "first", "2024-01-01"), (2, "x", "2024-01-01"), (9, "x", "2024-01-01"), (None, "x", "2024-01-01"), (1, "x", None)], "plan_id long, decided_by string")
+    done, rejects = ingest.approve(plans, log, ts())
+    assert {r.plan_id: (r.status, r.approved_by) for r in done.collect()} == {1: ("APPROVED", "first"), 2: ("BLOCKED", None)}
+    assert {r.decision_id: r.reject_reason for r in rejects.collect()} == {
+        0: "plan is APPROVED, not READY_FOR_REVIEW", 2: "plan is BLOCKED, not READY_FOR_REVIEW", 3: "no such plan", 4: "no key or time", 5: "no key or time"}
+
+
+def test_an_invalid_review_takes_nothing_back(spark):
+    attempts = spark.createDataFrame([(1, "REVIEW_REQUIRED", None), (2, "REVIEW_REQUIRED", None)], "attempt_id long, status string, selected_match_id long")
+    matches = spark.createDataFrame([(1, 10), (2, 20)], "attempt_id long, match_id long")
+    log = _log(spark, [(1, "SELECT", 10, "2024-01-01"), (1, "OTHER", None, "2024-01-02"), (2, "SELECT", 999, "2024-01-01"), (2, "SELECT", 10, "2024-01-02")], "attempt_id long, action string, match_id long")
+    done, rejects = identity.review_attempts(attempts, log, matches)
+    assert {r.attempt_id: (r.status, r.selected_match_id) for r in done.collect()} == {1: ("RESOLVED", 10), 2: ("REVIEW_REQUIRED", None)}
+    assert {r.decision_id: r.reject_reason for r in rejects.collect()} == {
+        1: "unknown action", 2: "the match is not one of the attempt", 3: "the match is not one of the attempt"}
+
+
+def test_override_entries_without_place_are_rejects(spark):
+    log = spark.createDataFrame([(None, 1, "2024-01-01"), (5, 2, None), (5, 3, "2024-01-01")], "media_file_id long, entry_id long, t string").select(
+        "media_file_id", "entry_id", F.col("t").cast("timestamp").alias("entry_at"), F.lit("CREATE").alias("action"), F.lit("MOVIE").alias("candidate_type"), F.lit("T").alias("title"),
+        F.lit(1).alias("year"), F.lit(None).cast("string").alias("series_title"), F.lit(None).cast("int").alias("season_number"), F.lit(None).cast("array<int>").alias("episode_numbers"), F.lit(None).cast("string").alias("episode_title"))
+    history, rejects = identity.override_history(log)
+    assert [r.override_id for r in history.collect()] == [3] and {r.entry_id for r in rejects.collect()} == {1, 2}
+
+
+def test_report_files(spark, tmp_path):
+    files = spark.createDataFrame([("movies", "a", 5), ("movies", "b", None), ("tv", "c", 7)], "category string, relative_path string, size_bytes long")
+    readback.write_report(files, str(tmp_path / "r"))
+    assert {(r.category, r.relative_path) for r in spark.read.json(str(tmp_path / "r/files")).collect()} == {("movies", "a"), ("movies", "b"), ("tv", "c")}
+    assert {(r.category, r.file_count, r.total_size_bytes) for r in spark.read.json(str(tmp_path / "r/totals")).collect()} == {("movies", 2, 5), ("tv", 1, 7)}
+
+
 # --- histories, plans, events ---------------------------------------------------------
 
 def test_next_time_equals_a_plain_sort(spark):

@@ -12,8 +12,6 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.session import spread
-
 RUN_TS = "TIMESTAMP '2024-02-01 00:00:00'"
 
 INPUTS: dict[str, str] = {
@@ -196,6 +194,11 @@ SELECT m.media_file_id, m.category,
   || CASE m.media_file_id % 31 WHEN 1 THEN upper(regexp_extract(m.relative_path, '[^/]+$', 0)) WHEN 2 THEN replace(regexp_extract(m.relative_path, '[^/]+$', 0), '.', '') ELSE regexp_extract(m.relative_path, '[^/]+$', 0) END AS relative_path,
   m.size_bytes
 FROM {media} m""",
+    # Absolute paths as a store lists them: with and without a scheme, some twice, some below no root.
+    "paths": """
+SELECT CASE media_file_id % 3 WHEN 0 THEN 'file:///nas/' WHEN 1 THEN '/nas/' ELSE 'file:/nas/' END || category || CASE WHEN media_file_id % 4 = 0 THEN '/deep/' ELSE '/' END
+  || CASE WHEN media_file_id % 5 = 0 THEN '_' ELSE '' END || relative_path AS path, CASE WHEN media_file_id % 7 = 0 THEN 0 ELSE size_bytes END AS length, CAST(media_file_id AS DOUBLE) AS modified
+FROM {media}""",
     "payloads": """
 SELECT o_orderkey AS media_file_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'not json' WHEN o_orderkey % 19 = 0 THEN '{{"media":null}}'
   WHEN o_orderkey % 7 = 0 THEN '{{"media":{{"track":{{"@type":"General","Format":" Matroska ","Duration":"' || CAST(o_orderkey AS STRING) || '.5"}}}}}}'
@@ -236,7 +239,7 @@ SELECT event_id AS entry_id, user_id AS media_file_id, CAST(ts AS TIMESTAMP) AS
   CAST(NULL AS STRING) AS episode_title
 FROM {events}""",
     "decisions": """
-SELECT event_id AS decision_id, CAST(ts AS TIMESTAMP) AS decided_at, user_id AS key_id, event_type, 'reviewer' AS decided_by
+SELECT event_id AS decision_id, CAST(ts AS TIMESTAMP) AS decided_at, user_id AS key_id, event_type, 'reviewer' || CAST(event_id % 5 AS STRING) AS decided_by
 FROM {events}""",
     "transfer_events": """
 SELECT user_id AS plan_id, event_id AS seq,
@@ -259,8 +262,8 @@ def needs(sql: str) -> list[str]:
 class Catalog:
     """Inputs of one run as DataFrames, each built once."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, heavy: bool = False):
-        self.spark, self.sf_dir, self._heavy, self._built = spark, sf_dir, heavy, {}
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self._built = spark, sf_dir, {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -270,8 +273,7 @@ class Catalog:
         return self._built[name]
 
     def _table(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(table) if self._heavy and name in ("orders", "lineitem") else table
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text.replace('"exists"', "`exists`"), **{n: getattr(self, n) for n in needs(text)})

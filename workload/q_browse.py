@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import findings as rules
 from shelfmark.operators import inventory, linkage, reconcile
 from shelfmark.plans import browse, stats
+from shelfmark.sources import readback
 from workload.registry import PARTS, query
 
 _FILE = "media_file_id, category, relative_path, state, layout, media_info_error"
@@ -117,19 +118,14 @@ def _(c):
         "media_file_id", "category", "candidate_type", "parsed_series_title")
 
 
-def _match_text():
-    return F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["rank"].cast("string"), m["provider_id"].cast("string"))), ",")
-
-
 @query("p08_list_attempts", """
-SELECT a.attempt_id, a.status, f.category, f.absolute_path, m.matches FROM {attempts} a LEFT JOIN {files} f ON f.media_file_id = a.media_file_id
-LEFT JOIN (SELECT attempt_id, string_agg(rank || ':' || provider_id, ',' ORDER BY rank) AS matches FROM {matches} GROUP BY attempt_id) m ON m.attempt_id = a.attempt_id
-WHERE a.status = 'REVIEW_REQUIRED'
+SELECT a.attempt_id, a.status, f.category, f.absolute_path, m.rank, m.provider_id FROM {attempts} a LEFT JOIN {files} f ON f.media_file_id = a.media_file_id
+LEFT JOIN {matches} m ON m.attempt_id = a.attempt_id WHERE a.status = 'REVIEW_REQUIRED'
 """)
 def _(c):
     listed = browse.list_attempts(c.attempts, c.files, status="REVIEW_REQUIRED")
-    nested = browse.with_children(listed, c.matches, "attempt_id", "rank", ["provider_id"], "matches")
-    return nested.select("attempt_id", "status", "category", "absolute_path", _match_text().alias("matches"))
+    return readback.child_rows(listed, c.matches, "attempt_id", "rank", ["provider_id"]).select(
+        "attempt_id", "status", "category", "absolute_path", "rank", "provider_id")
 
 
 @query("p08_newest_attempts", """
@@ -152,15 +148,13 @@ def _(c):
 
 
 @query("p10_list_executions", """
-SELECT e.execution_id, e.plan_id, e.status, s.steps FROM {executions} e
-LEFT JOIN (SELECT execution_id, string_agg(step_order || ':' || step_status, ',' ORDER BY step_order) AS steps FROM {steps} GROUP BY execution_id) s ON s.execution_id = e.execution_id
+SELECT e.execution_id, e.plan_id, e.status, s.step_order, s.step_status FROM {executions} e LEFT JOIN {steps} s ON s.execution_id = e.execution_id
 WHERE e.recovery_status = 'PARTIAL_DESTINATION_SOURCE_INTACT'
 """)
 def _(c):
     listed = browse.list_executions(c.executions, recovery_status="PARTIAL_DESTINATION_SOURCE_INTACT")
-    nested = browse.with_children(listed, c.steps, "execution_id", "step_order", ["step_status"], "steps")
-    text = F.array_join(F.transform("steps", lambda s: F.concat_ws(":", s["step_order"].cast("string"), s["step_status"])), ",")
-    return nested.select("execution_id", "plan_id", "status", text.alias("steps"))
+    return readback.child_rows(listed, c.steps, "execution_id", "step_order", ["step_status"]).select(
+        "execution_id", "plan_id", "status", "step_order", "step_status")
 
 
 @query("p10_latest_execution", """
@@ -225,14 +219,13 @@ def _(c):
     return both.select("media_file_id", outcome.alias("outcome"))
 
 
+# Attempts folded to a few parents, so that some have over 1,000 children.
 @query("j08_ordered_children", """
-SELECT attempt_id, string_agg(rank || ':' || provider_id, ',' ORDER BY rank) AS matches, count(*) AS n FROM {matches} GROUP BY attempt_id
+SELECT p.parent_id, m.match_id, m.provider_id FROM (SELECT range AS parent_id FROM range(8)) p LEFT JOIN {matches} m ON m.attempt_id % 5 = p.parent_id
 """)
 def _(c):
-    from shelfmark.sources.readback import child_pages
-
-    return child_pages(c.matches, "attempt_id", "rank", ["provider_id"], "matches").select(
-        "attempt_id", _match_text().alias("matches"), F.size("matches").cast("long").alias("n"))
+    children = c.matches.withColumn("parent_id", F.col("attempt_id") % 5)
+    return readback.child_rows(c.spark.range(8).toDF("parent_id"), children, "parent_id", "match_id", ["provider_id"])
 
 
 # --- statistics -----------------------------------------------------------------------

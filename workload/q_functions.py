@@ -118,7 +118,7 @@ def _(c):
 
 @query("f08_release_text", """
 SELECT row_id, title, year, year_match, edition, part_number, array_to_string(removed_tokens, '|') AS removed_tokens FROM {released}
-""", heavy=True)
+""")
 def _(c):
     df = release.clean_release(_stems(c), "raw", "r")
     return df.select("row_id", *[F.col(f"r_{n}").alias(n) for n in ("title", "year", "year_match", "edition", "part_number")],
@@ -226,7 +226,7 @@ SELECT a, b, CASE WHEN a = b THEN 1.0e0 ELSE 2.0e0 * CAST(matched AS DOUBLE) / (
 @query("f15_title_similarity", f"""
 SELECT h.media_file_id, h.provider_id, round(r.ratio, 6) AS similarity FROM {{hits}} h
 JOIN {{ratios}} r ON r.a = {FOLD.format('h.parsed_title')} AND r.b = {FOLD.format('h.title')}
-""", heavy=True)
+""")
 def _(c):
     return titles.with_similarity(c.hits, "parsed_title", "title", "similarity").select(
         "media_file_id", "provider_id", F.round("similarity", 6).alias("similarity"))

@@ -44,43 +44,51 @@ def _(c):
     return _assigned(c).select("media_file_id", "identity_id", "confidence", "status", "outcome")
 
 
-# The last event of a user decides on the attempt or assignment of that number.
-PARTS["last_decisions"] = """
-SELECT key_id, event_type, decision_id, decided_at FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY decided_at DESC, decision_id DESC) AS n FROM {decisions}) WHERE n = 1"""
+# Events of a user are decisions on the attempt, assignment or plan of that number; every one is checked by itself.
+PARTS["reviews"] = """
+SELECT d.decision_id, d.decided_at, d.key_id * 3 AS attempt_id, a.attempt_id IS NOT NULL AS known,
+  CASE d.event_type WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'REJECT' WHEN 'error' THEN 'SELECT' ELSE 'OTHER' END AS action,
+  CASE WHEN d.event_type = 'click' THEN d.key_id * 300 + 2 + CASE WHEN d.decision_id % 7 = 0 THEN 50 ELSE 0 END END AS match_id,
+  EXISTS (SELECT 1 FROM {matches} m WHERE m.attempt_id = d.key_id * 3 AND d.event_type = 'click' AND m.match_id = d.key_id * 300 + 2 + CASE WHEN d.decision_id % 7 = 0 THEN 50 ELSE 0 END) AS own
+FROM {decisions} d LEFT JOIN {attempts} a ON a.attempt_id = d.key_id * 3"""
+PARTS["last_reviews"] = """
+SELECT attempt_id, action, match_id FROM (SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY decided_at DESC, decision_id DESC) AS n
+  FROM {reviews} WHERE known AND (action = 'REJECT' OR (action = 'SELECT' AND own))) WHERE n = 1"""
 
 
 @query("r13_review_decisions", """
-SELECT a.attempt_id, CASE d.event_type WHEN 'click' THEN 'RESOLVED' WHEN 'view' THEN 'NO_MATCH' ELSE a.status END AS status,
-  CASE d.event_type WHEN 'click' THEN a.attempt_id * 100 + 2 WHEN 'view' THEN NULL ELSE a.selected_match_id END AS selected_match_id
-FROM {attempts} a LEFT JOIN {last_decisions} d ON d.key_id * 3 = a.attempt_id
+SELECT a.attempt_id, CASE d.action WHEN 'SELECT' THEN 'RESOLVED' WHEN 'REJECT' THEN 'NO_MATCH' ELSE a.status END AS status,
+  CASE d.action WHEN 'SELECT' THEN d.match_id WHEN 'REJECT' THEN NULL ELSE a.selected_match_id END AS selected_match_id
+FROM {attempts} a LEFT JOIN {last_reviews} d ON d.attempt_id = a.attempt_id
 """)
 def _(c):
-    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c))
+    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c), c.matches)
     return reviewed.select("attempt_id", "status", "selected_match_id")
 
 
 def _reviews(c):
     action = F.expr("CASE event_type WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'REJECT' WHEN 'error' THEN 'SELECT' ELSE 'OTHER' END")
     return c.decisions.select(
-        (F.col("key_id") * 3).alias("attempt_id"), action.alias("action"), F.expr("CASE WHEN event_type = 'click' THEN key_id * 300 + 2 END").alias("match_id"),
+        (F.col("key_id") * 3).alias("attempt_id"), action.alias("action"),
+        F.expr("CASE WHEN event_type = 'click' THEN key_id * 300 + 2 + CASE WHEN decision_id % 7 = 0 THEN 50 ELSE 0 END END").alias("match_id"),
         "decided_at", "decision_id")
 
 
 @query("r13_review_rejects", """
-SELECT d.key_id * 3 AS attempt_id, CASE WHEN a.attempt_id IS NULL THEN 'no such attempt' WHEN d.event_type = 'error' THEN 'no match named' ELSE 'unknown action' END AS reject_reason
-FROM {last_decisions} d LEFT JOIN {attempts} a ON a.attempt_id = d.key_id * 3 WHERE a.attempt_id IS NULL OR d.event_type NOT IN ('click', 'view')
+SELECT decision_id, attempt_id, CASE WHEN NOT known THEN 'no such attempt' WHEN action = 'OTHER' THEN 'unknown action' WHEN match_id IS NULL THEN 'no match named' ELSE 'the match is not one of the attempt' END AS reject_reason
+FROM {reviews} WHERE NOT known OR action = 'OTHER' OR (action = 'SELECT' AND NOT own)
 """)
 def _(c):
-    return identity.review_attempts(c.attempts, _reviews(c))[1].select("attempt_id", "reject_reason")
+    return identity.review_attempts(c.attempts, _reviews(c), c.matches)[1].select("decision_id", "attempt_id", "reject_reason")
 
 
 @query("r13_reviewed_matches", """
-SELECT m.match_id, coalesce(m.match_id = CASE d.event_type WHEN 'click' THEN a.attempt_id * 100 + 2 WHEN 'view' THEN NULL ELSE a.selected_match_id END, FALSE) AS selected,
+SELECT m.match_id, coalesce(m.match_id = CASE d.action WHEN 'SELECT' THEN d.match_id WHEN 'REJECT' THEN NULL ELSE a.selected_match_id END, FALSE) AS selected,
   CASE WHEN m.score >= 0.9 THEN 'HIGH' WHEN m.score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS manual_confidence
-FROM {matches} m LEFT JOIN {attempts} a ON a.attempt_id = m.attempt_id LEFT JOIN {last_decisions} d ON d.key_id * 3 = a.attempt_id
+FROM {matches} m LEFT JOIN {attempts} a ON a.attempt_id = m.attempt_id LEFT JOIN {last_reviews} d ON d.attempt_id = a.attempt_id
 """)
 def _(c):
-    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c))
+    reviewed, _rejects = identity.review_attempts(c.attempts, _reviews(c), c.matches)
     return identity.review_matches(c.matches, reviewed).select("match_id", "selected", "manual_confidence")
 
 
@@ -89,26 +97,63 @@ def _on_assignments(c):
 
 
 @query("r13_revoke", """
-SELECT a.assignment_id, CASE WHEN d.key_id IS NOT NULL AND a.status = 'ACTIVE' THEN 'REVOKED' ELSE a.status END AS status FROM {assignments} a LEFT JOIN {last_decisions} d ON d.key_id * 10 = a.assignment_id
+SELECT a.assignment_id, CASE WHEN d.key_id IS NOT NULL AND a.status = 'ACTIVE' THEN 'REVOKED' ELSE a.status END AS status
+FROM {assignments} a LEFT JOIN (SELECT DISTINCT key_id FROM {decisions}) d ON d.key_id * 10 = a.assignment_id
 """)
 def _(c):
     return identity.revoke(c.assignments, _on_assignments(c), run_ts())[0].select("assignment_id", "status")
 
 
+PARTS["first_decisions"] = """
+SELECT key_id, decision_id, decided_by FROM (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY decided_at, decision_id) AS n FROM {decisions}) WHERE n = 1"""
+_UNCONFIRMABLE = "CASE WHEN a.assignment_id IS NULL THEN 'no such assignment' WHEN a.status <> 'ACTIVE' THEN 'assignment is ' || a.status || ', not ACTIVE' WHEN a.assignment_method <> 'MANUAL' THEN 'assignment was made automatically; nothing to confirm' END"
+
+
 @query("r13_confirm", """
-SELECT a.assignment_id, CASE WHEN a.confirmed_by IS NULL AND d.key_id IS NOT NULL AND a.status = 'ACTIVE' AND a.assignment_method = 'MANUAL' THEN 'reviewer' ELSE a.confirmed_by END AS confirmed_by
-FROM {assignments} a LEFT JOIN {last_decisions} d ON d.key_id * 10 = a.assignment_id
+SELECT a.assignment_id, CASE WHEN a.confirmed_by IS NULL AND a.status = 'ACTIVE' AND a.assignment_method = 'MANUAL' THEN d.decided_by ELSE a.confirmed_by END AS confirmed_by
+FROM {assignments} a LEFT JOIN {first_decisions} d ON d.key_id * 10 = a.assignment_id
 """)
 def _(c):
     return identity.confirm(c.assignments, _on_assignments(c), run_ts())[0].select("assignment_id", "confirmed_by")
 
 
-@query("r13_confirm_rejects", """
-SELECT d.key_id * 10 AS assignment_id, CASE WHEN a.assignment_id IS NULL THEN 'no such assignment' WHEN a.status <> 'ACTIVE' THEN 'assignment is ' || a.status || ', not ACTIVE' ELSE 'assignment was made automatically; nothing to confirm' END AS reject_reason
-FROM {last_decisions} d LEFT JOIN {assignments} a ON d.key_id * 10 = a.assignment_id WHERE a.assignment_id IS NULL OR a.status <> 'ACTIVE' OR a.assignment_method <> 'MANUAL'
+@query("r13_confirm_rejects", f"""
+SELECT decision_id, assignment_id, reject_reason FROM (SELECT d.decision_id, d.key_id * 10 AS assignment_id, {_UNCONFIRMABLE} AS reject_reason
+  FROM {{decisions}} d LEFT JOIN {{assignments}} a ON d.key_id * 10 = a.assignment_id) WHERE reject_reason IS NOT NULL
 """)
 def _(c):
-    return identity.confirm(c.assignments, _on_assignments(c), run_ts())[1].select("assignment_id", "reject_reason")
+    return identity.confirm(c.assignments, _on_assignments(c), run_ts())[1].select("decision_id", "assignment_id", "reject_reason")
+
+
+# Plans made against an assignment that has been replaced since, and plans without one.
+PARTS["bound_plans"] = """
+SELECT plan_id, media_file_id, CASE WHEN plan_id % 17 = 0 THEN NULL WHEN plan_id % 13 = 0 THEN assignment_id + 1 ELSE assignment_id END AS assignment_id FROM {plans}"""
+PARTS["plan_confirms"] = f"""
+SELECT d.decision_id, d.decided_at, d.decided_by, d.key_id + 1 AS plan_id, p.assignment_id AS bound_id,
+  CASE WHEN p.plan_id IS NULL THEN 'no such plan' WHEN p.assignment_id IS NULL THEN 'plan has no resolved identity assignment to confirm'
+    WHEN c.assignment_id IS DISTINCT FROM p.assignment_id THEN 'the plan''s assignment is no longer the current one of its file' ELSE {_UNCONFIRMABLE} END AS reject_reason
+FROM {{decisions}} d LEFT JOIN {{bound_plans}} p ON p.plan_id = d.key_id + 1 LEFT JOIN {{assignments}} c ON c.media_file_id = p.media_file_id AND c.status = 'ACTIVE'
+LEFT JOIN {{assignments}} a ON a.assignment_id = p.assignment_id"""
+
+
+def _by_plan(c):
+    bound = c.plans.select("plan_id", "media_file_id", F.expr(
+        "CASE WHEN plan_id % 17 = 0 THEN NULL WHEN plan_id % 13 = 0 THEN assignment_id + 1 ELSE assignment_id END").alias("assignment_id"))
+    asked = c.decisions.select((F.col("key_id") + 1).alias("plan_id"), "decided_by", "decided_at", "decision_id")
+    return identity.confirm_by_plan(c.assignments, bound, asked, run_ts())
+
+
+@query("r13_confirm_by_plan", """
+SELECT a.assignment_id, CASE WHEN a.confirmed_by IS NULL THEN d.decided_by ELSE a.confirmed_by END AS confirmed_by FROM {assignments} a
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY bound_id ORDER BY decided_at, decision_id) AS n FROM {plan_confirms} WHERE reject_reason IS NULL) d ON d.bound_id = a.assignment_id AND d.n = 1
+""")
+def _(c):
+    return _by_plan(c)[0].select("assignment_id", "confirmed_by")
+
+
+@query("r13_confirm_by_plan_rejects", "SELECT decision_id, plan_id, reject_reason FROM {plan_confirms} WHERE reject_reason IS NOT NULL")
+def _(c):
+    return _by_plan(c)[1].select("decision_id", "plan_id", "reject_reason")
 
 
 PARTS["override_rows"] = """

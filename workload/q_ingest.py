@@ -140,7 +140,7 @@ FROM (SELECT media_file_id, verification_status, dir, fn, len(gate) = 0 AS clear
 SELECT media_file_id, status, verification_status, CASE WHEN clear THEN dir END AS destination_directory, CASE WHEN clear THEN fn END AS destination_filename, array_to_string(list_concat(blocks, reviews), '; ') AS blocking_reasons,
   CASE status WHEN 'BLOCKED' THEN 'Blocked: ' || array_to_string(blocks, '; ') WHEN 'REVIEW_REQUIRED' THEN 'Review required: ' || array_to_string(reviews, '; ') ELSE 'Ready for review; no blocking issues found.' END AS summary
 FROM {generated}
-""", heavy=True)
+""")
 def _(c):
     return _generated(c).select("media_file_id", "status", "verification_status", "destination_directory", "destination_filename",
                                 F.array_join("blocking_reasons", "; ").alias("blocking_reasons"), "summary")
@@ -148,7 +148,7 @@ def _(c):
 
 @query("g16_plan_actions", """
 SELECT media_file_id, CASE WHEN clear AND dir IS NOT NULL THEN 'VALIDATE_SOURCE|VERIFY_MEDIA|CREATE_DIRECTORY|MOVE|REFRESH_INVENTORY|REQUEST_PLEX_REFRESH' ELSE 'VALIDATE_SOURCE|VERIFY_MEDIA' END AS actions FROM {generated}
-""", heavy=True)
+""")
 def _(c):
     return _generated(c).select("media_file_id", F.array_join(F.transform("actions", lambda a: a["action_type"]), "|").alias("actions"))
 
@@ -193,21 +193,24 @@ def _approvals(c):
 
 
 @query("r16_approve", """
-SELECT p.plan_id, CASE WHEN d.key_id IS NOT NULL AND p.status = 'READY_FOR_REVIEW' THEN 'APPROVED' ELSE p.status END AS status, CASE WHEN d.key_id IS NOT NULL AND p.status = 'READY_FOR_REVIEW' THEN 'reviewer' END AS approved_by
-FROM {plans} p LEFT JOIN {last_decisions} d ON d.key_id + 1 = p.plan_id
+SELECT p.plan_id, CASE WHEN d.key_id IS NOT NULL AND p.status = 'READY_FOR_REVIEW' THEN 'APPROVED' ELSE p.status END AS status, CASE WHEN p.status = 'READY_FOR_REVIEW' THEN d.decided_by END AS approved_by
+FROM {plans} p LEFT JOIN {first_decisions} d ON d.key_id + 1 = p.plan_id
 """)
 def _(c):
-    plans = c.plans.withColumns({"approved_at": F.lit(None).cast("timestamp"), "approved_by": F.lit(None).cast("string")})
-    return ingest.approve(plans, _approvals(c), run_ts())[0].select("plan_id", "status", "approved_by")
+    return ingest.approve(_unapproved(c), _approvals(c), run_ts())[0].select("plan_id", "status", "approved_by")
+
+
+def _unapproved(c):
+    return c.plans.withColumns({"approved_at": F.lit(None).cast("timestamp"), "approved_by": F.lit(None).cast("string")})
 
 
 @query("r16_approve_rejects", """
-SELECT d.key_id + 1 AS plan_id, CASE WHEN p.plan_id IS NULL THEN 'no such plan' ELSE 'plan is ' || p.status || ', not READY_FOR_REVIEW' END AS reject_reason
-FROM {last_decisions} d LEFT JOIN {plans} p ON d.key_id + 1 = p.plan_id WHERE p.plan_id IS NULL OR p.status <> 'READY_FOR_REVIEW'
+SELECT d.decision_id, d.key_id + 1 AS plan_id, CASE WHEN p.plan_id IS NULL THEN 'no such plan' WHEN p.status = 'READY_FOR_REVIEW' THEN 'plan is APPROVED, not READY_FOR_REVIEW' ELSE 'plan is ' || p.status || ', not READY_FOR_REVIEW' END AS reject_reason
+FROM {decisions} d LEFT JOIN {plans} p ON d.key_id + 1 = p.plan_id LEFT JOIN {first_decisions} f ON f.decision_id = d.decision_id
+WHERE p.plan_id IS NULL OR p.status <> 'READY_FOR_REVIEW' OR f.decision_id IS NULL
 """)
 def _(c):
-    plans = c.plans.withColumns({"approved_at": F.lit(None).cast("timestamp"), "approved_by": F.lit(None).cast("string")})
-    return ingest.approve(plans, _approvals(c), run_ts())[1].select("plan_id", "reject_reason")
+    return ingest.approve(_unapproved(c), _approvals(c), run_ts())[1].select("decision_id", "plan_id", "reject_reason")
 
 
 # --- audit ----------------------------------------------------------------------------
@@ -240,7 +243,7 @@ _IN = lambda group: "list_has_any(failed, [" + ", ".join(f"'{x}'" for x in check
 @query("g17_readiness_audit", f"""
 SELECT plan_id, CASE WHEN {_IN('BLOCKED')} THEN 'BLOCKED' WHEN {_IN('STALE')} THEN 'STALE' WHEN {_IN('INCOMPLETE')} THEN 'INCOMPLETE' ELSE 'READY_FOR_EXECUTOR' END AS readiness_status, array_to_string(failed, '|') AS failed, CAST(25 AS BIGINT) AS checks
 FROM {{audit_rows}}
-""", heavy=True)
+""")
 def _(c):
     files = c.files.where("media_file_id % 35 <> 0")
     snapshot = c.files.select("media_file_id", F.col("absolute_path").alias("source_path"), F.expr("size_bytes + CASE WHEN media_file_id % 33 = 0 THEN 1 ELSE 0 END AS source_size_bytes"), F.col("mtime").alias("source_mtime"))

@@ -31,7 +31,7 @@ FROM (SELECT c.media_file_id, c.parsed_year, c.local_seconds, m.provider_id, m.t
 PARTS["exact_matches"] = f"""
 SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, coalesce(popularity, 0) DESC, provider_id) AS rank
 FROM (SELECT *, round({_mean({'1e0': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})}, 4) AS total_score
-  FROM (SELECT *, CASE WHEN n <= 3 THEN {_runtime('local_seconds', 'runtime_seconds')} END AS rs FROM {{exact_pairs}} WHERE n <= 20))"""
+  FROM (SELECT *, CASE WHEN n <= 3 THEN {_runtime('local_seconds', 'runtime_seconds')} END AS rs FROM {{exact_pairs}}))"""
 
 
 def _movies(c):
@@ -39,13 +39,22 @@ def _movies(c):
 
 
 def _rows(df, *fields):
-    return linkage.match_rows(df).select(
-        "media_file_id", F.col("rank").cast("long").alias("rank"), *[F.col(f"match.{f}") for f in fields])
+    return df.select("media_file_id", F.col("rank").cast("long").alias("rank"), *[F.col(f"match.{f}") for f in fields])
 
 
-@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}", heavy=True)
+@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}")
 def _(c):
-    return _rows(linkage.match_movies(_movies(c), c.movies), "provider_id", "total_score")
+    return _rows(linkage.movie_match_rows(_movies(c), c.movies), "provider_id", "total_score")
+
+
+@query("j07_best_two", """
+SELECT c.media_file_id, count(e.rank) AS result_count, min(CASE WHEN e.rank = 1 THEN e.provider_id END) AS first_id, min(CASE WHEN e.rank = 2 THEN e.provider_id END) AS second_id
+FROM {candidates} c LEFT JOIN {exact_matches} e ON e.media_file_id = c.media_file_id WHERE c.candidate_type = 'MOVIE' GROUP BY c.media_file_id
+""")
+def _(c):
+    best = linkage.match_movies(_movies(c), c.movies)
+    return best.select("media_file_id", "result_count", F.get("matches", F.lit(0))["provider_id"].alias("first_id"),
+                       F.get("matches", F.lit(1))["provider_id"].alias("second_id"))
 
 
 @query("w03_preliminary_top", f"""
@@ -53,9 +62,8 @@ SELECT DISTINCT {FOLD.format('c.parsed_title')} AS block, c.parsed_year AS year,
 """)
 def _(c):
     queries = _movies(c).select(titles.fold_title(F.col("parsed_title")).alias("block"), F.col("parsed_year").alias("year"))
-    pages = linkage.title_pages(queries, c.movies)
-    return pages.select("block", "year", F.posexplode(F.slice("results", 1, linkage.DETAIL_LOOKUPS)).alias("position", "r")).select(
-        "block", "year", F.col("r.provider_id").alias("provider_id"), F.col("position").cast("long").alias("position"))
+    results = linkage.title_results(queries, c.movies).where(F.col("position") < linkage.DETAIL_LOOKUPS)
+    return results.select("block", "year", F.col("movie.provider_id").alias("provider_id"), F.col("position").cast("long").alias("position"))
 
 
 # Given search hits, titles unequal.
@@ -70,7 +78,7 @@ FROM (SELECT *, round({_mean({'ts': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})},
     FROM (SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY round({_mean({'ts': '0.5e0', 'ys': '0.35e0'})}, 4) DESC, position, provider_id) AS n FROM {{hit_scores}})))"""
 
 
-@query("w01_movie_rank", "SELECT media_file_id, rank, provider_id, total_score FROM {hit_matches}", heavy=True)
+@query("w01_movie_rank", "SELECT media_file_id, rank, provider_id, total_score FROM {hit_matches}")
 def _(c):
     return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "total_score")
 
@@ -79,7 +87,7 @@ def _(c):
 SELECT media_file_id, rank, provider_id, round(ts, 4) AS title_score, ys AS year_score, rs AS runtime_score, 1e0 AS type_score, total_score,
   CASE WHEN ts >= 0.999 THEN 'exact normalized title match' WHEN ts >= 0.8 THEN 'close title similarity' WHEN ts > 0 THEN 'weak title similarity' ELSE 'no meaningful title similarity' END AS first_reason
 FROM {hit_matches}
-""", heavy=True)
+""")
 def _(c):
     return _rows(linkage.match_movie_pairs(c.hits), "provider_id", "title_score", "year_score", "runtime_score", "type_score", "total_score", "reasons").withColumn(
         "first_reason", F.get("reasons", F.lit(0))).drop("reasons")
@@ -94,9 +102,14 @@ PARTS["movie_decisions"] = _DECIDED % ("exact_matches", "exact_matches")
 PARTS["hit_decisions"] = _DECIDED % ("hit_matches", "hit_matches") + " AND t.media_file_id IS NOT NULL"
 
 
-@query("w05_runner_up_gap", "SELECT media_file_id, top_score, gap FROM {hit_decisions}", heavy=True)
+@query("w05_runner_up_gap", "SELECT media_file_id, top_score, gap FROM {hit_decisions}")
 def _(c):
-    return linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE").select("media_file_id", "top_score", "gap")
+    return linkage.decide(_on_hits(c), "MOVIE").select("media_file_id", "top_score", "gap")
+
+
+def _on_hits(c):
+    found = c.hits.select("media_file_id").distinct()
+    return linkage.with_best(_movies(c).join(found, "media_file_id", "left_semi"), linkage.match_movie_pairs(c.hits))
 
 
 _MOVIE_WHY = """
@@ -112,14 +125,14 @@ def _decision(df):
     return df.select("media_file_id", "status", "confidence", F.array_join("decision_reasons", "; ").alias("reasons"))
 
 
-@query("g08_movie_decision", _MOVIE_WHY % "movie_decisions", heavy=True)
+@query("g08_movie_decision", _MOVIE_WHY % "movie_decisions")
 def _(c):
     return _decision(linkage.decide(linkage.match_movies(_movies(c), c.movies), "MOVIE"))
 
 
-@query("g08_movie_decision_on_hits", _MOVIE_WHY % "hit_decisions", heavy=True)
+@query("g08_movie_decision_on_hits", _MOVIE_WHY % "hit_decisions")
 def _(c):
-    return _decision(linkage.decide(linkage.match_movie_pairs(c.hits), "MOVIE"))
+    return _decision(linkage.decide(_on_hits(c), "MOVIE"))
 
 
 # --- episodes -------------------------------------------------------------------------
@@ -130,7 +143,7 @@ PARTS["episode_matches"] = f"""
 SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, series_provider_id) AS rank
 FROM (SELECT *, round({_mean({'1e0': '0.35e0', 'one': '0.4e0', 'es': '0.15e0', 'rs': '0.1e0'})}, 4) AS total_score
   FROM (SELECT c.media_file_id, c.candidate_type, s.provider_id AS series_provider_id, e.provider_id, c.season_number, c.episode_number, 1e0 AS one, r.ratio AS es, {_runtime('c.local_seconds', 'e.runtime_seconds')} AS rs
-    FROM {{candidates}} c JOIN {{short_list}} s ON s.block = {FOLD.format('c.parsed_series_title')}
+    FROM {{candidates}} c JOIN {{series}} s ON {FOLD.format('s.title')} = {FOLD.format('c.parsed_series_title')}
     JOIN {{episodes}} e ON e.series_provider_id = s.provider_id AND e.season_number = c.season_number AND e.episode_number = c.episode_number
     LEFT JOIN {{ratios}} r ON r.a = {FOLD.format('c.episode_title')} AND r.b = {FOLD.format('e.episode_title')}
     WHERE c.candidate_type IN ('EPISODE', 'SPECIAL')))"""
@@ -145,14 +158,14 @@ def _shows(c):
     return c.candidates.where(F.col("candidate_type").isin("EPISODE", "SPECIAL"))
 
 
-@query("w02_episode_rank", "SELECT media_file_id, rank, series_provider_id, provider_id FROM {episode_matches}", heavy=True)
+@query("w02_episode_rank", "SELECT media_file_id, rank, series_provider_id, provider_id FROM {episode_matches}")
 def _(c):
     return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "series_provider_id", "provider_id")
 
 
 @query("g07_episode_score", """
 SELECT media_file_id, rank, provider_id, season_number, episode_number, round(es, 4) AS episode_title_score, rs AS runtime_score, total_score FROM {episode_matches}
-""", heavy=True)
+""")
 def _(c):
     return _rows(linkage.match_episodes(_shows(c), c.series, c.episodes), "provider_id", "season_number", "episode_number",
                  "episode_title_score", "runtime_score", "total_score")
@@ -184,9 +197,10 @@ SELECT media_file_id, status, CASE status WHEN 'RESOLVED' THEN 'HIGH' WHEN 'REVI
     ELSE printf('top score %.4f is plausible but did not meet the auto-resolve bar', top_score) || CASE WHEN gap < 0.1 THEN printf('; score gap %.4f below 0.1 -- competing series/episode result', gap) ELSE '' END
       || CASE WHEN candidate_type = 'SPECIAL' THEN '; local candidate is SPECIAL/EXTRA; provider mapping requires review' ELSE '' END END AS reasons
 FROM {episode_decisions}
-""", heavy=True)
+""")
 def _(c):
-    return _decision(linkage.decide(linkage.match_episodes(_shows(c), c.series, c.episodes), "EPISODE"))
+    rows = linkage.match_episodes(_shows(c), c.series, c.episodes)
+    return _decision(linkage.decide(linkage.with_best(_shows(c), rows), "EPISODE"))
 
 
 PARTS["evaluated"] = """
@@ -202,7 +216,7 @@ def evaluated(c):
     return linkage.evaluate(c.candidates, c.movies, c.series, c.episodes, errors)
 
 
-@query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}", heavy=True)
+@query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}")
 def _(c):
     return evaluated(c).select("media_file_id", "status", "query_text", "query_year", "error_message")
 
@@ -211,11 +225,55 @@ def _(c):
 SELECT e.media_file_id, e.status, count(x.rank) AS matches, count(*) FILTER (WHERE x.rank = 1 AND e.status = 'RESOLVED') AS selected, min(CASE WHEN x.rank = 1 AND e.status = 'RESOLVED' THEN x.provider_id END) AS selected_provider_id
 FROM {evaluated} e LEFT JOIN (SELECT media_file_id, rank, provider_id FROM {exact_matches} UNION ALL SELECT media_file_id, rank, provider_id FROM {episode_matches}) x ON x.media_file_id = e.media_file_id AND e.status NOT IN ('SKIPPED', 'FAILED')
 GROUP BY e.media_file_id, e.status
-""", heavy=True)
+""")
 def _(c):
     attempts, matches = linkage.recorded(evaluated(c), run_ts())
     per = matches.groupBy("attempt_id").agg(
-        F.count(F.lit(1)).alias("matches"), F.count_if("selected").alias("selected"),
-        F.min(F.when(F.col("selected"), F.col("provider_id"))).alias("selected_provider_id"))
+        F.count_if("selected").alias("selected"), F.min(F.when(F.col("selected"), F.col("provider_id"))).alias("selected_provider_id"))
     return attempts.join(per, "attempt_id", "left").select(
-        "media_file_id", "status", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
+        "media_file_id", "status", F.col("result_count").alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
+
+
+# Series the provider returned per file, titles unequal: the best few by similarity have their episodes compared.
+_S = FOLD.format("c.parsed_series_title")
+PARTS["series_hits"] = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY ratio DESC, series_provider_id) AS series_rank FROM (
+  SELECT DISTINCT c.media_file_id, s.provider_id AS series_provider_id, r.ratio FROM {{candidates}} c JOIN {{lineitem}} l ON l.l_orderkey = c.media_file_id
+  JOIN {{series}} s ON s.provider_id = l.l_partkey OR s.provider_id = c.media_file_id % (SELECT count(*) FROM {{part}}) JOIN {{ratios}} r ON r.a = {_S} AND r.b = {FOLD.format('s.title')}
+  WHERE c.candidate_type IN ('EPISODE', 'SPECIAL'))) WHERE series_rank <= 2"""
+PARTS["hit_episodes"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, series_provider_id) AS rank
+FROM (SELECT *, round({_mean({'ratio': '0.35e0', 'one': '0.4e0', 'es': '0.15e0', 'rs': '0.1e0'})}, 4) AS total_score
+  FROM (SELECT h.media_file_id, h.series_provider_id, h.ratio, e.provider_id, 1e0 AS one, r.ratio AS es, {_runtime('c.local_seconds', 'e.runtime_seconds')} AS rs
+    FROM {{series_hits}} h JOIN {{candidates}} c ON c.media_file_id = h.media_file_id
+    JOIN {{episodes}} e ON e.series_provider_id = h.series_provider_id AND e.season_number = c.season_number AND e.episode_number = c.episode_number
+    LEFT JOIN {{ratios}} r ON r.a = {FOLD.format('c.episode_title')} AND r.b = {FOLD.format('e.episode_title')}))"""
+
+
+def _series_hits(c):
+    total = c.part.count()
+    given = c.lineitem.select(F.col("l_orderkey").alias("media_file_id"), F.col("l_partkey").alias("series_provider_id"))
+    own = given.select("media_file_id", (F.col("media_file_id") % total).alias("series_provider_id"))
+    return given.union(own).distinct().join(
+        c.series.select(F.col("provider_id").alias("series_provider_id"), F.col("title").alias("series_title")), "series_provider_id")
+
+
+@query("g07_episode_score_on_hits", "SELECT media_file_id, rank, series_provider_id, provider_id, round(ratio, 4) AS title_score, total_score FROM {hit_episodes}")
+def _(c):
+    pairs = _shows(c).where("parsed_series_title IS NOT NULL").join(_series_hits(c), "media_file_id")
+    return _rows(linkage.match_episode_pairs(pairs, c.episodes), "series_provider_id", "provider_id", "title_score", "total_score")
+
+
+@query("g10_attempts_on_hits", """
+SELECT c.media_file_id, c.candidate_id, CASE WHEN c.candidate_type IN ('UNKNOWN', 'EXTRA') THEN 0 WHEN c.candidate_type = 'MOVIE' THEN m.n ELSE coalesce(e.n, 0) END AS result_count,
+  CASE WHEN c.candidate_type = 'MOVIE' THEN m.best ELSE e.best END AS best_id
+FROM {candidates} c LEFT JOIN (SELECT media_file_id, count(*) AS n, min(CASE WHEN rank = 1 THEN provider_id END) AS best FROM {hit_matches} GROUP BY media_file_id) m ON m.media_file_id = c.media_file_id
+LEFT JOIN (SELECT media_file_id, count(*) AS n, min(CASE WHEN rank = 1 THEN provider_id END) AS best FROM {hit_episodes} GROUP BY media_file_id) e ON e.media_file_id = c.media_file_id
+WHERE c.candidate_type <> 'MOVIE' OR m.n IS NOT NULL
+""")
+def _(c):
+    given = c.hits.select("media_file_id", "position", "provider_id", "title", "original_title", "release_year", "popularity", "runtime_seconds")
+    asked = c.candidates.join(given.select("media_file_id").distinct().withColumn("__hit", F.lit(True)), "media_file_id", "left").where(
+        "candidate_type <> 'MOVIE' OR __hit").drop("__hit")
+    attempts = linkage.evaluate(asked, c.movies, c.series, c.episodes, movie_hits=given, series_hits=_series_hits(c))
+    return attempts.select("media_file_id", "candidate_id", "result_count", F.get("matches", F.lit(0))["provider_id"].alias("best_id"))

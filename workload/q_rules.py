@@ -26,7 +26,7 @@ SELECT media_file_id, library_id, r.* FROM (SELECT media_file_id, library_id, un
 ], lambda x: x IS NOT NULL)) AS r FROM {files})"""
 
 
-@query("g01_finding_rules", "SELECT media_file_id, library_id, rule_code, severity, summary, evidence_json FROM {found}", heavy=True)
+@query("g01_finding_rules", "SELECT media_file_id, library_id, rule_code, severity, summary, evidence_json FROM {found}")
 def _(c):
     return findings.evaluate(c.files).drop("recommendation")
 
@@ -63,7 +63,7 @@ SELECT media_file_id, candidate_type, confidence, title AS parsed_title, year AS
   nullif(ft, '') AS filename_title, fy AS filename_year, nullif(pt, '') AS folder_title, py AS folder_year, array_to_string(removed_tokens, '|') AS removed_tokens,
   CASE WHEN clash THEN 'title_or_year_mismatch_between_filename_and_folder' END AS conflict, CASE WHEN year IS NOT NULL THEN year_match END AS year_match
 FROM {movie_parse}
-""", heavy=True)
+""")
 def _(c):
     e = F.col("evidence.movie")
     return naming.parse(c.files.where(F.col("category").isin("movies", "kids_movies"))).select(
@@ -104,7 +104,7 @@ SELECT media_file_id, candidate_type, confidence, series AS parsed_series_title,
   CASE WHEN season = 0 THEN 'season_zero' WHEN form IS NULL THEN lower(bonus) END AS special_type, coalesce(form, CASE WHEN bonus IS NOT NULL THEN 'extra_keyword' END) AS pattern,
   coalesce(hit, bonus) AS matched_text, folder_season, CASE WHEN clash THEN 'season_mismatch_between_filename_and_season_folder' END AS conflict
 FROM {tv_parse}
-""", heavy=True)
+""")
 def _(c):
     e = F.col("evidence.tv")
     return naming.parse(c.files.where(~F.col("category").isin("movies", "kids_movies"))).select(
@@ -118,7 +118,7 @@ SELECT media_file_id, candidate_type, confidence, title AS parsed_title, year AS
 UNION ALL SELECT media_file_id, candidate_type, confidence, NULL, NULL, series, season, CAST(numbers[1] AS INT) FROM {tv_parse}"""
 
 
-@query("g04_parser_routing", "SELECT * FROM {parsed}", heavy=True)
+@query("g04_parser_routing", "SELECT * FROM {parsed}")
 def _(c):
     return naming.parse(c.files).select(
         "media_file_id", "candidate_type", "confidence", "parsed_title", "parsed_year", "parsed_series_title", "season_number", "episode_number")
@@ -129,7 +129,7 @@ SELECT f.media_file_id, CASE WHEN t.form IS NOT NULL OR t.bonus IS NOT NULL THEN
 FROM (SELECT media_file_id, raw AS stem FROM {file_texts}) f JOIN (SELECT media_file_id, year FROM {file_clean}) m USING (media_file_id)
 JOIN (SELECT media_file_id, CASE WHEN regexp_matches(stem, '(?i)S([0-9]{{1,2}})E([0-9]{{1,3}})') OR regexp_matches(stem, '(?i)(^|[^0-9])[0-9]{{1,2}}x[0-9]{{1,3}}([^0-9]|$)') THEN 1 END AS form,
   CASE WHEN regexp_matches(stem, '(?i)\\btrailer\\b') THEN 1 END AS bonus FROM {file_texts}) t USING (media_file_id)
-""", heavy=True)
+""")
 def _(c):
     loose = c.files.withColumns({"category": F.lit("incoming"), "layout": F.lit("unknown")})
     return naming.parse(loose).select("media_file_id", F.when(F.col("evidence.movie").isNotNull(), "MOVIE").otherwise("TV").alias("parser"))
@@ -147,7 +147,7 @@ UNION ALL SELECT media_file_id, CASE WHEN form IS NOT NULL THEN '{{{{' || CASE W
     || ',"folder_season":' || {_N('folder_season')} || ',"matched_text":' || {_Q('hit')} || ',"pattern":' || {_Q('form')} || ',"series_title_source":' || CASE WHEN file_title IS NOT NULL THEN '"filename"' WHEN folder_title IS NOT NULL THEN '"parent_directory"' ELSE 'null' END || '}}}}'
   WHEN bonus IS NOT NULL THEN '{{{{"matched_text":' || {_Q('bonus')} || ',"pattern":"extra_keyword"}}}}'
   ELSE '{{{{' || CASE WHEN folder_season IS NULL THEN '' ELSE '"folder_season":' || folder_season || ',' END || CASE WHEN folder_title IS NULL THEN '' ELSE '"folder_series_title":' || {_Q('folder_title')} || ',' END || '"pattern":null}}}}' END FROM {{tv_parse}}
-""", heavy=True)
+""")
 def _(c):
     return naming.parse(c.files).select("media_file_id", naming.evidence_text(F.col("evidence")).alias("evidence_json"))
 
@@ -169,7 +169,7 @@ FROM (SELECT f.*, media_info_error IS NULL AND media_info_probed_at IS NULL AS n
 
 @query("g11_verify_media", """
 SELECT media_file_id, verification_status, array_to_string(failed, '|') AS failed, array_to_string(warned, '|') AS warned FROM {verified}
-""", heavy=True)
+""")
 def _(c):
     blocking = findings.blocking_counts(c.findings)
     df = c.files.join(blocking, "media_file_id", "left").withColumn("blocking_finding_count", F.coalesce("blocking_finding_count", F.lit(0)))

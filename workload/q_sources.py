@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.plans.browse import file_records
 from shelfmark.sources import config, listing, probe, provider, readback
-from workload.registry import query, run_ts
+from workload.registry import PARTS, query, run_ts
 
 
 
@@ -26,6 +26,26 @@ def _(c):
         "media_file_id", "category", "absolute_path", "filename", "extension", "parent_directory", "size_bytes")
 
 
+_ROOTS = {"movies": "/nas/movies", "tv": "file:///nas/tv/", "deep": "/nas/tv/deep", "kids_shows": "/nas/kids_shows"}
+PARTS["placed_paths"] = """
+SELECT path, length, modified, regexp_replace(path, '^file:/+', '/') AS plain,
+  CASE WHEN regexp_replace(path, '^file:/+', '/') LIKE '/nas/tv/deep/%' THEN '/nas/tv/deep/' WHEN regexp_replace(path, '^file:/+', '/') LIKE '/nas/tv/%' THEN '/nas/tv/'
+    WHEN regexp_replace(path, '^file:/+', '/') LIKE '/nas/movies/%' THEN '/nas/movies/' WHEN regexp_replace(path, '^file:/+', '/') LIKE '/nas/kids_shows/%' THEN '/nas/kids_shows/' END AS root FROM {paths}"""
+
+
+@query("s01_place_paths", """
+SELECT CASE root WHEN '/nas/tv/deep/' THEN 'deep' ELSE replace(replace(root, '/nas/', ''), '/', '') END AS category, substr(plain, length(root) + 1) AS relative_path, arg_max(length, modified) AS size_bytes, max(modified) AS mtime
+FROM {placed_paths} WHERE root IS NOT NULL GROUP BY root, plain
+""")
+def _(c):
+    return listing.place_paths(c.paths, _ROOTS)[0].select("category", "relative_path", "size_bytes", "mtime")
+
+
+@query("s01_unplaced_paths", "SELECT path, length FROM {placed_paths} WHERE root IS NULL")
+def _(c):
+    return listing.place_paths(c.paths, _ROOTS)[1].select("path", "length")
+
+
 @query("s02_roots_with_files", """
 SELECT r.category, r.root_path, r."exists", CASE WHEN r."exists" THEN count(f.media_file_id) ELSE 0 END AS file_count,
   CAST(CASE WHEN r."exists" THEN coalesce(sum(f.size_bytes), 0) ELSE 0 END AS BIGINT) AS total_size_bytes
@@ -67,7 +87,7 @@ SELECT media_file_id, trim(json_extract_string(tracks, '$[0].Format')) AS contai
   CASE WHEN json_array_length(tracks) > 1 THEN FALSE END AS second_default,
   CASE WHEN json_array_length(tracks) > 1 THEN TRUE END AS forced
 FROM ({_PARSED}) WHERE probe_error IS NULL AND json_extract_string(tracks, '$[0]."@type"') = 'General'
-""", heavy=True)
+""")
 def _(c):
     d = probe.decode(c.payloads, "payload", "probe_error").where("video_tracks IS NOT NULL")
     video, audio, text = F.get("video_tracks", F.lit(0)), F.col("audio_tracks"), F.get("subtitle_tracks", F.lit(0))
@@ -177,18 +197,12 @@ def _(c):
 
 @query("s10_canonical_readback", """
 SELECT f.media_file_id, CASE WHEN f.media_info_error IS NOT NULL THEN 'ERROR' WHEN f.media_info_probed_at IS NOT NULL THEN 'OK' ELSE 'NOT_PROBED' END AS metadata_state,
-  t.video, t.audio, t.subtitle
-FROM {files} f LEFT JOIN (SELECT media_file_id,
-    coalesce(string_agg(CASE WHEN kind = 'video' THEN track_index || ':' || codec END, ',' ORDER BY track_index), '') AS video,
-    coalesce(string_agg(CASE WHEN kind = 'audio' THEN track_index || ':' || codec END, ',' ORDER BY track_index), '') AS audio,
-    coalesce(string_agg(CASE WHEN kind = 'subtitle' THEN track_index || ':' || codec END, ',' ORDER BY track_index), '') AS subtitle
-  FROM {tracks} GROUP BY media_file_id) t ON t.media_file_id = f.media_file_id
-WHERE f.state = 'ACTIVE'
-""")
-def _(c):
-    nested = readback.canonical_files(c.files, c.tracks, ["codec", "language"])
-    text = lambda k: F.array_join(F.transform(f"{k}_tracks", lambda t: F.concat_ws(":", t["track_index"].cast("string"), t["codec"])), ",")
-    return nested.select("media_file_id", "metadata_state", *[text(k).alias(k) for k in ("video", "audio", "subtitle")])
+  t.kind, t.track_index, t.codec
+FROM {files} f LEFT JOIN {tracks} t ON t.media_file_id = f.media_file_id WHERE f.state = 'ACTIVE'
+""")
+def _(c):
+    return readback.canonical_files(c.files, c.tracks, ["codec", "language"]).select(
+        "media_file_id", "metadata_state", "kind", "track_index", "codec")
 
 
 @query("s11_report_rows", """

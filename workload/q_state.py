@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import findings, inventory, naming, reconcile
-from shelfmark.session import checkpoint_dir
 from workload.registry import PARTS, query, run_ts
 
 SCAN = 31
@@ -65,13 +62,13 @@ FROM (SELECT *, CASE WHEN old_id IS NULL OR new_id IS NULL THEN '' ELSE array_to
 
 @query("r02_snapshot_reconcile", """
 SELECT category, change_type, count(*) AS events FROM {file_changes} WHERE change_type IS NOT NULL GROUP BY category, change_type
-""", heavy=True)
+""")
 def _(c):
     events = inventory.change_events(reconciled(c), SCAN).join(c.libraries, "library_id")
     return events.groupBy("category", "change_type").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("r02_change_events", "SELECT absolute_path, change_type, nullif(fields, '') AS fields FROM {file_changes} WHERE change_type IS NOT NULL", heavy=True)
+@query("r02_change_events", "SELECT absolute_path, change_type, nullif(fields, '') AS fields FROM {file_changes} WHERE change_type IS NOT NULL")
 def _(c):
     events = inventory.change_events(reconciled(c), SCAN)
     return events.select("absolute_path", "change_type", F.array_join(F.transform("details", lambda d: d["field"]), "|").alias("fields"))
@@ -132,19 +129,37 @@ def _(c):
     return inventory.sync_libraries(stored, configured, run_ts()).select("category", "root_path", "outcome")
 
 
-@query("r07_versioned_scans", """
-SELECT 1 AS scan_run_id, 'ADDED' AS change_type, count(*) AS events FROM {snap_old} WHERE category <> 'fitness' HAVING count(*) > 0
-UNION ALL SELECT 2, CASE WHEN o.absolute_path IS NULL THEN 'ADDED' ELSE 'MISSING' END, count(*) FROM (SELECT absolute_path FROM {snap_old} WHERE category <> 'fitness') o
-  FULL OUTER JOIN (SELECT absolute_path FROM {snap_new}) n ON n.absolute_path = o.absolute_path WHERE o.absolute_path IS NULL OR n.absolute_path IS NULL GROUP BY 2
+def _doubled(c):
+    """The listing with some files listed under a second library as well, as nested roots do."""
+    once = _listing(c).drop("media_file_id")
+    again = once.where("size_bytes % 3 = 0").withColumns({"library_id": F.col("library_id") - 1, "size_bytes": F.col("size_bytes") + 7})
+    return once.unionByName(again.where("library_id > 0"))
+
+
+def _scan(c):
+    return inventory.scan(_state(c), _doubled(c), c.libraries.withColumn("exists", F.col("category") != "fitness"), SCAN, run_ts())
+
+
+@query("r07_run_record", """
+SELECT CAST(31 AS BIGINT) AS scan_run_id, 'COMPLETE' AS status, (SELECT count(*) FROM {snap_new}) AS file_count, (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM {snap_new}) AS total_size_bytes,
+  count(*) FILTER (WHERE change_type = 'ADDED') AS added_count, count(*) FILTER (WHERE change_type = 'MISSING') AS missing_count,
+  count(*) FILTER (WHERE change_type = 'RESTORED') AS restored_count, count(*) FILTER (WHERE change_type = 'UPDATED') AS updated_count FROM {file_changes}
 """)
 def _(c):
-    spark, root = c.spark, f"{checkpoint_dir(c.spark)}/scans-{uuid.uuid4().hex}"
-    libraries = c.libraries.withColumn("exists", F.col("category") != "fitness")
-    first = _state(c).select(*[f.name for f in schemas.LISTED_FILE.fields])
-    inventory.persist_scan(spark, root, first, libraries, run_ts())
-    inventory.persist_scan(spark, root, _listing(c).drop("media_file_id"), libraries, run_ts())
-    return inventory.read_changes(spark, root).where("change_type IN ('ADDED', 'MISSING')").groupBy(
-        F.col("scan_run_id").cast("int").alias("scan_run_id"), "change_type").agg(F.count(F.lit(1)).alias("events"))
+    return inventory.run_row(_scan(c), SCAN, run_ts()).select(
+        "scan_run_id", "status", "file_count", "total_size_bytes", "added_count", "missing_count", "restored_count", "updated_count")
+
+
+@query("r02_nested_roots", """
+SELECT coalesce(o.absolute_path, n.absolute_path) AS absolute_path, coalesce(n.size_bytes, o.size_bytes) AS size_bytes FROM {snap_old} o FULL OUTER JOIN {snap_new} n ON n.absolute_path = o.absolute_path
+""")
+def _(c):
+    return inventory.next_state(_scan(c)).select("absolute_path", "size_bytes")
+
+
+@query("r02_duplicate_ids", "SELECT CAST(NULL AS BIGINT) AS media_file_id, CAST(NULL AS BIGINT) AS row_count FROM {snap_old} WHERE FALSE")
+def _(c):
+    return inventory.duplicate_ids(_scan(c))
 
 
 # --- findings and candidates ----------------------------------------------------------
@@ -169,7 +184,7 @@ def _findings_run(c):
     return findings.reconcile_findings(stored, findings.evaluate(c.files.where("media_file_id % 5 <> 0")), run_ts())
 
 
-@query("r08_findings_reconcile", "SELECT rule_code, media_file_id, outcome, status, summary FROM {finding_outcomes}", heavy=True)
+@query("r08_findings_reconcile", "SELECT rule_code, media_file_id, outcome, status, summary FROM {finding_outcomes}")
 def _(c):
     return _findings_run(c).select("rule_code", "media_file_id", "outcome", "status", "summary")
 
