@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, size: Column, limit: int = 16_000_000) -> DataFrame:
+    """A frame to join a large one with, cut first: broadcast when its measured size (the sum of `size`, bytes a row)
+    is within the limit, joined by a shuffle otherwise."""
+    df = cut(df)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit else df
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()
     return row["n"], row["h"]

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import beside
+
 REFERENCES = 8
 CERTAIN = 5
 _TOKEN = re.compile(
@@ -289,7 +291,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null and empty pages give an empty text; pages without a host are read on their own. Repeated rows give repeated
     results. Other columns are not read. The references of a host are found from its urls and ids alone; only they
-    are read twice, and a page travels with its host's wrapper, never with other pages.
+    are read twice. Where the wrappers of all hosts are within a measured size, pages stay where they are and the
+    wrappers are sent to them; beyond it a page travels with its host's wrapper, never with other pages.
     """
     url = F.col(url_col).cast("string")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.col(html_col).cast("string").alias("html"),
@@ -298,7 +301,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     turn = F.pmod("drawn", F.lit(REFERENCES))
     named = base.where("host <> ''")
     least = named.groupBy("host", turn.alias("turn")).agg(F.min("drawn").alias("drawn")).select("host", "drawn")
+    least = beside(least, F.length("host") + 32)
     chosen = named.join(least, ["host", "drawn"]).select("host", "drawn", "html").dropDuplicates(["host", "drawn"])
     wrappers = chosen.groupBy("host").applyInArrow(_induce, "host string, wrapper string")
+    wrappers = beside(wrappers, F.length("host") + F.length("wrapper") + 32)
     return base.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")
