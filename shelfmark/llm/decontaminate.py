@@ -3,7 +3,8 @@
 Test items and texts are read as lower-cased words. Every SEED-gram of an item is looked up in every text; hits that
 lie within an item's length of each other make one passage. A gram's rarity is the number of texts that hold it; an
 item's seeds are its rarer grams (up to its own median, so that every item keeps half of them even when a leak has
-made all of them frequent). Passages with a seed are aligned with the item word by word (match 1, mismatch and gap
+made all of them frequent). Two grams of an item in one passage are a seed too, however frequent each is: edited
+copies keep the grams that whole copies have made frequent. Passages with a seed are aligned with the item word by word (match 1, mismatch and gap
 -1); the local score over the item's length is the leak's share, and passages from SHARE on are leaks.
 
 The benchmark goes to the workers in blocks of at most BLOCK words, one pass over the texts for each, so what is
@@ -147,7 +148,7 @@ def _judge(shared, share: float):
         for batch in batches:
             out = []
             for doc, i, grams, start, passage in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if seeds[i].isdisjoint(grams):
+                if len(grams) < 2 and seeds[i].isdisjoint(grams):
                     continue
                 item = items.coded[i]
                 spans = [m.span() for m in _WORD.finditer(passage)]

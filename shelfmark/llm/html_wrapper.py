@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,10 +54,10 @@ _SECTIONS = frozenset(("article", "main"))
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "children", "text_")
+    __slots__ = ("tag", "label", "out", "children", "size", "print")
 
     def __init__(self, tag: str, label: str, out: bool):
-        self.tag, self.label, self.out, self.children, self.text_ = tag, label, out, [], None
+        self.tag, self.label, self.out, self.children, self.size, self.print = tag, label, out, [], 0, 0
 
 
 def _names(attributes: str) -> tuple[list[str], bool]:
@@ -73,20 +74,22 @@ def parse(text: str | None) -> Node:
     """The page's tree; unclosed and misplaced tags are mended the usual way, a cut-off tag at the end is dropped."""
     root = Node("html", "html", False)
     stack, at, text = [root], 0, text or ""
+    # How many elements of a tag are open: an end tag of none is passed over without a search.
+    opened: Counter = Counter()
     while True:
         m = _TOKEN.search(text, at)
         words = text[at:m.start() if m else len(text)]
         if words:
             stack[-1].children.append(html.unescape(words) if "&" in words else words)
         if not m:
-            return root
+            return measured(root)
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    _leave(stack, i, opened)
                     break
                 # An inline end tag doesn't reach out of its block.
                 if tag in _INLINE and stack[i].tag not in _INLINE:
@@ -97,7 +100,7 @@ def parse(text: str | None) -> Node:
             at = end.end() if end else len(text)
             continue
         if tag in _ENDS_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            _close(stack, tag)
+            _close(stack, tag, opened)
         if tag == "html":
             continue
         named, hidden = _names(m[3]) if m[3].strip(" /") else ([], False)
@@ -108,22 +111,52 @@ def parse(text: str | None) -> Node:
             out = hidden or "comment" in named or "comments" in named
         node = Node(tag, f"{tag}.{named[0] if named else ''}", out)
         if tag == "body" and (head := next((i for i, n in enumerate(stack) if n.tag == "head"), 0)):
-            del stack[head:]
+            _leave(stack, head, opened)
         stack[-1].children.append(node)
         if tag not in _VOID and not m[0].endswith("/>"):
             stack.append(node)
+            opened[tag] += 1
+
+
+def _leave(stack: list[Node], i: int, opened: Counter) -> None:
+    for node in stack[i:]:
+        opened[node.tag] -= 1
+    del stack[i:]
+
+
+def measured(root: Node) -> Node:
+    """The tree with each node's visible characters and a print of its text, from one pass over it."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if not isinstance(c, str) and not c.out]
+    for node in reversed(order):
+        parts = []
+        for c in node.children:
+            if isinstance(c, str):
+                words = " ".join(c.split())
+                node.size += len(words)
+                parts.append(words)
+            elif not c.out:
+                node.size += c.size
+                parts.append(c.print)
+        node.print = hash(tuple(p for p in parts if p))
+    return root
 
 
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIERS = frozenset("ul ol dl table select article section div main aside nav".split())
 
 
-def _close(stack: list[Node], tag: str) -> None:
+def _close(stack: list[Node], tag: str, opened: Counter) -> None:
     """A start tag that ends an open paragraph, or an open item of its own list or row."""
     ends = _SIBLINGS.get(tag, {"p"})
+    if not any(opened[t] for t in ends):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in ends:
-            del stack[i:]
+            _leave(stack, i, opened)
             return
         if stack[i].tag in _BARRIERS:
             return
@@ -163,12 +196,6 @@ def lines(node: Node) -> list[str]:
     return found
 
 
-def text_of(node: Node) -> str:
-    if node.text_ is None:
-        node.text_ = " ".join(lines(node))
-    return node.text_
-
-
 def _kids(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str) and not c.out and c.tag not in _INLINE and c.tag not in _VOID]
 
@@ -216,11 +243,11 @@ def induce(pages: list[str]) -> dict:
         places = [match([k.label for k in own], other) for other in kids[1:]]
         mass = []
         for i, child in enumerate(own):
-            others = [text_of(kids[p + 1][place[i]]) for p, place in enumerate(places) if place[i] is not None]
-            varies = not others or any(t != text_of(child) for t in others)
-            mass.append(len(text_of(child)) + sum(map(len, others)) if varies else 0)
+            others = [kids[p + 1][place[i]] for p, place in enumerate(places) if place[i] is not None]
+            varies = not others or any(o.print != child.print for o in others)
+            mass.append(child.size + sum(o.size for o in others) if varies else 0)
         go = max(range(len(own)), key=lambda i: (own[i].tag in _SECTIONS, mass[i]))
-        if own[go].tag not in _SECTIONS and (own[go].tag in _LINES or 10 * mass[go] < 8 * sum(map(lambda n: len(text_of(n)), at))):
+        if own[go].tag not in _SECTIONS and (own[go].tag in _LINES or 10 * mass[go] < 8 * sum(n.size for n in at)):
             break
         path.append([[k.label for k in own[:40]], go] if go < 40 else [[own[go].label], 0])
         at = [own[go]] + [kids[p + 1][place[go]] for p, place in enumerate(places) if place[go] is not None]
@@ -249,9 +276,9 @@ def slot(root: Node, wrapper: dict | None) -> Node:
         inner = [k for k in kids if k.tag in _SECTIONS]
         if node.tag == "article" or not kids or len(inner) > 1:
             return node
-        if not inner and 10 * max(len(text_of(k)) for k in kids) < 8 * len(text_of(node)):
+        if not inner and 10 * max(k.size for k in kids) < 8 * node.size:
             return node
-        go = inner[0] if inner else max(kids, key=lambda k: len(text_of(k)))
+        go = inner[0] if inner else max(kids, key=lambda k: k.size)
         if go.tag in _LINES:
             return node
         node = go

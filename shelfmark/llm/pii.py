@@ -387,7 +387,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> dict:
         start = 0 if len(text_) <= WINDOW else STRIDE * ((len(text_) - WINDOW) // STRIDE + 1) // 2 // STRIDE * STRIDE
         codes.append(_cut_out(_codes(text_), start))
         tags.append(_tags(spans, start))
-    return fit(np.stack(codes), np.stack(tags))
+    return fit(np.stack(codes), np.stack(tags), epochs=EPOCHS)
 
 
 _DETECTED = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
