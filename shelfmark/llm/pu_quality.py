@@ -98,7 +98,8 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int) -> di
          "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": np.zeros(1)}
     first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     step, size = 0, 256
-    rounds = max(1, max(len(pos), len(unl)) // size)
+    # Small samples get as many steps as they need to settle.
+    rounds = max(4, max(len(pos), len(unl)) // size)
     for epoch in range(EPOCHS):
         rate = 0.01 * (1 - epoch / EPOCHS) + 1e-4
         for _ in range(rounds):
