@@ -203,13 +203,37 @@ def action_rows(plans: DataFrame, key: str = "media_file_id") -> DataFrame:
         key, (F.col("__p") + 1).alias("action_order"), "a.*")
 
 
+def admit(requests: DataFrame, files: DataFrame, kinds: DataFrame, incoming_roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests that a plan can be made for, and the others with the reason: (admitted, rejects).
+
+    A request names a known file below an incoming root, and no kind or one that is configured. Asking twice for a
+    file gives one plan, for the last kind asked in text order.
+    """
+    below = F.lit(False)
+    for root in incoming_roots:
+        below = below | paths.is_under(F.col("__path"), F.lit(root))
+    held = files.select(F.col("media_file_id").alias("__held"), F.col("absolute_path").alias("__path"))
+    named = kinds.select(F.col("destination_kind").alias("__kind")).distinct()
+    joined = requests.join(held, F.col("media_file_id") == F.col("__held"), "left").join(
+        named, F.col("destination_kind") == F.col("__kind"), "left")
+    reason = (
+        F.when(F.col("__held").isNull(), "no such media file")
+        .when(~F.coalesce(below, F.lit(False)), "the file is not below an incoming root")
+        .when(F.col("destination_kind").isNotNull() & F.col("__kind").isNull(), F.format_string(
+            "unknown destination category '%s'", F.col("destination_kind"))))
+    checked = joined.withColumn("reject_reason", reason)
+    admitted = checked.where(F.col("reject_reason").isNull()).groupBy("media_file_id").agg(
+        F.max("destination_kind").alias("destination_kind"))
+    return admitted, checked.where(F.col("reject_reason").isNotNull()).select(*requests.columns, "reject_reason")
+
+
 def generate(requests: DataFrame, files: DataFrame, candidates: DataFrame, assignments: DataFrame,
              identities: DataFrame, blocking: DataFrame, plans: DataFrame, kinds: DataFrame,
              listing: DataFrame | None = None) -> DataFrame:
-    """Fresh plans for the requested files (media_file_id, destination_kind or null).
+    """Fresh plans for the requested files (media_file_id, destination_kind or null), as ``admit`` passes them.
 
-    The gather is one left join per table on the file; destination and collision work follows
-    for all rows, and counts only where nothing blocks.
+    The gather is one left join per table on the file. Rows that something blocks, or that name no kind, get no name
+    and no path, so only the others are sanitised and meet held and claimed destinations.
     """
     held = assignments.where(F.col("status") == "ACTIVE").select(
         "media_file_id", "assignment_id", "identity_id", "assignment_method", "confirmed_for_ingest_at")
@@ -237,8 +261,10 @@ def generate(requests: DataFrame, files: DataFrame, candidates: DataFrame, assig
         F.when(v == "WARNING", "media verification produced warnings"),
         F.when(clear & c("destination_kind").isNull(), "destination category not specified"),
     )))
-    df = resolve_destination(df, kinds)
+    # A row that is not to be placed goes through without a name: nothing to sanitise, and no path to look up.
     wanted = clear & c("destination_kind").isNotNull()
+    df = df.withColumns({n: F.when(wanted, c(n)) for n in ("title", "episode_title", "destination_kind")})
+    df = resolve_destination(df, kinds)
     for name in ("destination_library", "destination_directory", "destination_filename", "destination_path"):
         df = df.withColumn(name, F.when(wanted, c(name)))
     df = with_collisions(df, files, plans, listing)
@@ -331,8 +357,11 @@ def approve(plans: DataFrame, decisions: DataFrame, run_ts: Column) -> tuple[Dat
 
 def override_lineage(assignments: DataFrame, attempts: DataFrame) -> DataFrame:
     """The override (if any) behind each assignment, by way of its attempt."""
-    return assignments.select("assignment_id", "identity_id", "attempt_id").join(
-        attempts.select("attempt_id", "override_id"), "attempt_id", "left").select(
+    # Assignments without an attempt are left out of the join: as one key they would meet on one partition.
+    own = assignments.select("assignment_id", "identity_id", "attempt_id")
+    held = attempts.select("attempt_id", "override_id")
+    return own.where(F.col("attempt_id").isNotNull()).join(held, "attempt_id", "left").unionByName(
+        own.where(F.col("attempt_id").isNull()).withColumn("override_id", F.lit(None).cast(held.schema["override_id"].dataType))).select(
         "assignment_id", "identity_id", F.col("override_id").alias("plan_override_id"))
 
 

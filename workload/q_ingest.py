@@ -146,6 +146,31 @@ def _(c):
                                 F.array_join("blocking_reasons", "; ").alias("blocking_reasons"), "summary")
 
 
+_ASKED = "CASE media_file_id % 6 WHEN 0 THEN 'movies' WHEN 1 THEN 'tv' WHEN 2 THEN 'books' END"
+_UNFIT = (
+    "CASE WHEN f.media_file_id IS NULL THEN 'no such media file' "
+    "WHEN f.absolute_path NOT LIKE '/nas/movies/%' AND f.absolute_path NOT LIKE '/nas/tv/%' THEN 'the file is not below an incoming root' "
+    "WHEN a.kind NOT IN ({kinds}) THEN 'unknown destination category ''' || a.kind || '''' END")
+PARTS["asked"] = f"SELECT media_file_id + CASE WHEN media_file_id % 50 = 0 THEN 100000000 ELSE 0 END AS media_file_id, {_ASKED} AS kind FROM {{files}}"
+_KNOWN_KINDS = ", ".join(f"'{k}'" for kinds in config.KINDS_BY_MEDIA.values() for k in kinds)
+_UNFIT = _UNFIT.replace("{kinds}", _KNOWN_KINDS)
+
+
+def _admitted(c):
+    asked = c.files.select(F.expr("media_file_id + CASE WHEN media_file_id % 50 = 0 THEN 100000000 ELSE 0 END AS media_file_id"), F.expr(f"{_ASKED} AS destination_kind"))
+    return ingest.admit(asked, c.files, _kinds(c), ["/nas/movies/", "/nas/tv"])
+
+
+@query("g15_admitted", f"SELECT media_file_id, kind AS destination_kind FROM (SELECT a.*, {_UNFIT} AS r FROM {{asked}} a LEFT JOIN {{files}} f ON f.media_file_id = a.media_file_id) WHERE r IS NULL")
+def _(c):
+    return _admitted(c)[0].select("media_file_id", "destination_kind")
+
+
+@query("g15_rejects", f"SELECT a.media_file_id, {_UNFIT} AS reject_reason FROM {{asked}} a LEFT JOIN {{files}} f ON f.media_file_id = a.media_file_id WHERE {_UNFIT} IS NOT NULL")
+def _(c):
+    return _admitted(c)[1].select("media_file_id", "reject_reason")
+
+
 @query("g16_plan_actions", """
 SELECT media_file_id, CASE WHEN clear AND dir IS NOT NULL THEN 'VALIDATE_SOURCE|VERIFY_MEDIA|CREATE_DIRECTORY|MOVE|REFRESH_INVENTORY|REQUEST_PLEX_REFRESH' ELSE 'VALIDATE_SOURCE|VERIFY_MEDIA' END AS actions FROM {generated}
 """)
