@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -64,17 +64,35 @@ def track_totals(files: DataFrame, tracks: DataFrame | None = None) -> DataFrame
 
 
 def inventory_stats(files: DataFrame, libraries: DataFrame, runs: DataFrame, tracks: DataFrame | None = None) -> DataFrame:
-    """Everything above as (metric, key, n) rows, with grand totals and the newest scan."""
-    per = library_stats(files, libraries)
-    names = ["active_count", "missing_count", "active_total_size_bytes"]
-    by_library = per.select("category", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("metric"), F.col(n).alias("n")) for n in names]))).select(
-        F.concat(F.lit("library_"), "metric").alias("metric"), F.col("category").alias("key"), "n")
-    totals = per.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    """Everything above as (metric, key, n) rows, with grand totals and the newest scan.
+
+    The files are read once, reduced to a cube of few rows from which every count is taken.
+    """
+    failed, probed = F.col("media_info_error").isNotNull(), F.col("media_info_probed_at").isNotNull()
+    cube = files.groupBy("library_id", "state", "layout", "extension", failed.alias("failed"), probed.alias("probed")).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    cube = cube.join(libraries.select("library_id", "category"), "library_id", "left")
+    active, missing = F.col("state") == "ACTIVE", F.col("state") == "MISSING"
+    known = F.col("category").isNotNull()
+
+    def entry(when: Column, metric: str, key: Column, n: str = "files") -> Column:
+        return F.when(when, F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.col(n).cast("long").alias("n")))
+
+    measures = {"active_count": (active, "files"), "missing_count": (missing, "files"), "active_total_size_bytes": (active, "bytes")}
+    entries = [e for name, (when, n) in measures.items() for e in (
+        entry(when & known, f"library_{name}", F.col("category"), n), entry(when & known, "total", F.lit(name), n))]
+    entries += [entry(active, c, F.col(c)) for c in ("layout", "extension")]
+    probes = {"success_count": ~F.col("failed") & F.col("probed"), "error_count": F.col("failed"), "not_probed_count": ~F.col("probed")}
+    entries += [entry(active & when, "metadata", F.lit(name)) for name, when in probes.items()]
+    counted = cube.select(F.inline(F.array_compact(F.array(*entries))))
+    none = F.lit(0).cast("long").alias("n")
+    zeros = union(
+        libraries.select(F.explode(F.array(*[F.lit(f"library_{n}") for n in measures])).alias("metric"), F.col("category").alias("key"), none),
+        *[files.sparkSession.range(1).select(F.lit(m).alias("metric"), F.explode(F.array(*map(F.lit, names))).alias("key"), none)
+          for m, names in (("total", measures), ("metadata", probes))])
     newest = runs.agg(F.max("scan_run_id").alias("scan_run_id"))
     return union(
-        by_library, _measures(totals, "total", names), layout_counts(files), extension_counts(files),
-        _measures(metadata_counts(files), "metadata", ["success_count", "error_count", "not_probed_count"]),
+        counted.unionByName(zeros).groupBy("metric", "key").agg(F.sum("n").alias("n")),
         _measures(track_totals(files, tracks), "tracks", ["video_count", "audio_count", "subtitle_count"]),
         _measures(newest, "most_recent_scan", ["scan_run_id"]))
 
