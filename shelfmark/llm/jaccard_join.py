@@ -212,9 +212,9 @@ def _walk(percent: int):
 def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: component_id is the smallest id reachable by links.
 
-    Null, empty and wordless texts have no shingles and link with nothing; equal sets always link. Repeated rows
-    give repeated result rows; a null id takes part in no link and is its own component (null). Other columns of
-    docs are not read, whatever their names.
+    Null, empty and wordless texts have no shingles and link with nothing; equal sets always link. An id names one
+    text: repeated rows give repeated result rows. A null id takes part in no link and is its own component (null).
+    Other columns of docs are not read, whatever their names.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_shingles long, print_hi long, print_lo long, point binary, signatures array<long>"
