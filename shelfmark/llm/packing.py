@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import cut
 
 END = 1
-CACHED = 600_000
+CACHED = 1_500_000
 BLOCK = 64
 # Slots of rank below this many are taken as they are: cutting such short rests further saves nothing.
 SHORT = 48
