@@ -7,7 +7,8 @@ Two ways to find the rows a candidate is compared with:
   all that can differ between candidates of one query;
 * given pairs: the search hits a provider returned, all of them.
 
-Results are rows with a rank and are never cut. Deciding needs the best two of an attempt only.
+Results are rows with a rank and are never cut. Deciding needs the best two of an attempt only; what is recorded of an
+attempt is all of its matches.
 """
 
 from __future__ import annotations
@@ -323,6 +324,36 @@ def _as_attempts(decided: DataFrame, kind: str) -> DataFrame:
         F.transform("matches", lambda m: stored_match(m, kind)).cast(f"array<{MATCH_DDL}>").alias("matches"))
 
 
+def _searchable() -> Column:
+    return F.col("candidate_type").isin("MOVIE", "EPISODE", "SPECIAL")
+
+
+def _with_errors(candidates: DataFrame, provider_errors: DataFrame | None) -> DataFrame:
+    if provider_errors is None:
+        return candidates.withColumn("error_message", F.lit(None).cast("string"))
+    return candidates.join(provider_errors.select("media_file_id", "error_message"), "media_file_id", "left")
+
+
+def _open(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The movies and the shows that are searched."""
+    open_ = candidates.where(_searchable() & F.col("error_message").isNull()).drop("error_message")
+    return open_.where(F.col("candidate_type") == "MOVIE"), open_.where(F.col("candidate_type") != "MOVIE")
+
+
+def _movie_rows(films: DataFrame, movies: DataFrame, hits: DataFrame | None) -> DataFrame:
+    if hits is None:
+        return movie_match_rows(films, movies)
+    local = ["media_file_id", "candidate_type", "parsed_title", "parsed_year", "local_seconds"]
+    return match_movie_pairs(films.select(*local).join(hits, "media_file_id"))
+
+
+def _show_rows(shows: DataFrame, series: DataFrame, episodes: DataFrame, hits: DataFrame | None) -> DataFrame:
+    local = ["media_file_id", "candidate_type", "parsed_series_title", "season_number", "episode_number", "episode_title", "local_seconds"]
+    if hits is None:
+        return match_episodes(shows.select(*local), series, episodes)
+    return match_episode_pairs(shows.select(*local).join(hits, "media_file_id"), episodes)
+
+
 def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episodes: DataFrame,
              provider_errors: DataFrame | None = None, movie_hits: DataFrame | None = None,
              series_hits: DataFrame | None = None) -> DataFrame:
@@ -332,12 +363,8 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
     ``provider_errors`` (media_file_id, error_message) names look-ups that failed. Where search hits are given
     (media_file_id with the provider's columns) they are what is compared, and titles need not be equal.
     """
-    searchable = F.col("candidate_type").isin("MOVIE", "EPISODE", "SPECIAL")
-    none = F.lit(None)
-    if provider_errors is None:
-        candidates = candidates.withColumn("error_message", none.cast("string"))
-    else:
-        candidates = candidates.join(provider_errors.select("media_file_id", "error_message"), "media_file_id", "left")
+    searchable, none = _searchable(), F.lit(None)
+    candidates = _with_errors(candidates, provider_errors)
     failed = F.col("error_message").isNotNull()
     text = F.when(F.col("candidate_type") == "MOVIE", F.col("parsed_title")).otherwise(F.col("parsed_series_title"))
     year = F.when(F.col("candidate_type") == "MOVIE", F.col("parsed_year"))
@@ -347,18 +374,9 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
         F.when(searchable, year).cast("int").alias("query_year"),
         F.when(searchable, F.col("error_message")).alias("error_message"), F.lit(0).cast("long").alias("result_count"),
         F.array().cast(f"array<{MATCH_DDL}>").alias("matches"))
-    open_ = candidates.where(searchable & ~failed).drop("error_message")
-    films, shows = open_.where(F.col("candidate_type") == "MOVIE"), open_.where(F.col("candidate_type") != "MOVIE")
-    local = ["media_file_id", "candidate_type", "parsed_title", "parsed_year", "local_seconds"]
-    episode = ["media_file_id", "candidate_type", "parsed_series_title", "season_number", "episode_number", "episode_title", "local_seconds"]
-    if movie_hits is None:
-        found = match_movies(films, movies)
-    else:
-        found = with_best(films, match_movie_pairs(films.select(*local).join(movie_hits, "media_file_id")))
-    if series_hits is None:
-        listed = match_episodes(shows.select(*episode), series, episodes)
-    else:
-        listed = match_episode_pairs(shows.select(*episode).join(series_hits, "media_file_id"), episodes)
+    films, shows = _open(candidates)
+    found = match_movies(films, movies) if movie_hits is None else with_best(films, _movie_rows(films, movies, movie_hits))
+    listed = _show_rows(shows, series, episodes, series_hits)
     return (
         _as_attempts(decide(found, "MOVIE"), "MOVIE")
         .unionByName(_as_attempts(decide(with_best(shows, listed), "EPISODE"), "EPISODE"))
@@ -366,6 +384,19 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
     )
 
 
+def evaluated_matches(candidates: DataFrame, movies: DataFrame, series: DataFrame, episodes: DataFrame,
+                      provider_errors: DataFrame | None = None, movie_hits: DataFrame | None = None,
+                      series_hits: DataFrame | None = None) -> DataFrame:
+    """(media_file_id, rank, m): every match of the attempts that ``evaluate`` makes of the same inputs, best first."""
+    films, shows = _open(_with_errors(candidates, provider_errors))
+
+    def stored(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.select("media_file_id", "rank", stored_match(F.col("match"), kind).alias("m"))
+
+    return stored(_movie_rows(films, movies, movie_hits), "MOVIE").unionByName(
+        stored(_show_rows(shows, series, episodes, series_hits), "EPISODE"))
+
+
 def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False) -> DataFrame:
     """Candidates never tried before; all of them when forced."""
     if force:
@@ -373,12 +404,11 @@ def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False)
     return candidates.join(attempts.select("media_file_id"), "media_file_id", "left_anti")
 
 
-def recorded(attempts: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Attempt rows and the match rows that decided them, ready to append.
+def recorded(attempts: DataFrame, ranked: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
+    """Attempt rows and all their match rows (``ranked``, as ``evaluated_matches`` gives them), ready to append.
 
-    Keys derive from the file and the run, so a match finds its attempt without a join. ``result_count`` says how many
-    results an attempt had; all of them as rows are ``movie_match_rows``, ``match_movie_pairs`` and
-    ``match_episodes``, with ``match_id`` from the attempt and the rank.
+    Keys derive from the file and the run, those of a match from the attempt and its rank; a match meets its attempt
+    only to learn whether it was selected. A match of a file without an attempt is not recorded.
     """
     keyed = attempts.withColumns({
         "attempt_id": F.xxhash64("media_file_id", run_ts.cast("timestamp")),
@@ -386,10 +416,8 @@ def recorded(attempts: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]
     match_id = lambda rank: F.xxhash64("attempt_id", rank)
     resolved = F.col("status") == "RESOLVED"
     rows = keyed.withColumn("selected_match_id", F.when(resolved, match_id(F.lit(1)))).drop("matches")
-    # The outer form keeps Spark from filtering on the array first, which would score it twice.
-    listed = keyed.select("attempt_id", "media_file_id", resolved.alias("__resolved"),
-                          F.posexplode_outer("matches").alias("__p", "m")).where(F.col("__p").isNotNull())
-    matches = listed.select(
-        match_id((F.col("__p") + 1)).alias("match_id"), "attempt_id", "media_file_id",
-        (F.col("__p") + 1).alias("rank"), "m.*", (F.col("__resolved") & (F.col("__p") == 0)).alias("selected"))
+    own = keyed.select("media_file_id", "attempt_id", resolved.alias("__resolved"))
+    matches = ranked.join(own, "media_file_id").select(
+        match_id(F.col("rank")).alias("match_id"), "attempt_id", "media_file_id", "rank", "m.*",
+        (F.col("__resolved") & (F.col("rank") == 1)).alias("selected"))
     return rows, matches

@@ -220,6 +220,27 @@ def test_no_given_hit_is_lost(spark):
     assert sum(r.match.runtime_score is not None for r in rows) == 3
 
 
+def test_every_match_of_an_attempt_is_recorded(spark):
+    movies = spark.createDataFrame([(i, "Hot", None, 2000 + i, float(i), 5000) for i in range(5)],
+                                   "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
+    series = spark.createDataFrame([(i, "Show") for i in range(4)], "provider_id long, title string")
+    episodes = spark.createDataFrame([(i, 1, 2, 70 + i, None, 3000) for i in range(4)], "series_provider_id long, season_number int, episode_number int, provider_id long, episode_title string, runtime_seconds long")
+    candidates = spark.createDataFrame(
+        [(1, "MOVIE", "hot", 2000, None, None, None, None, 5000.0), (2, "EPISODE", None, None, "show", 1, 2, None, None), (3, "MOVIE", "cold", 2000, None, None, None, None, None),
+         (4, "MOVIE", "hot", 2000, None, None, None, None, None), (5, "UNKNOWN", "hot", 2000, None, None, None, None, None)],
+        "media_file_id long, candidate_type string, parsed_title string, parsed_year int, parsed_series_title string, season_number int, episode_number int, episode_title string, local_seconds double")
+    asked = (candidates, movies, series, episodes, spark.createDataFrame([(4, "timeout")], "media_file_id long, error_message string"))
+    attempts, matches = linkage.recorded(linkage.evaluate(*asked), linkage.evaluated_matches(*asked), ts())
+    found, rows = {r.media_file_id: r for r in attempts.collect()}, matches.collect()
+    assert sorted((r.media_file_id, r["rank"]) for r in rows) == [(1, k) for k in range(1, 6)] + [(2, k) for k in range(1, 5)]
+    assert {i: r.result_count for i, r in found.items()} == {1: 5, 2: 4, 3: 0, 4: 0, 5: 0}
+    assert [(r.media_file_id, r.match_id, r.provider_id) for r in rows if r.selected] == [(1, found[1].selected_match_id, 0)]
+    third = next(r for r in rows if (r.media_file_id, r["rank"]) == (2, 3))
+    log = _log(spark, [(third.attempt_id, "SELECT", third.match_id, "2024-01-02")], "attempt_id long, action string, match_id long")
+    done, rejects = identity.review_attempts(attempts, log, matches)
+    assert rejects.count() == 0 and {r.selected_match_id for r in done.where("media_file_id = 2").collect()} == {third.match_id}
+
+
 @pytest.mark.parametrize("top, second, year, want", [
     (0.9, 0.8, 1999, "RESOLVED"), (0.9, 0.8001, 1999, "REVIEW_REQUIRED"), (0.8999, None, 1999, "REVIEW_REQUIRED"), (0.9, None, None, "REVIEW_REQUIRED"),
     (0.6, None, 1999, "REVIEW_REQUIRED"), (0.5999, None, 1999, "NO_MATCH"), (None, None, 1999, "NO_MATCH")])

@@ -211,9 +211,13 @@ SELECT c.media_file_id, CASE WHEN c.candidate_type IN ('UNKNOWN', 'EXTRA') THEN
 FROM {candidates} c LEFT JOIN {movie_decisions} m ON m.media_file_id = c.media_file_id LEFT JOIN {episode_decisions} e ON e.media_file_id = c.media_file_id"""
 
 
-def evaluated(c):
+def _searched(c):
     errors = c.candidates.where("media_file_id % 101 = 0").select("media_file_id", F.lit("timeout").alias("error_message"))
-    return linkage.evaluate(c.candidates, c.movies, c.series, c.episodes, errors)
+    return c.candidates, c.movies, c.series, c.episodes, errors
+
+
+def evaluated(c):
+    return linkage.evaluate(*_searched(c))
 
 
 @query("g10_attempt_status", "SELECT media_file_id, status, query_text, query_year, error_message FROM {evaluated}")
@@ -227,11 +231,12 @@ FROM {evaluated} e LEFT JOIN (SELECT media_file_id, rank, provider_id FROM {exac
 GROUP BY e.media_file_id, e.status
 """)
 def _(c):
-    attempts, matches = linkage.recorded(evaluated(c), run_ts())
+    attempts, matches = linkage.recorded(evaluated(c), linkage.evaluated_matches(*_searched(c)), run_ts())
     per = matches.groupBy("attempt_id").agg(
+        F.count(F.lit(1)).alias("matches"),
         F.count_if("selected").alias("selected"), F.min(F.when(F.col("selected"), F.col("provider_id"))).alias("selected_provider_id"))
     return attempts.join(per, "attempt_id", "left").select(
-        "media_file_id", "status", F.col("result_count").alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
+        "media_file_id", "status", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
 
 
 # Series the provider returned per file, titles unequal: the best few by similarity have their episodes compared.
