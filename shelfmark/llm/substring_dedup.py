@@ -3,8 +3,10 @@
 A text is cut at line ends and after sentences; a sentence of fewer than LONG words goes with the next of its line,
 so the cuts depend on nothing but what stands there and a passage is cut alike wherever it stands. Units are
 normalised (lower case, white space evened out) and hashed to 96 bits. Of the texts that hold a unit the one with
-the least rank (its id) keeps its first occurrence; every other occurrence is a repeat. A run of repeats next to
-each other is removed when it comes to LEAST words, so a short phrase that turns up by chance stays.
+the least rank (its id) keeps its first occurrence; every other occurrence is a repeat. A line of nothing but repeats
+is removed whatever its length, and so is a paragraph or text of such lines. Sentences inside a line with other text
+are removed in runs of repeats next to each other that come to LEAST words, so a short phrase that turns up by chance
+stays there.
 
 Only digests, ids and places are shuffled and grouped; a unit that every text holds is combined before the shuffle,
 and the join that brings its place back can be split. A text travels once, with the places to leave out.
@@ -73,22 +75,32 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(text: str, repeats: set[int], least: int) -> list[tuple[int, int]]:
-    """What to leave out: runs of repeated units of at least that many words. `repeats`: the places of units that
-    another text holds first; later occurrences inside the text are found here."""
-    out, run, words, seen, again = [], [], 0, set(), {}
-    for place, (start, end, ws) in enumerate(units(text)):
-        d = digest(ws)
-        again.setdefault(d, place in repeats)
-        if again[d] or d in seen:
-            run.append((start, end))
-            words += len(ws)
-        else:
-            if words >= least:
-                out.append((run[0][0], run[-1][1]))
-            run, words = [], 0
+    """What to leave out: lines of repeated units only, and runs of repeated units of at least that many words.
+    `repeats`: the places of units that another text holds first; later occurrences inside the text are found here."""
+    found, again, seen, again_at = units(text), [], set(), {}
+    for place, (_, _, words) in enumerate(found):
+        d = digest(words)
+        again_at.setdefault(d, place in repeats)
+        again.append(again_at[d] or d in seen)
         seen.add(d)
-    if words >= least:
-        out.append((run[0][0], run[-1][1]))
+    gone = [False] * len(found)
+
+    def close(lo: int, hi: int, enough: int) -> None:
+        if all(again[lo:hi]) and sum(len(found[i][2]) for i in range(lo, hi)) >= enough:
+            gone[lo:hi] = [True] * (hi - lo)
+
+    line = run = 0
+    for i in range(1, len(found) + 1):
+        if i == len(found) or text.find("\n", found[i - 1][1], found[i][0]) >= 0:
+            close(line, i, 0)
+            line = i
+        if i == len(found) or again[i] != again[i - 1]:
+            close(run, i, least)
+            run = i
+    out: list[tuple[int, int]] = []
+    for i, (start, end, _) in enumerate(found):
+        if gone[i]:
+            out[-1:] = [(out[-1][0], end)] if i and gone[i - 1] else [*out[-1:], (start, end)]
     return out
 
 

@@ -409,3 +409,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert {i: got[i] for i in unit} == {i: (len(links[i]), root[i], root[i] == i) for i in unit}
     assert all(got[i] == (0, i, True) for i, *_ in odd)
     assert pq_dedup.link(frame.where("false")).count() == 0
+
+
+def test_repeated_lines_go_whatever_their_length(spark):
+    bar = "Share this. Print"
+    rows = [(i, f"{sentence(random.Random(i), 12)}\n{bar}\n{sentence(random.Random(50 + i), 12)} Go on then now friend.", "s") for i in range(4)]
+    rows += [(10, "A short text", "s"), (11, "a  short TEXT", "s"), (12, "Five words are here now. Two more\n\nFive words are here now. Two more", "s")]
+    got = {r.doc_id: r for r in substring_dedup.dedup(docs_of(spark, rows)).collect()}
+    assert got[0].text == rows[0][1] and [s.asDict() for s in got[0].removed] == []
+    for i in range(1, 4):
+        assert got[i].text == rows[i][1].replace(bar + "\n", "") and got[i].n_removed == len(bar)
+    assert got[10].text == "A short text" and got[11].text == "" and got[11].n_removed == len(rows[5][1])
+    assert got[12].text == "Five words are here now. Two more\n\n"
