@@ -7,7 +7,8 @@ plane halfway between its centre and the query's own is at most r away, and a pa
 most r plus its own coding error, which is stored with the code. All lists and codes within those bounds are kept
 and reranked by the exact cosine in double precision.
 
-Centres and codebooks are fitted on SAMPLE vectors at most (the least hashes); every vector is indexed.
+Vectors of unequal length don't link, so each length that occurs has an index of its own. Its centres and codebooks
+are fitted on SAMPLE vectors of the length at most (the least hashes); every vector is indexed.
 """
 
 from __future__ import annotations
@@ -74,31 +75,37 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
 
 
-_FILED = "class long, label string, list int, role int, unit binary, codes binary, error double"
+_FILED = "class long, label string, length int, list int, role int, unit binary, codes binary, error double"
 
 
 def _file(shared, r: float):
     """A row for a vector's own list (role 1, with codes) and one for each list it has to probe (role 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, books = shared.value
-        between = np.stack([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
+        models = shared.value
+        between = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("unit"))
-            own = _nearest(x, centres)
-            codes, error = _encode(x, own, centres, books)
-            away = 1 + (centres ** 2).sum(1) - 2 * x @ centres.T
-            over = away - away[np.arange(len(x)), own][:, None]
-            who, where = np.nonzero(over <= 2 * (r + SLACK) * between[own] + SLACK)
-            everyone = np.r_[np.arange(len(x)), who]
-            role = np.r_[np.ones(len(x), np.int32), np.zeros(len(who), np.int32)]
-            rows = batch.select(["class", "label", "unit"]).take(pa.array(everyone))
-            yield pa.RecordBatch.from_arrays([
-                rows.column(0), rows.column(1), pa.array(np.r_[own, where].astype(np.int32)), pa.array(role), rows.column(2),
-                pa.array([codes[i].tobytes() if k else None for i, k in zip(everyone, role)], pa.binary()),
-                pa.array(np.where(role == 1, error[everyone], 0.0)),
-            ], ["class", "label", "list", "role", "unit", "codes", "error"])
+            lengths = batch.column("length").to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths):
+                if length not in between:
+                    centres = models[length][0]
+                    between[length] = np.stack([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
+                yield filed(batch.take(pa.array(np.flatnonzero(lengths == length))), *models[length], between[length])
+
+    def filed(batch, centres, books, between):
+        x = _matrix(batch.column("unit"))
+        own = _nearest(x, centres)
+        codes, error = _encode(x, own, centres, books)
+        away = 1 + (centres ** 2).sum(1) - 2 * x @ centres.T
+        over = away - away[np.arange(len(x)), own][:, None]
+        who, where = np.nonzero(over <= 2 * (r + SLACK) * between[own] + SLACK)
+        everyone = np.r_[np.arange(len(x)), who]
+        role = np.r_[np.ones(len(x), np.int32), np.zeros(len(who), np.int32)]
+        rows = batch.select(["class", "label", "length", "unit"]).take(pa.array(everyone))
+        return pa.RecordBatch.from_arrays([
+            rows.column(0), rows.column(1), rows.column(2), pa.array(np.r_[own, where].astype(np.int32)), pa.array(role), rows.column(3),
+            pa.array([codes[i].tobytes() if k else None for i, k in zip(everyone, role)], pa.binary()),
+            pa.array(np.where(role == 1, error[everyone], 0.0)),
+        ], ["class", "label", "length", "list", "role", "unit", "codes", "error"])
     return run
 
 
@@ -114,8 +121,7 @@ def _search(shared, threshold: float, r: float):
     """One block of queries against one block of a list's members: how many copies each query links with, and links
     enough to hang together everything that is linked here."""
     def run(part: pa.Table) -> pa.Table:
-        centres, books = shared.value
-        side = part["role"].to_numpy()
+        centres, books = shared.value[part["length"][0].as_py()]
         queries, members = part.filter(pc.equal(part["role"], 0)), part.filter(pc.equal(part["role"], 1))
         out_class, out_count, edge_a, edge_b = [], [], [], []
         if queries.num_rows and members.num_rows:
@@ -186,6 +192,23 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(units, pa.binary())], ["row", "label", "unit"])
 
 
+def _models(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A model for each length of unit vectors (in bytes, eight a component) that occurs. The bounds hold with any
+    model, so a length with few vectors has one list, round the origin, and isn't read for a fit."""
+    models = {}
+    for length, n in classes.groupBy("length").count().orderBy("length").collect():
+        size = length // 8
+        if n < CODES:
+            models[length] = np.zeros((1, size)), np.zeros((SUBSPACES, 1, -(-size // SUBSPACES)))
+            continue
+        share = min(1.0, 1.2 * SAMPLE / n)
+        chosen = classes.where((F.col("length") == length) & (F.pmod(F.xxhash64("print"), F.lit(1 << 20)) <= int(share * (1 << 20))))
+        drawn = chosen.orderBy("print").limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()
+        sample = np.stack([np.frombuffer(x, "<f8") for x in drawn])
+        models[length] = _model(sample, int(np.clip(n // LIST_ROWS, 1, min(MAX_LISTS, len(sample)))))
+    return models
+
+
 def link(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
          label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of rows.
@@ -213,27 +236,22 @@ def link(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vecto
     if not n:
         return lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
-    share = min(1.0, 1.2 * SAMPLE / n)
-    chosen = classes.where(F.pmod(F.xxhash64("print"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    drawn = chosen.orderBy("print").limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()
-    length = max(len(x) for x in drawn)
-    sample = np.stack([np.frombuffer(x, "<f8") for x in drawn if len(x) == length])
-    lists = int(np.clip(n // LIST_ROWS, 1, min(MAX_LISTS, len(sample))))
-    shared = spark.sparkContext.broadcast(_model(sample, lists))
-    sized = classes.where(F.length("unit") == length)
-    filed = cut(sized.select("class", "label", "unit").mapInArrow(_file(shared, r), _FILED))
-    load = filed.where("role = 1").groupBy("label", "list").agg(
+    classes = classes.withColumn("length", F.length("unit"))
+    shared = spark.sparkContext.broadcast(_models(classes))
+    filed = cut(classes.select("class", "label", "length", "unit").mapInArrow(_file(shared, r), _FILED))
+    place = ["label", "length", "list"]
+    load = filed.where("role = 1").groupBy(*place).agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    probes = filed.where("role = 0").join(load, ["label", "list"]).withColumn(
+    probes = filed.where("role = 0").join(load, place).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     probes = probes.withColumn("turn", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    held = filed.where("role = 1").join(load, ["label", "list"]).withColumn(
+    held = filed.where("role = 1").join(load, place).withColumn(
         "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
         "turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.join(sized.select("class", "copies"), "class")
-    sent = ["class", "label", "list", "role", "unit", "codes", "error", "block", "turn"]
+    held = held.join(classes.select("class", "copies"), "class")
+    sent = ["class", *place, "role", "unit", "codes", "error", "block", "turn"]
     both = held.select(*sent, "copies").union(probes.select(*sent, F.lit(0).cast("long").alias("copies")))
-    found = cut(both.groupBy("label", "list", "block", "turn").applyInArrow(
+    found = cut(both.groupBy(*place, "block", "turn").applyInArrow(
         _search(shared, threshold, r), "a long, b long, n long"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     reached = components(found.where("b IS NOT NULL").select("a", "b").distinct())

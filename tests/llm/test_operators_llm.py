@@ -421,3 +421,16 @@ def test_repeated_lines_go_whatever_their_length(spark):
         assert got[i].text == rows[i][1].replace(bar + "\n", "") and got[i].n_removed == len(bar)
     assert got[10].text == "A short text" and got[11].text == "" and got[11].n_removed == len(rows[5][1])
     assert got[12].text == "Five words are here now. Two more\n\n"
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist(), 1) for i in range(80)]
+    rows += [(100 + i, rows[i][1][:15] + [rows[i][1][15] + 0.01], 1) for i in range(5)]
+    # Two groups of a shorter length, and one stray vector longer than all.
+    rows += [(200 + i, [1.0, 2.0, 3.0 + 0.01 * i], 1) for i in range(3)] + [(210 + i, [-1.0, 2.0, 0.01 * i], 2) for i in range(2)]
+    rows += [(300, [1.0] * 40, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pq_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert all(got[i] == got[100 + i] == (1, i) for i in range(5))
+    assert [got[200 + i] for i in range(3)] == [(2, 200)] * 3 and [got[210 + i] for i in range(2)] == [(1, 210)] * 2
+    assert got[300] == (0, 300) and got[50] == (0, 50)
