@@ -4,7 +4,9 @@ The patterns give the base spans, which always stay. The tagger is trained in nu
 the patterns in a bounded sample of texts, and made-up examples of looser forms), reads overlapping windows of
 WINDOW characters and adds spans the patterns miss. Every kind holds a digit or an at sign, plain or spelt, so
 windows without one are known to hold nothing and are not decoded. A window's spans count unless they touch its
-margin (where the neighbouring window sees more); the windows of a text are then reconciled over the whole text:
+margin, where another window sees more. What no window shows whole is decoded again in sections twice as wide, up to
+WIDEST, in which a span of 320 characters (the most that an address can have) stands clear wherever it was met. The
+windows of a text are then reconciled over the whole text:
 spans found twice are one, and of spans that overlap each other the surer and then the earlier stays. Spans that
 overlap a base span are dropped.
 """
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN = 128, 64, 16
+WIDEST = 1024
 SURE = 0.9
 SAMPLE_TEXTS, SAMPLE_WINDOWS, MADE = 2_000, 3_000, 1_500
 EMBED, HIDDEN, EPOCHS, BATCH = 12, 16, 5, 64
@@ -34,7 +37,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -110,9 +113,9 @@ def windows(text: str) -> list[int]:
     return [i * STRIDE for i in sorted(found)]
 
 
-def _cut_out(codes: np.ndarray, start: int) -> np.ndarray:
-    part = codes[start:start + WINDOW]
-    return np.pad(part, (0, WINDOW - len(part)), constant_values=PAD)
+def _cut_out(codes: np.ndarray, start: int, size: int = WINDOW) -> np.ndarray:
+    part = codes[start:start + size]
+    return np.pad(part, (0, size - len(part)), constant_values=PAD)
 
 
 def _tags(spans: list[tuple[str, int, int]], start: int) -> np.ndarray:
@@ -294,26 +297,30 @@ def _plausible(kind: str, text: str) -> bool:
     """What an added span must hold, whatever the tagger says."""
     d = len(_digits(text))
     if kind == "email":
-        return ("@" in text or "at" in text) and "." in text and len(text) >= 6
+        return ("@" in text or "at" in text.lower()) and "." in text and len(text) >= 6
     return {"ip": 4 <= d <= 12 and text.count(".") == 3, "card": 14 <= d <= 19 and luhn(_digits(text)), "phone": 10 <= d <= 15}[kind] and (
         kind == "ip" or not re.search(r"[A-Za-z]", text))
 
 
-def _window_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> list[tuple[float, str, int, int]]:
-    out, i = [], 0
-    while i < WINDOW:
+def _window_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> tuple[list[tuple[float, str, int, int]], list[tuple[int, int]]]:
+    """A window's spans, and where those are that touch its margin."""
+    out, touching, i, size = [], [], 0, len(tags)
+    while i < size:
         k = tags[i]
         if not k:
             i += 1
             continue
         kind, j = (k - 1) // 2, i + 1
-        while j < WINDOW and tags[j] == 2 * kind + 2:
+        while j < size and tags[j] == 2 * kind + 2:
             j += 1
         a, b = start + i, start + j
-        if (i >= MARGIN or start == 0) and (j <= WINDOW - MARGIN or start + WINDOW >= length) and b <= length:
-            out.append((float(sure[i:j].mean()), KINDS[kind], a, b))
+        if (i >= MARGIN or start == 0) and (j <= size - MARGIN or start + size >= length):
+            if b <= length:
+                out.append((float(sure[i:j].mean()), KINDS[kind], a, b))
+        else:
+            touching.append((a, min(b, length)))
         i = j
-    return out
+    return out, touching
 
 
 def reconcile(text: str, base: list[tuple[str, int, int]], found: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
@@ -327,11 +334,24 @@ def reconcile(text: str, base: list[tuple[str, int, int]], found: list[tuple[flo
     return ordered(base + added)
 
 
+def _sections(parts: list[tuple[int, int]], known: list[tuple[int, int]], size: int) -> list[int]:
+    """Starts of sections with the parts of spans in their middle, but for those within a known span. Starts are
+    multiples of an eighth of the size, so sections are no more than eight times the text."""
+    known, starts, furthest, at = sorted(known), set(), -1, 0
+    for a, b in sorted(parts):
+        while at < len(known) and known[at][0] <= a:
+            furthest, at = max(furthest, known[at][1]), at + 1
+        if b > furthest:
+            starts.add(max(0, ((a + b) // 2 - size // 2) // (size // 8) * (size // 8)))
+    return sorted(starts)
+
+
 def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
     """Per text its base spans and all its spans."""
     texts = [t or "" for t in texts]
     out = [[base_spans(t), None] for t in texts]
     found: list[list] = [[] for _ in texts]
+    touching: list[list] = [[] for _ in texts]
     queue: list[tuple[int, int]] = []
     held: list[np.ndarray] = []
 
@@ -340,20 +360,32 @@ def find(texts: list[str | None], model: dict) -> list[tuple[list, list]]:
             tags, sure = decode(model, np.stack(held))
             for k in np.flatnonzero(tags.any(1)):
                 i, start = queue[k]
-                found[i] += _window_spans(tags[k], sure[k], start, len(texts[i]))
+                whole, cut_off = _window_spans(tags[k], sure[k], start, len(texts[i]))
+                found[i] += whole
+                touching[i] += cut_off
             queue.clear()
             held.clear()
 
-    for i, text in enumerate(texts):
-        starts = windows(text)
-        if starts:
-            codes = _codes(text)
+    def read(wanted: Iterator[tuple[int, list[int]]], size: int) -> None:
+        for i, starts in wanted:
+            codes = _codes(texts[i]) if starts else None
             for start in starts:
                 queue.append((i, start))
-                held.append(_cut_out(codes, start))
-                if len(queue) == 512:
+                held.append(_cut_out(codes, start, size))
+                if len(queue) * size >= 512 * WINDOW:
                     flush()
-    flush()
+        flush()
+
+    read(((i, windows(text)) for i, text in enumerate(texts)), WINDOW)
+    size = WINDOW
+    while size < WIDEST and any(touching):
+        size *= 2
+        wider = []
+        for i, parts in enumerate(touching):
+            if parts:
+                wider.append((i, _sections(parts, [*((a, b) for _, a, b in out[i][0]), *((a, b) for _, _, a, b in found[i])], size)))
+                touching[i] = []
+        read(iter(wider), size)
     for i, text in enumerate(texts):
         out[i][1] = reconcile(text, out[i][0], found[i]) if found[i] else out[i][0]
     return [tuple(x) for x in out]

@@ -434,3 +434,24 @@ def test_vectors_of_every_length_are_searched(spark):
     assert all(got[i] == got[100 + i] == (1, i) for i in range(5))
     assert [got[200 + i] for i in range(3)] == [(2, 200)] * 3 and [got[210 + i] for i in range(2)] == [(1, 210)] * 2
     assert got[300] == (0, 300) and got[50] == (0, 50)
+
+
+@pytest.mark.parametrize("size", [60, 110, 300])
+def test_long_spans_are_found_wherever_they_stand(monkeypatch, size):
+    """With a tagger that takes every run of marks for an e-mail."""
+    marks = [ord(c) for c in "x.(at)"]
+
+    def decode(model, codes):
+        own = np.isin(codes, marks)
+        return np.where(own, np.where(np.c_[np.zeros(len(own), bool), own[:, :-1]], 2, 1), 0), np.ones(codes.shape)
+
+    monkeypatch.setattr(pii, "decode", decode)
+    half = (size - 4) // 2
+    span = "x" * half + "(at)" + "x" * (size - 8 - half) + ".xxx"
+    for offset in range(64):
+        text = "y " * 400 + "y" * offset + " " + span + " " + "y " * 400
+        assert pii.find([text], {})[0] == ([], [("email", 801 + offset, 801 + offset + size)])
+
+
+def test_at_spelt_without_brackets_is_looked_at():
+    assert all(pii.windows(t) for t in ("me at home.example.org", "me {AT} home.example.org", "me(At)home.example.org")) and not pii.windows("that attic flat")
