@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,25 +204,48 @@ def _kids(node: Node) -> list[Node]:
 def match(a: list[str], b: list[Node]) -> list[int | None]:
     """Simple tree matching of one level: the longest common run of labels in order; for each of a its place in b.
 
-    Matching goes down only between matched parents, so levels are aligned one at a time."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    Matching goes down only between matched parents, so levels are aligned one at a time. Equal labels at both ends
+    of a level are matched without a table."""
+    other = [x.label for x in b]
+    out: list[int | None] = [None] * len(a)
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == other[lo]:
+        out[lo] = lo
+        lo += 1
+    end_a, end_b = len(a), len(b)
+    while end_a > lo and end_b > lo and a[end_a - 1] == other[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+        out[end_a] = end_b
+    n, m = end_a - lo, end_b - lo
+    if not n or not m:
+        return out
+    number: dict[str, int] = {}
+    x = np.array([number.setdefault(k, len(number)) for k in a[lo:end_a]])
+    y = np.array([number.setdefault(k, len(number)) for k in other[lo:end_b]])
+    best = np.zeros((n + 1, m + 1), np.int32)
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j].label else max(best[i + 1][j], best[i][j + 1])
-    out: list[int | None] = [None] * n
+        row = np.maximum(best[i + 1, :m], np.where(y == x[i], best[i + 1, 1:] + 1, 0))
+        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
     i = j = 0
     while i < n and j < m:
-        if a[i] == b[j].label:
-            out[i] = j
+        if x[i] == y[j]:
+            out[lo + i] = lo + j
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+        elif best[i + 1, j] >= best[i, j + 1]:
             i += 1
         else:
             j += 1
     return out
 
 
+def _entered(labels: list[str], go: int, kids: list[Node]) -> int | None:
+    """The place of a level's branch among a page's nodes, aligned from the front and from the back; where a page has
+    more or fewer nodes of the branch's label these differ, and the one with more text is taken."""
+    front, back = match(labels, kids)[go], match(labels[::-1], kids[::-1])[len(labels) - 1 - go]
+    places = [p for p in (front, None if back is None else len(kids) - 1 - back) if p is not None]
+    return max(places, key=lambda p: kids[p].size, default=None)
+
+
 def _stops(node: Node, kids: list[Node]) -> bool:
     return node.tag in _SECTIONS or not kids
 
@@ -249,7 +273,7 @@ def induce(pages: list[str]) -> dict:
         go = max(range(len(own)), key=lambda i: (own[i].tag in _SECTIONS, mass[i]))
         if own[go].tag not in _SECTIONS and (own[go].tag in _LINES or 10 * mass[go] < 8 * sum(n.size for n in at)):
             break
-        path.append([[k.label for k in own[:40]], go] if go < 40 else [[own[go].label], 0])
+        path.append([[k.label for k in own], go])
         at = [own[go]] + [kids[p + 1][place[go]] for p, place in enumerate(places) if place[go] is not None]
     sets = [set(lines(n)) for n in at]
     apart = []
@@ -265,7 +289,7 @@ def slot(root: Node, wrapper: dict | None) -> Node:
     node, entered = _body(root), 0
     for labels, go in (wrapper or {}).get("path", ()):
         kids = _kids(node)
-        place = match(labels, kids)[go]
+        place = _entered(labels, go, kids)
         if place is None:
             break
         node, entered = kids[place], entered + 1

@@ -455,3 +455,32 @@ def test_long_spans_are_found_wherever_they_stand(monkeypatch, size):
 
 def test_at_spelt_without_brackets_is_looked_at():
     assert all(pii.windows(t) for t in ("me at home.example.org", "me {AT} home.example.org", "me(At)home.example.org")) and not pii.windows("that attic flat")
+
+
+def test_branches_after_many_siblings():
+    rng = random.Random(21)
+
+    def page(n, more=""):
+        flat = "".join(f"<div>{sentence(rng, 2)}</div>" for _ in range(n))
+        body = "".join(f"<p>{sentence(rng, 20)}</p>" for _ in range(30))
+        return f"<body>{flat}<div><div>{body}</div><div>by us</div></div>{more}</body>", " ".join(re.findall("<p>(.*?)</p>", body))
+
+    wrapper = html_wrapper.induce([page(60)[0] for _ in range(8)])
+    for n in (60, 58, 64):
+        text, want = page(n)
+        assert html_wrapper.main_text(text, wrapper) == want
+    text, want = page(60, "<div>end</div>")
+    assert html_wrapper.main_text(text, wrapper) == want
+
+
+def test_matching_equals_the_plain_recurrence():
+    rng = random.Random(22)
+    for _ in range(500):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        got = html_wrapper.match(a, [html_wrapper.Node("x", k, False) for k in b])
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (a[i] == b[j]))
+        places = [p for p in got if p is not None]
+        assert len(places) == best[0][0] and places == sorted(set(places)) and all(p is None or a[i] == b[p] for i, p in enumerate(got))
