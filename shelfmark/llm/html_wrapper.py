@@ -9,7 +9,9 @@ its tree is matched with the wrapper's path, and the text below the matched slot
 that are never the article by their element or name and without the constant lines.
 
 A host with a single page, or a page that its host's wrapper doesn't match, is read by the path that the page itself
-gives. Constant lines need CERTAIN references that otherwise have little in common: copies of one article on a host
+gives. Names of class, id or role leave a node out, unless the references show that it holds the article: where the
+page's article or main elements stand only below such nodes, or most of the varying text does, it is a layout
+container that is named after what else it holds or doesn't hold. Constant lines need CERTAIN references that otherwise have little in common: copies of one article on a host
 don't make it a template.
 """
 
@@ -52,13 +54,16 @@ _NOT_NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager toolbar widget masthead "
     "skip complementary contentinfo search".split())
 _SECTIONS = frozenset(("article", "main"))
+# Of the names, those of what readers write: it varies as the article does, and may be longer.
+_READERS = frozenset("comment comments respond disqus".split())
 
 
 class Node:
-    __slots__ = ("tag", "label", "out", "children", "size", "print")
+    """`named`: the class, id and role words of a node that is out by them alone, in one text; else empty."""
+    __slots__ = ("tag", "label", "out", "named", "children", "size", "print")
 
-    def __init__(self, tag: str, label: str, out: bool):
-        self.tag, self.label, self.out, self.children, self.size, self.print = tag, label, out, [], 0, 0
+    def __init__(self, tag: str, label: str, out: bool, named: str = ""):
+        self.tag, self.label, self.out, self.named, self.children, self.size, self.print = tag, label, out, named, [], 0, 0
 
 
 def _names(attributes: str) -> tuple[list[str], bool]:
@@ -105,12 +110,15 @@ def parse(text: str | None) -> Node:
         if tag == "html":
             continue
         named, hidden = _names(m[3]) if m[3].strip(" /") else ([], False)
-        out = tag in _NOT_TEXT or hidden or not _NOT_NAMES.isdisjoint(named)
+        node_named = ""
+        out = tag in _NOT_TEXT or hidden
         if tag == "header" and not any(n.tag in _SECTIONS for n in stack):
             out = True
         if tag in _SECTIONS or tag in ("body", "html"):
             out = hidden or "comment" in named or "comments" in named
-        node = Node(tag, f"{tag}.{named[0] if named else ''}", out)
+        elif not out and not _NOT_NAMES.isdisjoint(named):
+            node_named, out = f"{tag} {' '.join(named)}", True
+        node = Node(tag, f"{tag}.{named[0] if named else ''}", out, node_named)
         if tag == "body" and (head := next((i for i, n in enumerate(stack) if n.tag == "head"), 0)):
             _leave(stack, head, opened)
         stack[-1].children.append(node)
@@ -146,6 +154,71 @@ def measured(root: Node) -> Node:
     return root
 
 
+def held(roots: list[Node]) -> set[str]:
+    """The names of nodes that are out by them but hold the article, from pages of one host.
+
+    Pages with an article or main element in sight need none. Of the others, the nodes that hold most of the text (own
+    text, without that of deeper such nodes) come back, else those above the largest article or main element. Text of
+    readers counts only where hardly any stands above it. Of two or more pages only text counts that not all have.
+    """
+    pages = []
+    for root in roots:
+        # Texts and sections with the names of the nodes above them that are out by name.
+        texts, sections, todo = [], [], [(root, ())]
+        while todo:
+            node, above = todo.pop()
+            for c in node.children:
+                if isinstance(c, str):
+                    if words := " ".join(c.split()):
+                        texts.append((words, above))
+                elif c.named or not c.out:
+                    todo.append((c, (*above, c.named) if c.named and c.named not in above else above))
+                    if c.tag in _SECTIONS:
+                        sections.append((c, todo[-1][1]))
+        pages.append((texts, sections))
+    common = set.intersection(*({words for words, _ in texts} for texts, _ in pages)) if len(pages) > 1 else set()
+    found: set[str] = set()
+    mass: Counter = Counter()
+    hidden = [(texts, sections) for texts, sections in pages if all(above for _, above in sections)]
+    for texts, _ in hidden:
+        for words, above in texts:
+            if words not in common:
+                mass[above] += len(words)
+    total = sum(mass.values())
+    for above, n in list(mass.items()):
+        readers = any(not _READERS.isdisjoint(names.split()) for names in above)
+        if above and 2 * n > total and (not readers or 10 * sum(mass[above[:i]] for i in range(len(above))) < total):
+            found.update(above)
+            return found
+    for _, sections in hidden:
+        if sections:
+            found.update(max(sections, key=lambda s: _whole(s[0]))[1])
+    return found
+
+
+def _whole(node: Node) -> int:
+    """Characters below a node."""
+    n, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                n += len(c)
+            else:
+                todo.append(c)
+    return n
+
+
+def released(root: Node, names: set[str]) -> Node:
+    """The tree with the nodes of these names in it, measured again."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.out &= node.named not in names
+        node.size = 0
+        todo += [c for c in node.children if not isinstance(c, str)]
+    return measured(root)
+
+
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIERS = frozenset("ul ol dl table select article section div main aside nav".split())
 
@@ -255,9 +328,11 @@ def _body(root: Node) -> Node:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of a host from some of its pages: path (labels of each level, and which to enter), constant lines."""
-    trees = [_body(parse(p)) for p in dict.fromkeys(pages)]
-    at, path = trees, []
+    """The wrapper of a host from some of its pages: path (labels of each level, and which to enter), constant lines, and
+    the names that leave nothing out."""
+    trees = [parse(p) for p in dict.fromkeys(pages)]
+    names = held(trees)
+    at, path = [_body(released(t, names) if names else t) for t in trees], []
     while True:
         first, kids = at[0], [_kids(n) for n in at]
         own = kids[0]
@@ -281,7 +356,7 @@ def induce(pages: list[str]) -> dict:
         if s and all(2 * len(s & t) < min(len(s), len(t)) or len(s & t) <= 2 and min(len(s), len(t)) > 2 for t in apart):
             apart.append(s)
     constant = sorted(set.intersection(*apart)) if len(apart) >= CERTAIN else []
-    return {"path": path, "constant": constant}
+    return {"path": path, "constant": constant, "held": sorted(names)}
 
 
 def slot(root: Node, wrapper: dict | None) -> Node:
@@ -309,7 +384,9 @@ def slot(root: Node, wrapper: dict | None) -> Node:
 
 
 def main_text(page: str | None, wrapper: dict | None = None) -> str:
-    node = slot(parse(page), wrapper)
+    root = parse(page)
+    names = set(wrapper["held"]) if wrapper else held([root])
+    node = slot(released(root, names) if names else root, wrapper)
     constant = set(wrapper["constant"]) if wrapper else ()
     return " ".join(x for x in lines(node) if x not in constant)
 

@@ -484,3 +484,27 @@ def test_matching_equals_the_plain_recurrence():
                 best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + (a[i] == b[j]))
         places = [p for p in got if p is not None]
         assert len(places) == best[0][0] and places == sorted(set(places)) and all(p is None or a[i] == b[p] for i, p in enumerate(got))
+
+
+@pytest.mark.parametrize("outer, inner", [
+    ("div class='content-sidebar-wrap'", "article"), ("div class='has-sidebar'", "div class='post'"), ("div class='no-sidebar page'", "main"),
+    ("div id='search-content'", "div"), ("div class='post has-comments'", "div class='entry'")])
+def test_names_leave_out_only_what_does_not_hold_the_article(outer, inner):
+    rng = random.Random(23)
+
+    def page():
+        body = "".join(f"<p>{sentence(rng, 20)}</p>" for _ in range(4))
+        return (f"<body><div class='menu'>home about</div><{outer}><{inner}>{body}</{inner.split()[0]}><div class='sidebar'>{sentence(rng, 6)}</div>"
+                f"<div class='related'><article>{sentence(rng, 3)}</article></div></div><div class='comments'><p>{sentence(rng, 5)}</p></div></body>"), " ".join(re.findall("<p>(.*?)</p>", body))
+
+    wrapper = html_wrapper.induce([page()[0] for _ in range(8)])
+    for w in (wrapper, None):
+        text, want = page()
+        assert html_wrapper.main_text(text, w) == want
+
+
+def test_long_comments_stay_out():
+    rng = random.Random(24)
+    pages = [f"<body><div class='post'><p>{sentence(rng, 20)}</p></div><div class='comments-area'>{sentence(rng, 60)}</div></body>" for _ in range(9)]
+    wrapper = html_wrapper.induce(pages[:8])
+    assert html_wrapper.main_text(pages[8], wrapper) == html_wrapper.main_text(pages[8]) == re.findall("<p>(.*?)</p>", pages[8])[0]
