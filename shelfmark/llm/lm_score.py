@@ -1,14 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are gathered over all training texts. A count c of 2 or more is quantised to
-level 1 + floor(log2(c / 2)), and the filter holds (n-gram, 1) to (n-gram, level); repeated membership probes, level
-by level until one fails, give the quantised count back. A pair can be no more frequent than its words, so pairs of
-words seen once are not probed and an estimate never exceeds its words' counts. P(w | v) interpolates the pair
-estimate with the add-one word estimate.
-
-The filter is broadcast, and its bits are bounded by MAX_BITS: beyond MAX_BITS / BITS_EACH entries the lowest levels
-that do not fit are left to the word estimate (all counts are still gathered). Exact word counts are broadcast for
-words that make up at least 1 / HEAVY of all tokens, of which there are at most HEAVY; others are joined.
+Counts of words and word pairs are gathered over all training texts. A count c is quantised to level
+floor(log2(c)), and the filter holds (n-gram, 0) to (n-gram, level); repeated membership probes, level by level until
+one fails, give the quantised count back. A pair can be no more frequent than its words, so pairs of words never seen
+are not probed and an estimate never exceeds its words' counts. P(w | v) interpolates the pair estimate with the
+add-one word estimate.
+
+The filter takes BITS_EACH bits for every entry there is, in a segment per bucket (the hash's leading bits). Up to
+MAX_BITS it is broadcast. Beyond, each segment stays beside its bucket: the distinct n-grams of a run of texts are
+sent to their buckets, probed there, and the levels sent back. Both ways give the same scores. Exact word counts are
+broadcast for words that make up at least 1 / HEAVY of all tokens, of which there are at most HEAVY; others are joined.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def _merge(part: pa.Table) -> pa.Table:
-    """One bucket: its word counts in full, and the pairs seen at least twice with their levels."""
+    """One bucket: its word counts in full, and the pairs with their levels."""
     bucket, kinds = part["bucket"][0].as_py(), part["kind"].to_numpy()
     keys, counts = part["keys"].to_pylist(), part["counts"].to_pylist()
 
@@ -114,14 +115,13 @@ def _merge(part: pa.Table) -> pa.Table:
 
     h, c = own(1, "<u8")
     p, n = own(2, "<u4")
-    kept = n >= 2
-    levels = level(n[kept])
+    levels = level(n)
     both = np.concatenate([levels, level(c)])
     tally = np.bincount(both, minlength=64)[:64]
     return pa.table({
         "bucket": pa.array([bucket], pa.int32()), "words": pa.array([h.tobytes()], pa.binary()),
         "counts": pa.array([c.astype("<i8").tobytes()], pa.binary()),
-        "pairs": pa.array([p[kept].tobytes()], pa.binary()),
+        "pairs": pa.array([p.tobytes()], pa.binary()),
         "levels": pa.array([levels.astype("u1").tobytes()], pa.binary()),
         "tokens": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64()),
         "tally": pa.array([tally.tolist()], pa.list_(pa.int64()))})
@@ -143,8 +143,8 @@ def _pair_keys(bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
     return mixed((np.asarray(bucket).astype(np.uint64) << np.uint64(32)) + low.astype(np.uint64))
 
 
-def _segments(bits: int, least: int):
-    """The filter's segment of each bucket: levels from `least` on."""
+def _segments(bits: int):
+    """The filter's segment of each bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -152,7 +152,7 @@ def _segments(bits: int, least: int):
                 segment = np.zeros(bits, np.uint8)
                 for x, n in ((_word_keys(np.frombuffer(h, "<u8")), level(np.frombuffer(c, "<i8"))),
                              (_pair_keys(bucket, np.frombuffer(p, "<u4")), np.frombuffer(lev, "u1").astype(np.int64))):
-                    for j in range(least, int(n.max(initial=0)) + 1):
+                    for j in range(int(n.max(initial=-1)) + 1):
                         for place in _places(x[n >= j], j, bits):
                             segment[place.astype(np.int64)] = 1
                 made.append(np.packbits(segment, bitorder="little").tobytes())
@@ -161,14 +161,14 @@ def _segments(bits: int, least: int):
 
 
 class Filter:
-    """Probes of the broadcast filter: a segment of equal size per bucket."""
+    """Probes of segments of equal size, one per bucket, for the levels from `least` on."""
 
     def __init__(self, segments: np.ndarray, bits: int, split: int, least: int):
         self.segments, self.bits, self.split, self.least = segments, bits, split, least
 
     def levels(self, keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-        """The quantised level of each n-gram: 0, or the last of the levels in a row that are all found."""
-        found, live = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        """The quantised level of each n-gram: the last of the levels in a row that are all found, least - 1 for none."""
+        found, live = np.full(len(keys), self.least - 1, np.int64), np.arange(len(keys))
         base, stride, j = buckets.astype(np.int64), self.bits // 8, self.least
         while len(live):
             h, at, step = keys[live], live, np.uint64(j * int(_ODD) & 0xFFFFFFFFFFFFFFFF)
@@ -186,69 +186,174 @@ class Filter:
 
 
 def _estimate(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts, on the log scale."""
-    return np.where(levels > 0, 2.0 ** (levels + 0.5), 0.0)
+    """The middle of a level's counts, on the log scale; levels are -1 for what is not there."""
+    return np.where(levels > 0, 2.0 ** (levels + 0.5), np.where(levels == 0, 1.0, 0.0))
 
 
 _SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, gain double, "
            "rare array<long>, times array<int>")
 
 
-def _score(shared, tokens: int, distinct: int, weight: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, counts, segments, bits, split, least = shared.value
-        probe, row = Filter(segments, bits, split, least), TaskContext.get().partitionId() << 36
-        shift = np.uint64(64 - split)
-        for batch in batches:
-            ids, held = batch.column(0), batch.column(1)
-            parts, size, lo = [], 0, 0
-            for i, text in enumerate(batch.column(2)):
-                parts.append(words(text.as_py()))
-                size += len(parts[-1])
-                if size >= CHUNK or i == batch.num_rows - 1:
-                    yield chunk(parts, ids.slice(lo, len(parts)), held.slice(lo, len(parts)), row, heavy, counts, probe, shift)
-                    row, lo, parts, size = row + len(parts), lo + len(parts), [], 0
-
-    def chunk(parts, ids, held, row, heavy, counts, probe, shift):
-        sizes = np.array([len(x) for x in parts])
-        h, first = np.concatenate(parts), np.r_[0, np.cumsum(sizes)[:-1]]
-        doc = np.repeat(np.arange(len(parts)), sizes)
-        u, back = np.unique(h, return_inverse=True)
+class Chunk:
+    """A run of texts: sizes, its distinct words u with exact counts for some, and which of u stands where (back)."""
+
+    def __init__(self, sizes: np.ndarray, u: np.ndarray, back: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
+        self.sizes, self.u, self.back = sizes, u, back
+        self.first = np.r_[0, np.cumsum(sizes)[:-1]]
         at = np.minimum(np.searchsorted(heavy, u), max(len(heavy) - 1, 0))
-        exact = heavy[at] == u if len(heavy) else np.zeros(len(u), bool)
-        c = np.zeros(len(u))
-        c[exact] = counts[at[exact]]
-        rare = np.flatnonzero(~exact)
-        c[rare] = _estimate(probe.levels(_word_keys(u[rare]), u[rare] >> shift))
-        known = exact[back]
-        cw = c[back]
-        cv = np.roll(cw, 1)
+        self.exact = heavy[at] == u if len(heavy) else np.zeros(len(u), bool)
+        self.c = np.zeros(len(u))
+        self.c[self.exact] = counts[at[self.exact]]
+        self.rare = np.flatnonzero(~self.exact)
+
+    def pairs(self, levels: np.ndarray) -> np.ndarray:
+        """The distinct pairs to probe, once the levels of the rare words are there."""
+        self.c[self.rare] = _estimate(levels)
+        self.cw = self.c[self.back]
+        self.cv = np.roll(self.cw, 1)
         # Looked up by its hash: the end mark is in every chunk.
-        cv[first] = c[np.searchsorted(u, _END)]
-        may = np.flatnonzero((cw >= 2) & (cv >= 2))
-        p = pairs(h, first)[may]
-        bucket = p >> shift
-        seen = _estimate(probe.levels(_pair_keys(bucket, p & _LOW), bucket))
-        seen = np.minimum(seen, np.minimum(cw[may], cv[may]))
-        gain = np.full(len(h), np.log10(1 - weight))
-        single = (cw[may] + 1) / (tokens + distinct + 1)
-        gain[may] = np.log10(1 - weight + weight * seen / np.maximum(cv[may], 1) / single)
+        self.cv[self.first] = self.c[np.searchsorted(self.u, _END)]
+        self.may = np.flatnonzero((self.cw >= 1) & (self.cv >= 1))
+        distinct, self.pair = np.unique(pairs(self.u[self.back], self.first)[self.may], return_inverse=True)
+        return distinct
+
+    def rows(self, levels: np.ndarray, row: int, ids, held, tokens: int, distinct: int, weight: float) -> pa.RecordBatch:
+        """A row per text, from the levels of the pairs."""
+        doc, cw, cv, u = np.repeat(np.arange(len(self.sizes)), self.sizes), self.cw, self.cv, self.u
+        known = self.exact[self.back]
+        seen = np.minimum(_estimate(levels)[self.pair], np.minimum(cw[self.may], cv[self.may]))
+        gain = np.full(len(doc), np.log10(1 - weight))
+        single = (cw[self.may] + 1) / (tokens + distinct + 1)
+        gain[self.may] = np.log10(1 - weight + weight * seen / cv[self.may] / single)
         logs = np.where(known, np.log10(cw + 1), 0.0)
-        n = len(parts)
+        n = len(self.sizes)
         left = np.flatnonzero(~known)
-        key, times = np.unique(doc[left] * np.int64(len(u)) + back[left], return_counts=True)
+        key, times = np.unique(doc[left] * np.int64(len(u)) + self.back[left], return_counts=True)
         ends = np.cumsum(np.bincount(key // max(len(u), 1), minlength=n))
         offsets = pa.array(np.r_[0, ends], pa.int32())
         total = lambda x: pa.array(np.bincount(doc, x, n))
         return pa.RecordBatch.from_arrays([
-            pa.array(row + np.arange(n)), ids, held, pa.array(sizes, pa.int64()),
+            pa.array(row + np.arange(n)), ids, held, pa.array(self.sizes, pa.int64()),
             pa.array(np.bincount(doc, known, n).astype(np.int64)), total(logs), total(gain),
             pa.ListArray.from_arrays(offsets, pa.array(u[key % max(len(u), 1)].view(np.int64))),
             pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
         ], ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "gain", "rare", "times"])
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], heavy: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """(number of the first row, ids, held_out, chunk) of runs of texts."""
+    row = TaskContext.get().partitionId() << 36
+    for batch in batches:
+        ids, held = batch.column(0), batch.column(1)
+        parts, size, lo = [], 0, 0
+        for i, text in enumerate(batch.column(2)):
+            parts.append(words(text.as_py()))
+            size += len(parts[-1])
+            if size >= CHUNK or i == batch.num_rows - 1:
+                u, back = np.unique(np.concatenate(parts), return_inverse=True)
+                n = len(parts)
+                yield row, ids.slice(lo, n), held.slice(lo, n), Chunk(np.array([len(x) for x in parts]), u, back, heavy, counts)
+                row, lo, parts, size = row + n, lo + n, [], 0
+
+
+def _score(shared, tokens: int, distinct: int, weight: float):
+    """Scores by the broadcast filter."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, counts, segments, bits, split = shared.value
+        probe, shift = Filter(segments, bits, split, 0), np.uint64(64 - split)
+        for row, ids, held, chunk in _chunks(batches, heavy, counts):
+            rare = chunk.u[chunk.rare]
+            p = chunk.pairs(probe.levels(_word_keys(rare), rare >> shift))
+            bucket = p >> shift
+            yield chunk.rows(probe.levels(_pair_keys(bucket, p & _LOW), bucket), row, ids, held, tokens, distinct, weight)
+    return run
+
+
+_QUERY = "chunk long, kind int, bucket int, keys binary"
+_CHUNKS = _QUERY + ", ids array<long>, held array<boolean>, sizes binary, words binary, back binary"
+_LEVELS = "chunk long, kind int, bucket int, levels binary"
+
+
+def _queries(row: int, kind: int, keys: np.ndarray, shift: np.uint64) -> pa.RecordBatch:
+    """Sorted keys by bucket."""
+    where = (keys >> shift).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.empty(0, np.int64)
+    parts = np.split(keys, edges[1:]) if len(keys) else []
+    n = len(parts)
+    return pa.RecordBatch.from_arrays([
+        pa.array([row] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(where[edges], pa.int32()),
+        pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "kind", "bucket", "keys"])
+
+
+def _tokenised(shared):
+    """The chunks (kind 0), and by bucket the words of each whose levels are asked for (kind 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, counts, shift = shared.value
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3]
+        names = ["chunk", "kind", "bucket", "keys", "ids", "held", "sizes", "words", "back"]
+        for row, ids, held, chunk in _chunks(batches, heavy, counts):
+            asked = _queries(row, 1, chunk.u[chunk.rare], shift)
+            yield pa.RecordBatch.from_arrays([*asked.columns, *(pa.nulls(asked.num_rows, k) for k in kinds)], names)
+            own = (ids.to_pylist(), held.to_pylist(), chunk.sizes.astype("<i8").tobytes(), chunk.u.tobytes(), chunk.back.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row], pa.int64()), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
+                *(pa.array([x], k) for x, k in zip(own, kinds))], names)
+    return run
+
+
+def _probe(bits: int, split: int):
+    """Levels of what is asked of one bucket, by its segment."""
+    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
+        made = segment["segment"][0].as_py() if segment.num_rows else b"\0" * (bits // 8)
+        probe, out = Filter(np.frombuffer(made, np.uint8), bits, 0, 0), []
+        for kind, bucket, keys in zip(*(asked[c].to_pylist() for c in ("kind", "bucket", "keys"))):
+            h = np.frombuffer(keys, "<u8")
+            x = _word_keys(h) if kind == 1 else _pair_keys(bucket, h & _LOW)
+            out.append(probe.levels(x, np.zeros(len(x), np.int64)).astype("i1").tobytes())
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": pa.array(out, pa.binary())})
+    return run
+
+
+def _opened(record: pa.Table, shared) -> Chunk:
+    read = lambda c, kind: np.frombuffer(record[c][0].as_py(), kind)
+    return Chunk(read("sizes", "<i8"), read("words", "<u8"), read("back", "<u4").astype(np.int64), *shared.value[:2])
+
+
+def _answer(levels: pa.Table, kind: int) -> np.ndarray:
+    """The levels of a chunk's words (1) or pairs (2), in the order of their keys."""
+    found = sorted((b, x) for k, b, x in zip(*(levels[c].to_pylist() for c in ("kind", "bucket", "levels"))) if k == kind)
+    return np.frombuffer(b"".join(x for _, x in found), "i1").astype(np.int64)
+
+
+def _ask_pairs(shared):
+    def run(record: pa.Table, levels: pa.Table) -> pa.Table:
+        p = _opened(record, shared).pairs(_answer(levels, 1))
+        return pa.Table.from_batches([_queries(record["chunk"][0].as_py(), 2, p, shared.value[2])])
+    return run
+
+
+def _finish(shared, tokens: int, distinct: int, weight: float):
+    def run(record: pa.Table, levels: pa.Table) -> pa.Table:
+        chunk = _opened(record, shared)
+        chunk.pairs(_answer(levels, 1))
+        ids, held = (pa.array(record[c][0].as_py(), k) for c, k in (("ids", pa.int64()), ("held", pa.bool_())))
+        return pa.Table.from_batches([chunk.rows(_answer(levels, 2), record["chunk"][0].as_py(), ids, held, tokens, distinct, weight)])
     return run
 
 
+def _score_beside(base: DataFrame, segments: DataFrame, shared, bits: int, split: int, tokens: int, distinct: int, weight: float) -> DataFrame:
+    """Scores by segments that stay beside their buckets."""
+    made = cut(base.mapInArrow(_tokenised(shared), _CHUNKS))
+    chunks = made.where("kind = 0").select("chunk", "ids", "held", "sizes", "words", "back").groupBy("chunk")
+
+    def probed(asked: DataFrame) -> DataFrame:
+        return cut(asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_probe(bits, split), _LEVELS))
+
+    of_words = probed(made.where("kind = 1").select("chunk", "kind", "bucket", "keys"))
+    of_pairs = probed(chunks.cogroup(of_words.groupBy("chunk")).applyInArrow(_ask_pairs(shared), _QUERY))
+    return chunks.cogroup(of_words.union(of_pairs).groupBy("chunk")).applyInArrow(_finish(shared, tokens, distinct, weight), _SCORED)
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -277,23 +382,26 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
              .agg(F.sum("n").alias("n")).orderBy("level").collect()] or [0]
     whole = merged.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
     tokens, distinct = whole["tokens"] or 0, whole["distinct"] or 0
-    above = np.cumsum(np.array(tally)[::-1])[::-1]
-    entries = [int(above[j:].sum()) for j in range(len(above))]
-    least = next((j for j in range(1, len(entries)) if entries[j] * BITS_EACH <= MAX_BITS), 1)
-    wanted = entries[least] * BITS_EACH if least < len(entries) else 0
+    wanted = sum((j + 1) * n for j, n in enumerate(tally)) * BITS_EACH
     bits = max(64, -(-wanted >> split) // 8 * 8 + 8)
     filled = merged.select("bucket", "words", "counts", "pairs", "levels").mapInArrow(
-        _segments(bits, least), "bucket int, segment binary").toArrow()
-    segments = np.zeros(bits // 8 << split, np.uint8)
-    for bucket, segment in zip(filled["bucket"].to_pylist(), filled["segment"]):
-        segments[bucket * bits // 8:(bucket + 1) * bits // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
+        _segments(bits), "bucket int, segment binary")
     counted = merged.select("words", "counts").mapInArrow(_word_rows, "word long, n long")
     bar = tokens / HEAVY
     heavy = counted.where(F.col("n") >= bar).toArrow()
     h, c = heavy["word"].to_numpy().view(np.uint64), heavy["n"].to_numpy()
     order = np.argsort(h)
-    shared = spark.sparkContext.broadcast((h[order], c[order], segments, bits, split, least))
-    scored = cut(base.mapInArrow(_score(shared, tokens, distinct, weight), _SCORED))
+    h, c = h[order], c[order]
+    if wanted <= MAX_BITS:
+        segments = np.zeros(bits // 8 << split, np.uint8)
+        made = filled.toArrow()
+        for bucket, segment in zip(made["bucket"].to_pylist(), made["segment"]):
+            segments[bucket * bits // 8:(bucket + 1) * bits // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
+        shared = spark.sparkContext.broadcast((h, c, segments, bits, split))
+        scored = cut(base.mapInArrow(_score(shared, tokens, distinct, weight), _SCORED))
+    else:
+        shared = spark.sparkContext.broadcast((h, c, np.uint64(64 - split)))
+        scored = cut(_score_beside(base, cut(filled), shared, bits, split, tokens, distinct, weight))
     pieces = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = pieces.join(counted.where(F.col("n") < bar), "word").groupBy("row").agg(

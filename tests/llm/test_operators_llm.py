@@ -508,3 +508,32 @@ def test_long_comments_stay_out():
     pages = [f"<body><div class='post'><p>{sentence(rng, 20)}</p></div><div class='comments-area'>{sentence(rng, 60)}</div></body>" for _ in range(9)]
     wrapper = html_wrapper.induce(pages[:8])
     assert html_wrapper.main_text(pages[8], wrapper) == html_wrapper.main_text(pages[8]) == re.findall("<p>(.*?)</p>", pages[8])[0]
+
+
+def test_pair_scores_equal_a_plain_model(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(WORDS) + str(int(rng.random() ** 3 * 9)) for _ in range(rng.randint(0, 60))), "s") for i in range(150)]
+    tokens = lambda t: t.lower().split() + ["\x00end"]
+    train = [tokens(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count, both = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["\x00end", *t], t))
+    n, v, weight = sum(count.values()), len(count), lm_score.WEIGHT
+    middle = lambda c: c if c < 2 else 2.0 ** (math.floor(math.log2(c)) + 0.5)
+    for heavy in (1 << 20, 4):
+        word = lambda w: count[w] if count[w] >= n / heavy else middle(count[w])
+        monkeypatch.setattr(lm_score, "HEAVY", heavy)
+        monkeypatch.setattr(lm_score, "CHUNK", 700)
+        got = {}
+        for most in (1 << 29, 0):
+            monkeypatch.setattr(lm_score, "MAX_BITS", most)
+            got[most] = {r.doc_id: r for r in lm_score.score(docs_of(spark, rows), F.crc32(F.col("doc_id").cast("string")) % 7 == 2).collect()}
+        right = 0
+        for i, t, _ in rows:
+            want = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t))
+            for a, w in zip(["\x00end", *tokens(t)], tokens(t)):
+                seen = min(middle(both[a, w]), word(a), word(w))
+                want += math.log10(1 - weight + (weight * seen / word(a) / ((word(w) + 1) / (n + v + 1)) if seen else 0))
+            assert math.isclose(got[0][i].score, got[1 << 29][i].score, rel_tol=1e-12) and got[0][i].base_score == pytest.approx(got[1 << 29][i].base_score)
+            assert abs(got[0][i].score - want) < 2
+            right += math.isclose(got[0][i].score, want, rel_tol=1e-9)
+        # The others hold a false positive of the filter.
+        assert right > 0.8 * len(rows)
