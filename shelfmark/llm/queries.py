@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    decontaminate, html_wrapper, jaccard_join, lm_score, packing, pii, pq_dedup, pu_quality, sharding, substring_dedup,
+    decontaminate, html_wrapper, jaccard_join, lm_score, merkle, packing, pii, pq_dedup, pu_quality, sharding,
+    substring_dedup,
 )
 from shelfmark.llm.common import table
 
@@ -65,6 +66,71 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document (by checksum of its id) is tampered with: its text's A-Z are lower-cased."""
+    third = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    return merkle.manifest(table(spark, sf_dir, "documents"), third, F.translate("text", _UPPER, _UPPER.lower()))
+
+
+def _crc32_sql(text: str) -> str:
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce(range(8), lambda c, _: {bit}, xor(c, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _merkle_sql(layers: int = 7, over: int = 3) -> str:
+    """Trees of up to 8 ** layers rows a language and 8 ** over languages."""
+    def leaf(text: str) -> str:
+        told = (f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+                for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({' || '.join(told)})"
+
+    def tree(name: str, count: int) -> list[str]:
+        """{name}_k has the runs of layer k: t, r, dig, m (nodes of the layer), pre and post (a node's siblings)."""
+        parts = []
+        for k in range(count + 1):
+            below = f"{name}_{k - 1}"
+            nodes = f"{name}_nodes" if k == 0 else (
+                f"(SELECT t, r // 8 AS r, CASE WHEN min(m) > 1 THEN sha256(string_agg(dig, '' ORDER BY r)) ELSE min(dig) "
+                f"END AS dig FROM {below} GROUP BY t, r // 8)")
+            run = "(PARTITION BY t, r // 8 ORDER BY r ROWS BETWEEN"
+            parts.append(
+                f"{name}_{k} AS (SELECT t, r, dig, count(*) OVER (PARTITION BY t) AS m, "
+                f"coalesce(string_agg(dig, '') OVER {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, "
+                f"coalesce(string_agg(dig, '') OVER {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post "
+                f"FROM {nodes})")
+        return parts
+
+    def climb(name: str, source: str, count: int) -> list[str]:
+        """Rows climb the tree layer by layer: prf gathers the siblings, f is the digest folded so far."""
+        parts = []
+        for k in range(count):
+            below = source if k == 0 else f"{name}_up_{k - 1}"
+            parts.append(
+                f"{name}_up_{k} AS (SELECT x.* EXCLUDE (f, prf), CASE WHEN m > 1 THEN sha256(pre || f || post) ELSE f "
+                f"END AS f, prf || CASE WHEN m > 1 THEN pre || post ELSE '' END AS prf FROM {below} x JOIN {name}_{k} y "
+                f"ON x.{name}_t = y.t AND x.{name}_r // {8 ** k} = y.r)")
+        return parts
+
+    climbed = ", ".join([
+        "docs AS (SELECT doc_id, coalesce('=' || lang, '') AS t, " + leaf("text") + " AS leaf, CASE WHEN "
+        + _crc32_sql("CAST(doc_id AS VARCHAR)") + " % 3 = 0 THEN "
+        + leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')") + " ELSE " + leaf("text") + " END AS f FROM documents)",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, '' AS prf FROM docs)",
+        "l_nodes AS (SELECT t, r, leaf AS dig FROM d)", *tree("l", layers),
+        f"g_nodes AS (SELECT '' AS t, row_number() OVER (ORDER BY encode(t)) - 1 AS r, dig, t AS own FROM l_{layers})",
+        *tree("g", over),
+        f"start AS (SELECT doc_id, leaf, d.f, prf, d.t AS l_t, d.r AS l_r, g.dig AS subroot, '' AS g_t, g.r AS g_r, "
+        f"(SELECT dig FROM g_{over}) AS root FROM d JOIN g_nodes g ON g.own = d.t)",
+        *climb("l", "start", layers), *climb("g", f"l_up_{layers - 1}", over)])
+    return (f"WITH {climbed} SELECT doc_id, leaf, subroot, root, sha256(prf) AS proof_sha256, f AS folded_root, "
+            f"f = root AS verified FROM g_up_{over - 1}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pu_quality": op1_pu_quality,
     "op2_line_dedup": op2_line_dedup,
@@ -76,8 +142,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_wrapper": op8_html_wrapper,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_pq_dedup": op10_pq_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
 def checks() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_manifest": _merkle_sql()}
