@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import (
-    decontaminate, hard_negatives, html_wrapper, jaccard_join, lm_score, merkle, packing, pii, pq_dedup, pu_quality,
-    sharding, substring_dedup,
+    decontaminate, hard_negatives, html_wrapper, jaccard_join, lang_id, lm_score, merkle, packing, pii, pq_dedup,
+    pu_quality, sharding, substring_dedup,
 )
 from shelfmark.llm.common import table
 
@@ -94,6 +94,12 @@ WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 9
 QUALIFY rank <= 3
 """
 
+def op12_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = lang_id.predict(docs.select("doc_id", "text"), lang_id.learn(docs, trusted=_fold(4) != 2))
+    return told.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -171,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bloom_lm": op9_bloom_lm,
     "op10_pq_dedup": op10_pq_dedup,
     "op11_kronecker_negatives": op11_kronecker_negatives,
+    "op12_bigru_language": op12_bigru_language,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
