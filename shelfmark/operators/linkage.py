@@ -4,8 +4,9 @@ Two ways to find the rows a candidate is compared with:
 
 * exact titles: provider rows whose folded title equals the candidate's. All results of a title are ranked once per
   distinct (title, year) query; a candidate adds the few of them whose runtime is compared with its own, which are
-  all that can differ between candidates of one query;
-* given pairs: the search hits a provider returned, all of them.
+  all that can differ between candidates of one query. Both are kept apart (``movie_members``, ``query_results``), so
+  what is stored grows with queries plus candidates; ``expanded`` and ``at_rank`` put them together again;
+* given pairs: the search hits a provider returned, or those ``search`` finds, all of them.
 
 Results are rows with a rank and are never cut. Deciding needs the best two of an attempt only; what is recorded of an
 attempt is all of its matches.
@@ -90,22 +91,45 @@ def _asked(keyed: DataFrame) -> DataFrame:
     return keyed.where(~F.startswith(F.col("block"), F.lit("\x00"))).select("block", "year")
 
 
-def _scored(position: Column, detail: int) -> Column:
-    runtime = F.when(position < detail, F.col("local_seconds"))
-    return movie_score(_local(), F.col("movie"), F.lit(1.0), runtime)
+def _bare(year: Column, movie: Column) -> Column:
+    """The match of a movie whose runtime is not compared: the same for all candidates of a query."""
+    return movie_score({"year": year, "type": F.lit("MOVIE")}, movie, F.lit(1.0), F.lit(None).cast("double"))
 
 
-def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
-    """Candidates with ``matches``, the best two exact-title matches (fewer when there are none), and ``result_count``.
+def _bare_total(year_score: float | None) -> Column:
+    w = scores.MOVIE_WEIGHTS
+    return F.round(scores.weighted_mean([
+        (F.lit(1.0), w["title_score"]), (F.lit(year_score).cast("double"), w["year_score"]),
+        (F.lit(None).cast("double"), w["runtime_score"])]), 4)
+
+
+def query_results(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """(block, year, position, match): results of each distinct query from position ``detail`` on, in rank order.
+
+    Their runtime is never compared, so every candidate of the query has them in this order with these scores.
+    """
+    rest = title_results(_asked(_queried(candidates)), movies).where(F.col("position") >= detail)
+    return rest.select("block", "year", "position", _bare(F.col("year"), F.col("movie")).alias("match"))
+
 
-    The candidate meets a row per query that holds its first ``detail`` results, whose runtime counts, and the next
-    two: what comes after is behind those two for every candidate. All matches as rows: ``movie_match_rows``.
+def movie_members(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Candidates (movies) with their query's ``block`` and ``year`` (a block that starts with NUL asks nothing),
+    ``result_count``, ``compared`` and ``matches``, the best two.
+
+    ``compared`` holds the first ``detail`` results of the query, whose runtime is compared with the candidate's own:
+    (rank, ahead, match), best first. ``ahead`` is how many of the other results come before it. The others are
+    counted by their year score, which alone sets their score, so no candidate meets them as rows. Another result
+    of equal score has an equal year score and a later position, so it comes after.
     """
     keyed = _queried(candidates)
     entry = F.struct("position", "movie")
+    rest, year = F.col("position") >= detail, scores.year_score(F.col("year"), F.col("movie.release_year"))
+    classes = F.array(*[F.struct(
+        _bare_total(v).alias("total"), F.count_if(rest & year.eqNullSafe(F.lit(v).cast("double"))).alias("n"))
+        for v in (*scores.YEAR_SCORES, None)])
     heads = title_results(_asked(keyed), movies).groupBy("block", "year").agg(
         F.sort_array(F.collect_list(F.when(F.col("position") < detail + _SPARE, entry))).alias("head"),
-        F.count(F.lit(1)).alias("result_count"))
+        F.count(F.lit(1)).alias("result_count"), classes.alias("classes"))
     heads = heads.withColumnsRenamed({"block": "__block", "year": "__year"})
     joined = keyed.join(heads, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")), "left")
 
@@ -113,11 +137,51 @@ def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_
         runtime = F.when(e["position"] < detail, F.col("local_seconds"))
         return movie_score(_local(), e["movie"], F.lit(1.0), runtime)
 
-    ranked = F.slice(F.sort_array(F.transform(F.col("head"), scored)), 1, 2)
-    kind = joined.select(ranked.alias("x")).schema["x"].dataType
-    return joined.withColumns({
-        "matches": F.coalesce(ranked, F.array().cast(kind)), "result_count": F.coalesce("result_count", F.lit(0)),
-    }).drop("block", "year", "__block", "__year", "head")
+    def ahead(m: Column) -> Column:
+        before = F.filter("classes", lambda c: c["total"] > m["total_score"])
+        return F.aggregate(before, F.lit(0).cast("long"), lambda n, c: n + c["n"])
+
+    own = F.sort_array(F.transform(F.filter("head", lambda e: e["position"] < detail), scored))
+    compared = F.transform(own, lambda m, i: F.struct(
+        (ahead(m) + i + 1).alias("rank"), ahead(m).alias("ahead"), m.alias("match")))
+    best = F.slice(F.sort_array(F.transform("head", scored)), 1, 2)
+    found = joined.withColumns({"compared": compared, "matches": best})
+    none = {c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("compared", "matches")}
+    return found.withColumns({**none, "result_count": F.coalesce("result_count", F.lit(0))}).drop(
+        "__block", "__year", "head", "classes")
+
+
+def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Candidates with ``matches``, the best two exact-title matches (fewer when there are none), and ``result_count``."""
+    return movie_members(candidates, movies, detail).drop("block", "year", "compared")
+
+
+def _on_query(members: DataFrame, results: DataFrame, *more: Column) -> DataFrame:
+    results = results.withColumnsRenamed({"block": "__block", "year": "__year"})
+    on = (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year"))
+    for condition in more:
+        on = on & condition
+    return members.join(results, on)
+
+
+def expanded(members: DataFrame, results: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """(media_file_id, rank, match): all matches of the members given, as many as their queries have results."""
+    own = members.select("media_file_id", F.inline("compared")).drop("ahead")
+    place = F.col("position") - detail
+    rank = place + 1 + F.size(F.filter("compared", lambda o: o["ahead"] <= place))
+    rest = _on_query(members.select("media_file_id", "block", "year", "compared"), results)
+    return own.select("media_file_id", F.col("rank").cast("int").alias("rank"), "match").union(
+        rest.select("media_file_id", rank.cast("int").alias("rank"), "match"))
+
+
+def at_rank(members: DataFrame, results: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+    """Members with a ``rank`` asked for, joined to the one ``match`` they have there; none beyond the last."""
+    hit = F.get(F.filter("compared", lambda o: o["rank"] == F.col("rank")), F.lit(0))["match"]
+    before = F.size(F.filter("compared", lambda o: o["rank"] < F.col("rank")))
+    asked = members.withColumns({"__hit": hit, "__place": F.col("rank") - 1 - before + detail})
+    given = asked.where(F.col("__hit").isNotNull()).withColumn("match", F.col("__hit")).drop("__hit", "__place")
+    rest = _on_query(asked.where(F.col("__hit").isNull()), results, F.col("__place") == F.col("position"))
+    return given.unionByName(rest.select(*given.columns))
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -128,10 +192,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def movie_match_rows(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
     """Every exact-title match of every candidate as ranked rows: as many as an attempt has results."""
-    keyed = _queried(candidates)
-    results = title_results(_asked(keyed), movies).withColumnsRenamed({"block": "__block", "year": "__year"})
-    joined = keyed.join(results, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")))
-    return _ranked(joined.withColumn("match", _scored(F.col("position"), detail)))
+    return expanded(movie_members(candidates, movies, detail), query_results(candidates, movies, detail), detail)
 
 
 def match_movie_pairs(pairs: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
@@ -209,32 +270,48 @@ def episode_score(series_score: Column, episode_title_score: Column) -> Column:
     )
 
 
+def episode_index(series: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One row per folded series title and episode: what a candidate is looked up by is its whole key (block,
+    season_number, episode_number)."""
+    named = blocked(series, ["title"]).select(
+        "block", F.col("provider_id").alias("series_provider_id"), F.col("title").alias("series_title"))
+    return named.join(_catalog(episodes), "series_provider_id")
+
+
+def _catalog(episodes: DataFrame) -> DataFrame:
+    return episodes.select(
+        "series_provider_id", "season_number", "episode_number",
+        F.col("provider_id").alias("ep_id"), F.nullif(F.col("episode_title"), F.lit("")).alias("ep_title"),
+        F.col("runtime_seconds").alias("ep_runtime"))
+
+
+def _complete() -> Column:
+    return F.col("season_number").isNotNull() & F.col("episode_number").isNotNull()
+
+
 def match_episodes(candidates: DataFrame, series: DataFrame, episodes: DataFrame) -> DataFrame:
     """Every episode match of each candidate as ranked rows: one per same-titled series that has the episode.
 
-    A candidate without series title, season or episode number has none.
+    The look-up is by title, season and number together, so a candidate meets none but episodes it matches, however
+    many series share its title. A candidate without series title, season or episode number has none.
     """
-    named = blocked(series, ["title"]).select(
-        "block", F.col("provider_id").alias("series_provider_id"), F.col("title").alias("series_title"))
-    keyed = candidates.withColumn("block", fold_title(F.col("parsed_series_title"))).where(F.col("block") != "")
-    return _episode_rows(keyed.join(named, "block").withColumn("similarity", F.lit(1.0)), episodes)
+    keyed = candidates.where(_complete()).withColumn("block", fold_title(F.col("parsed_series_title")))
+    found = keyed.where(F.col("block") != "").join(
+        episode_index(series, episodes), ["block", "season_number", "episode_number"])
+    return _episode_rows(found.withColumn("similarity", F.lit(1.0)))
 
 
 def match_episode_pairs(pairs: DataFrame, episodes: DataFrame, limit: int | None = SERIES_LOOKUPS) -> DataFrame:
     """Episode matches of given series hits as ranked rows: the candidate's columns with series_provider_id and
     series_title. ``limit`` is how many series per attempt have their episodes looked up, None for all."""
-    return _episode_rows(rank_series(pairs, limit), episodes)
+    listed = rank_series(pairs, limit).where(_complete())
+    return _episode_rows(listed.join(_catalog(episodes), ["series_provider_id", "season_number", "episode_number"]))
 
 
-def _episode_rows(listed: DataFrame, episodes: DataFrame) -> DataFrame:
-    catalog = episodes.select(
-        "series_provider_id", "season_number", "episode_number",
-        F.col("provider_id").alias("ep_id"), F.nullif(F.col("episode_title"), F.lit("")).alias("ep_title"),
-        F.col("runtime_seconds").alias("ep_runtime"))
-    complete = F.col("season_number").isNotNull() & F.col("episode_number").isNotNull()
-    found = listed.where(complete).join(catalog, ["series_provider_id", "season_number", "episode_number"]).withColumns(
-        {"ep_season": F.col("season_number"), "ep_episode": F.col("episode_number"),
-         "__local": F.nullif(F.col("episode_title"), F.lit(""))})
+def _episode_rows(found: DataFrame) -> DataFrame:
+    found = found.withColumns({
+        "ep_season": F.col("season_number"), "ep_episode": F.col("episode_number"),
+        "__local": F.nullif(F.col("episode_title"), F.lit(""))})
     compared = with_similarity(found, "__local", "ep_title", "__episode")
     title_score = F.when(F.col("__local").isNotNull() & F.col("ep_title").isNotNull(), F.col("__episode"))
     return _ranked(compared.withColumn("match", episode_score(F.col("similarity"), title_score)))
@@ -313,15 +390,23 @@ def _origin(df: DataFrame) -> list[Column]:
     return [(F.col(c) if c in df.columns else F.lit(None)).cast("long").alias(c) for c in ("candidate_id", "override_id")]
 
 
+COMPARED_DDL = f"array<struct<rank:bigint, ahead:bigint, match:{MATCH_DDL}>>"
+
+
 def _as_attempts(decided: DataFrame, kind: str) -> DataFrame:
-    """Common attempt columns of either kind."""
-    movie = kind == "MOVIE"
+    """Common attempt columns of either kind. Attempts that share their query's results name it (``query_block``)
+    and hold the matches of their own (``compared``)."""
+    movie, shares = kind == "MOVIE", "compared" in decided.columns
+    stored = lambda o: F.struct(o["rank"], o["ahead"], stored_match(o["match"], kind).alias("match"))
+    asks = ~F.startswith(F.col("block"), F.lit("\x00")) if shares else None
     return decided.select(
         "media_file_id", *_origin(decided), "status", "confidence",
         F.col("parsed_title" if movie else "parsed_series_title").alias("query_text"),
         (F.col("parsed_year") if movie else F.lit(None)).cast("int").alias("query_year"),
         F.lit(None).cast("string").alias("error_message"), F.col("result_count").cast("long").alias("result_count"),
-        F.transform("matches", lambda m: stored_match(m, kind)).cast(f"array<{MATCH_DDL}>").alias("matches"))
+        F.transform("matches", lambda m: stored_match(m, kind)).cast(f"array<{MATCH_DDL}>").alias("matches"),
+        (F.when(asks, F.col("block")) if shares else F.lit(None)).cast("string").alias("query_block"),
+        (F.transform("compared", stored) if shares else F.array()).cast(COMPARED_DDL).alias("compared"))
 
 
 def _searchable() -> Column:
@@ -373,9 +458,10 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
         none.cast("string").alias("confidence"), F.when(searchable, text).alias("query_text"),
         F.when(searchable, year).cast("int").alias("query_year"),
         F.when(searchable, F.col("error_message")).alias("error_message"), F.lit(0).cast("long").alias("result_count"),
-        F.array().cast(f"array<{MATCH_DDL}>").alias("matches"))
+        F.array().cast(f"array<{MATCH_DDL}>").alias("matches"), none.cast("string").alias("query_block"),
+        F.array().cast(COMPARED_DDL).alias("compared"))
     films, shows = _open(candidates)
-    found = match_movies(films, movies) if movie_hits is None else with_best(films, _movie_rows(films, movies, movie_hits))
+    found = movie_members(films, movies) if movie_hits is None else with_best(films, _movie_rows(films, movies, movie_hits))
     listed = _show_rows(shows, series, episodes, series_hits)
     return (
         _as_attempts(decide(found, "MOVIE"), "MOVIE")
@@ -404,20 +490,72 @@ def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False)
     return candidates.join(attempts.select("media_file_id"), "media_file_id", "left_anti")
 
 
+def shared_matches(candidates: DataFrame, movies: DataFrame, provider_errors: DataFrame | None = None) -> DataFrame:
+    """(query_block, query_year, position, m): the matches that all attempts of a query share, stored once."""
+    films, _ = _open(_with_errors(candidates, provider_errors))
+    return query_results(films, movies).select(
+        F.col("block").alias("query_block"), F.col("year").alias("query_year"), "position",
+        stored_match(F.col("match"), "MOVIE").alias("m"))
+
+
+def listed_matches(candidates: DataFrame, series: DataFrame, episodes: DataFrame,
+                   provider_errors: DataFrame | None = None) -> DataFrame:
+    """(media_file_id, rank, m): the episode matches, which are an attempt's own."""
+    _, shows = _open(_with_errors(candidates, provider_errors))
+    return _show_rows(shows, series, episodes, None).select(
+        "media_file_id", "rank", stored_match(F.col("match"), "EPISODE").alias("m"))
+
+
+def _match_id(rank: Column) -> Column:
+    return F.xxhash64("attempt_id", rank.cast("int"))
+
+
 def recorded(attempts: DataFrame, ranked: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
-    """Attempt rows and all their match rows (``ranked``, as ``evaluated_matches`` gives them), ready to append.
+    """Attempt rows and the match rows of their own (``ranked``: media_file_id, rank, m), ready to append.
 
     Keys derive from the file and the run, those of a match from the attempt and its rank; a match meets its attempt
-    only to learn whether it was selected. A match of a file without an attempt is not recorded.
+    only to learn whether it was selected. A match of a file without an attempt is not recorded. Where ``ranked`` are
+    the listed matches only, movies' are in their attempt's ``compared`` and in the shared matches, which are appended
+    as they are; ``attempt_matches`` reads both.
     """
     keyed = attempts.withColumns({
         "attempt_id": F.xxhash64("media_file_id", run_ts.cast("timestamp")),
         "started_at": run_ts, "algorithm_version": F.lit(ALGORITHM_VERSION)})
-    match_id = lambda rank: F.xxhash64("attempt_id", rank)
     resolved = F.col("status") == "RESOLVED"
-    rows = keyed.withColumn("selected_match_id", F.when(resolved, match_id(F.lit(1)))).drop("matches")
+    rows = keyed.withColumn("selected_match_id", F.when(resolved, _match_id(F.lit(1)))).drop("matches")
     own = keyed.select("media_file_id", "attempt_id", resolved.alias("__resolved"))
     matches = ranked.join(own, "media_file_id").select(
-        match_id(F.col("rank")).alias("match_id"), "attempt_id", "media_file_id", "rank", "m.*",
+        _match_id(F.col("rank")).alias("match_id"), "attempt_id", "media_file_id", "rank", "m.*",
         (F.col("__resolved") & (F.col("rank") == 1)).alias("selected"))
     return rows, matches
+
+
+def _sharing(attempts: DataFrame) -> DataFrame:
+    return attempts.where(F.col("query_block").isNotNull()).withColumnsRenamed({"query_block": "block", "query_year": "year"})
+
+
+def _shared(shared: DataFrame) -> DataFrame:
+    return shared.withColumnsRenamed({"query_block": "block", "query_year": "year", "m": "match"})
+
+
+def attempt_matches(attempts: DataFrame, listed: DataFrame, shared: DataFrame) -> DataFrame:
+    """All match rows of the recorded attempts given: their own, those they compared, and their queries' shared ones.
+
+    As many rows as the attempts have results, so give it those that are looked at (a review's, say)."""
+    members = _sharing(attempts)
+    found = expanded(members, _shared(shared)).join(
+        members.select("media_file_id", "attempt_id", "selected_match_id"), "media_file_id")
+    id_ = _match_id(F.col("rank"))
+    movies = found.select(
+        id_.alias("match_id"), "attempt_id", "media_file_id", "rank", "match.*",
+        F.coalesce(id_ == F.col("selected_match_id"), F.lit(False)).alias("selected"))
+    return movies.unionByName(listed.join(attempts.select("attempt_id"), "attempt_id", "left_semi"))
+
+
+def selected_matches(attempts: DataFrame, listed: DataFrame, shared: DataFrame) -> DataFrame:
+    """The one match row of each resolved attempt: a look-up by rank, never an expansion. The first match is the one a
+    run selects; what a reviewer selected comes by ``attempt_matches`` and its review."""
+    members = _sharing(attempts).where(F.col("status") == "RESOLVED").withColumn("rank", F.lit(1))
+    movies = at_rank(members, _shared(shared)).select(
+        F.col("selected_match_id").alias("match_id"), "attempt_id", "media_file_id", "rank", "match.*", F.lit(True).alias("selected"))
+    return movies.unionByName(listed.where("selected"))

@@ -42,11 +42,40 @@ def _rows(df, *fields):
     return df.select("media_file_id", F.col("rank").cast("long").alias("rank"), *[F.col(f"match.{f}") for f in fields])
 
 
-@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}")
+# Matches in two tables: what candidates compare themselves, and what all candidates of a query share.
+@query("j07_record_linkage", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches} WHERE n <= 3")
+def _(c):
+    members = linkage.movie_members(_movies(c), c.movies)
+    return members.select("media_file_id", F.inline("compared")).select(
+        "media_file_id", "rank", "match.provider_id", "match.total_score")
+
+
+@query("j07_shared_results", f"""
+SELECT DISTINCT {FOLD.format('c.parsed_title')} AS block, c.parsed_year AS year, e.n - 1 AS position, e.provider_id, e.total_score
+FROM {{exact_matches}} e JOIN {{candidates}} c ON c.media_file_id = e.media_file_id WHERE e.n > 3
+""")
+def _(c):
+    return linkage.query_results(_movies(c), c.movies).select(
+        "block", "year", F.col("position").cast("long").alias("position"), "match.provider_id", "match.total_score")
+
+
+# The two put together again, every match of every candidate.
+@query("j07_matches_expanded", "SELECT media_file_id, rank, provider_id, total_score FROM {exact_matches}")
 def _(c):
     return _rows(linkage.movie_match_rows(_movies(c), c.movies), "provider_id", "total_score")
 
 
+PARTS["rank_asked"] = "SELECT media_file_id, media_file_id % 40 + 1 AS rank FROM {candidates} WHERE candidate_type = 'MOVIE'"
+
+
+@query("j07_match_at_rank", """
+SELECT e.media_file_id, e.rank, e.provider_id, e.total_score FROM {exact_matches} e JOIN {rank_asked} a ON a.media_file_id = e.media_file_id AND a.rank = e.rank
+""")
+def _(c):
+    asked = linkage.movie_members(_movies(c), c.movies).withColumn("rank", F.col("media_file_id") % 40 + 1)
+    return _rows(linkage.at_rank(asked, linkage.query_results(_movies(c), c.movies)), "provider_id", "total_score")
+
+
 @query("j07_best_two", """
 SELECT c.media_file_id, count(e.rank) AS result_count, min(CASE WHEN e.rank = 1 THEN e.provider_id END) AS first_id, min(CASE WHEN e.rank = 2 THEN e.provider_id END) AS second_id
 FROM {candidates} c LEFT JOIN {exact_matches} e ON e.media_file_id = c.media_file_id WHERE c.candidate_type = 'MOVIE' GROUP BY c.media_file_id
@@ -231,12 +260,22 @@ FROM {evaluated} e LEFT JOIN (SELECT media_file_id, rank, provider_id FROM {exac
 GROUP BY e.media_file_id, e.status
 """)
 def _(c):
-    attempts, matches = linkage.recorded(evaluated(c), linkage.evaluated_matches(*_searched(c)), run_ts())
-    per = matches.groupBy("attempt_id").agg(
-        F.count(F.lit(1)).alias("matches"),
-        F.count_if("selected").alias("selected"), F.min(F.when(F.col("selected"), F.col("provider_id"))).alias("selected_provider_id"))
-    return attempts.join(per, "attempt_id", "left").select(
-        "media_file_id", "status", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("selected", F.lit(0)).alias("selected"), "selected_provider_id")
+    attempts, listed, shared = record(c)
+    own = listed.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("own"))
+    each = shared.groupBy(F.col("query_block").alias("block"), F.col("query_year").alias("year")).agg(F.count(F.lit(1)).alias("others"))
+    chosen = linkage.selected_matches(attempts, listed, shared).select("attempt_id", F.col("provider_id").alias("selected_provider_id"))
+    on = (F.col("query_block") == F.col("block")) & F.col("query_year").eqNullSafe(F.col("year"))
+    counted = attempts.join(own, "attempt_id", "left").join(each, on, "left").join(chosen, "attempt_id", "left")
+    total = F.size("compared") + F.coalesce("others", F.lit(0)) + F.coalesce("own", F.lit(0))
+    return counted.select("media_file_id", "status", total.alias("matches"),
+                          F.when(F.col("selected_provider_id").isNull(), 0).otherwise(1).cast("long").alias("selected"), "selected_provider_id")
+
+
+def record(c):
+    """Attempts of all candidates, the matches of their own and the shared ones, as a run appends them."""
+    candidates, movies, series, episodes, errors = _searched(c)
+    attempts, listed = linkage.recorded(evaluated(c), linkage.listed_matches(candidates, series, episodes, errors), run_ts())
+    return attempts, listed, linkage.shared_matches(candidates, movies, errors)
 
 
 # Series the provider returned per file, titles unequal: the best few by similarity have their episodes compared.
