@@ -174,8 +174,9 @@ def _negatives(shared, k: int, low: int, high: int):
         anchors, positive, score_of = shared.value
         slots = positive.shape[1]
         held = score_of >= 0  # a negative positive score leaves an empty band
-        floor = np.where(held, -(-low * score_of // 100), np.iinfo(np.int64).max)
-        ceiling = np.where(held, high * score_of // 100, _LEAST)
+        wide = score_of.astype(object)  # a hundred times a score may not fit a long
+        floor = np.where(held, -(-low * wide // 100), np.iinfo(np.int64).max).astype(np.int64)
+        ceiling = np.where(held, high * wide // 100, _LEAST).astype(np.int64)
         best = _Best(positive.size, k)
         for places, vectors, rows, labels, q in anchors.met(batches, apart=False):
             scores = packed_products(q, vectors)

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 SAMPLE_TEXTS, TEXT_WINDOWS = 6_000, 4
 MOST_LANGUAGES = 256  # that are learnt: the most frequent
-HIDDEN = 12
+HIDDEN = 10
 LENGTH, BATCH, STEPS, RATE = 64, 128, 500, 0.02
 SPAN, MARGIN = 256, 12
-GROUP = 256  # windows read at a time
+GROUP = 768  # windows read at a time
 UNKNOWN = "und"
 _PAD = 256
 _LETTER = re.compile(r"[^\W\d_]")
