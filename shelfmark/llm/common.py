@@ -27,6 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of frames made by cut() that nothing reads any more."""
+    for df in frames:
+        hadoop = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def beside(df: DataFrame, size: Column, limit: int = 16_000_000) -> DataFrame:
     """A frame to join a large one with, cut first: broadcast when its measured size (the sum of `size`, bytes a row)
     is within the limit, joined by a shuffle otherwise."""
@@ -56,7 +65,8 @@ def components(links: DataFrame) -> DataFrame:
         top = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(top, large["b"] == top["u"])
         hung = small.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b")
-        edges = cut(hung.distinct())
+        last, edges = edges, cut(hung.distinct())
+        discard(last)
         after = _mark(edges)
         if after == before:
             break

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import components, cut
+from shelfmark.llm.common import beside, components, cut, discard
 
 GROUPS = 64
 SIGNATURES = 48
@@ -98,8 +98,11 @@ def _signatures(s: np.ndarray, percent: int) -> list[np.ndarray]:
     return found
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+def point(s: np.ndarray) -> bytes:
+    """Group counts, in the least of one, two and four bytes each that holds them."""
+    counts = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    top = counts.max()
+    return counts.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
 
 
 _PROFILE = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("print_hi", pa.int64()),
@@ -115,7 +118,7 @@ def _profile(width: int, percent: int):
                 both = xxhash.xxh3_128_intdigest(s.tobytes())
                 sigs = _signatures(s, percent)
                 flat = np.unique(np.concatenate(sigs)).view(np.int64) if sigs else np.empty(0, np.int64)
-                rows.append((doc, len(s), (both >> 64) - 2**63, (both & 2**64 - 1) - 2**63, point(s).tobytes(), flat))
+                rows.append((doc, len(s), (both >> 64) - 2**63, (both & 2**64 - 1) - 2**63, point(s), flat))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*rows), _PROFILE)] if rows else
                 [pa.array([], f.type) for f in _PROFILE], schema=_PROFILE)
@@ -131,7 +134,13 @@ def _sets(width: int):
 
 
 def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+    rows = column.to_pylist()
+    sizes = np.array([len(x) // GROUPS for x in rows], np.int64)
+    out = np.empty((len(rows), GROUPS), np.int64)
+    for width in (1, 2, 4):
+        at = np.flatnonzero(sizes == width)
+        out[at] = np.frombuffer(b"".join(rows[i] for i in at), f"<u{width}").reshape(-1, GROUPS)
+    return out
 
 
 def _near_points(percent: int):
@@ -220,9 +229,13 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
     schema = "doc_id long, n_shingles long, print_hi long, print_lo long, point binary, signatures array<long>"
     profile = cut(base.mapInArrow(_profile(width, percent), schema))
     usable = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("print_hi", "print_lo").agg(F.min("doc_id").alias("rep"))
-    reps = cut(usable.join(classes, ["print_hi", "print_lo"]).where("doc_id = rep")
-               .dropDuplicates(["doc_id"]).select("doc_id", "point", "signatures"))
+    # Equal sets have equal points and signatures, so a class is one aggregation and any of its rows tells them.
+    one = usable.groupBy("print_hi", "print_lo").agg(
+        F.min("doc_id").alias("doc_id"), F.any_value("point").alias("point"), F.any_value("signatures").alias("signatures"))
+    wide, profile = profile, cut(profile.select("doc_id", "n_shingles", "print_hi", "print_lo"))
+    reps = cut(one)
+    classes = reps.select("print_hi", "print_lo", F.col("doc_id").alias("rep"))
+    discard(wide)
     filed = reps.select(F.col("doc_id").alias("id"), F.explode("signatures").alias("shard"))
     shards = cut(filed.groupBy("shard").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"))
     members = cut(filed.join(shards, "shard").select("shard", "a", "n", "id"))
@@ -235,7 +248,7 @@ def join(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_
                 .mapInArrow(_near_points(percent), "a long, b long"))
         near = cut(near)
         wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = base.join(wanted, "doc_id").mapInArrow(_sets(width), "doc_id long, shingle_set binary")
+        sets = base.join(beside(wanted, F.lit(8)), "doc_id").mapInArrow(_sets(width), "doc_id long, shingle_set binary")
         sets = cut(sets.dropDuplicates(["doc_id"]))
         return cut(near.join(sets.select(F.col("doc_id").alias("b"), F.col("shingle_set").alias("set_b")), "b")
                    .join(sets.select(F.col("doc_id").alias("a"), F.col("shingle_set").alias("set_a")), "a")
