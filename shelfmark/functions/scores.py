@@ -12,7 +12,7 @@ EPISODE_WEIGHTS = {
     "episode_title_score": 0.15, "runtime_score": 0.1,
 }
 TYPE_MISMATCH = 0.3
-YEAR_SCORES = (1.0, 0.6, 0.5, 0.0)
+RUNTIME_SCORES = (1.0, 0.6, 0.0)
 RUNTIME_CLOSE, RUNTIME_ROUGH = 0.05, 0.15
 AUTO_MIN_SCORE, AUTO_MIN_GAP, PLAUSIBLE_MIN_SCORE = 0.90, 0.10, 0.60
 

@@ -36,15 +36,54 @@ def upsert_identities(stored: DataFrame, incoming: DataFrame, run_ts: Column, or
 
 
 def identities_of(matches: DataFrame) -> DataFrame:
-    """Identity columns of selected match rows."""
+    """Identity columns of match rows, in front of whatever else the rows carry about the choice."""
     movie = F.col("provider_media_type") == "MOVIE"
     text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    return matches.where(F.col("selected")).select(
+    carried = [c for c in ("attempt_id", "media_file_id", "candidate_id", "assignment_method", "confidence", "chosen_at") if c in matches.columns]
+    return matches.select(
         F.col("provider_media_type").alias("media_type"), "provider_id",
         F.when(movie, F.col("title")).otherwise(F.col("series_title")).alias("title"),
         text.alias("original_title"), "release_year", text.alias("release_date"), "series_provider_id",
         "season_number", "episode_number", F.when(~movie, F.col("title")).alias("episode_title"),
-        number.alias("runtime_seconds"), text.alias("original_language"), "attempt_id", "media_file_id")
+        number.alias("runtime_seconds"), text.alias("original_language"), *carried)
+
+
+def chosen_by_run(attempts: DataFrame, selected: DataFrame) -> DataFrame:
+    """The matches a run resolved by itself (``linkage.selected_matches``), as choices to assign."""
+    own = attempts.select("attempt_id", *[c for c in ("candidate_id", "confidence") if c in attempts.columns], F.col("started_at").alias("chosen_at"))
+    return selected.drop("confidence").join(own, "attempt_id").withColumn("assignment_method", F.lit("AUTO"))
+
+
+def chosen_by_review(attempts: DataFrame, reviewed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The matches reviewers selected, as choices to assign: rows of ``review_matches`` that a SELECT decision names and
+    that are still the attempt's selected one. Confidence follows the match's own score."""
+    last = decisions.where((F.col("action") == "SELECT") & F.col("match_id").isNotNull()).groupBy("attempt_id", "match_id").agg(
+        F.max("decided_at").alias("chosen_at"))
+    found = reviewed.where("selected").join(last, ["attempt_id", "match_id"])
+    origin = attempts.select("attempt_id", "candidate_id") if "candidate_id" in attempts.columns else None
+    found = found if origin is None else found.drop("candidate_id").join(origin, "attempt_id")
+    return found.withColumns({"assignment_method": F.lit("MANUAL"), "confidence": F.col("manual_confidence")})
+
+
+def resolve(chosen: DataFrame, identities: DataFrame, assignments: DataFrame, run_ts: Column,
+            fields: list[str] = IDENTITY_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """From choices to state, for the run's and the reviewers' alike: every chosen match upserts its identity, and
+    the identity's id is assigned to the file. Returns both tables with ``outcome``.
+
+    The last choice of a file counts, and of an identity the last description (by time, then attempt). A choice of
+    a match without a provider id assigns nothing. Running again on what a run returned changes nothing. Ids of new
+    identities derive from their key, so they are the same wherever they are computed.
+    """
+    order = ["chosen_at", "attempt_id"]
+    incoming = identities_of(chosen).where(F.col("provider_id").isNotNull())
+    key = ["media_type", "provider_id"]
+    stored = upsert_identities(identities, incoming.select(*key, *fields, *order), run_ts, order, fields)
+    extra = [c for c in ("attempt_id", "candidate_id") if c in assignments.columns and c in incoming.columns]
+    given = incoming.join(stored.select(*key, "identity_id"), key).select(
+        "media_file_id", "identity_id", "assignment_method", "confidence", *extra,
+        F.struct(*order).alias("__order"))
+    last = reconcile.latest(given, ["media_file_id"], ["__order"]).drop("__order")
+    return stored, assign(assignments, last, run_ts)
 
 
 def assign(assignments: DataFrame, incoming: DataFrame, run_ts: Column, order: list[str] | None = None) -> DataFrame:

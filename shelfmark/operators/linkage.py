@@ -2,11 +2,11 @@
 
 Two ways to find the rows a candidate is compared with:
 
-* exact titles: provider rows whose folded title equals the candidate's. All results of a title are ranked once per
-  distinct (title, year) query; a candidate adds the few of them whose runtime is compared with its own, which are
+* a finder of ``operators.search``: equal folded titles, also titles near by first word and year, or a search by
+  words. All results are ranked once per distinct (title, year) query; a candidate adds the few of them whose runtime is compared with its own, which are
   all that can differ between candidates of one query. Both are kept apart (``movie_members``, ``query_results``), so
   what is stored grows with queries plus candidates; ``expanded`` and ``at_rank`` put them together again;
-* given pairs: the search hits a provider returned, or those ``search`` finds, all of them.
+* given pairs: the search hits a provider returned, all of them.
 
 Results are rows with a rank and are never cut. Deciding needs the best two of an attempt only; what is recorded of an
 attempt is all of its matches.
@@ -14,11 +14,14 @@ attempt is all of its matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scores
 from shelfmark.functions.titles import fold_title, with_similarities, with_similarity
+from shelfmark.operators.search import blocked, exact_titles
 
 # How many results have their runtime looked up, and how many given series their episodes.
 DETAIL_LOOKUPS = 3
@@ -29,35 +32,22 @@ ALGORITHM_VERSION = 1
 _SPARE = 2
 
 
-def blocked(df: DataFrame, titles: list[str]) -> DataFrame:
-    """One row per distinct folded title of the record, under ``block``.
+Finder = Callable[[DataFrame, DataFrame], DataFrame]
 
-    The outer form again: the plain one would fold every title twice.
-    """
-    folded = F.array_distinct(F.array_compact(F.array(*[fold_title(F.col(t)) for t in titles])))
-    return df.withColumn("block", F.explode_outer(folded)).where(F.col("block") != "")
 
+def title_results(queries: DataFrame, movies: DataFrame, find: Finder = exact_titles) -> DataFrame:
+    """All results of each distinct (block, year) query as rows, best first by the score without runtime: (block,
+    year, position from 0, movie, title_score). There is a row per query and result, however many candidates ask."""
+    found = find(queries, movies)
+    place = F.row_number().over(Window.partitionBy("block", "year").orderBy(*_order(_bare()))) - 1
+    return found.select("block", "year", place.alias("position"), "movie", "title_score")
 
-def title_results(queries: DataFrame, movies: DataFrame) -> DataFrame:
-    """All results of each distinct (block, year) query as rows, best preliminary score first: position from 0.
 
-    Inside a block the titles are equal, so the preliminary score depends on the year alone and ties go by
-    popularity. There is a row per query and movie of the title, however many candidates ask.
-    """
-    fields = F.struct("provider_id", "title", "original_title", "release_year", "popularity", "runtime_seconds").alias("movie")
-    blocks = blocked(movies, ["title", "original_title"]).select("block", fields)
-    wanted = queries.where(F.coalesce(F.col("block"), F.lit("")) != "").select(
-        "block", F.col("year").cast("int").alias("year")).distinct()
-    preliminary = F.coalesce(scores.year_score(F.col("year"), F.col("movie.release_year")), F.lit(0.0))
-    order = [preliminary.desc(), F.coalesce("movie.popularity", F.lit(0.0)).desc(), F.col("movie.provider_id")]
-    place = F.row_number().over(Window.partitionBy("block", "year").orderBy(*order)) - 1
-    return wanted.join(blocks, "block").select("block", "year", place.alias("position"), "movie")
-
-
-def movie_score(local: dict[str, Column], movie: Column, title_score: Column, runtime: Column) -> Column:
-    """Scored match of one provider movie; sorts best first as a struct."""
+def movie_score(local: dict[str, Column], movie: Column, title_score: Column, runtime: Column,
+                length: Column | None = None) -> Column:
+    """Scored match of one provider movie; sorts best first as a struct. ``length`` sets the runtime's score."""
     year = scores.year_score(local["year"], movie["release_year"])
-    length = scores.runtime_score(runtime, movie["runtime_seconds"])
+    length = scores.runtime_score(runtime, movie["runtime_seconds"]) if length is None else length
     right_type = local["type"] == "MOVIE"
     kind = F.when(right_type, 1.0).otherwise(scores.TYPE_MISMATCH)
     w = scores.MOVIE_WEIGHTS
@@ -91,69 +81,87 @@ def _asked(keyed: DataFrame) -> DataFrame:
     return keyed.where(~F.startswith(F.col("block"), F.lit("\x00"))).select("block", "year")
 
 
-def _bare(year: Column, movie: Column) -> Column:
-    """The match of a movie whose runtime is not compared: the same for all candidates of a query."""
-    return movie_score({"year": year, "type": F.lit("MOVIE")}, movie, F.lit(1.0), F.lit(None).cast("double"))
+def _bare() -> Column:
+    """The match of a result whose runtime is not compared: the same for all candidates of a query."""
+    return movie_score({"year": F.col("year"), "type": F.lit("MOVIE")}, F.col("movie"), F.col("title_score"),
+                       F.lit(None).cast("double"))
 
 
-def _bare_total(year_score: float | None) -> Column:
-    w = scores.MOVIE_WEIGHTS
-    return F.round(scores.weighted_mean([
-        (F.lit(1.0), w["title_score"]), (F.lit(year_score).cast("double"), w["year_score"]),
-        (F.lit(None).cast("double"), w["runtime_score"])]), 4)
+def _order(match: Column) -> list[Column]:
+    """What matches of a query sort by; an id is met once in it."""
+    return [match["sort_score"], match["sort_popularity"], match["provider_id"]]
 
 
-def query_results(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+def query_results(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS,
+                  find: Finder = exact_titles) -> DataFrame:
     """(block, year, position, match): results of each distinct query from position ``detail`` on, in rank order.
 
     Their runtime is never compared, so every candidate of the query has them in this order with these scores.
     """
-    rest = title_results(_asked(_queried(candidates)), movies).where(F.col("position") >= detail)
-    return rest.select("block", "year", "position", _bare(F.col("year"), F.col("movie")).alias("match"))
+    rest = title_results(_asked(_queried(candidates)), movies, find).where(F.col("position") >= detail)
+    return rest.select("block", "year", "position", _bare().alias("match"))
+
+
+def _heads(results: DataFrame, detail: int) -> DataFrame:
+    """One row per query: result_count, ``head`` (its first results as position, movie, title_score) and ``ahead``:
+    for each of the first ``detail``, by what its runtime score turns out to be, how many of the other results come
+    before it. The partitioning of the ranking serves all of it."""
+    entry = F.struct("position", "movie", "title_score")
+    query = Window.partitionBy("block", "year")
+    firsts = [F.max(F.when(F.col("position") == i, F.struct("movie", "title_score"))).over(query).alias(f"__h{i}") for i in range(detail)]
+    rows = results.select("*", *firsts, F.struct(*_order(_bare())).alias("__order"))
+
+    def before(i: int, length: float | None) -> Column:
+        first = F.col(f"__h{i}")
+        with_length = movie_score({"year": F.col("year"), "type": F.lit("MOVIE")}, first["movie"], first["title_score"],
+                                  F.lit(None).cast("double"), F.lit(length).cast("double"))
+        earlier = F.col("__order") < F.struct(*_order(with_length))
+        return F.count_if((F.col("position") >= detail) & first.isNotNull() & earlier)
+
+    ahead = F.array(*[F.array(*[before(i, length) for length in (None, *scores.RUNTIME_SCORES)]) for i in range(detail)])
+    return rows.groupBy("block", "year").agg(
+        F.sort_array(F.collect_list(F.when(F.col("position") < detail + _SPARE, entry))).alias("head"),
+        F.count(F.lit(1)).alias("result_count"), ahead.alias("ahead"))
 
 
-def movie_members(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
+def movie_members(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS,
+                  find: Finder = exact_titles) -> DataFrame:
     """Candidates (movies) with their query's ``block`` and ``year`` (a block that starts with NUL asks nothing),
     ``result_count``, ``compared`` and ``matches``, the best two.
 
     ``compared`` holds the first ``detail`` results of the query, whose runtime is compared with the candidate's own:
-    (rank, ahead, match), best first. ``ahead`` is how many of the other results come before it. The others are
-    counted by their year score, which alone sets their score, so no candidate meets them as rows. Another result
-    of equal score has an equal year score and a later position, so it comes after.
+    (rank, ahead, match), best first. ``ahead`` is how many of the other results come before it, counted once per
+    query, so no candidate meets those as rows.
     """
     keyed = _queried(candidates)
-    entry = F.struct("position", "movie")
-    rest, year = F.col("position") >= detail, scores.year_score(F.col("year"), F.col("movie.release_year"))
-    classes = F.array(*[F.struct(
-        _bare_total(v).alias("total"), F.count_if(rest & year.eqNullSafe(F.lit(v).cast("double"))).alias("n"))
-        for v in (*scores.YEAR_SCORES, None)])
-    heads = title_results(_asked(keyed), movies).groupBy("block", "year").agg(
-        F.sort_array(F.collect_list(F.when(F.col("position") < detail + _SPARE, entry))).alias("head"),
-        F.count(F.lit(1)).alias("result_count"), classes.alias("classes"))
+    heads = _heads(title_results(_asked(keyed), movies, find), detail)
     heads = heads.withColumnsRenamed({"block": "__block", "year": "__year"})
     joined = keyed.join(heads, (F.col("block") == F.col("__block")) & F.col("year").eqNullSafe(F.col("__year")), "left")
 
     def scored(e: Column) -> Column:
         runtime = F.when(e["position"] < detail, F.col("local_seconds"))
-        return movie_score(_local(), e["movie"], F.lit(1.0), runtime)
+        return movie_score(_local(), e["movie"], e["title_score"], runtime)
 
-    def ahead(m: Column) -> Column:
-        before = F.filter("classes", lambda c: c["total"] > m["total_score"])
-        return F.aggregate(before, F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    def entry(e: Column) -> Column:
+        match = scored(e)
+        turn = F.lit(0)
+        for i, length in enumerate(scores.RUNTIME_SCORES):
+            turn = F.when(match["runtime_score"] == length, i + 1).otherwise(turn)
+        return F.struct(match.alias("match"), F.get(F.get("ahead", e["position"]), turn).alias("ahead"))
 
-    own = F.sort_array(F.transform(F.filter("head", lambda e: e["position"] < detail), scored))
-    compared = F.transform(own, lambda m, i: F.struct(
-        (ahead(m) + i + 1).alias("rank"), ahead(m).alias("ahead"), m.alias("match")))
+    own = F.sort_array(F.transform(F.filter("head", lambda e: e["position"] < detail), entry))
+    compared = F.transform(own, lambda o, i: F.struct((o["ahead"] + i + 1).alias("rank"), o["ahead"], o["match"]))
     best = F.slice(F.sort_array(F.transform("head", scored)), 1, 2)
     found = joined.withColumns({"compared": compared, "matches": best})
     none = {c: F.coalesce(c, F.array().cast(found.schema[c].dataType)) for c in ("compared", "matches")}
     return found.withColumns({**none, "result_count": F.coalesce("result_count", F.lit(0))}).drop(
-        "__block", "__year", "head", "classes")
+        "__block", "__year", "head", "ahead")
 
 
-def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
-    """Candidates with ``matches``, the best two exact-title matches (fewer when there are none), and ``result_count``."""
-    return movie_members(candidates, movies, detail).drop("block", "year", "compared")
+def match_movies(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS,
+                 find: Finder = exact_titles) -> DataFrame:
+    """Candidates with ``matches``, the best two (fewer when there are none), and ``result_count``."""
+    return movie_members(candidates, movies, detail, find).drop("block", "year", "compared")
 
 
 def _on_query(members: DataFrame, results: DataFrame, *more: Column) -> DataFrame:
@@ -190,9 +198,11 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.select("media_file_id", rank.alias("rank"), "match")
 
 
-def movie_match_rows(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
-    """Every exact-title match of every candidate as ranked rows: as many as an attempt has results."""
-    return expanded(movie_members(candidates, movies, detail), query_results(candidates, movies, detail), detail)
+def movie_match_rows(candidates: DataFrame, movies: DataFrame, detail: int = DETAIL_LOOKUPS,
+                     find: Finder = exact_titles) -> DataFrame:
+    """Every match of every candidate as ranked rows: as many as an attempt has results."""
+    members = movie_members(candidates, movies, detail, find)
+    return expanded(members, query_results(candidates, movies, detail, find), detail)
 
 
 def match_movie_pairs(pairs: DataFrame, detail: int = DETAIL_LOOKUPS) -> DataFrame:
@@ -441,7 +451,7 @@ def _show_rows(shows: DataFrame, series: DataFrame, episodes: DataFrame, hits: D
 
 def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episodes: DataFrame,
              provider_errors: DataFrame | None = None, movie_hits: DataFrame | None = None,
-             series_hits: DataFrame | None = None) -> DataFrame:
+             series_hits: DataFrame | None = None, find: Finder = exact_titles) -> DataFrame:
     """One attempt per candidate: skipped, failed, or searched and decided.
 
     ``candidates`` carry the file's duration as ``local_seconds``; effective candidates also their override_id.
@@ -461,7 +471,7 @@ def evaluate(candidates: DataFrame, movies: DataFrame, series: DataFrame, episod
         F.array().cast(f"array<{MATCH_DDL}>").alias("matches"), none.cast("string").alias("query_block"),
         F.array().cast(COMPARED_DDL).alias("compared"))
     films, shows = _open(candidates)
-    found = movie_members(films, movies) if movie_hits is None else with_best(films, _movie_rows(films, movies, movie_hits))
+    found = movie_members(films, movies, find=find) if movie_hits is None else with_best(films, _movie_rows(films, movies, movie_hits))
     listed = _show_rows(shows, series, episodes, series_hits)
     return (
         _as_attempts(decide(found, "MOVIE"), "MOVIE")
@@ -490,10 +500,11 @@ def unattempted(candidates: DataFrame, attempts: DataFrame, force: bool = False)
     return candidates.join(attempts.select("media_file_id"), "media_file_id", "left_anti")
 
 
-def shared_matches(candidates: DataFrame, movies: DataFrame, provider_errors: DataFrame | None = None) -> DataFrame:
+def shared_matches(candidates: DataFrame, movies: DataFrame, provider_errors: DataFrame | None = None,
+                   find: Finder = exact_titles) -> DataFrame:
     """(query_block, query_year, position, m): the matches that all attempts of a query share, stored once."""
     films, _ = _open(_with_errors(candidates, provider_errors))
-    return query_results(films, movies).select(
+    return query_results(films, movies, find=find).select(
         F.col("block").alias("query_block"), F.col("year").alias("query_year"), "position",
         stored_match(F.col("match"), "MOVIE").alias("m"))
 
@@ -513,8 +524,10 @@ def _match_id(rank: Column) -> Column:
 def recorded(attempts: DataFrame, ranked: DataFrame, run_ts: Column) -> tuple[DataFrame, DataFrame]:
     """Attempt rows and the match rows of their own (``ranked``: media_file_id, rank, m), ready to append.
 
+    Write the two (and the shared matches) and go on from the tables: reviews and assignments read them many times.
     Keys derive from the file and the run, those of a match from the attempt and its rank; a match meets its attempt
-    only to learn whether it was selected. A match of a file without an attempt is not recorded. Where ``ranked`` are
+    only to learn whether it was selected, and the attempt keeps a copy of the selected one (``selected_match``). A match
+    of a file without an attempt is not recorded. Where ``ranked`` are
     the listed matches only, movies' are in their attempt's ``compared`` and in the shared matches, which are appended
     as they are; ``attempt_matches`` reads both.
     """
@@ -522,7 +535,9 @@ def recorded(attempts: DataFrame, ranked: DataFrame, run_ts: Column) -> tuple[Da
         "attempt_id": F.xxhash64("media_file_id", run_ts.cast("timestamp")),
         "started_at": run_ts, "algorithm_version": F.lit(ALGORITHM_VERSION)})
     resolved = F.col("status") == "RESOLVED"
-    rows = keyed.withColumn("selected_match_id", F.when(resolved, _match_id(F.lit(1)))).drop("matches")
+    rows = keyed.withColumns({
+        "selected_match_id": F.when(resolved, _match_id(F.lit(1))),
+        "selected_match": F.when(resolved, F.get("matches", F.lit(0)))}).drop("matches")
     own = keyed.select("media_file_id", "attempt_id", resolved.alias("__resolved"))
     matches = ranked.join(own, "media_file_id").select(
         _match_id(F.col("rank")).alias("match_id"), "attempt_id", "media_file_id", "rank", "m.*",
@@ -552,10 +567,9 @@ def attempt_matches(attempts: DataFrame, listed: DataFrame, shared: DataFrame) -
     return movies.unionByName(listed.join(attempts.select("attempt_id"), "attempt_id", "left_semi"))
 
 
-def selected_matches(attempts: DataFrame, listed: DataFrame, shared: DataFrame) -> DataFrame:
-    """The one match row of each resolved attempt: a look-up by rank, never an expansion. The first match is the one a
-    run selects; what a reviewer selected comes by ``attempt_matches`` and its review."""
-    members = _sharing(attempts).where(F.col("status") == "RESOLVED").withColumn("rank", F.lit(1))
-    movies = at_rank(members, _shared(shared)).select(
-        F.col("selected_match_id").alias("match_id"), "attempt_id", "media_file_id", "rank", "match.*", F.lit(True).alias("selected"))
-    return movies.unionByName(listed.where("selected"))
+def selected_matches(attempts: DataFrame) -> DataFrame:
+    """The match row of each recorded attempt that the run resolved, from the attempt itself. What a reviewer selects
+    is among its ``attempt_matches``."""
+    chosen = attempts.where(F.col("selected_match").isNotNull())
+    return chosen.select(F.col("selected_match_id").alias("match_id"), "attempt_id", "media_file_id", F.lit(1).alias("rank"),
+                         "selected_match.*", F.lit(True).alias("selected"))

@@ -205,7 +205,8 @@ PARTS["names"] = f"SELECT DISTINCT {FOLD.format('p_name')} AS t FROM {{part}}"
 PARTS["priorities"] = f"SELECT DISTINCT {FOLD.format('o_orderpriority')} AS t FROM {{orders}}"
 PARTS["title_pairs"] = f"""
 SELECT x.t AS a, y.t AS b FROM {{names}} x, {{names}} y UNION SELECT x.t, y.t FROM {{priorities}} x, {{priorities}} y
-UNION SELECT DISTINCT {FOLD.format('parsed_title')}, {FOLD.format('original_title')} FROM {{hits}} WHERE original_title IS NOT NULL"""
+UNION SELECT DISTINCT {FOLD.format('parsed_title')}, {FOLD.format('original_title')} FROM {{hits}} WHERE original_title IS NOT NULL
+UNION SELECT DISTINCT n.t, {FOLD.format('m.original_title')} FROM {{names}} n JOIN {{movies}} m ON split_part(n.t, ' ', 1) = split_part({FOLD.format('m.original_title')}, ' ', 1)"""
 PARTS["blocks"] = """
 SELECT * FROM (WITH RECURSIVE piece(a, b, x, y, n) AS (
   SELECT a, b, a, b, 0 FROM {title_pairs}

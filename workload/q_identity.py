@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import identity, ingest
+from shelfmark.operators import identity, ingest, linkage
+from workload import q_linkage
 from workload.registry import PARTS, query, run_ts
 
 
@@ -44,6 +45,65 @@ def _(c):
     return _assigned(c).select("media_file_id", "identity_id", "confidence", "status", "outcome")
 
 
+# From matches to assignments. New identities get ids of their own, so a check names them by their provider.
+PARTS["open_assignments"] = """
+SELECT a.*, i.media_type, i.provider_id FROM {assignments} a JOIN {identities} i ON i.identity_id = a.identity_id"""
+PARTS["run_choices"] = """
+SELECT e.media_file_id, CASE WHEN c.candidate_type = 'MOVIE' THEN 'MOVIE' ELSE 'EPISODE' END AS media_type, x.provider_id, 'AUTO' AS assignment_method, 'HIGH' AS confidence
+FROM {evaluated} e JOIN {candidates} c ON c.media_file_id = e.media_file_id
+JOIN (SELECT media_file_id, provider_id FROM {exact_matches} WHERE rank = 1 UNION ALL SELECT media_file_id, provider_id FROM {episode_matches} WHERE rank = 1) x ON x.media_file_id = e.media_file_id
+WHERE e.status = 'RESOLVED'"""
+# A review of a file's attempt: a click selects one of its first three matches, the last valid decision of the file counts.
+PARTS["review_choices"] = """
+SELECT media_file_id, media_type, provider_id, assignment_method, CASE WHEN total_score >= 0.9 THEN 'HIGH' WHEN total_score >= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (
+  SELECT e.media_file_id, CASE WHEN c.candidate_type = 'MOVIE' THEN 'MOVIE' ELSE 'EPISODE' END AS media_type, x.provider_id, 'MANUAL' AS assignment_method, x.total_score,
+    row_number() OVER (PARTITION BY e.media_file_id ORDER BY d.decided_at DESC, d.decision_id DESC) AS n
+  FROM {decisions} d JOIN {evaluated} e ON e.media_file_id = d.key_id AND d.event_type = 'click' AND e.status NOT IN ('SKIPPED', 'FAILED') JOIN {candidates} c ON c.media_file_id = e.media_file_id
+  JOIN (SELECT media_file_id, provider_id, rank, total_score FROM {exact_matches} UNION ALL SELECT media_file_id, provider_id, rank, total_score FROM {episode_matches}) x
+    ON x.media_file_id = e.media_file_id AND x.rank = d.decision_id % 3 + 1) WHERE n = 1"""
+_CHAIN = """
+SELECT a.media_file_id, a.media_type, a.provider_id, a.assignment_method, a.confidence, CASE WHEN a.status <> 'ACTIVE' OR n.media_file_id IS NULL OR same THEN a.status ELSE 'SUPERSEDED' END AS status,
+  CASE WHEN a.status <> 'ACTIVE' OR n.media_file_id IS NULL OR same THEN 'KEPT' ELSE 'CLOSED' END AS outcome
+FROM (SELECT a.*, n.media_file_id IS NOT NULL AND n.media_type = a.media_type AND n.provider_id = a.provider_id AND n.assignment_method = a.assignment_method AND n.confidence = a.confidence AS same
+  FROM {open_assignments} a LEFT JOIN {%s} n ON n.media_file_id = a.media_file_id) a LEFT JOIN {%s} n ON n.media_file_id = a.media_file_id
+UNION ALL
+SELECT n.media_file_id, n.media_type, n.provider_id, n.assignment_method, n.confidence, 'ACTIVE', 'OPENED'
+FROM {%s} n LEFT JOIN {open_assignments} a ON a.media_file_id = n.media_file_id AND a.status = 'ACTIVE' AND a.media_type = n.media_type AND a.provider_id = n.provider_id AND a.assignment_method = n.assignment_method AND a.confidence = n.confidence
+WHERE a.media_file_id IS NULL
+"""
+
+
+def _resolved(c, chosen):
+    fields = ["title", "release_year", "season_number", "episode_number", "episode_title"]
+    stored = c.identities.select("identity_id", "media_type", "provider_id", *fields, run_ts().alias("updated_at"))
+    held = c.assignments.select(
+        F.col("assignment_id").alias("id"), "media_file_id", "identity_id", "attempt_id", "assignment_method", "confidence", "status", "created_at", "updated_at")
+    held = held.join(c.identities.select("identity_id"), "identity_id").select(held.columns)
+    identities, assignments = identity.resolve(chosen, stored, held, run_ts(), fields)
+    named = identities.select("identity_id", "media_type", "provider_id")
+    return assignments.join(named, "identity_id").select("media_file_id", "media_type", "provider_id", "assignment_method", "confidence", "status", "outcome")
+
+
+@query("r12_chain_of_a_run", _CHAIN % ("run_choices", "run_choices", "run_choices"))
+def _(c):
+    attempts, _listed, _shared = q_linkage.record(c)
+    return _resolved(c, identity.chosen_by_run(attempts, linkage.selected_matches(attempts)))
+
+
+@query("r12_chain_of_reviews", _CHAIN % ("review_choices", "review_choices", "review_choices"))
+def _(c):
+    attempts, listed, shared = q_linkage.record(c)
+    asked = c.decisions.where("event_type = 'click'").select(
+        F.col("key_id").alias("media_file_id"), (F.col("decision_id") % 3 + 1).cast("int").alias("rank"), "decided_at", "decision_id")
+    looked_at = attempts.join(asked.select("media_file_id").distinct(), "media_file_id", "left_semi")
+    shown = linkage.attempt_matches(looked_at, listed, shared)
+    log = asked.join(shown.select("media_file_id", "rank", "attempt_id", "match_id"), ["media_file_id", "rank"]).select(
+        "attempt_id", "match_id", F.lit("SELECT").alias("action"), "decided_at", "decision_id")
+    reviewed, _rejects = identity.review_attempts(looked_at, log, shown)
+    matches = identity.review_matches(shown, reviewed)
+    return _resolved(c, identity.chosen_by_review(reviewed, matches, log))
+
+
 # Events of a user are decisions on the attempt, assignment or plan of that number; every one is checked by itself.
 PARTS["reviews"] = """
 SELECT d.decision_id, d.decided_at, d.key_id * 3 AS attempt_id, a.attempt_id IS NOT NULL AS known,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import titles
-from shelfmark.operators import linkage
+from shelfmark.operators import linkage, search
+from shelfmark.sources.store import written
 from workload.q_functions import FOLD
 from workload.registry import PARTS, query, run_ts
 
@@ -95,6 +96,98 @@ def _(c):
     return results.select("block", "year", F.col("movie.provider_id").alias("provider_id"), F.col("position").cast("long").alias("position"))
 
 
+# The second block: the same first word, years at most one apart, titles unequal.
+PARTS["movie_titles"] = f"""
+SELECT *, {FOLD.format('title')} AS t1, CASE WHEN original_title IS NOT NULL THEN {FOLD.format('original_title')} END AS t2 FROM {{movies}}"""
+PARTS["queries"] = f"""
+SELECT DISTINCT {FOLD.format('parsed_title')} AS block, parsed_year AS year FROM {{candidates}} WHERE candidate_type = 'MOVIE'"""
+PARTS["near_pairs"] = """
+SELECT q.block, q.year, m.provider_id, m.popularity, m.release_year, m.runtime_seconds, greatest(r.ratio, coalesce(o.ratio, 0e0)) AS ts
+FROM {queries} q JOIN {movie_titles} m ON abs(q.year - m.release_year) <= 1 AND q.block <> m.t1 AND q.block IS DISTINCT FROM m.t2
+  AND (split_part(q.block, ' ', 1) = split_part(m.t1, ' ', 1) OR split_part(q.block, ' ', 1) = split_part(m.t2, ' ', 1))
+JOIN {ratios} r ON r.a = q.block AND r.b = m.t1 LEFT JOIN {ratios} o ON o.a = q.block AND o.b = m.t2"""
+PARTS["both_pairs"] = f"""
+SELECT *, {_YEAR.replace('c.parsed_year', 'p.year').replace('m.', 'p.')} AS ys FROM (
+  SELECT block, year, provider_id, popularity, release_year, runtime_seconds, ts FROM {{near_pairs}}
+  UNION ALL SELECT q.block, q.year, m.provider_id, m.popularity, m.release_year, m.runtime_seconds, 1e0 FROM {{queries}} q JOIN {{movie_titles}} m ON q.block = m.t1 OR q.block = m.t2) p"""
+PARTS["both_ranked"] = f"""
+SELECT *, row_number() OVER (PARTITION BY block, year ORDER BY round({_mean({'ts': '0.5e0', 'ys': '0.35e0'})}, 4) DESC, coalesce(popularity, 0) DESC, provider_id) AS n FROM {{both_pairs}}"""
+PARTS["both_matches"] = f"""
+SELECT *, row_number() OVER (PARTITION BY media_file_id ORDER BY total_score DESC, coalesce(popularity, 0) DESC, provider_id) AS rank
+FROM (SELECT *, round({_mean({'ts': '0.5e0', 'ys': '0.35e0', 'rs': '0.15e0'})}, 4) AS total_score
+  FROM (SELECT c.media_file_id, b.*, CASE WHEN n <= 3 THEN {_runtime('c.local_seconds', 'b.runtime_seconds')} END AS rs
+    FROM {{candidates}} c JOIN {{both_ranked}} b ON b.block = {FOLD.format('c.parsed_title')} AND b.year IS NOT DISTINCT FROM c.parsed_year WHERE c.candidate_type = 'MOVIE'))"""
+
+
+def _queries(c):
+    return _movies(c).select(titles.fold_title(F.col("parsed_title")).alias("block"), F.col("parsed_year").alias("year"))
+
+
+@query("j07_second_block", "SELECT block, year, provider_id, round(ts, 6) AS title_score FROM {near_pairs}")
+def _(c):
+    return search.near_only(_queries(c), c.movies).select(
+        "block", "year", "movie.provider_id", F.round("title_score", 6).alias("title_score"))
+
+
+@query("j07_both_blocks", "SELECT media_file_id, rank, provider_id, total_score FROM {both_matches} WHERE n <= 3")
+def _(c):
+    members = linkage.movie_members(_movies(c), c.movies, find=search.near_titles)
+    return members.select("media_file_id", F.inline("compared")).select(
+        "media_file_id", "rank", "match.provider_id", "match.total_score")
+
+
+@query("j07_both_blocks_best_two", """
+SELECT c.media_file_id, count(e.rank) AS result_count, min(CASE WHEN e.rank = 1 THEN e.provider_id END) AS first_id, min(CASE WHEN e.rank = 2 THEN e.provider_id END) AS second_id
+FROM {candidates} c LEFT JOIN {both_matches} e ON e.media_file_id = c.media_file_id WHERE c.candidate_type = 'MOVIE' GROUP BY c.media_file_id
+""")
+def _(c):
+    best = linkage.match_movies(_movies(c), c.movies, find=search.near_titles)
+    return best.select("media_file_id", "result_count", F.get("matches", F.lit(0))["provider_id"].alias("first_id"),
+                       F.get("matches", F.lit(1))["provider_id"].alias("second_id"))
+
+
+# Searches by words: at least half of all words of the two titles shared.
+def _share(a: str, b: str) -> str:
+    both = f"len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' '))))"
+    return f"({both} / CAST(len(list_distinct(string_split({a} || ' ' || {b}, ' '))) AS DOUBLE))"
+
+
+PARTS["word_hits"] = f"""
+SELECT * FROM (SELECT b.block, m.*, greatest({_share('b.block', 'm.t1')}, CASE WHEN m.t2 IS NULL THEN 0e0 ELSE {_share('b.block', 'm.t2')} END) AS share
+FROM (SELECT DISTINCT block FROM {{queries}}) b, {{movie_titles}} m) WHERE share >= 0.5e0"""
+
+
+@query("s07_search_movies", f"""
+SELECT q.block AS title, q.year, h.provider_id, h.release_year, round(h.share, 6) AS share,
+  row_number() OVER (PARTITION BY q.block, q.year ORDER BY h.share DESC, coalesce({_YEAR.replace('c.parsed_year', 'q.year').replace('m.', 'h.')}, 0.5e0) DESC, coalesce(h.popularity, 0) DESC, h.provider_id) - 1 AS position
+FROM {{queries}} q JOIN {{word_hits}} h ON h.block = q.block
+""")
+def _(c):
+    found = search.search_movies(_queries(c).withColumnRenamed("block", "title"), c.movies)
+    return found.select("title", "year", "provider_id", "release_year", F.round("share", 6).alias("share"), F.col("position").cast("long").alias("position"))
+
+
+@query("s07_search_series", f"""
+SELECT b.block AS title, s.provider_id AS series_provider_id, s.title AS series_title, round({_share('b.block', FOLD.format('s.title'))}, 6) AS share,
+  row_number() OVER (PARTITION BY b.block ORDER BY {_share('b.block', FOLD.format('s.title'))} DESC, coalesce(s.popularity, 0) DESC, s.provider_id) - 1 AS position
+FROM (SELECT DISTINCT {FOLD.format('parsed_series_title')} || ' ' || lower(coalesce(episode_title, '')) AS raw, trim(regexp_replace({FOLD.format('parsed_series_title')} || ' ' || lower(coalesce(episode_title, '')), '[^a-z0-9]+', ' ', 'g')) AS block
+  FROM {{candidates}} WHERE parsed_series_title IS NOT NULL) b JOIN {{series}} s ON {_share('b.block', FOLD.format('s.title'))} >= 0.5e0
+""")
+def _(c):
+    asked = c.candidates.where("parsed_series_title IS NOT NULL").select(
+        titles.fold_title(F.concat_ws(" ", "parsed_series_title", "episode_title")).alias("title")).distinct()
+    found = search.search_series(asked, c.series)
+    return found.select("title", "series_provider_id", "series_title", F.round("share", 6).alias("share"), F.col("position").cast("long").alias("position"))
+
+
+@query("j07_title_search", """
+SELECT q.block, q.year, h.provider_id, round(greatest(r.ratio, coalesce(o.ratio, 0e0)), 6) AS title_score
+FROM {queries} q JOIN {word_hits} h ON h.block = q.block JOIN {ratios} r ON r.a = q.block AND r.b = h.t1 LEFT JOIN {ratios} o ON o.a = q.block AND o.b = h.t2
+""")
+def _(c):
+    return search.title_search(_queries(c), c.movies).select("block", "year", "movie.provider_id", F.round("title_score", 6).alias("title_score"))
+
+
 # Given search hits, titles unequal.
 _T = FOLD.format("h.parsed_title")
 PARTS["hit_scores"] = f"""
@@ -263,19 +356,18 @@ def _(c):
     attempts, listed, shared = record(c)
     own = listed.groupBy("attempt_id").agg(F.count(F.lit(1)).alias("own"))
     each = shared.groupBy(F.col("query_block").alias("block"), F.col("query_year").alias("year")).agg(F.count(F.lit(1)).alias("others"))
-    chosen = linkage.selected_matches(attempts, listed, shared).select("attempt_id", F.col("provider_id").alias("selected_provider_id"))
     on = (F.col("query_block") == F.col("block")) & F.col("query_year").eqNullSafe(F.col("year"))
-    counted = attempts.join(own, "attempt_id", "left").join(each, on, "left").join(chosen, "attempt_id", "left")
+    counted = attempts.join(own, "attempt_id", "left").join(each, on, "left")
     total = F.size("compared") + F.coalesce("others", F.lit(0)) + F.coalesce("own", F.lit(0))
-    return counted.select("media_file_id", "status", total.alias("matches"),
-                          F.when(F.col("selected_provider_id").isNull(), 0).otherwise(1).cast("long").alias("selected"), "selected_provider_id")
+    return counted.select("media_file_id", "status", total.alias("matches"), F.col("selected_match_id").isNotNull().cast("long").alias("selected"),
+                          F.col("selected_match.provider_id").alias("selected_provider_id"))
 
 
 def record(c):
     """Attempts of all candidates, the matches of their own and the shared ones, as a run appends them."""
     candidates, movies, series, episodes, errors = _searched(c)
     attempts, listed = linkage.recorded(evaluated(c), linkage.listed_matches(candidates, series, episodes, errors), run_ts())
-    return attempts, listed, linkage.shared_matches(candidates, movies, errors)
+    return written(attempts), written(listed), written(linkage.shared_matches(candidates, movies, errors))
 
 
 # Series the provider returned per file, titles unequal: the best few by similarity have their episodes compared.
