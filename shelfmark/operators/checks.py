@@ -196,9 +196,31 @@ def violations(df: DataFrame, key: str, enums: dict[str, tuple[str, ...]] | None
 
 
 def repeated(df: DataFrame, key: list[str], rule: str, where: Column | None = None) -> DataFrame:
-    """Keys that should be unique (among the rows of ``where``) and are not."""
-    rows = df if where is None else df.where(where)
+    """Keys that should be unique (among the rows of ``where``) and are not. A key with a null repeats nothing."""
+    rows = (df if where is None else df.where(where)).dropna("any", subset=key)
     return (
         rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
         .select(F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("row_key"),
                 F.lit(rule).alias("rule"), F.col("n").cast("string").alias("value")))
+
+
+def orphans(parents: dict[str, tuple[DataFrame, str]], references: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """Keys that rows refer to and no parent has, as (row_key, rule, value): the key, `<column> refers to <parent>`
+    and how many rows name it.
+
+    ``parents`` gives each parent table and its key; ``references`` are (table, column, parent). All are checked in one
+    pass: keys are tagged with the parent they belong to and grouped once, combined before the shuffle, so neither a
+    parent that is named by many tables nor a popular key is read or moved twice. A null refers to nothing.
+    """
+    rules = {i: f"{column} refers to {parent}" for i, (_, column, parent) in enumerate(references)}
+    held = [df.select(F.lit(name).alias("parent"), F.col(key).cast("string").alias("row_key"), F.lit(-1).alias("rule")) for name, (df, key) in parents.items()]
+    named = [df.select(F.lit(parent).alias("parent"), F.col(column).cast("string").alias("row_key"), F.lit(i).alias("rule"))
+             for i, (df, column, parent) in enumerate(references)]
+    rows = held[0]
+    for more in [*held[1:], *named]:
+        rows = rows.unionByName(more)
+    counted = rows.where(F.col("row_key").isNotNull()).groupBy("parent", "row_key").agg(
+        F.bool_or(F.col("rule") == -1).alias("held"),
+        F.array(*[F.struct(F.lit(text).alias("rule"), F.count_if(F.col("rule") == i).alias("n")) for i, text in rules.items()]).alias("told"))
+    lost = counted.where(~F.col("held")).select("row_key", F.inline(F.filter("told", lambda x: x["n"] > 0)))
+    return lost.select("row_key", "rule", F.col("n").cast("string").alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import paths
+from shelfmark.operators import reconcile
 
 # What a failed step leaves behind, by transfer strategy.
 _SHARED = {"CREATE_DESTINATION_DIRECTORY": "NONE", "REFRESH_INVENTORY": "INVENTORY_REFRESH_INCOMPLETE",
@@ -60,14 +61,16 @@ def fold_events(plans: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFra
     ends = log.where(after).groupBy("plan_id").agg(
         F.min_by(F.struct("seq", "event", "strategy", "step"), "seq").alias("end"))
     log = log.join(ends.select("plan_id", F.col("end.seq").alias("end_seq")), "plan_id", "left")
+    # Null where the event, its number or what it is compared with is missing: such an event is not legal.
     legal = (
-        (F.col("seq").eqNullSafe(F.col("start_seq")) & (F.col("event") == "START"))
-        | (F.col("seq").eqNullSafe(F.col("end_seq")) & F.col("event").isin("SUCCEED", "FAIL")))
+        ((F.col("seq") == F.col("start_seq")) & (F.col("event") == "START"))
+        | ((F.col("seq") == F.col("end_seq")) & F.col("event").isin("SUCCEED", "FAIL")))
     reason = (
         F.when(F.col("__approved").isNull(), "no such plan")
+        .when(F.col("seq").isNull() | F.col("event").isNull(), "no seq or event")
         .when(F.col("event") == "START", "plan is not APPROVED")
         .otherwise("plan is not EXECUTING"))
-    rejects = log.where(~legal).select("plan_id", "seq", "event", reason.alias("reject_reason"))
+    rejects = log.where(~F.coalesce(legal, F.lit(False))).select("plan_id", "seq", "event", reason.alias("reject_reason"))
     recovery = F.when(F.col("end.event") == "FAIL", recovery_for(F.col("end.strategy"), F.col("end.step")))
     current = (
         plans.join(starts, "plan_id", "left").join(ends, "plan_id", "left")
@@ -106,11 +109,20 @@ def triage(executions: DataFrame, locks: DataFrame, listing: DataFrame, marker:
     """
     paths_on_disk = listing.select("absolute_path").distinct()
     partial = partial_files(listing, marker).groupBy("destination_path").agg(F.count(F.lit(1)).alias("partial_file_count"))
-    on = lambda column, flag: (paths_on_disk.select(F.col("absolute_path").alias(column)).withColumn(flag, F.lit(True)))
+    # What is known of a path, met once for the source and once for the destination; rows without a path are dealt out.
+    facts = (
+        paths_on_disk.select(F.col("absolute_path").alias("__at"), F.lit(True).alias("__there"), F.lit(0).alias("__partial"))
+        .unionByName(partial.select(F.col("destination_path").alias("__at"), F.lit(False).alias("__there"), F.col("partial_file_count").alias("__partial")))
+        .groupBy("__at").agg(F.bool_or("__there").alias("__there"), F.sum("__partial").alias("__partial")))
+
+    def met(df: DataFrame, path: str, exists: str, count: str) -> DataFrame:
+        keyed = df.withColumn("__key", reconcile.join_key(df, path, "execution_id"))
+        held = facts.select("__at", F.col("__there").alias(exists), F.col("__partial").alias(count))
+        return keyed.join(held, F.col("__key") == F.col("__at"), "left").drop("__key", "__at")
+
     df = (
-        executions.join(on("source_path", "source_exists"), "source_path", "left")
-        .join(on("destination_path", "destination_exists"), "destination_path", "left")
-        .join(partial, "destination_path", "left")
+        met(met(executions, "source_path", "source_exists", "__beside"), "destination_path", "destination_exists", "partial_file_count")
+        .drop("__beside")
         .join(locks.select("plan_id", F.col("token").alias("__token")), "plan_id", "left"))
     false = F.lit(False)
     df = df.withColumns({

@@ -135,39 +135,83 @@ def with_competitor(df: DataFrame, plans: DataFrame) -> DataFrame:
     """Add ``competing_plan_id``: another file's live plan on the same destination, lowest id."""
     held = claims(plans).select(F.col("destination_directory").alias("__dir"), F.col("destination_filename").alias("__file"),
                                 "first_id", "first_file", "second_id")
-    rival = F.when(F.col("first_file") == F.col("media_file_id"), F.col("second_id")).otherwise(F.col("first_id"))
-    keyed = df.withColumn("__key", reconcile.join_key(df, "destination_directory"))
+    keyed = df.withColumn("__key", reconcile.join_key(df, "destination_directory", "media_file_id"))
     same = (F.col("__key") == F.col("__dir")) & (F.coalesce("destination_filename", F.lit("")) == F.col("__file"))
-    return keyed.join(held, same, "left").withColumn("competing_plan_id", rival).drop(
+    return keyed.join(held, same, "left").withColumn("competing_plan_id", _rival()).drop(
         "__key", "__dir", "__file", "first_id", "first_file", "second_id")
 
 
-def _holders(active: DataFrame, listing: DataFrame | None) -> DataFrame:
-    """One row per held path: is it in the ACTIVE inventory, is it on disk."""
-    rows = active.select("absolute_path", F.lit(True).alias("__active"), F.lit(listing is None).alias("__listed"))
-    if listing is not None:
-        rows = rows.unionByName(listing.select("absolute_path", F.lit(False).alias("__active"), F.lit(True).alias("__listed")))
-    return rows.groupBy("absolute_path").agg(F.bool_or("__active").alias("__active"), F.bool_or("__listed").alias("__listed"))
+def _rival() -> Column:
+    return F.when(F.col("first_file") == F.col("media_file_id"), F.col("second_id")).otherwise(F.col("first_id"))
 
 
-def with_holder(df: DataFrame, holders: DataFrame, path: str, flags: dict[str, str]) -> DataFrame:
-    """Left join ``holders`` on ``path``, with their flags renamed and false where nothing holds it."""
+def with_holder(df: DataFrame, holders: DataFrame, path: str, flags: dict[str, str], spread: str = "media_file_id") -> DataFrame:
+    """Left join ``holders`` on ``path``, with their flags renamed and false where nothing holds it. ``spread`` names
+    the column by which rows without a path are dealt out."""
     held = holders.select(F.col("absolute_path").alias("__held"), *[F.col(a).alias(b) for a, b in flags.items()])
-    keyed = df.withColumn("__key", reconcile.join_key(df, path))
+    keyed = df.withColumn("__key", reconcile.join_key(df, path, spread))
     return keyed.join(held, F.col("__key") == F.col("__held"), "left").drop("__key", "__held").withColumns(
         {b: F.coalesce(b, F.lit(False)) for b in flags.values()})
 
 
-def with_collisions(df: DataFrame, inventory: DataFrame, plans: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+_CLAIM = "struct<first_id:bigint,first_file:bigint,second_id:bigint>"
+
+
+def _claim_key(directory: Column, filename: Column) -> Column:
+    return F.concat(F.lit("C"), directory, F.lit("\x00"), filename)
+
+
+def place_facts(active: DataFrame, plans: DataFrame, listing: DataFrame | None) -> DataFrame:
+    """What is known of each path and each destination: (key, __active, __listed, __claim), one row per key.
+
+    ``active`` are the files of the inventory, ``listing`` what is on disk (the inventory itself, where not given).
+    """
+    def held(rows: DataFrame, in_inventory: bool, on_disk: bool) -> DataFrame:
+        return rows.select(F.concat(F.lit("P"), "absolute_path").alias("key"), F.lit(in_inventory).alias("__active"),
+                           F.lit(on_disk).alias("__listed"), F.lit(None).cast(_CLAIM).alias("__claim"))
+
+    rows = held(active, True, listing is None)
+    if listing is not None:
+        rows = rows.unionByName(held(listing, False, True))
+    claimed = claims(plans).where(F.col("destination_filename").isNotNull()).select(
+        _claim_key(F.col("destination_directory"), F.col("destination_filename")).alias("key"), F.lit(False).alias("__active"),
+        F.lit(False).alias("__listed"), F.struct("first_id", "first_file", "second_id").cast(_CLAIM).alias("__claim"))
+    return rows.unionByName(claimed).where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.bool_or("__active").alias("__active"), F.bool_or("__listed").alias("__listed"), F.min("__claim").alias("__claim"))
+
+
+def looked_up(df: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, __catalogued, __on_disk, __dir_is_file, competing_plan_id) for the rows of df whose destination something
+    holds or claims. df has destination_directory, destination_filename, destination_path and media_file_id.
+
+    Only the keys asked for go to the facts, not the rows they belong to, and rows without a destination ask nothing.
+    """
+    def ask(role: str, key: Column) -> Column:
+        return F.when(key.isNotNull(), F.struct(F.lit(role).alias("role"), key.alias("key")))
+
+    path = lambda c: F.concat(F.lit("P"), F.col(c))
+    asked = F.array_compact(F.array(
+        ask("path", path("destination_path")), ask("directory", path("destination_directory")),
+        ask("claim", _claim_key(F.col("destination_directory"), F.col("destination_filename")))))
+    own = list(dict.fromkeys([*by, "media_file_id"]))
+    met = df.select(*own, F.inline(asked)).join(facts, "key")
+    told = lambda role, flag: F.coalesce(F.bool_or((F.col("role") == role) & F.col(flag)), F.lit(False))
+    found = met.groupBy(*own).agg(
+        told("path", "__active").alias("__catalogued"), told("path", "__listed").alias("__on_disk"),
+        told("directory", "__listed").alias("__dir_is_file"), F.max(F.when(F.col("role") == "claim", F.col("__claim"))).alias("__claim"))
+    return found.select("*", "__claim.*").withColumn("competing_plan_id", _rival()).select(
+        *by, "__catalogued", "__on_disk", "__dir_is_file", "competing_plan_id")
+
+
+def with_collisions(df: DataFrame, inventory: DataFrame, plans: DataFrame, listing: DataFrame | None = None,
+                    by: str = "media_file_id") -> DataFrame:
     """Add ``collisions``, the reasons a destination cannot be used.
 
     ``inventory`` is the file state (a MISSING row holds nothing); ``listing`` is a fresh
-    listing of the destination roots and stands for what is on disk.
+    listing of the destination roots and stands for what is on disk. ``by`` names the key of df.
     """
-    holders = _holders(inventory.where(F.col("state") == "ACTIVE"), listing)
-    df = with_holder(df, holders, "destination_path", {"__active": "__catalogued", "__listed": "__on_disk"})
-    df = with_holder(df, holders, "destination_directory", {"__listed": "__dir_is_file"})
-    df = with_competitor(df, plans)
+    facts = place_facts(inventory.where(F.col("state") == "ACTIVE"), plans, listing)
+    df = df.join(looked_up(df, facts, [by]), by, "left")
     c = F.col
     reasons = F.array_compact(F.array(
         F.when(c("absolute_path") == c("destination_path"), "source and destination paths are identical"),
@@ -180,6 +224,17 @@ def with_collisions(df: DataFrame, inventory: DataFrame, plans: DataFrame, listi
     return df.withColumn("collisions", reasons).drop("__catalogued", "__on_disk", "__dir_is_file")
 
 
+def gathered(key: str, parts: dict[str, DataFrame], lists: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key with a struct per part, null where the part has no row of the key: one shuffle, however many
+    parts. Of several rows of a part the least counts; parts in ``lists`` come as arrays of all."""
+    tagged = [df.where(F.col(key).isNotNull()).select(key, F.struct(*[c for c in df.columns if c != key]).alias(name)) for name, df in parts.items()]
+    rows = tagged[0]
+    for more in tagged[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    return rows.groupBy(key).agg(*[
+        (F.collect_list(n) if n in lists else F.min(n)).alias(n) for n in parts])
+
+
 def actions(source: Column, directory: Column, full_path: Column) -> Column:
     """Proposed actions in order: two without a destination, six with one."""
     text = F.lit(None).cast("string")
@@ -232,20 +287,21 @@ def generate(requests: DataFrame, files: DataFrame, candidates: DataFrame, assig
              listing: DataFrame | None = None) -> DataFrame:
     """Fresh plans for the requested files (media_file_id, destination_kind or null), as ``admit`` passes them.
 
-    The gather is one left join per table on the file. Rows that something blocks, or that name no kind, get no name
+    All that belongs to a file is gathered by one grouping of the tagged tables, one row of each. Rows that something blocks, or that name no kind, get no name
     and no path, so only the others are sanitised and meet held and claimed destinations.
     """
     held = assignments.where(F.col("status") == "ACTIVE").select(
         "media_file_id", "assignment_id", "identity_id", "assignment_method", "confirmed_for_ingest_at")
     known = identities.select("identity_id", "media_type", "title", "release_year", "season_number",
                               "episode_number", "episode_title").withColumn("__identity", F.lit(True))
-    df = (
-        requests.join(files, "media_file_id")
-        .join(candidates.select("media_file_id", "candidate_id"), "media_file_id", "left")
-        .join(held.join(known, "identity_id", "left"), "media_file_id", "left")
-        .join(blocking, "media_file_id", "left")
-        .withColumn("blocking_finding_count", F.coalesce("blocking_finding_count", F.lit(0)))
-    )
+    all_of = gathered("media_file_id", {
+        "asked": requests.select("media_file_id", "destination_kind"), "file": files,
+        "candidate": candidates.select("media_file_id", "candidate_id"),
+        "assigned": held.join(known, "identity_id", "left"),
+        "findings": blocking.select("media_file_id", "blocking_finding_count")})
+    df = all_of.where(F.col("asked").isNotNull() & F.col("file").isNotNull()).select(
+        "media_file_id", "asked.*", "file.*", "candidate.*", "assigned.*",
+        F.coalesce("findings.blocking_finding_count", F.lit(0)).alias("blocking_finding_count"))
     df = checks.verify_media(df)
     c, v = F.col, F.col("verification_status")
     unresolved = c("assignment_id").isNull() | c("__identity").isNull()
@@ -371,7 +427,8 @@ def audit(plans: DataFrame, files: DataFrame, candidates: DataFrame, overrides:
     """Readiness of every plan against the world as it is now. Reads only.
 
     ``plans`` carry ``actions`` (action_order, action_type, execution_state,
-    overwrite_requested); ``overrides`` are the open ones; ``roots`` lists configured roots.
+    overwrite_requested); ``overrides`` are the open ones; ``roots`` lists configured roots. All that belongs to a file
+    is gathered by one grouping, and plans meet it in one join.
     """
     c = F.col
     source = files.select(
@@ -380,23 +437,30 @@ def audit(plans: DataFrame, files: DataFrame, candidates: DataFrame, overrides:
     renamed = {"status": "plan_status", "source_path": "plan_source_path", "source_size_bytes": "plan_source_size_bytes",
                "source_mtime": "plan_source_mtime", "candidate_id": "plan_candidate_id",
                "assignment_id": "plan_assignment_id", "verification_status": "plan_verification_status"}
-    lineage = override_lineage(assignments, attempts).withColumnRenamed("assignment_id", "plan_assignment_id")
+    lineage = override_lineage(assignments, attempts)
     lineage = lineage.join(identities.select("identity_id", F.lit(True).alias("external_identity_exists")), "identity_id", "left").drop("identity_id")
+    named = plans.where(c("assignment_id").isNotNull()).select("media_file_id", "plan_id", "assignment_id")
+    lineage = named.join(lineage, "assignment_id").select("media_file_id", "plan_id", "plan_override_id", "external_identity_exists")
     known_roots = roots.select(c("root_path").alias("destination_library")).distinct().withColumn("destination_root_configured", F.lit(True))
-    df = with_competitor(plans, plans)
-    path = F.when(c("destination_filename").isNotNull(), F.concat_ws("/", "destination_directory", "destination_filename"))
-    df = df.withColumn("__path", F.when(c("destination_directory").isNotNull(), path))
-    holders = _holders(files.where(c("state") == "ACTIVE"), listing)
-    df = with_holder(df, holders, "__path", {"__active": "__in_inventory", "__listed": "__on_disk"}).withColumnsRenamed(renamed)
-    df = (
-        df.join(source, "media_file_id", "left")
-        .join(candidates.select("media_file_id", c("candidate_id").alias("current_candidate_id")), "media_file_id", "left")
-        .join(overrides.select("media_file_id", c("override_id").alias("current_override_id")), "media_file_id", "left")
-        .join(assignments.where(c("status") == "ACTIVE").select("media_file_id", c("assignment_id").alias("current_assignment_id")), "media_file_id", "left")
-        .join(blocking.select("media_file_id", c("blocking_finding_count").alias("current_blocking_finding_count")), "media_file_id", "left")
-        .join(lineage, "plan_assignment_id", "left")
-        .join(known_roots, "destination_library", "left")
-    )
+    path = F.when(c("destination_directory").isNotNull() & c("destination_filename").isNotNull(),
+                  F.concat_ws("/", "destination_directory", "destination_filename"))
+    facts = place_facts(files.where(c("state") == "ACTIVE"), plans, listing)
+    places = looked_up(plans.withColumn("destination_path", path), facts, ["media_file_id", "plan_id"])
+    gather = gathered("media_file_id", {
+        "source": source, "places": places, "lineage": lineage,
+        "candidate": candidates.select("media_file_id", c("candidate_id").alias("current_candidate_id")),
+        "override": overrides.select("media_file_id", c("override_id").alias("current_override_id")),
+        "assigned": assignments.where(c("status") == "ACTIVE").select("media_file_id", c("assignment_id").alias("current_assignment_id")),
+        "findings": blocking.select("media_file_id", c("blocking_finding_count").alias("current_blocking_finding_count")),
+    }, lists=("places", "lineage"))
+    own = lambda name: F.get(F.filter(name, lambda x: x["plan_id"] == c("plan_id")), F.lit(0))
+    df = plans.withColumnsRenamed(renamed).join(gather, "media_file_id", "left").withColumns(
+        {"places": own("places"), "lineage": own("lineage")})
+    df = df.select(
+        *[renamed.get(n, n) for n in plans.columns], "source.*", "candidate.*", "override.*", "assigned.*", "findings.*",
+        "lineage.plan_override_id", "lineage.external_identity_exists", "places.competing_plan_id",
+        *[F.coalesce(f"places.{n}", F.lit(False)).alias(n) for n in ("__catalogued", "__on_disk")])
+    df = df.join(known_roots, "destination_library", "left")
     false = F.lit(False)
     df = df.withColumns({
         "source_media_file_exists": F.coalesce("source_media_file_exists", false),
@@ -404,6 +468,6 @@ def audit(plans: DataFrame, files: DataFrame, candidates: DataFrame, overrides:
         "current_blocking_finding_count": F.coalesce("current_blocking_finding_count", F.lit(0)),
         "destination_root_configured": F.coalesce("destination_root_configured", false),
         "destination_path_inside_root": F.coalesce(paths.is_under(c("destination_directory"), c("destination_library")), false),
-        "destination_still_unoccupied": ~(c("__in_inventory") | c("__on_disk")),
+        "destination_still_unoccupied": ~(c("__catalogued") | c("__on_disk")),
     })
-    return checks.evaluate_readiness(df).drop("__path", "__in_inventory", "__on_disk")
+    return checks.evaluate_readiness(df).drop("__catalogued", "__on_disk")

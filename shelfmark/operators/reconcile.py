@@ -57,13 +57,14 @@ def latest(df: DataFrame, key: list[str], order: list[str], prefer: list[Column]
     return picked.select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def join_key(df: DataFrame, key: str) -> Column:
+def join_key(df: DataFrame, key: str, spread: str | None = None) -> Column:
     """A nullable text key for an outer join: nulls become row-specific texts that match nothing.
 
     Null keys all hash to one partition, which many rows without a value would overload. The
-    text derives from the row itself, so a task that runs again makes the same one.
+    text derives from the row itself (from its column ``spread``, where one is named), so a task that runs again
+    makes the same one.
     """
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    hashable = [spread] if spread else [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     return F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.xxhash64(*hashable).cast("string")))
 
 

@@ -80,7 +80,7 @@ def _(c):
     held = c.files.where("state = 'ACTIVE'").select(F.regexp_extract("absolute_path", "^/nas/[^/]+/[^/]+", 0).alias("absolute_path"))
     root = F.when(F.expr("media_file_id % 2 = 0"), "movies").otherwise("tv")
     plans = c.plans.select("plan_id", F.concat(F.lit("/nas/"), root, F.lit("/disk"), "media_file_id").alias("path"))
-    return ingest.with_holder(plans, held.withColumn("held", F.lit(True)), "path", {"held": "occupied"}).select("plan_id", "occupied")
+    return ingest.with_holder(plans, held.withColumn("held", F.lit(True)), "path", {"held": "occupied"}, spread="plan_id").select("plan_id", "occupied")
 
 
 PARTS["live_claims"] = "SELECT * FROM {plans} WHERE status NOT IN ('EXECUTED', 'SUPERSEDED')"
@@ -109,7 +109,7 @@ def _(c):
     held = placed.where("plan_id % 17 = 0 OR plan_id % 19 = 0").select(
         path.alias("absolute_path"), F.expr("CASE WHEN plan_id % 17 = 0 THEN 'ACTIVE' ELSE 'MISSING' END AS state"))
     df = c.plans.withColumn("destination_path", F.when(F.col("destination_directory").isNotNull(), path)).withColumn("absolute_path", F.lit("/incoming/x"))
-    return ingest.with_collisions(df, held, c.plans, disk).select("plan_id", F.array_join("collisions", "; ").alias("collisions"))
+    return ingest.with_collisions(df, held, c.plans, disk, by="plan_id").select("plan_id", F.array_join("collisions", "; ").alias("collisions"))
 
 
 def _generated(c):
@@ -314,12 +314,28 @@ def _(c):
 
 @query("r17_illegal_transitions", """
 SELECT e.plan_id, e.seq, CASE WHEN p.plan_id IS NULL THEN 'no such plan' WHEN e.event = 'START' THEN 'plan is not APPROVED' ELSE 'plan is not EXECUTING' END AS reject_reason
-FROM {transfer_events} e LEFT JOIN {plans} p ON p.plan_id = e.plan_id WHERE e.seq NOT IN (SELECT seq FROM {event_starts}) AND e.seq NOT IN (SELECT seq FROM {event_ends})
+FROM {transfer_events} e LEFT JOIN {plans} p ON p.plan_id = e.plan_id LEFT JOIN {event_starts} s ON s.seq = e.seq LEFT JOIN {event_ends} x ON x.seq = e.seq WHERE s.seq IS NULL AND x.seq IS NULL
 """)
 def _(c):
     return execution.fold_events(c.plans, c.transfer_events)[1].select("plan_id", "seq", "reject_reason")
 
 
+# The same log where some entries lost their number or their kind: those are illegal whatever else they say.
+PARTS["torn_events"] = """
+SELECT plan_id, CASE WHEN seq % 11 = 3 THEN NULL ELSE seq END AS seq, CASE WHEN seq % 13 = 5 THEN NULL ELSE event END AS event, strategy, step FROM {transfer_events}"""
+
+
+@query("r17_torn_log", """
+SELECT e.plan_id, CASE WHEN p.plan_id IS NULL THEN 'no such plan' ELSE 'no seq or event' END AS reject_reason, count(*) AS entries
+FROM {torn_events} e LEFT JOIN {plans} p ON p.plan_id = e.plan_id WHERE e.seq IS NULL OR e.event IS NULL GROUP BY 1, 2
+""")
+def _(c):
+    torn = c.transfer_events.withColumns({"event": F.expr("CASE WHEN seq % 13 = 5 THEN NULL ELSE event END"), "__seq": F.expr("CASE WHEN seq % 11 = 3 THEN NULL ELSE seq END")})
+    torn = torn.withColumn("seq", F.col("__seq")).drop("__seq")
+    rejects = execution.fold_events(c.plans, torn)[1].where("seq IS NULL OR event IS NULL")
+    return rejects.groupBy("plan_id", "reject_reason").agg(F.count(F.lit(1)).alias("entries"))
+
+
 PARTS["on_disk"] = """
 SELECT source_path AS absolute_path FROM {executions} WHERE execution_id % 3 = 0 UNION ALL SELECT destination_path FROM {executions} WHERE execution_id % 4 = 0
 UNION ALL SELECT regexp_replace(destination_path, '[^/]+$', '') || '.' || regexp_extract(destination_path, '[^/]+$') || '.partial-t' || execution_id FROM {executions} WHERE execution_id % 6 = 0"""

@@ -228,3 +228,22 @@ UNION ALL SELECT CAST(plan_id AS VARCHAR), 'one executing per plan', CAST(count(
 def _(c):
     return checks.repeated(c.files, ["relative_path"], "relative_path unique").unionByName(
         checks.repeated(c.executions, ["plan_id"], "one executing per plan", F.col("status") == "EXECUTING"))
+
+
+def _orphans(column: str, table: str, parent: str, key: str, name: str) -> str:
+    return (f"SELECT CAST(x.{column} AS VARCHAR) AS row_key, '{column} refers to {name}' AS rule, CAST(count(*) AS VARCHAR) AS value "
+            f"FROM {{{table}}} x LEFT JOIN {{{parent}}} p ON p.{key} = x.{column} WHERE x.{column} IS NOT NULL AND p.{key} IS NULL GROUP BY x.{column}")
+
+
+@query("g05_references", " UNION ALL ".join([
+    _orphans("identity_id", "assignments", "identities", "identity_id", "identities"),
+    _orphans("attempt_id", "matches", "attempts", "attempt_id", "attempts"),
+    _orphans("override_id", "attempts", "attempts", "attempt_id", "attempts"),
+    _orphans("media_file_id", "attempts", "files", "media_file_id", "files"),
+    _orphans("series_provider_id", "episodes", "series", "provider_id", "series")]))
+def _(c):
+    parents = {"identities": (c.identities, "identity_id"), "attempts": (c.attempts, "attempt_id"), "files": (c.files, "media_file_id"),
+               "series": (c.series, "provider_id")}
+    return checks.orphans(parents, [
+        (c.assignments, "identity_id", "identities"), (c.matches, "attempt_id", "attempts"), (c.attempts, "override_id", "attempts"),
+        (c.attempts, "media_file_id", "files"), (c.episodes, "series_provider_id", "series")])
