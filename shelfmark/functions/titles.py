@@ -53,7 +53,20 @@ def fold_title(title: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Ratios of a batch, null where a side is empty or both are equal. The index of a second title is built once
+    for all first titles of the batch that meet it."""
+    out = [None] * len(a)
+    matcher, held = difflib.SequenceMatcher(None), None
+    for i in b.reset_index(drop=True).sort_values(kind="stable").index:
+        x, y = a.iat[i], b.iat[i]
+        if not x or not y or x == y:
+            continue
+        if y != held:
+            matcher.set_seq2(y)
+            held = y
+        matcher.set_seq1(x)
+        out[i] = matcher.ratio()
+    return pd.Series(out, dtype="float64")
 
 
 def with_similarities(df: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
@@ -61,28 +74,27 @@ def with_similarities(df: DataFrame, wanted: dict[str, tuple[str, str]]) -> Data
     missing or folds to nothing, 1 when the folded titles are equal, else their
     Ratcliff-Obershelp ratio (not symmetric: ``a`` is the local title).
 
-    The ratio has no built-in. It is computed once per distinct pair of unequal folded titles,
-    over all the column pairs together, and joined back. Rows that need no ratio (a side
-    missing, or equal titles, which one popular title can make most of all rows) take a join key
-    of their own, so they spread evenly.
+    The ratio has no built-in. All column pairs are computed together, once per distinct set of their folded titles,
+    and joined back in one join. Rows that need no ratio (a side missing, or equal titles, which one popular title
+    can make most of all rows) take a join key of their own, so they spread evenly.
     """
     hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    row_key = F.xxhash64(*hashable)
-    names = {out: (f"__{out}_a", f"__{out}_b", f"__{out}_k", f"__{out}_r") for out in wanted}
+    sides = {out: (f"__{out}_a", f"__{out}_b") for out in wanted}
+    names = [n for pair in sides.values() for n in pair]
     text = lambda c: F.coalesce(fold_title(F.col(c)), F.lit(""))
-    folded = df.withColumns({
-        n: text(c) for out, sides in wanted.items() for n, c in zip(names[out][:2], sides)})
-    unequal = {out: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b)) for out, (a, b, _, _) in names.items()}
-    entries = F.array(*[F.when(unequal[out], F.struct(F.col(a).alias("a"), F.col(b).alias("b"))) for out, (a, b, _, _) in names.items()])
-    pairs = folded.select(F.inline(F.array_compact(entries))).distinct()
-    ratios = pairs.withColumns({"r": _ratio(F.col("a"), F.col("b")), "k": F.xxhash64("a", "b")})
-    result = folded.withColumns({
-        k: F.when(unequal[out], F.xxhash64(a, b)).otherwise(row_key) for out, (a, b, k, _) in names.items()})
-    for out, (a, b, k, r) in names.items():
-        found = ratios.select(F.col("a").alias(a), F.col("b").alias(b), F.col("k").alias(k), F.col("r").alias(r))
-        result = result.join(found, [k, a, b], "left").withColumn(
-            out, F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0).otherwise(F.col(r)))
-    return result.drop(*[n for group in names.values() for n in group])
+    folded = df.withColumns({n: text(c) for out in wanted for n, c in zip(sides[out], wanted[out])})
+    unequal = F.lit(False)
+    for a, b in sides.values():
+        unequal = unequal | ((F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b)))
+    ratios = folded.where(unequal).select(*names).distinct().withColumns(
+        {f"__{out}_r": _ratio(F.col(a), F.col(b)) for out, (a, b) in sides.items()})
+    ratios = ratios.withColumn("__ratio_key", F.xxhash64(*names))
+    result = folded.withColumn("__ratio_key", F.when(unequal, F.xxhash64(*names)).otherwise(F.xxhash64(*hashable)))
+    result = result.join(ratios, ["__ratio_key", *names], "left")
+    result = result.withColumns({
+        out: F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0).otherwise(F.col(f"__{out}_r"))
+        for out, (a, b) in sides.items()})
+    return result.drop("__ratio_key", *names, *[f"__{out}_r" for out in wanted])
 
 
 def with_similarity(df: DataFrame, a: str, b: str, out: str) -> DataFrame:

@@ -122,3 +122,21 @@ def test_canonical_json(spark):
                  evidence.canonical_json({"b": F.col("b")}, {"a": F.col("a"), "c": F.when(F.size("c") > 0, F.col("c"))}),
                  evidence.canonical_json({}, {"a": F.col("a")}))
     assert got == [('{"b":"x","c":[1,2]}', None), ('{"a":2.5,"b":null}', '{"a":2.5}')]
+
+
+def test_ratios_of_all_pairs_in_one_pass(spark):
+    """Reused second titles, long ones, missing ones, and one Python step with one join for two column pairs."""
+    import difflib
+    import random
+
+    rng = random.Random(4)
+    words = ["red", "stone", "river", "night", "a", "of"]
+    name = lambda: rng.choice(["", None, "x" * 210 + "red", *[" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(12)]])
+    rows = [(i, name(), name(), name()) for i in range(400)]
+    df = titles.with_similarities(spark.createDataFrame(rows, "i int, a string, b string, c string"), {"ab": ("a", "b"), "ac": ("a", "c")})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 1 and plan.count("Join ") == 1
+    want = lambda x, y: 0.0 if not x or not y else 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+    for r in df.collect():
+        a, b, c = map(_fold, (r.a or "", r.b or "", r.c or ""))
+        assert (r.ab, r.ac) == (want(a, b), want(a, c))
