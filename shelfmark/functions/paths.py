@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfmark import schemas
+from shelfmark.functions import unicode
 
 
 def depth(path: Column) -> Column:
@@ -74,17 +71,6 @@ RESERVED_NAMES = (
 )
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
-
-
-def compose(raw: Column) -> Column:
-    """NFC form. Spark has no built-in; ASCII rows send only a null to the Arrow stage."""
-    wide = raw.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_nfc(F.when(wide, raw)), raw)
-
-
 def safe_component(raw: Column, composed: bool = False) -> Column:
     """One path segment made safe for a file system; null when nothing usable is left.
 
@@ -92,7 +78,7 @@ def safe_component(raw: Column, composed: bool = False) -> Column:
     and blanks are cut, reserved and hidden names get an underscore. ``composed`` says the
     input is in NFC already.
     """
-    text = raw if composed else compose(raw)
+    text = raw if composed else unicode.composed(raw)
     text = F.regexp_replace(text, r"[/\\]", "-")
     text = F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ ]]", "")
     text = F.trim(F.regexp_replace(text, " +", " "))

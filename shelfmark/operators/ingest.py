@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
-from shelfmark.functions import paths
+from shelfmark.functions import paths, unicode
 from shelfmark.operators import checks, reconcile
 
 # Fixed values in this module: the wording of errors, reasons and summaries, and the statuses
@@ -92,7 +92,7 @@ def resolve_destination(df: DataFrame, kinds: DataFrame) -> DataFrame:
         "__stem": F.when(movie, paths.movie_stem(title, F.col("release_year"))).otherwise(
             paths.episode_stem(title, tag, F.col("episode_title"))),
     })
-    named = named.withColumns({"__folder": paths.compose(F.col("__folder")), "__stem": paths.compose(F.col("__stem"))})
+    named = named.withColumns({"__folder": unicode.composed(F.col("__folder")), "__stem": unicode.composed(F.col("__stem"))})
     named = named.withColumns({
         "__folder": paths.safe_component(F.col("__folder"), composed=True),
         "__stem": paths.safe_component(F.col("__stem"), composed=True)})

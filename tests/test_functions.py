@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shelfmark.functions import evidence, paths, release, scores, titles
+from shelfmark.functions import evidence, paths, release, scores, titles, unicode
 
 
 def values(spark, rows, ddl, *columns):
@@ -140,3 +140,19 @@ def test_ratios_of_all_pairs_in_one_pass(spark):
     for r in df.collect():
         a, b, c = map(_fold, (r.a or "", r.b or "", r.c or ""))
         assert (r.ab, r.ac) == (want(a, b), want(a, c))
+
+
+def test_composition_equals_nfc(spark):
+    """Every character that composition may touch alone, and random runs of marks, jamo and plain letters."""
+    import random
+
+    rng = random.Random(1)
+    odd = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4
+           and (unicodedata.normalize("NFD", chr(c)) != chr(c) or unicodedata.combining(chr(c)))]
+    pool = [*odd, *["a", "e", "\u1100", "\u1161", "\u11a8", "\uac00", "\uac01", "\u11a7", "\u0301", "\u0327", "\u0345", "\u0338", "<"] * 40]
+    texts = [*odd, *["".join(rng.choice(pool) for _ in range(rng.randint(1, 7))) for _ in range(1500)], "", "plain", "\u0301x", "\u00dcn\u00ef"]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", unicode.composed(F.col("t")).alias("x")).collect()}
+    assert got.pop(-1) is None and got == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+    plan = df.select(paths.safe_component(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
-from shelfmark.functions import evidence, paths, release, scores, titles
+from shelfmark.functions import evidence, paths, release, scores, titles, unicode
 from workload.registry import PARTS, query
 
 # A stem of every file name and page address: dotted, dashed, bracketed and plain text.
@@ -269,6 +269,27 @@ def _(c):
         c.pages.select((F.lit(100000000) + F.col("page_id")).alias("identity_id"), paths.safe_component(F.col("url")).alias("component")))
 
 
+# The words of all texts with their accents taken apart.
+_APART = {"é": "e\u0301", "è": "e\u0300", "ê": "e\u0302", "ç": "c\u0327", "ñ": "n\u0303", "í": "i\u0301", "ó": "o\u0301", "ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308"}
+
+
+def _apart_sql(text: str) -> str:
+    for whole, parts in _APART.items():
+        text = f"replace({text}, '{whole}', '{parts}')"
+    return text
+
+
+@query("f19_composed_words", f"""
+SELECT nfc_normalize(word) AS composed, count(*) AS words FROM (SELECT unnest(string_split({_apart_sql('text')}, ' ')) AS word FROM {{documents}}) GROUP BY 1
+""")
+def _(c):
+    text = F.col("text")
+    for whole, parts in _APART.items():
+        text = F.replace(text, F.lit(whole), F.lit(parts))
+    words = c.documents.select(F.explode(F.split(text, " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(unicode.composed(F.col("word")).alias("composed")).agg(F.sum("n").alias("words"))
+
+
 @query("f20_stems_and_tags", """
 SELECT identity_id, title || ' (' || release_year || ')' AS movie_stem,
   'S' || lpad(CAST(season_number AS VARCHAR), 2, '0') || 'E' || lpad(CAST(episode_number AS VARCHAR), 2, '0') AS tag,
