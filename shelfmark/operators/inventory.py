@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import schemas
@@ -195,8 +197,8 @@ def scan(state: DataFrame, listing: DataFrame, libraries: DataFrame, scan_id: in
          metadata_enabled: bool = True) -> DataFrame:
     """A listing reconciled into the state: ``libraries`` (library_id, category, exists) are those in scope.
 
-    Write the result once; ``next_state``, ``change_events``, ``run_row`` and ``duplicate_ids`` read from what was
-    written. Listing rows of libraries whose root is absent are left out.
+    Write the result once; ``settled_ids``, and then ``next_state``, ``change_events``, ``run_row`` and
+    ``duplicate_ids``, read from what was written. Listing rows of libraries whose root is absent are left out.
     """
     scanned = libraries.where(F.col("exists")).select("library_id")
     present = one_per_path(listing.join(scanned, "library_id", "left_semi"))
@@ -221,3 +223,33 @@ def run_row(reconciled: DataFrame, scan_id: int, run_ts: Column, scope_category:
 def duplicate_ids(reconciled: DataFrame) -> DataFrame:
     """Ids that two files share. New ids are hashes, so a run looks before it keeps them; none is the rule."""
     return reconcile.duplicate_keys(reconciled.select("next.media_file_id"), ["media_file_id"])
+
+
+def settled_ids(reconciled: DataFrame, scan_id: int, key: str = "absolute_path",
+                made: Callable[[int], Column] | None = None) -> DataFrame:
+    """A written reconcile in which no new file shares an id: where hashes clash, the stored file keeps its id, of new
+    ones the first by key, and the others are hashed again with the number of the try (``made``) until all differ.
+
+    A run without a clash costs one count of ids and returns its input. The same input gives the same ids. Stored
+    files that share an id already are left to ``duplicate_ids``.
+    """
+    made = made or (lambda turn: reconcile.surrogate_key(F.col(key), F.lit(scan_id), F.lit(turn)))
+    ids = reconciled.select(key, F.col("change_type").eqNullSafe("ADDED").alias("__new"), F.lit(False).alias("__moved"),
+                            F.col("next.media_file_id").alias("__id"))
+    turn = 0
+    while True:
+        twice = reconcile.duplicate_keys(ids, ["__id"]).select("__id")
+        first = Window.partitionBy("__id").orderBy("__new", key)
+        late = ids.join(twice, "__id").withColumn("__n", F.row_number().over(first)).where((F.col("__n") > 1) & F.col("__new"))
+        late = late.select(key, F.lit(True).alias("__late"))
+        if late.isEmpty():
+            break
+        turn += 1
+        again = F.coalesce("__late", F.lit(False))
+        ids = ids.join(late, key, "left").select(
+            key, "__new", (F.col("__moved") | again).alias("__moved"), F.when(again, made(turn)).otherwise(F.col("__id")).alias("__id"))
+    if not turn:
+        return reconciled
+    moved = ids.where("__moved").select(key, "__id")
+    named = F.when(F.col("__id").isNull(), F.col("next")).otherwise(F.col("next").withField("media_file_id", F.col("__id")))
+    return reconciled.join(moved, key, "left").withColumn("next", named).drop("__id")

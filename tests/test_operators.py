@@ -395,3 +395,16 @@ def test_shuffle_counts(spark, tmp_path):
     assert shuffles(r.select("absolute_path", "change_type")) == 2
     files = stored.withColumns({"category": F.lit("movies"), "video_track_count": F.lit(1), "audio_track_count": F.lit(1)})
     assert shuffles(naming.parse(files)) == shuffles(findings.evaluate(files)) == 0
+
+
+def test_clashing_ids_are_settled(spark):
+    """Stored files keep theirs, the first new file by path too; the third try is needed for one of them."""
+    rows = [("/a", None, 5), ("/b", "ADDED", 5), ("/c", "ADDED", 7), ("/d", "ADDED", 7), ("/e", "ADDED", 7), ("/f", "MISSING", 9)]
+    df = spark.createDataFrame([(p, (i, p), t) for p, t, i in rows], "absolute_path string, next struct<media_file_id: bigint, path: string>, change_type string")
+    tries = {1: {"/b": 9, "/d": 11, "/e": 11}, 2: {"/b": 12, "/e": 11}, 3: {"/e": 13}}
+    made = lambda turn: F.try_element_at(F.create_map(*[F.lit(x) for kv in tries[turn].items() for x in kv]), F.col("absolute_path")).cast("long")
+    got = {r.absolute_path: (r.next.media_file_id, r.next.path, r.change_type) for r in inventory.settled_ids(df, 3, made=made).collect()}
+    assert got == {"/a": (5, "/a", None), "/b": (12, "/b", "ADDED"), "/c": (7, "/c", "ADDED"), "/d": (11, "/d", "ADDED"), "/e": (13, "/e", "ADDED"), "/f": (9, "/f", "MISSING")}
+    calm = df.where("absolute_path IN ('/a', '/c')")
+    assert inventory.settled_ids(calm, 3) is calm
+    assert inventory.duplicate_ids(inventory.settled_ids(df, 3)).count() == 0

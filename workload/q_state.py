@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import schemas
 from shelfmark.operators import findings, inventory, naming, reconcile
+from shelfmark.sources.store import written
 from workload.registry import PARTS, query, run_ts
 
 SCAN = 31
@@ -162,6 +163,21 @@ def _(c):
     return inventory.duplicate_ids(_scan(c))
 
 
+# New files' ids squeezed into few numbers, so that most clash with each other and some with stored ones.
+@query("r02_settled_ids", """
+SELECT count(*) AS files, count(*) AS ids, count(o.absolute_path) AS stored_ids_kept FROM {snap_old} o FULL OUTER JOIN {snap_new} n ON n.absolute_path = o.absolute_path
+""")
+def _(c):
+    added = F.col("change_type") == "ADDED"
+    crowded = written(_scan(c).withColumn("next", F.when(added, F.col("next").withField(
+        "media_file_id", F.pmod(F.col("next.media_file_id"), F.lit(500)))).otherwise(F.col("next"))))
+    settled = inventory.settled_ids(crowded, SCAN)
+    before = crowded.where(~F.coalesce(added, F.lit(False))).select("absolute_path", F.col("next.media_file_id").alias("kept"))
+    return settled.join(before, "absolute_path", "left").agg(
+        F.count(F.lit(1)).alias("files"), F.count_distinct("next.media_file_id").alias("ids"),
+        F.count_if(F.col("next.media_file_id") == F.col("kept")).alias("stored_ids_kept"))
+
+
 # --- findings and candidates ----------------------------------------------------------
 
 PARTS["stored_findings"] = """
