@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import cut
 
 END = 1
-CACHED = 1_500_000
+CACHED_BYTES = 200_000_000  # of units with their ids that a worker keeps
+ENTRY_BYTES = 200  # an entry takes that beside its text and ids
 BLOCK = 64
 # Slots of rank below this many are taken as they are: cutting such short rests further saves nothing.
 SHORT = 48
@@ -36,6 +37,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.held = 0
         # In the vocabulary's own alphabet each byte is one character.
         size = self.tokenizer.get_vocab_size()
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])
@@ -84,7 +86,9 @@ class Encoder:
             for u, ps in split.items():
                 if len(ps) > 1:
                     fresh[u] = b"".join([known.get(p) or fresh[p] for p in ps])
-            if len(known) < CACHED:
+            grown = sum(len(u) + len(v) + ENTRY_BYTES for u, v in fresh.items())
+            if self.held + grown <= CACHED_BYTES:
+                self.held += grown
                 known.update(fresh)
                 return b"".join(map(known.__getitem__, units))
             return b"".join([known.get(u) or fresh[u] for u in units])
