@@ -32,8 +32,7 @@ def asked(spark, rng, n=60):
 FINDERS = {"exact": search.exact_titles, "near": search.near_titles, "words": search.title_search}
 
 
-@pytest.mark.parametrize("name", FINDERS)
-@pytest.mark.parametrize("detail", [1, 3])
+@pytest.mark.parametrize("name, detail", [("exact", 1), ("words", 3), ("near", 3)])
 def test_shared_results_and_compared_ones_make_all_matches(spark, name, detail):
     """Against every candidate meeting every result of its query, ranked in one window each."""
     rng = random.Random(len(name) + detail)
@@ -71,8 +70,7 @@ def test_titles_a_letter_apart_are_near(spark):
     assert found.result_count == 4 and found.matches[0].provider_id == 5
 
 
-@pytest.mark.parametrize("percent", [1, 34, 50, 67, 100])
-@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("percent, hot", [(1, 3), (34, 20_000), (50, 3), (67, 3), (100, 20_000)])
 def test_word_pairs_equal_brute_force(spark, monkeypatch, percent, hot):
     monkeypatch.setattr(search, "HOT_ROWS", hot)
     rng = random.Random(percent)
