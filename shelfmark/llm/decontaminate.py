@@ -4,8 +4,11 @@ Test items and texts are read as lower-cased words. Every SEED-gram of an item i
 lie within an item's length of each other make one passage. A gram's rarity is the number of texts that hold it; an
 item's seeds are its rarer grams (up to its own median, so that every item keeps half of them even when a leak has
 made all of them frequent). Two grams of an item in one passage are a seed too, however frequent each is: edited
-copies keep the grams that whole copies have made frequent. Passages with a seed are aligned with the item word by word (match 1, mismatch and gap
--1); the local score over the item's length is the leak's share, and passages from SHARE on are leaks.
+copies keep the grams that whole copies have made frequent. A passage is kept only where it holds as many of the
+item's words as a leak has to match, which no common phrase does, so what is written follows the leaks and not the
+items times the texts. Passages with a seed are aligned with the item word by word (match 1, mismatch and gap -1); the
+local score over the item's length is the leak's share, and passages from SHARE on are leaks. What an alignment
+leaves on either side is aligned again, and long passages are aligned a few item lengths at a time.
 
 The benchmark goes to the workers in blocks of at most BLOCK words, one pass over the texts for each, so what is
 broadcast is bounded for a benchmark of any size.
@@ -89,6 +92,36 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return score, j, end
 
 
+WIDTHS = 8
+
+
+def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """As `align`, in windows of WIDTHS item lengths. An alignment of positive score matches more words than it skips,
+    so it takes less than twice the item's words of the text, by which windows overlap."""
+    size, step = WIDTHS * len(item), (WIDTHS - 2) * len(item)
+    best = (0, 0, 0)
+    for lo in range(0, max(len(text) - 2 * len(item), 1), step):
+        score, first, end = align(item, text[lo:lo + size])
+        if score > best[0]:
+            best = score, lo + first, lo + end
+    return best
+
+
+def alignments(item: np.ndarray, text: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(score, first word, end word) of alignments that reach `need`: the best one, then those of what it leaves on
+    either side."""
+    found, waiting = [], [(0, len(text))]
+    while waiting:
+        lo, hi = waiting.pop()
+        if hi - lo < need or np.isin(item, text[lo:hi]).sum() < need:
+            continue
+        score, first, end = best_alignment(item, text[lo:hi])
+        if score >= need:
+            found.append((score, lo + first, lo + end))
+            waiting += [(lo + end, hi), (lo, lo + first)]
+    return sorted(found, key=lambda x: x[1])
+
+
 def needed(length: int, share: float) -> int:
     """The score a leak of an item of that many words reaches."""
     return min(length, max(LEAST, int(np.ceil(share * length))))
@@ -97,8 +130,9 @@ def needed(length: int, share: float) -> int:
 _FOUND = "doc_id long, item int, grams array<int>, start long, passage string"
 
 
-def _seek(shared):
-    """Passages of each text that hold grams of an item, widened by the item's length on both sides."""
+def _seek(shared, share: float):
+    """Passages of each text that hold grams of an item, widened by the item's length on both sides, and enough of its
+    words; beside them one row per text with all grams it holds (no item, no passage), for their frequency."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         number, grams = items.vocabulary, items.grams
@@ -123,16 +157,19 @@ def _seek(shared):
                     continue
                 # Lowering may change a text's length; offsets are then those of the words in the text as it is.
                 spans = [m.span() for m in _WORD.finditer(text if len(lower) == len(text) else lower)]
+                out.append((doc, None, sorted({g for own in hits.values() for _, g in own}), None, None))
                 for i, own in hits.items():
                     length, lo = len(items.coded[i]), 0
+                    need = needed(length, share)
                     own.sort()
                     for k in range(1, len(own) + 1):
                         if k == len(own) or own[k][0] - own[k - 1][0] > length:
                             a = max(0, own[lo][0] - length)
                             b = min(len(spans), own[k - 1][0] + length + SEED)
-                            start, end = spans[a][0], spans[b - 1][1]
-                            out.append((doc, i, sorted({g for _, g in own[lo:k]}), start,
-                                        (text if len(lower) == len(text) else lower)[start:end]))
+                            if np.isin(items.coded[i], x[a:b]).sum() >= need:
+                                start, end = spans[a][0], spans[b - 1][1]
+                                out.append((doc, i, sorted({g for _, g in own[lo:k]}), start,
+                                            (text if len(lower) == len(text) else lower)[start:end]))
                             lo = k
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
@@ -153,13 +190,7 @@ def _judge(shared, share: float):
                 item = items.coded[i]
                 spans = [m.span() for m in _WORD.finditer(passage)]
                 text = np.array([items.vocabulary.get(passage[a:b].lower(), -1) for a, b in spans], np.int64)
-                need = needed(len(item), share)
-                # No alignment matches more words than both hold.
-                there = np.isin(item, text).sum()
-                if there < need:
-                    continue
-                score, first, end = align(item, text)
-                if score >= need:
+                for score, first, end in alignments(item, text, needed(len(item), share)):
                     out.append((doc, items.items[i][0], score, score / len(item), start + spans[first][0], start + spans[end - 1][1]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (
@@ -176,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
     """(doc_id, item_id, score, share, start, end) of every passage that leaks a test item.
 
     start and end are code points of the text (of its lower-cased form where lowering changes its length). A text
-    that leaks an item twice gives two rows; repeated rows of docs give their rows each. Null and empty texts and
+    that leaks an item twice gives two rows, however near to each other; repeated rows of docs give their rows each. Null and empty texts and
     items, and items without words, match nothing. A null doc_id is kept as it is. Items of under SEED words are
     found as a whole phrase. Other columns are not read.
     """
@@ -193,8 +224,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
         items = Items([(i, words(t)) for i, t in zip(own["item_id"].to_pylist(), own["text"].to_pylist())])
         if not len(items.grams):
             continue
-        passages = cut(base.mapInArrow(_seek(spark.sparkContext.broadcast(items)), _FOUND))
-        held = passages.select("doc_id", F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(
+        passages = cut(base.mapInArrow(_seek(spark.sparkContext.broadcast(items), share), _FOUND))
+        held = passages.where("item IS NULL").select(F.explode("grams").alias("gram")).groupBy("gram").agg(
             F.count("*").alias("n")).toArrow()
         n = dict(zip(held["gram"].to_pylist(), held["n"].to_pylist()))
         by_item: dict[int, list[int]] = defaultdict(list)
@@ -206,7 +237,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: s
             gs.sort(key=lambda g: (n.get(g, 0), g))
             bar = n.get(gs[(len(gs) - 1) // 2], 0)
             seeds[i] = {g for g in gs if n.get(g, 0) <= bar}
-        found.append(passages.mapInArrow(_judge(spark.sparkContext.broadcast((items, seeds)), share), _LEAK))
+        found.append(passages.where("item IS NOT NULL").mapInArrow(_judge(spark.sparkContext.broadcast((items, seeds)), share), _LEAK))
     if not found:
         return spark.createDataFrame([], _LEAK)
     whole = found[0]

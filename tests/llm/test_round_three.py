@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import common, hard_negatives, lang_id, merkle
+from shelfmark.llm import common, decontaminate, hard_negatives, lang_id, merkle
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -212,3 +212,39 @@ def test_manifest_of_one_row_and_of_none(spark):
     assert got.leaf == got.subroot == got.root == digest("1:1", "1:s", "2:en", "1:3", "3:One")
     assert got.proof_sha256 == digest() and got.folded_root == got.root and got.verified
     assert manifest_of(docs.where("false")).collect() == []
+
+
+# Decontamination
+
+def test_common_phrases_write_no_passages(spark, monkeypatch):
+    """Items that share an opening and texts with that phrase meet in nothing; a copy among them is found."""
+    rng = random.Random(6)
+    items = [(i, "Which of the following " + " ".join(f"w{rng.randrange(4000)}" for _ in range(12))) for i in range(400)]
+    texts = [(i, "it asks which of the following holds " + " ".join(f"v{rng.randrange(4000)}" for _ in range(60))) for i in range(20)]
+    texts[7] = (7, texts[7][1] + " " + items[3][1])
+    kept, cut = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.share) for r in found] == [(7, 3, 1.0)]
+    assert kept[-1].where("item IS NOT NULL").count() == 1 and kept[-1].where("item IS NULL").count() == 20
+
+
+def test_copies_near_each_other_are_rows_of_their_own(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    text = f"a b {item} five words between the two {item} and {item.replace('q7 ', '')} end"
+    found = decontaminate.leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"),
+                                spark.createDataFrame([(5, item)], "item_id long, text string")).orderBy("start").collect()
+    assert [text[r.start:r.end] for r in found] == [item, item, item.replace("q7 ", "")]
+
+
+def test_long_passages_are_aligned_in_windows():
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        item, text = rng.integers(0, 5, rng.integers(2, 9)), rng.integers(0, 5, rng.integers(1, 400))
+        whole, parts = decontaminate.align(item, text), decontaminate.best_alignment(item, text)
+        assert whole[0] == parts[0]
+    item = np.arange(100)
+    text = np.full(1_000_000, -1)
+    text[777_000:777_100] = item
+    assert decontaminate.alignments(item, text, 30) == [(100, 777_000, 777_100)]
