@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import identity, linkage, search
+from shelfmark.sources.store import written
 
 MOVIES = "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long"
 CANDIDATES = "media_file_id long, candidate_type string, parsed_title string, parsed_year int, local_seconds double"
@@ -116,7 +117,7 @@ def run_of(spark, when):
         "media_file_id long, candidate_id long, candidate_type string, parsed_title string, parsed_year int, parsed_series_title string, season_number int, episode_number int, episode_title string, local_seconds double")
     attempts = linkage.evaluate(candidates, movies, series, episodes)
     attempts, listed = linkage.recorded(attempts, linkage.listed_matches(candidates, series, episodes), when)
-    return attempts.cache(), listed.cache(), linkage.shared_matches(candidates, movies).cache()
+    return written(attempts), written(listed), written(linkage.shared_matches(candidates, movies))
 
 
 IDENTITIES = ("identity_id long, media_type string, provider_id long, title string, original_title string, release_year int, release_date string, series_provider_id long, "
@@ -129,7 +130,7 @@ def test_matches_become_identities_and_assignments(spark):
     attempts, listed, shared = run_of(spark, ts())
     chosen = identity.chosen_by_run(attempts, linkage.selected_matches(attempts))
     nobody, nothing = spark.createDataFrame([], IDENTITIES), spark.createDataFrame([], ASSIGNMENTS)
-    identities, assignments = identity.resolve(chosen, nobody, nothing, ts())
+    identities, assignments = map(written, identity.resolve(chosen, nobody, nothing, ts()))
     known = {r.identity_id: r for r in identities.collect()}
     assert sorted((r.media_type, r.provider_id, r.title, r.episode_title, r.outcome) for r in known.values()) == [
         ("EPISODE", 77, "Lone", "End", "CREATED"), ("MOVIE", 0, "Hot", None, "CREATED"), ("MOVIE", 9, "Solo", None, "CREATED")]
@@ -140,7 +141,7 @@ def test_matches_become_identities_and_assignments(spark):
     again = identity.resolve(chosen, identities.drop("outcome"), assignments.drop("outcome"), ts("2024-02-02 00:00:00"))
     assert [{r.outcome for r in df.collect()} for df in again] == [{"UNCHANGED"}, {"KEPT"}]
     # A reviewer selects the second match of the show, which the run left open, and the fifth of a resolved film.
-    shown = linkage.attempt_matches(attempts, listed, shared)
+    shown = written(linkage.attempt_matches(attempts, listed, shared))
     by_rank = {(r.media_file_id, r["rank"]): r for r in shown.collect()}
     assert sorted(by_rank) == [(1, k) for k in range(1, 6)] + [(2, 1), (2, 2), (3, 1), (4, 1), (6, 1)]
     assert sorted(k for k, r in by_rank.items() if r.selected) == [(1, 1), (3, 1), (4, 1), (6, 1)]
@@ -150,7 +151,7 @@ def test_matches_become_identities_and_assignments(spark):
     reviewed, rejects = identity.review_attempts(attempts, log, shown)
     assert rejects.count() == 0
     picked = identity.chosen_by_review(reviewed, identity.review_matches(shown, reviewed), log)
-    identities, assignments = identity.resolve(picked, identities.drop("outcome"), assignments.drop("outcome"), ts("2024-01-04 00:00:00"))
+    identities, assignments = map(written, identity.resolve(picked, identities.drop("outcome"), assignments.drop("outcome"), ts("2024-01-04 00:00:00")))
     known = {r.identity_id: r.provider_id for r in identities.collect()}
     rows = sorted((r.media_file_id, known[r.identity_id], r.assignment_method, r.status, r.outcome) for r in assignments.collect())
     assert rows == [(1, 0, "AUTO", "SUPERSEDED", "CLOSED"), (1, 1, "MANUAL", "ACTIVE", "OPENED"), (2, 71, "MANUAL", "ACTIVE", "OPENED"),
