@@ -7,18 +7,22 @@ are not probed and an estimate never exceeds its words' counts. P(w | v) interpo
 add-one word estimate.
 
 The filter takes BITS_EACH bits for every entry there is, in a segment per bucket (the hash's leading bits). Up to
-MAX_BITS it is broadcast. Beyond, each segment stays beside its bucket: the distinct n-grams of a run of texts are
-sent to their buckets, probed there, and the levels sent back. Both ways give the same scores. Exact word counts are
-broadcast for words that make up at least 1 / HEAVY of all tokens, of which there are at most HEAVY; others are joined.
+MAX_BITS it is broadcast. Beyond, each segment stays beside its bucket: the distinct words and pairs of a run of texts
+are sent to their buckets in one round, probed there, and the levels sent back. Both ways give the same scores, and
+the number of buckets follows the bytes of the texts, so scores don't depend on how docs is partitioned. Exact word
+counts are broadcast for words that make up at least 1 / HEAVY of all tokens, of which there are at most HEAVY; others
+are joined. Hashes and numbers move as differences in compressed byte planes.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +36,33 @@ BITS_EACH = 14
 PROBES = 8
 WEIGHT = 0.1
 GATHER = 3_000_000
-CHUNK = 400_000
+CHUNK = 800_000
+BUCKET_BYTES = 1 << 26
 _END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
+_LOG = logging.getLogger(__name__)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes, dtype: str) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, len(planes) // wide).T).reshape(-1).view(dtype)
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Rising unsigned numbers as their differences."""
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_sorted(data: bytes, dtype: str) -> np.ndarray:
+    return np.cumsum(unpack(data, dtype), dtype=dtype)
 
 
 def words(text: str | None) -> np.ndarray:
@@ -64,6 +91,11 @@ def _group(h: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray,
 _PACKED = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
+def _rest(h: np.ndarray, split: int) -> np.ndarray:
+    """The 32 bits after the bucket's: what is kept of a pair."""
+    return ((h >> np.uint64(32 - split)) & _LOW).astype("<u4")
+
+
 def _gather(bits: int):
     """Counts of the words and pairs of a run of training texts, packed by bucket (the hash's leading bits)."""
     def packed(kind: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -73,8 +105,8 @@ def _gather(bits: int):
         rows = []
         for bucket in np.unique(where):
             lo, hi = edges[bucket], edges[bucket + 1]
-            own = keys[lo:hi] if kind == 1 else (keys[lo:hi] & _LOW).astype("<u4")
-            rows.append((int(bucket), kind, own.tobytes(), counts[lo:hi].astype("<u4").tobytes()))
+            own = keys[lo:hi] if kind == 1 else _rest(keys[lo:hi], bits)
+            rows.append((int(bucket), kind, pack_sorted(own), pack(counts[lo:hi].astype("<u4"))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
 
@@ -110,8 +142,8 @@ def _merge(part: pa.Table) -> pa.Table:
 
     def own(kind: int, dtype: str):
         at = np.flatnonzero(kinds == kind)
-        return _group(np.frombuffer(b"".join(keys[i] for i in at), dtype),
-                      np.frombuffer(b"".join(counts[i] for i in at), "<u4").astype(np.int64))
+        return _group(np.concatenate([np.empty(0, dtype), *(unpack_sorted(keys[i], dtype) for i in at)]),
+                      np.concatenate([np.empty(0, np.int64), *(unpack(counts[i], "<u4").astype(np.int64) for i in at)]))
 
     h, c = own(1, "<u8")
     p, n = own(2, "<u4")
@@ -119,10 +151,10 @@ def _merge(part: pa.Table) -> pa.Table:
     both = np.concatenate([levels, level(c)])
     tally = np.bincount(both, minlength=64)[:64]
     return pa.table({
-        "bucket": pa.array([bucket], pa.int32()), "words": pa.array([h.tobytes()], pa.binary()),
-        "counts": pa.array([c.astype("<i8").tobytes()], pa.binary()),
-        "pairs": pa.array([p.tobytes()], pa.binary()),
-        "levels": pa.array([levels.astype("u1").tobytes()], pa.binary()),
+        "bucket": pa.array([bucket], pa.int32()), "words": pa.array([pack_sorted(h)], pa.binary()),
+        "counts": pa.array([pack(c.astype("<i8"))], pa.binary()),
+        "pairs": pa.array([pack_sorted(p)], pa.binary()),
+        "levels": pa.array([pack(levels.astype("u1"))], pa.binary()),
         "tokens": pa.array([int(c.sum())], pa.int64()), "distinct": pa.array([len(h)], pa.int64()),
         "tally": pa.array([tally.tolist()], pa.list_(pa.int64()))})
 
@@ -150,8 +182,8 @@ def _segments(bits: int):
             made = []
             for bucket, h, c, p, lev in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 segment = np.zeros(bits, np.uint8)
-                for x, n in ((_word_keys(np.frombuffer(h, "<u8")), level(np.frombuffer(c, "<i8"))),
-                             (_pair_keys(bucket, np.frombuffer(p, "<u4")), np.frombuffer(lev, "u1").astype(np.int64))):
+                for x, n in ((_word_keys(unpack_sorted(h, "<u8")), level(unpack(c, "<i8"))),
+                             (_pair_keys(bucket, unpack_sorted(p, "<u4")), unpack(lev, "u1").astype(np.int64))):
                     for j in range(int(n.max(initial=-1)) + 1):
                         for place in _places(x[n >= j], j, bits):
                             segment[place.astype(np.int64)] = 1
@@ -195,7 +227,8 @@ _SCORED = ("row long, doc_id long, held_out boolean, n_tokens long, known long,
 
 
 class Chunk:
-    """A run of texts: sizes, its distinct words u with exact counts for some, and which of u stands where (back)."""
+    """A run of texts: sizes, its distinct words u with exact counts for some, which of u stands where (back), and its
+    distinct pairs."""
 
     def __init__(self, sizes: np.ndarray, u: np.ndarray, back: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
         self.sizes, self.u, self.back = sizes, u, back
@@ -205,26 +238,38 @@ class Chunk:
         self.c = np.zeros(len(u))
         self.c[self.exact] = counts[at[self.exact]]
         self.rare = np.flatnonzero(~self.exact)
-
-    def pairs(self, levels: np.ndarray) -> np.ndarray:
-        """The distinct pairs to probe, once the levels of the rare words are there."""
-        self.c[self.rare] = _estimate(levels)
-        self.cw = self.c[self.back]
-        self.cv = np.roll(self.cw, 1)
+        self.pairs, self.pair = np.unique(pairs(u[back], self.first), return_inverse=True)
+
+    def record(self) -> tuple[bytes, bytes, bytes]:
+        """Sizes, words by falling frequency, and which of them stands where: small numbers, most of them."""
+        order = np.argsort(-np.bincount(self.back, minlength=len(self.u)), kind="stable")
+        place = np.empty(len(order), "<u4")
+        place[order] = np.arange(len(order), dtype="<u4")
+        return pack(self.sizes.astype("<i8")), pack(self.u[order]), pack(place[self.back])
+
+    @classmethod
+    def opened(cls, sizes: bytes, u: bytes, back: bytes, heavy: np.ndarray, counts: np.ndarray) -> Chunk:
+        u = unpack(u, "<u8")
+        order = np.argsort(u)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(unpack(sizes, "<i8"), u[order], place[unpack(back, "<u4")], heavy, counts)
+
+    def rows(self, of_words: np.ndarray, of_pairs: np.ndarray, row: int, ids, held, tokens: int, distinct: int,
+             weight: float) -> pa.RecordBatch:
+        """A row per text, from the levels of the rare words and of the pairs."""
+        self.c[self.rare] = _estimate(of_words)
+        cw = self.c[self.back]
+        cv = np.roll(cw, 1)
         # Looked up by its hash: the end mark is in every chunk.
-        self.cv[self.first] = self.c[np.searchsorted(self.u, _END)]
-        self.may = np.flatnonzero((self.cw >= 1) & (self.cv >= 1))
-        distinct, self.pair = np.unique(pairs(self.u[self.back], self.first)[self.may], return_inverse=True)
-        return distinct
-
-    def rows(self, levels: np.ndarray, row: int, ids, held, tokens: int, distinct: int, weight: float) -> pa.RecordBatch:
-        """A row per text, from the levels of the pairs."""
-        doc, cw, cv, u = np.repeat(np.arange(len(self.sizes)), self.sizes), self.cw, self.cv, self.u
+        cv[self.first] = self.c[np.searchsorted(self.u, _END)]
+        may = np.flatnonzero((cw >= 1) & (cv >= 1))
+        doc, u = np.repeat(np.arange(len(self.sizes)), self.sizes), self.u
         known = self.exact[self.back]
-        seen = np.minimum(_estimate(levels)[self.pair], np.minimum(cw[self.may], cv[self.may]))
+        seen = np.minimum(_estimate(of_pairs)[self.pair[may]], np.minimum(cw[may], cv[may]))
         gain = np.full(len(doc), np.log10(1 - weight))
-        single = (cw[self.may] + 1) / (tokens + distinct + 1)
-        gain[self.may] = np.log10(1 - weight + weight * seen / cv[self.may] / single)
+        single = (cw[may] + 1) / (tokens + distinct + 1)
+        gain[may] = np.log10(1 - weight + weight * seen / cv[may] / single)
         logs = np.where(known, np.log10(cw + 1), 0.0)
         n = len(self.sizes)
         left = np.flatnonzero(~known)
@@ -262,116 +307,104 @@ def _score(shared, tokens: int, distinct: int, weight: float):
         heavy, counts, segments, bits, split = shared.value
         probe, shift = Filter(segments, bits, split, 0), np.uint64(64 - split)
         for row, ids, held, chunk in _chunks(batches, heavy, counts):
-            rare = chunk.u[chunk.rare]
-            p = chunk.pairs(probe.levels(_word_keys(rare), rare >> shift))
-            bucket = p >> shift
-            yield chunk.rows(probe.levels(_pair_keys(bucket, p & _LOW), bucket), row, ids, held, tokens, distinct, weight)
+            rare, bucket = chunk.u[chunk.rare], chunk.pairs >> shift
+            of_words = probe.levels(_word_keys(rare), rare >> shift)
+            of_pairs = probe.levels(_pair_keys(bucket, _rest(chunk.pairs, split)), bucket)
+            yield chunk.rows(of_words, of_pairs, row, ids, held, tokens, distinct, weight)
     return run
 
 
+_CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, back binary"
 _QUERY = "chunk long, kind int, bucket int, keys binary"
-_CHUNKS = _QUERY + ", ids array<long>, held array<boolean>, sizes binary, words binary, back binary"
 _LEVELS = "chunk long, kind int, bucket int, levels binary"
 
 
-def _queries(row: int, kind: int, keys: np.ndarray, shift: np.uint64) -> pa.RecordBatch:
-    """Sorted keys by bucket."""
-    where = (keys >> shift).astype(np.int64)
-    edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.empty(0, np.int64)
-    parts = np.split(keys, edges[1:]) if len(keys) else []
-    n = len(parts)
-    return pa.RecordBatch.from_arrays([
-        pa.array([row] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(where[edges], pa.int32()),
-        pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "kind", "bucket", "keys"])
+def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks as rows."""
+    none = np.empty(0, np.uint64)
+    for row, ids, held, chunk in _chunks(batches, none, none):
+        whole = (row, ids.to_pylist(), held.to_pylist(), *chunk.record())
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(whole, kinds)],
+                                         ["chunk", "ids", "held", "sizes", "words", "back"])
+
 
+def _asked(shared):
+    """By bucket, the rare words (kind 1) and the pairs (kind 2) of each chunk."""
+    def queries(kind: int, keys: np.ndarray, split: int) -> Iterator[tuple]:
+        where = (keys >> np.uint64(64 - split)).astype(np.int64)
+        edges = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(keys) else np.empty(0, np.int64)
+        for lo, hi in zip(edges, np.r_[edges[1:], len(keys)]):
+            yield kind, int(where[lo]), pack_sorted(keys[lo:hi] if kind == 1 else _rest(keys[lo:hi], split))
 
-def _tokenised(shared):
-    """The chunks (kind 0), and by bucket the words of each whose levels are asked for (kind 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, counts, shift = shared.value
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 3]
-        names = ["chunk", "kind", "bucket", "keys", "ids", "held", "sizes", "words", "back"]
-        for row, ids, held, chunk in _chunks(batches, heavy, counts):
-            asked = _queries(row, 1, chunk.u[chunk.rare], shift)
-            yield pa.RecordBatch.from_arrays([*asked.columns, *(pa.nulls(asked.num_rows, k) for k in kinds)], names)
-            own = (ids.to_pylist(), held.to_pylist(), chunk.sizes.astype("<i8").tobytes(), chunk.u.tobytes(), chunk.back.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row], pa.int64()), pa.array([0], pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()),
-                *(pa.array([x], k) for x, k in zip(own, kinds))], names)
+        heavy, counts, split = shared.value
+        for batch in batches:
+            for number, *record in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                chunk = Chunk.opened(*record, heavy, counts)
+                asked = [*queries(1, chunk.u[chunk.rare], split), *queries(2, chunk.pairs, split)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * len(asked), pa.int64()),
+                     *(pa.array(c, k) for c, k in zip(zip(*asked), (pa.int32(), pa.int32(), pa.binary())))],
+                    ["chunk", "kind", "bucket", "keys"])
     return run
 
 
-def _probe(bits: int, split: int):
+def _probe(bits: int):
     """Levels of what is asked of one bucket, by its segment."""
     def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
         made = segment["segment"][0].as_py() if segment.num_rows else b"\0" * (bits // 8)
         probe, out = Filter(np.frombuffer(made, np.uint8), bits, 0, 0), []
         for kind, bucket, keys in zip(*(asked[c].to_pylist() for c in ("kind", "bucket", "keys"))):
-            h = np.frombuffer(keys, "<u8")
-            x = _word_keys(h) if kind == 1 else _pair_keys(bucket, h & _LOW)
-            out.append(probe.levels(x, np.zeros(len(x), np.int64)).astype("i1").tobytes())
+            x = _word_keys(unpack_sorted(keys, "<u8")) if kind == 1 else _pair_keys(bucket, unpack_sorted(keys, "<u4"))
+            out.append(pack(probe.levels(x, np.zeros(len(x), np.int64)).astype("i1")))
         return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": pa.array(out, pa.binary())})
     return run
 
 
-def _opened(record: pa.Table, shared) -> Chunk:
-    read = lambda c, kind: np.frombuffer(record[c][0].as_py(), kind)
-    return Chunk(read("sizes", "<i8"), read("words", "<u8"), read("back", "<u4").astype(np.int64), *shared.value[:2])
-
-
-def _answer(levels: pa.Table, kind: int) -> np.ndarray:
-    """The levels of a chunk's words (1) or pairs (2), in the order of their keys."""
-    found = sorted((b, x) for k, b, x in zip(*(levels[c].to_pylist() for c in ("kind", "bucket", "levels"))) if k == kind)
-    return np.frombuffer(b"".join(x for _, x in found), "i1").astype(np.int64)
-
-
-def _ask_pairs(shared):
-    def run(record: pa.Table, levels: pa.Table) -> pa.Table:
-        p = _opened(record, shared).pairs(_answer(levels, 1))
-        return pa.Table.from_batches([_queries(record["chunk"][0].as_py(), 2, p, shared.value[2])])
-    return run
-
-
 def _finish(shared, tokens: int, distinct: int, weight: float):
+    def answer(levels: pa.Table, kind: int) -> np.ndarray:
+        """The levels of a chunk's words or pairs, in the order of their keys."""
+        found = sorted((b, x) for k, b, x in zip(*(levels[c].to_pylist() for c in ("kind", "bucket", "levels"))) if k == kind)
+        return np.concatenate([np.empty(0, np.int64), *(unpack(x, "i1").astype(np.int64) for _, x in found)])
+
     def run(record: pa.Table, levels: pa.Table) -> pa.Table:
-        chunk = _opened(record, shared)
-        chunk.pairs(_answer(levels, 1))
+        chunk = Chunk.opened(*(record[c][0].as_py() for c in ("sizes", "words", "back")), *shared.value[:2])
         ids, held = (pa.array(record[c][0].as_py(), k) for c, k in (("ids", pa.int64()), ("held", pa.bool_())))
-        return pa.Table.from_batches([chunk.rows(_answer(levels, 2), record["chunk"][0].as_py(), ids, held, tokens, distinct, weight)])
+        return pa.Table.from_batches([chunk.rows(answer(levels, 1), answer(levels, 2), record["chunk"][0].as_py(), ids, held,
+                                                 tokens, distinct, weight)])
     return run
 
 
-def _score_beside(base: DataFrame, segments: DataFrame, shared, bits: int, split: int, tokens: int, distinct: int, weight: float) -> DataFrame:
+def _score_beside(base: DataFrame, segments: DataFrame, shared, bits: int, tokens: int, distinct: int, weight: float) -> DataFrame:
     """Scores by segments that stay beside their buckets."""
-    made = cut(base.mapInArrow(_tokenised(shared), _CHUNKS))
-    chunks = made.where("kind = 0").select("chunk", "ids", "held", "sizes", "words", "back").groupBy("chunk")
-
-    def probed(asked: DataFrame) -> DataFrame:
-        return cut(asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_probe(bits, split), _LEVELS))
-
-    of_words = probed(made.where("kind = 1").select("chunk", "kind", "bucket", "keys"))
-    of_pairs = probed(chunks.cogroup(of_words.groupBy("chunk")).applyInArrow(_ask_pairs(shared), _QUERY))
-    return chunks.cogroup(of_words.union(of_pairs).groupBy("chunk")).applyInArrow(_finish(shared, tokens, distinct, weight), _SCORED)
+    chunks = cut(base.mapInArrow(_tokenised, _CHUNKS))
+    asked = chunks.select("chunk", "sizes", "words", "back").mapInArrow(_asked(shared), _QUERY)
+    levels = cut(asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_probe(bits), _LEVELS))
+    return chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_finish(shared, tokens, distinct, weight), _SCORED)
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))],
+            yield pa.RecordBatch.from_arrays([pa.array(unpack_sorted(h, "<u8").view("<i8")), pa.array(unpack(c, "<i8"))],
                                              ["word", "n"])
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT,
+          most_bits: int | None = None) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     `held_out` is a boolean column over docs; rows where it is true (never null) are scored and not learnt from.
     Null and empty texts are the end mark alone. Repeated rows count as often as they come. With no training rows
-    every count is 0 and the base is log10 1. Other columns of docs are not read.
+    every count is 0 and the base is log10 1. Other columns of docs are not read. A filter of up to `most_bits` bits
+    (MAX_BITS unless given) is broadcast; which way ran is logged, and the scores are the same.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
-    split = max(6, (base.rdd.getNumPartitions() - 1).bit_length())
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    split = min(max(6, (size // BUCKET_BYTES).bit_length()), 24)
     gathered = base.where(~F.col("held_out")).select("text").mapInArrow(
         _gather(split), "bucket int, kind int, keys binary, counts binary")
     merged = cut(gathered.groupBy("bucket").applyInArrow(
@@ -392,7 +425,9 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     h, c = heavy["word"].to_numpy().view(np.uint64), heavy["n"].to_numpy()
     order = np.argsort(h)
     h, c = h[order], c[order]
-    if wanted <= MAX_BITS:
+    spread = wanted > (MAX_BITS if most_bits is None else most_bits)
+    _LOG.info("filter of %d bits in %d segments, %s", wanted, 1 << split, "kept beside their buckets" if spread else "broadcast")
+    if not spread:
         segments = np.zeros(bits // 8 << split, np.uint8)
         made = filled.toArrow()
         for bucket, segment in zip(made["bucket"].to_pylist(), made["segment"]):
@@ -400,8 +435,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         shared = spark.sparkContext.broadcast((h, c, segments, bits, split))
         scored = cut(base.mapInArrow(_score(shared, tokens, distinct, weight), _SCORED))
     else:
-        shared = spark.sparkContext.broadcast((h, c, np.uint64(64 - split)))
-        scored = cut(_score_beside(base, cut(filled), shared, bits, split, tokens, distinct, weight))
+        shared = spark.sparkContext.broadcast((h, c, split))
+        scored = cut(_score_beside(base, filled, shared, bits, tokens, distinct, weight))
     pieces = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
         "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     rare = pieces.join(counted.where(F.col("n") < bar), "word").groupBy("row").agg(
