@@ -5,7 +5,9 @@ distances to the codes of a list are sums of table entries (asymmetric distances
 r = sqrt(2 - 2t) apart, which makes the search whole rather than approximate: a list can hold a partner only if the
 plane halfway between its centre and the query's own is at most r away, and a partner's asymmetric distance is at
 most r plus its own coding error, which is stored with the code. All lists and codes within those bounds are kept
-and reranked by the exact cosine in double precision.
+and reranked by the exact cosine in double precision. Of two vectors the one of the lower list looks for the
+other, and both count what it finds; inside a list, members look for members. There are as many lists as the label
+with the most vectors fills with LIST_ROWS each.
 
 Vectors of unequal length don't link, so each length that occurs has an index of its own. Its centres and codebooks
 are fitted on SAMPLE vectors of the length at most (the least hashes); every vector is indexed.
@@ -29,6 +31,7 @@ CODES = 64
 LIST_ROWS = 2_000
 MAX_LISTS = 4096
 BLOCK = 2_000
+NUMBERS = 1 << 23
 SLACK = 1e-6
 
 
@@ -75,11 +78,11 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
 
 
-_FILED = "class long, label string, length int, list int, role int, unit binary, codes binary, error double"
+_FILED = "class long, label string, length int, copies long, list int, role int, unit binary, codes binary, error double"
 
 
 def _file(shared, r: float):
-    """A row for a vector's own list (role 1, with codes) and one for each list it has to probe (role 0)."""
+    """A row for a vector's own list (role 1, with codes) and one for each higher list it has to probe (role 0)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
         between = {}
@@ -89,7 +92,10 @@ def _file(shared, r: float):
                 if length not in between:
                     centres = models[length][0]
                     between[length] = np.stack([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
-                yield filed(batch.take(pa.array(np.flatnonzero(lengths == length))), *models[length], between[length])
+                own, model = batch.take(pa.array(np.flatnonzero(lengths == length))), models[length]
+                step = max(64, NUMBERS // len(model[0]))
+                for lo in range(0, own.num_rows, step):
+                    yield filed(own.slice(lo, step), *model, between[length])
 
     def filed(batch, centres, books, between):
         x = _matrix(batch.column("unit"))
@@ -97,15 +103,16 @@ def _file(shared, r: float):
         codes, error = _encode(x, own, centres, books)
         away = 1 + (centres ** 2).sum(1) - 2 * x @ centres.T
         over = away - away[np.arange(len(x)), own][:, None]
-        who, where = np.nonzero(over <= 2 * (r + SLACK) * between[own] + SLACK)
+        higher = np.arange(len(centres)) > own[:, None]
+        who, where = np.nonzero(higher & (over <= 2 * (r + SLACK) * between[own] + SLACK))
         everyone = np.r_[np.arange(len(x)), who]
         role = np.r_[np.ones(len(x), np.int32), np.zeros(len(who), np.int32)]
-        rows = batch.select(["class", "label", "length", "unit"]).take(pa.array(everyone))
+        rows = batch.select(["class", "label", "length", "copies", "unit"]).take(pa.array(everyone))
         return pa.RecordBatch.from_arrays([
-            rows.column(0), rows.column(1), rows.column(2), pa.array(np.r_[own, where].astype(np.int32)), pa.array(role), rows.column(3),
+            *rows.columns[:4], pa.array(np.r_[own, where].astype(np.int32)), pa.array(role), rows.column(4),
             pa.array([codes[i].tobytes() if k else None for i, k in zip(everyone, role)], pa.binary()),
             pa.array(np.where(role == 1, error[everyone], 0.0)),
-        ], ["class", "label", "length", "list", "role", "unit", "codes", "error"])
+        ], ["class", "label", "length", "copies", "list", "role", "unit", "codes", "error"])
     return run
 
 
@@ -118,48 +125,55 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 
 
 def _search(shared, threshold: float, r: float):
-    """One block of queries against one block of a list's members: how many copies each query links with, and links
-    enough to hang together everything that is linked here."""
+    """One block of a list's members against queries of one turn, and against itself where block and turn are the same:
+    how many copies each vector links with, and links enough to hang together everything that is linked here."""
     def run(part: pa.Table) -> pa.Table:
         centres, books = shared.value[part["length"][0].as_py()]
         queries, members = part.filter(pc.equal(part["role"], 0)), part.filter(pc.equal(part["role"], 1))
         out_class, out_count, edge_a, edge_b = [], [], [], []
-        if queries.num_rows and members.num_rows:
+        if members.num_rows:
             centre = centres[part["list"][0].as_py()]
-            q, m = _matrix(queries["unit"]), _matrix(members["unit"])
-            qid, mid = queries["class"].to_numpy(), members["class"].to_numpy()
-            weight = members["copies"].to_numpy()
+            m, mid, weight = _matrix(members["unit"]), members["class"].to_numpy(), members["copies"].to_numpy()
             codes = np.frombuffer(b"".join(members["codes"].to_pylist()), np.uint8).reshape(len(mid), SUBSPACES)
             reach = (r + members["error"].to_numpy() + SLACK) ** 2
             width = books.shape[2]
-            ids = np.unique(np.r_[qid, mid])
-            qat, mat, parent = np.searchsorted(ids, qid), np.searchsorted(ids, mid), np.arange(len(ids))
-            for lo in range(0, len(q), 256):
-                block = q[lo:lo + 256]
-                rest = np.pad(block - centre, ((0, 0), (0, width * SUBSPACES - q.shape[1])))
-                far = np.zeros((len(block), len(mid)))
-                for i, book in enumerate(books):
-                    own = rest[:, i * width:(i + 1) * width]
-                    far += ((own ** 2).sum(1)[:, None] + (book ** 2).sum(1) - 2 * own @ book.T)[:, codes[:, i]]
-                who, where = np.nonzero(far <= reach)
-                cosine = np.einsum("ij,ij->i", block[who], m[where])
-                good = (cosine >= threshold) & (qid[lo + who] != mid[where])
-                who, where = who[good] + lo, where[good]
-                out_class.append(qid[lo:lo + 256])
-                out_count.append(np.bincount(who - lo, weight[where], len(block)).astype(np.int64))
-                # Links between what already hangs together add nothing.
-                while len(who):
-                    a, b = parent[qat[who]], parent[mat[where]]
-                    open_ = a != b
-                    who, where, a, b = who[open_], where[open_], a[open_], b[open_]
-                    if not len(who):
-                        break
-                    up, down = np.maximum(a, b), np.minimum(a, b)
-                    first = np.unique(up, return_index=True)[1]
-                    edge_a.append(qid[who[first]])
-                    edge_b.append(mid[where[first]])
-                    parent[up[first]] = down[first]
-                    parent = _roots(parent)
+            ids = np.unique(np.r_[queries["class"].to_numpy(), mid])
+            mat, parent = np.searchsorted(ids, mid), np.arange(len(ids))
+            sides = [(m, mid, weight, False)] if part["block"][0].as_py() == part["turn"][0].as_py() else []
+            if queries.num_rows:
+                sides.append((_matrix(queries["unit"]), queries["class"].to_numpy(), queries["copies"].to_numpy(), True))
+            for q, qid, own_weight, mutual in sides:
+                qat, back = np.searchsorted(ids, qid), np.zeros(len(mid))
+                for lo in range(0, len(q), 256):
+                    block = q[lo:lo + 256]
+                    rest = np.pad(block - centre, ((0, 0), (0, width * SUBSPACES - q.shape[1])))
+                    far = np.zeros((len(block), len(mid)))
+                    for i, book in enumerate(books):
+                        own = rest[:, i * width:(i + 1) * width]
+                        far += ((own ** 2).sum(1)[:, None] + (book ** 2).sum(1) - 2 * own @ book.T)[:, codes[:, i]]
+                    who, where = np.nonzero(far <= reach)
+                    cosine = np.einsum("ij,ij->i", block[who], m[where])
+                    good = (cosine >= threshold) & (qid[lo + who] != mid[where])
+                    who, where = who[good] + lo, where[good]
+                    out_class.append(qid[lo:lo + 256])
+                    out_count.append(np.bincount(who - lo, weight[where], len(block)).astype(np.int64))
+                    if mutual:
+                        back += np.bincount(where, own_weight[who], len(mid))
+                    # Links between what already hangs together add nothing.
+                    while len(who):
+                        a, b = parent[qat[who]], parent[mat[where]]
+                        open_ = a != b
+                        who, where, a, b = who[open_], where[open_], a[open_], b[open_]
+                        if not len(who):
+                            break
+                        up, down = np.maximum(a, b), np.minimum(a, b)
+                        first = np.unique(up, return_index=True)[1]
+                        edge_a.append(qid[who[first]])
+                        edge_b.append(mid[where[first]])
+                        parent[up[first]] = down[first]
+                        parent = _roots(parent)
+                out_class.append(mid)
+                out_count.append(back.astype(np.int64))
         join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
         classes, counts, a, b = map(join, (out_class, out_count, edge_a, edge_b))
         some = counts > 0
@@ -196,7 +210,8 @@ def _models(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """A model for each length of unit vectors (in bytes, eight a component) that occurs. The bounds hold with any
     model, so a length with few vectors has one list, round the origin, and isn't read for a fit."""
     models = {}
-    for length, n in classes.groupBy("length").count().orderBy("length").collect():
+    sizes = classes.groupBy("length", "label").agg(F.count("*").alias("n")).groupBy("length").agg(F.sum("n"), F.max("n"))
+    for length, n, most in sizes.orderBy("length").collect():
         size = length // 8
         if n < CODES:
             models[length] = np.zeros((1, size)), np.zeros((SUBSPACES, 1, -(-size // SUBSPACES)))
@@ -205,7 +220,7 @@ def _models(classes: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         chosen = classes.where((F.col("length") == length) & (F.pmod(F.xxhash64("print"), F.lit(1 << 20)) <= int(share * (1 << 20))))
         drawn = chosen.orderBy("print").limit(SAMPLE).select("unit").toArrow()["unit"].to_pylist()
         sample = np.stack([np.frombuffer(x, "<f8") for x in drawn])
-        models[length] = _model(sample, int(np.clip(n // LIST_ROWS, 1, min(MAX_LISTS, len(sample)))))
+        models[length] = _model(sample, int(np.clip(most // LIST_ROWS, 1, min(MAX_LISTS, len(sample)))))
     return models
 
 
@@ -238,19 +253,21 @@ def link(rows: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vecto
                            F.lit(True).alias("kept"))
     classes = classes.withColumn("length", F.length("unit"))
     shared = spark.sparkContext.broadcast(_models(classes))
-    filed = cut(classes.select("class", "label", "length", "unit").mapInArrow(_file(shared, r), _FILED))
+    filed = cut(classes.select("class", "label", "length", "copies", "unit").mapInArrow(_file(shared, r), _FILED))
     place = ["label", "length", "list"]
     load = filed.where("role = 1").groupBy(*place).agg(
         F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    probes = filed.where("role = 0").join(load, place).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    probes = probes.withColumn("turn", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    held = filed.where("role = 1").join(load, place).withColumn(
-        "block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn(
-        "turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.join(classes.select("class", "copies"), "class")
-    sent = ["class", *place, "role", "unit", "codes", "error", "block", "turn"]
-    both = held.select(*sent, "copies").union(probes.select(*sent, F.lit(0).cast("long").alias("copies")))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # A member stands in its block for every turn of queries. A query of another list meets every block; a member is
+    # a query of its own list too, and meets the blocks before its own.
+    placed = filed.join(load, place)
+    held = placed.where("role = 1").withColumn("block", own).withColumn("turn", every)
+    probes = placed.where("role = 0").withColumn("turn", own).withColumn("block", every)
+    inside = placed.where("role = 1 AND blocks > 1").withColumn("role", F.lit(0)).withColumn("turn", own).withColumn(
+        "block", every).where("block < turn")
+    sent = ["class", *place, "copies", "role", "unit", "codes", "error", "block", "turn"]
+    both = held.select(*sent).union(probes.select(*sent)).union(inside.select(*sent))
     found = cut(both.groupBy(*place, "block", "turn").applyInArrow(
         _search(shared, threshold, r), "a long, b long, n long"))
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
