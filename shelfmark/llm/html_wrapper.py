@@ -32,6 +32,7 @@ from shelfmark.llm.common import beside
 
 REFERENCES = 8
 CERTAIN = 5
+CELLS = 1 << 22
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
@@ -274,6 +275,39 @@ def _kids(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str) and not c.out and c.tag not in _INLINE and c.tag not in _VOID]
 
 
+def _row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common runs of x and each front part of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x:
+        row[1:] = np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0))
+        row = np.maximum.accumulate(row)
+    return row
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of a longest common run, in order. Where the table has more than CELLS cells, x is halved and y cut where
+    both halves together do best, so memory grows with the sum of the lengths."""
+    n, m = len(x), len(y)
+    if n > 1 and (n + 1) * (m + 1) > CELLS:
+        half = n // 2
+        at = int((_row(x[:half], y) + _row(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return _common(x[:half], y[:at]) + [(half + i, at + j) for i, j in _common(x[half:], y[at:])]
+    best = np.zeros((n + 1, m + 1), np.int32)
+    for i in range(n - 1, -1, -1):
+        row = np.maximum(best[i + 1, :m], np.where(y == x[i], best[i + 1, 1:] + 1, 0))
+        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
+    found, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            i += 1
+        else:
+            j += 1
+    return found
+
+
 def match(a: list[str], b: list[Node]) -> list[int | None]:
     """Simple tree matching of one level: the longest common run of labels in order; for each of a its place in b.
 
@@ -295,19 +329,8 @@ def match(a: list[str], b: list[Node]) -> list[int | None]:
     number: dict[str, int] = {}
     x = np.array([number.setdefault(k, len(number)) for k in a[lo:end_a]])
     y = np.array([number.setdefault(k, len(number)) for k in other[lo:end_b]])
-    best = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.maximum(best[i + 1, :m], np.where(y == x[i], best[i + 1, 1:] + 1, 0))
-        best[i, :m] = np.maximum.accumulate(row[::-1])[::-1]
-    i = j = 0
-    while i < n and j < m:
-        if x[i] == y[j]:
-            out[lo + i] = lo + j
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            i += 1
-        else:
-            j += 1
+    for i, j in _common(x, y):
+        out[lo + i] = lo + j
     return out
 
 
