@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import common, decontaminate, hard_negatives, lang_id, merkle
+from shelfmark.llm import common, decontaminate, hard_negatives, html_wrapper, lang_id, lm_score, merkle, pq_dedup, sharding
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -248,3 +248,92 @@ def test_long_passages_are_aligned_in_windows():
     text = np.full(1_000_000, -1)
     text[777_000:777_100] = item
     assert decontaminate.alignments(item, text, 30) == [(100, 777_000, 777_100)]
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(31)
+    for kind in ("<u8", "<u4", "<i8", "u1"):
+        for n in (0, 1, 777):
+            x = rng.integers(0, 200, n).astype(kind)
+            assert (lm_score.unpack(lm_score.pack(x), kind) == x).all()
+    for kind, high in (("<u8", 2**63), ("<u4", 2**32)):
+        x = np.sort(rng.integers(0, high, 500).astype(kind))
+        assert (lm_score.unpack_sorted(lm_score.pack_sorted(x), kind) == x).all()
+        assert len(lm_score.unpack_sorted(lm_score.pack_sorted(x[:0]), kind)) == 0
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(32)
+    rows = [(i, " ".join(f"w{int(rng.random() ** 2 * 50)}" for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [{r.doc_id: (r.n_known, r.base_score, r.score)
+              for r in lm_score.score(docs.repartition(n), F.col("doc_id") % 7 == 2, most_bits=most).collect()}
+             for n, most in ((2, None), (20, None), (20, 0))]
+    assert len(found[0]) == 60 and all(f == {i: pytest.approx(x, rel=1e-12) for i, x in found[0].items()} for f in found[1:])
+
+
+def test_wide_levels_are_matched_in_little_memory(monkeypatch):
+    rng = np.random.default_rng(33)
+    for _ in range(100):
+        x, y = (rng.integers(0, 4, rng.integers(0, 30)) for _ in range(2))
+        monkeypatch.setattr(html_wrapper, "CELLS", 1 << 22)
+        whole = html_wrapper._common(x, y)
+        monkeypatch.setattr(html_wrapper, "CELLS", 20)
+        found = html_wrapper._common(x, y)
+        assert len(found) == len(whole) and all(x[i] == y[j] for i, j in found)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+
+
+def test_alignment_finds_the_article_without_names(spark):
+    """Pages whose elements and names tell nothing: every section is a div, every name a letter."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.regexp_replace("html", "<(/?)(article|main|nav|aside|header|footer|section|form)\\b", "<$1div")
+    bare = F.regexp_replace(bare, "(class|id|role)=[\"'][^\"']*[\"']", 'class="k"')
+    lone = F.concat(F.lit("https://h"), F.col("page_id").cast("string"), F.lit(".example/"))
+    text = lambda df: {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
+    want, got = text(pages), text(pages.withColumn("html", bare))
+    alone = text(pages.withColumn("html", bare).withColumn("url", lone))
+    share = lambda found, ids: sum(found[i] == want[i] for i in ids) / len(ids)
+    assert share(got, want) > share(alone, want) + 0.05
+    # With a few pages to align, all of a host's.
+    host = {r.page_id: r.url.split("/")[2] for r in pages.collect()}
+    many = [i for i in want if Counter(host.values())[host[i]] >= 6]
+    assert len(many) > 100 and share(got, many) > 0.98 > 0.9 > share(alone, many)
+
+
+@pytest.mark.parametrize("rows_a_list, block", [(8, 7), (8, 1000), (60, 15)])
+def test_links_between_lists_are_counted_at_both_ends(spark, monkeypatch, rows_a_list, block):
+    monkeypatch.setattr(pq_dedup, "LIST_ROWS", rows_a_list)
+    monkeypatch.setattr(pq_dedup, "BLOCK", block)
+    rng = np.random.default_rng(34)
+    base = rng.normal(size=(25, 8))
+    x = (base[rng.integers(0, 25, 220)] + 0.06 * rng.normal(size=(220, 8))).astype(np.float32)
+    x[200:] = x[3]
+    label = [int(v) for v in rng.integers(0, 2, 220)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = (unit @ unit.T >= 0.98) & (np.array(label)[:, None] == np.array(label)) & ~np.eye(220, dtype=bool)
+    got = {r.vec_id: r.n_links for r in pq_dedup.link(spark.createDataFrame(
+        [(i, v.tolist(), label[i]) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")).collect()}
+    assert [got[i] for i in range(220)] == linked.sum(1).tolist()
+
+
+def test_shards_by_recomputation(spark):
+    """Many strata of one row, which all lie at one half, beside one stratum with most rows."""
+    rng = random.Random(35)
+    rows = [(i, "x" * rng.randrange(5), f"one{i}" if i % 3 else "hot") for i in range(400)] + [(7, "", "hot")] * 2 + [(8, None, None)]
+    fields = []
+    for i, text, source in rows:
+        crc = zlib.crc32((text or "").encode())
+        drawn = int(hashlib.md5(f"20240201|{i}|{crc}".encode()).hexdigest()[:15], 16)
+        fields.append(("" if source is None else "=" + source, drawn, i, len(text or "") + 1, crc))
+    of = defaultdict(list)
+    for f in sorted(fields):
+        of[f[0]].append(f)
+    laid = sorted(((k + 0.5) / len(v), *f) for v in of.values() for k, f in enumerate(v))
+    want = Counter((f[3], f[4], f[5], at * 8 // len(laid)) for at, f in enumerate(laid))
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
