@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import cut
+from shelfmark.llm.merkle import _ranked
+
 LAW = "rows"
 HASH_BITS = 60
 
 
-def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
-    """`name`: the row's rank from 1 among rows of equal keys, by (bucket, order). Rows are ranked inside a bucket
-    and shifted by what the buckets before it hold, so no group is ever sorted in one task."""
-    sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
-    numbered = df.withColumn("_at", F.row_number().over(inside))
-    return numbered.join(sizes, [*keys, bucket]).withColumn(name, F.col("_before") + F.col("_at")).drop("_before", "_at")
-
-
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 20240201, id_col: str = "doc_id",
                text_col: str = "text", stratum_col: str = "source") -> DataFrame:
     """Every row of docs gets a shard and a slot; shard sizes are at most one row apart.
@@ -31,8 +21,9 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 20240201, id_col: s
     A shard so holds each stratum in its share, within a row. Null strata form one stratum; null and empty texts
     have size 1 and checksum 0; repeated rows each get a slot of their own. Other columns are not read.
 
-    Both rankings go over about sqrt(rows) buckets of even size: the hash and the fraction are even by construction,
-    so a stratum with most of the rows is spread as well as any other.
+    Texts are read once, for their size and checksum. Both rankings are range partitionings of the narrow rows that are
+    left, with ties spread too, so neither a stratum with most of the rows nor any number of strata of one row each
+    (which all lie at one half) is ordered in one task.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(
@@ -42,16 +33,13 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 20240201, id_col: s
     drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                               F.col("text_crc32").cast("string")))
     base = base.withColumn("drawn", F.conv(F.substring(drawn, 1, HASH_BITS // 4), 16, 10).cast("long"))
-    total = docs.count()
-    bits = math.ceil(math.log2(max(total, 1)) / 2)
+    base = cut(base)
+    rows = max(base.count(), 1)
     order = ["drawn", "doc_id", "size"]
-    base = base.withColumn("bucket", F.shiftright("drawn", HASH_BITS - bits))
-    ranked = _ranked(base, ["stratum"], "bucket", order, "rank").drop("bucket")
-    held = base.groupBy("stratum").agg(F.count("*").alias("held"))
-    placed = ranked.join(held, "stratum").withColumn("fraction", (F.col("rank") - 0.5) / F.col("held"))
-    placed = placed.withColumn("bucket", F.floor(F.col("fraction") * (1 << bits)))
-    placed = _ranked(placed, [], "bucket", ["fraction", "stratum", *order], "place")
-    rows = max(total, 1)
+    ranked = _ranked(base.withColumnRenamed("stratum", "tree"), order)
+    placed = ranked.select(F.lit("").alias("tree"), ((F.col("rank") + 0.5) / F.col("n")).alias("fraction"),
+                           F.col("tree").alias("stratum"), *order, "text_crc32")
+    placed = _ranked(placed, ["fraction", "stratum", *order]).withColumn("place", F.col("rank") + 1)
     placed = placed.withColumn("shard", F.expr(f"CAST((place - 1) * {shards} DIV {rows} AS INT)"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard",
