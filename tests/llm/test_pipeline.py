@@ -1,10 +1,11 @@
 """The pipeline, stage by stage, against plain Python over the smallest tables."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shelfmark.llm import common, decontaminate, packing, pii
@@ -88,3 +89,36 @@ def test_packing_round_trip(stages):
             assert r.start == at and r.ids_crc32 == zlib.crc32(ids[4 * at:4 * (at + r.length)])
             at += r.length
         assert 4 * at == len(ids)
+
+
+def test_awkward_documents_run_through(spark, stages, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and columns with names that stages use."""
+    names = ("unit", "row", "class", "label", "quality", "chunk", "kind", "list", "part", "_quality_score2", "score", "node", "length")
+    given = common.table(spark, SF, "documents")
+    long = " ".join(r.text for r in given.where("text IS NOT NULL").orderBy("doc_id").limit(150).collect())
+    odd = [(1_000_001, None, None, None, None), (1_000_002, "", "en", "s", 0), (1_000_003, " \n\t", None, "s", 3),
+           (None, "a text without an id, of some words", "en", None, None), (None, None, None, None, None),
+           (1_000_004, long, "en", "s", len(long)), *[(1_000_005, "twice the same row stands here", "en", "s", 30)] * 2]
+    docs = given.union(spark.createDataFrame(odd, given.schema)).withColumns({n: F.lit("x") for n in names})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        common.table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    known = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert rows and {r.doc_id for r in rows} <= known
+    # Every document that is left lies in pieces that follow each other; a row that stands n times has each n times.
+    pieces = defaultdict(Counter)
+    for r in rows:
+        if r.doc_id is not None:
+            pieces[r.doc_id][r.start, r.length] += 1
+            assert r.start + r.length <= r.doc_tokens
+    for r in rows:
+        if r.doc_id is not None:
+            copies = min(pieces[r.doc_id].values())
+            assert sum(length * n for (_, length), n in pieces[r.doc_id].items()) == copies * r.doc_tokens
+
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        common.table(spark, SF, name).where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    none = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert none.count() == 0 and none.columns == stages[5].columns
