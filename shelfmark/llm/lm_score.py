@@ -8,10 +8,11 @@ add-one word estimate.
 
 The filter takes BITS_EACH bits for every entry there is, in a segment per bucket (the hash's leading bits). Up to
 MAX_BITS it is broadcast. Beyond, each segment stays beside its bucket: the distinct words and pairs of a run of texts
-are sent to their buckets in one round, probed there, and the levels sent back. Both ways give the same scores, and
-the number of buckets follows the bytes of the texts, so scores don't depend on how docs is partitioned. Exact word
-counts are broadcast for words that make up at least 1 / HEAVY of all tokens, of which there are at most HEAVY; others
-are joined. Hashes and numbers move as differences in compressed byte planes.
+are sent to their buckets in one round, probed there, and the levels sent back, with the exact counts of the words.
+Both ways give the same scores, and the number of buckets follows the bytes of the texts, so scores don't depend on how
+docs is partitioned. Exact word counts are broadcast for words that make up at least 1 / HEAVY of all tokens, of which
+there are at most HEAVY; others are joined, or come with the levels. Hashes and numbers move as differences in
+compressed byte planes.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def _pair_keys(bucket: np.ndarray | int, low: np.ndarray) -> np.ndarray:
 
 
 def _segments(bits: int):
-    """The filter's segment of each bucket."""
+    """The filter's segment of each bucket, beside its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -188,7 +189,8 @@ def _segments(bits: int):
                         for place in _places(x[n >= j], j, bits):
                             segment[place.astype(np.int64)] = 1
                 made.append(np.packbits(segment, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["bucket", "segment"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(1), batch.column(2)],
+                                             ["bucket", "segment", "words", "counts"])
     return run
 
 
@@ -256,8 +258,9 @@ class Chunk:
         return cls(unpack(sizes, "<i8"), u[order], place[unpack(back, "<u4")], heavy, counts)
 
     def rows(self, of_words: np.ndarray, of_pairs: np.ndarray, row: int, ids, held, tokens: int, distinct: int,
-             weight: float) -> pa.RecordBatch:
-        """A row per text, from the levels of the rare words and of the pairs."""
+             weight: float, exact: np.ndarray | None = None) -> pa.RecordBatch:
+        """A row per text, from the levels of the rare words and of the pairs. `exact` are the counts of the rare words;
+        without them a row holds the rare words for a join."""
         self.c[self.rare] = _estimate(of_words)
         cw = self.c[self.back]
         cv = np.roll(cw, 1)
@@ -273,6 +276,12 @@ class Chunk:
         logs = np.where(known, np.log10(cw + 1), 0.0)
         n = len(self.sizes)
         left = np.flatnonzero(~known)
+        if exact is not None:
+            late = np.zeros(len(u))
+            late[self.rare] = exact
+            logs[left] = np.log10(late[self.back[left]] + 1)
+            known[left] = late[self.back[left]] > 0
+            left = left[:0]
         key, times = np.unique(doc[left] * np.int64(len(u)) + self.back[left], return_counts=True)
         ends = np.cumsum(np.bincount(key // max(len(u), 1), minlength=n))
         offsets = pa.array(np.r_[0, ends], pa.int32())
@@ -316,7 +325,7 @@ def _score(shared, tokens: int, distinct: int, weight: float):
 
 _CHUNKS = "chunk long, ids array<long>, held array<boolean>, sizes binary, words binary, back binary"
 _QUERY = "chunk long, kind int, bucket int, keys binary"
-_LEVELS = "chunk long, kind int, bucket int, levels binary"
+_LEVELS = "chunk long, kind int, bucket int, levels binary, exact binary"
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,28 +360,37 @@ def _asked(shared):
 
 
 def _probe(bits: int):
-    """Levels of what is asked of one bucket, by its segment."""
-    def run(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        made = segment["segment"][0].as_py() if segment.num_rows else b"\0" * (bits // 8)
-        probe, out = Filter(np.frombuffer(made, np.uint8), bits, 0, 0), []
+    """Levels of what is asked of one bucket, by its segment, and exact counts of words."""
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        made, h, c = (held[n][0].as_py() for n in ("segment", "words", "counts")) if held.num_rows else (b"\0" * (bits // 8), None, None)
+        own = unpack_sorted(h, "<u8") if h else np.empty(0, np.uint64)
+        counts = np.append(unpack(c, "<i8") if c else np.empty(0, np.int64), 0)
+        probe, out, exact = Filter(np.frombuffer(made, np.uint8), bits, 0, 0), [], []
         for kind, bucket, keys in zip(*(asked[c].to_pylist() for c in ("kind", "bucket", "keys"))):
-            x = _word_keys(unpack_sorted(keys, "<u8")) if kind == 1 else _pair_keys(bucket, unpack_sorted(keys, "<u4"))
+            if kind == 1:
+                h = unpack_sorted(keys, "<u8")
+                at, x = np.searchsorted(own, h), _word_keys(h)
+                exact.append(pack(np.where(np.append(own, _END)[at] == h, counts[at], 0)))
+            else:
+                x = _pair_keys(bucket, unpack_sorted(keys, "<u4"))
+                exact.append(None)
             out.append(pack(probe.levels(x, np.zeros(len(x), np.int64)).astype("i1")))
-        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"], "levels": pa.array(out, pa.binary())})
+        return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "bucket": asked["bucket"],
+                         "levels": pa.array(out, pa.binary()), "exact": pa.array(exact, pa.binary())})
     return run
 
 
 def _finish(shared, tokens: int, distinct: int, weight: float):
-    def answer(levels: pa.Table, kind: int) -> np.ndarray:
-        """The levels of a chunk's words or pairs, in the order of their keys."""
-        found = sorted((b, x) for k, b, x in zip(*(levels[c].to_pylist() for c in ("kind", "bucket", "levels"))) if k == kind)
-        return np.concatenate([np.empty(0, np.int64), *(unpack(x, "i1").astype(np.int64) for _, x in found)])
+    def answer(levels: pa.Table, kind: int, column: str = "levels", dtype: str = "i1") -> np.ndarray:
+        """What came back for a chunk's words or pairs, in the order of their keys."""
+        found = sorted((b, x) for k, b, x in zip(*(levels[c].to_pylist() for c in ("kind", "bucket", column))) if k == kind)
+        return np.concatenate([np.empty(0, np.int64), *(unpack(x, dtype).astype(np.int64) for _, x in found)])
 
     def run(record: pa.Table, levels: pa.Table) -> pa.Table:
         chunk = Chunk.opened(*(record[c][0].as_py() for c in ("sizes", "words", "back")), *shared.value[:2])
         ids, held = (pa.array(record[c][0].as_py(), k) for c, k in (("ids", pa.int64()), ("held", pa.bool_())))
         return pa.Table.from_batches([chunk.rows(answer(levels, 1), answer(levels, 2), record["chunk"][0].as_py(), ids, held,
-                                                 tokens, distinct, weight)])
+                                                 tokens, distinct, weight, answer(levels, 1, "exact", "<i8"))])
     return run
 
 
@@ -418,7 +436,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     wanted = sum((j + 1) * n for j, n in enumerate(tally)) * BITS_EACH
     bits = max(64, -(-wanted >> split) // 8 * 8 + 8)
     filled = merged.select("bucket", "words", "counts", "pairs", "levels").mapInArrow(
-        _segments(bits), "bucket int, segment binary")
+        _segments(bits), "bucket int, segment binary, words binary, counts binary")
     counted = merged.select("words", "counts").mapInArrow(_word_rows, "word long, n long")
     bar = tokens / HEAVY
     heavy = counted.where(F.col("n") >= bar).toArrow()
@@ -429,7 +447,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     _LOG.info("filter of %d bits in %d segments, %s", wanted, 1 << split, "kept beside their buckets" if spread else "broadcast")
     if not spread:
         segments = np.zeros(bits // 8 << split, np.uint8)
-        made = filled.toArrow()
+        made = filled.select("bucket", "segment").toArrow()
         for bucket, segment in zip(made["bucket"].to_pylist(), made["segment"]):
             segments[bucket * bits // 8:(bucket + 1) * bits // 8] = np.frombuffer(segment.as_buffer(), np.uint8)
         shared = spark.sparkContext.broadcast((h, c, segments, bits, split))
@@ -437,11 +455,15 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     else:
         shared = spark.sparkContext.broadcast((h, c, split))
         scored = cut(_score_beside(base, filled, shared, bits, tokens, distinct, weight))
-    pieces = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
-        "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    rare = pieces.join(counted.where(F.col("n") < bar), "word").groupBy("row").agg(
-        F.sum("times").alias("late_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("late_logs"))
-    joined = scored.drop("rare", "times").join(rare, "row", "left")
+    joined = scored.drop("rare", "times")
+    if spread:
+        joined = joined.withColumns({"late_known": F.lit(0), "late_logs": F.lit(0.0)})
+    else:
+        pieces = scored.where("size(rare) > 0").select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select(
+            "row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+        late = pieces.join(counted.where(F.col("n") < bar), "word").groupBy("row").agg(
+            F.sum("times").alias("late_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("late_logs"))
+        joined = joined.join(late, "row", "left")
     known = F.col("known") + F.coalesce("late_known", F.lit(0))
     base_score = F.col("logs") + F.coalesce("late_logs", F.lit(0.0)) - F.col("n_tokens") * float(
         np.log10(tokens + distinct + 1))
