@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.operators import identity, ingest, linkage
+from shelfmark.sources.store import written
 from workload import q_linkage
 from workload.registry import PARTS, query, run_ts
 
@@ -86,17 +87,20 @@ def _resolved(c, chosen):
 
 @query("r12_chain_of_a_run", _CHAIN % ("run_choices", "run_choices", "run_choices"))
 def _(c):
-    attempts, _listed, _shared = q_linkage.record(c)
+    attempts = q_linkage.attempted(c)
     return _resolved(c, identity.chosen_by_run(attempts, linkage.selected_matches(attempts)))
 
 
 @query("r12_chain_of_reviews", _CHAIN % ("review_choices", "review_choices", "review_choices"))
 def _(c):
-    attempts, listed, shared = q_linkage.record(c)
+    attempts = q_linkage.attempted(c)
     asked = c.decisions.where("event_type = 'click'").select(
         F.col("key_id").alias("media_file_id"), (F.col("decision_id") % 3 + 1).cast("int").alias("rank"), "decided_at", "decision_id")
     looked_at = attempts.join(asked.select("media_file_id").distinct(), "media_file_id", "left_semi")
-    shown = linkage.attempt_matches(looked_at, listed, shared)
+    candidates = c.candidates.join(looked_at.select("media_file_id"), "media_file_id", "left_semi")
+    _, movies, series, episodes, errors = q_linkage._searched(c)
+    listed = written(linkage.first_listed(candidates, series, episodes, 3, errors))
+    shown = linkage.matches_at(looked_at, asked, listed, written(linkage.shared_matches(candidates, movies, errors, ranks=3)))
     log = asked.join(shown.select("media_file_id", "rank", "attempt_id", "match_id"), ["media_file_id", "rank"]).select(
         "attempt_id", "match_id", F.lit("SELECT").alias("action"), "decided_at", "decision_id")
     reviewed, _rejects = identity.review_attempts(looked_at, log, shown)
