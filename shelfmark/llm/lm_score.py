@@ -7,7 +7,7 @@ are not probed and an estimate never exceeds its words' counts. P(w | v) interpo
 add-one word estimate.
 
 The filter takes BITS_EACH bits for every entry there is, in a segment per bucket (the hash's leading bits). Up to
-MAX_BITS it is broadcast. Beyond, each segment stays beside its bucket: the distinct words and pairs of a run of texts
+MAX_BITS (8 MB) it is broadcast. Beyond, each segment stays beside its bucket: the distinct words and pairs of a run of texts
 are sent to their buckets in one round, probed there, and the levels sent back, with the exact counts of the words.
 Both ways give the same scores, and the number of buckets follows the bytes of the texts, so scores don't depend on how
 docs is partitioned. Exact word counts are broadcast for words that make up at least 1 / HEAVY of all tokens, of which
@@ -32,7 +32,7 @@ from shelfmark.llm.common import cut
 from shelfmark.llm.jaccard_join import mixed
 
 HEAVY = 1 << 20
-MAX_BITS = 1 << 29
+MAX_BITS = 1 << 26
 BITS_EACH = 14
 PROBES = 8
 WEIGHT = 0.1

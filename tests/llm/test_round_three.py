@@ -272,6 +272,15 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert len(found[0]) == 60 and all(f == {i: pytest.approx(x, rel=1e-12) for i, x in found[0].items()} for f in found[1:])
 
 
+def test_filter_of_nine_megabytes_stays_beside_its_buckets(spark, caplog):
+    """What the filter of some 5.2 million words and pairs takes (14 bits each) is not sent through the driver."""
+    docs = spark.range(40).selectExpr("id + 0 AS doc_id", "array_join(transform(sequence(1, 65000), i -> hex(id * 65000 + i)), ' ') AS text")
+    with caplog.at_level("INFO", logger=lm_score.__name__):
+        rows = lm_score.score(docs.repartition(8), F.lit(False)).collect()
+    assert len(rows) == 40 and all(r.n_tokens == 65001 for r in rows)
+    assert any("kept beside their buckets" in r.getMessage() for r in caplog.records)
+
+
 def test_wide_levels_are_matched_in_little_memory(monkeypatch):
     rng = np.random.default_rng(33)
     for _ in range(100):
