@@ -69,6 +69,8 @@ RESERVED_NAMES = (
     *(f"COM{i}" for i in range(1, 10)),
     *(f"LPT{i}" for i in range(1, 10)),
 )
+# The place before a reserved name or a leading dot.
+_UNUSABLE = rf"\A(?=\.|(?i:{'|'.join(RESERVED_NAMES)})\z)"
 
 
 def safe_component(raw: Column, composed: bool = False) -> Column:
@@ -83,8 +85,8 @@ def safe_component(raw: Column, composed: bool = False) -> Column:
     text = F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ ]]", "")
     text = F.trim(F.regexp_replace(text, " +", " "))
     text = F.rtrim(text, F.lit(". "))
-    text = F.when(F.upper(text).isin(*RESERVED_NAMES) | F.startswith(text, F.lit(".")), F.concat(F.lit("_"), text)).otherwise(text)
-    return F.when(text != "", text)
+    # One expression over the text, named once: every mention of it would run the steps before it again.
+    return F.nullif(F.regexp_replace(text, _UNUSABLE, "_"), F.lit(""))
 
 
 def dotted_extension(extension: Column) -> Column:

@@ -107,4 +107,5 @@ def composed(raw: Column) -> Column:
             .otherwise(F.struct(F.concat(s["done"], s["base"], s["marks"]).alias("done"), k["char"].alias("base"), F.lit("").alias("marks"), F.lit(0).alias("last"))))
 
     whole = F.aggregate(F.array_sort(numbered), start, step, lambda s: F.concat(s["done"], s["base"], s["marks"]))
-    return F.when(raw.rlike(touched), whole).otherwise(raw)
+    # Nothing below 0x80 is touched: texts of as many bytes as characters pass without a look at the long class.
+    return F.when((F.octet_length(raw) > F.char_length(raw)) & raw.rlike(touched), whole).otherwise(raw)

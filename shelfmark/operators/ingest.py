@@ -27,7 +27,7 @@ def movie_destination(df: DataFrame, title: str = "title", year: str = "release_
     if edition is not None:
         e = F.col(edition)
         stem = F.when(F.coalesce(e, F.lit("")) == "", name).otherwise(F.concat_ws(" - ", name, e))
-    folder, file = paths.safe_component(name), paths.safe_component(stem)
+    df, folder, file = _named(df, name, stem)
     error = (
         F.when(F.coalesce(F.trim(t), F.lit("")) == "", "movie destination requires a non-empty title")
         .when(F.coalesce(y, F.lit(0)) <= 0, "movie destination requires a positive release year")
@@ -42,8 +42,7 @@ def episode_destination(df: DataFrame, series: str = "title", season: str = "sea
     """Add library_root, directory, filename, full_path, or destination_error."""
     s, ext = F.col(series), paths.dotted_extension(F.col(extension))
     tag = paths.episode_tag(F.col(season), F.col(episodes))
-    folder = paths.safe_component(s)
-    file = paths.safe_component(paths.episode_stem(s, tag, F.col(episode_title)))
+    df, folder, file = _named(df, s, paths.episode_stem(s, tag, F.col(episode_title)))
     error = (
         F.when(F.coalesce(F.trim(s), F.lit("")) == "", "episode destination requires a non-empty series title")
         .when(tag.isNull(), "episode destination requires at least one episode number")
@@ -53,6 +52,13 @@ def episode_destination(df: DataFrame, series: str = "title", season: str = "sea
     return _place(df, error, F.rtrim(F.col(root), F.lit("/")), folders, file, ext)
 
 
+def _named(df: DataFrame, folder: Column, stem: Column) -> tuple[DataFrame, Column, Column]:
+    """The two names as columns of df, each sanitised once however often it is used."""
+    df = df.withColumns({"__folder": unicode.composed(folder), "__stem": unicode.composed(stem)})
+    df = df.withColumns({n: paths.safe_component(F.col(n), composed=True) for n in ("__folder", "__stem")})
+    return df, F.col("__folder"), F.col("__stem")
+
+
 def _place(df: DataFrame, error: Column, root: Column, folders: list[Column], stem: Column, ext: Column) -> DataFrame:
     df = df.withColumns({"destination_error": error, "__stem": stem, "__dir": _join_path(root, *folders)})
     good = F.col("destination_error").isNull()
@@ -62,7 +68,7 @@ def _place(df: DataFrame, error: Column, root: Column, folders: list[Column], st
         "directory": F.when(good, F.col("__dir")),
         "filename": F.when(good, filename),
         "full_path": F.when(good, _join_path(F.col("__dir"), filename)),
-    }).drop("__stem", "__dir")
+    }).drop("__folder", "__stem", "__dir")
 
 
 def resolve_destination(df: DataFrame, kinds: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shelfmark.functions import evidence, paths, release, scores, titles, unicode
+from shelfmark.operators import ingest
 
 
 def values(spark, rows, ddl, *columns):
@@ -156,3 +157,20 @@ def test_composition_equals_nfc(spark):
     assert got.pop(-1) is None and got == {i: unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
     plan = df.select(paths.safe_component(F.col("t")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_a_name_is_sanitised_once(spark):
+    """However often a name is used, the steps that make it safe stand once in the plan; ASCII texts skip the long class."""
+    df = spark.createDataFrame([("Té/st. ", 1, [2], None, "mkv", "/nas/tv")],
+                               "title string, season_number int, episode_numbers array<int>, episode_title string, extension string, destination_root string")
+    placed = ingest.episode_destination(df)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 * 4
+    assert plan.count("octet_length") == 2
+    assert placed.first().full_path == "/nas/tv/Té-st/Season 01/Té-st. - S01E02.mkv"
+
+
+def test_reserved_and_hidden_names(spark):
+    names = {"con": "_con", "Lpt9": "_Lpt9", "CON. ": "_CON", "CONS": "CONS", "xcon": "xcon", ".x": "_.x", " . ": None, "": None, "a\nb": "ab"}
+    rows = spark.createDataFrame([(k,) for k in names], "t string").select("t", paths.safe_component(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in rows} == names
