@@ -234,22 +234,26 @@ def settled_ids(reconciled: DataFrame, scan_id: int, key: str = "absolute_path",
     files that share an id already are left to ``duplicate_ids``.
     """
     made = made or (lambda turn: reconcile.surrogate_key(F.col(key), F.lit(scan_id), F.lit(turn)))
-    ids = reconciled.select(key, F.col("change_type").eqNullSafe("ADDED").alias("__new"), F.lit(False).alias("__moved"),
-                            F.col("next.media_file_id").alias("__id"))
+    new = F.col("change_type").eqNullSafe("ADDED")
+    own = [key, F.col("next.media_file_id").alias("__id")]
+    # Only new files move: the others are counted by id and meet no join.
+    stored, added = reconciled.where(~new).select(*own), reconciled.where(new).select(*own, F.lit(False).alias("__moved"))
     turn = 0
     while True:
-        twice = reconcile.duplicate_keys(ids, ["__id"]).select("__id")
-        first = Window.partitionBy("__id").orderBy("__new", key)
-        late = ids.join(twice, "__id").withColumn("__n", F.row_number().over(first)).where((F.col("__n") > 1) & F.col("__new"))
+        held = stored.select("__id", F.lit(True).alias("__kept"), F.lit(None).cast("string").alias(key)).unionByName(
+            added.select("__id", F.lit(False).alias("__kept"), key))
+        twice = held.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"), F.bool_or("__kept").alias("__taken"), F.min(key).alias("__first"))
+        late = added.join(twice.where(F.col("__n") > 1), "__id").where(F.col("__taken") | (F.col(key) != F.col("__first")))
         late = late.select(key, F.lit(True).alias("__late"))
         if late.isEmpty():
             break
         turn += 1
         again = F.coalesce("__late", F.lit(False))
-        ids = ids.join(late, key, "left").select(
-            key, "__new", (F.col("__moved") | again).alias("__moved"), F.when(again, made(turn)).otherwise(F.col("__id")).alias("__id"))
+        added = added.join(late, key, "left").select(
+            key, (F.col("__moved") | again).alias("__moved"), F.when(again, made(turn)).otherwise(F.col("__id")).alias("__id"))
     if not turn:
         return reconciled
-    moved = ids.where("__moved").select(key, "__id")
+    moved = added.where("__moved").select(key, "__id")
     named = F.when(F.col("__id").isNull(), F.col("next")).otherwise(F.col("next").withField("media_file_id", F.col("__id")))
-    return reconciled.join(moved, key, "left").withColumn("next", named).drop("__id")
+    renamed = reconciled.where(new).join(moved, key, "left").withColumn("next", named).select(*reconciled.columns)
+    return reconciled.where(~new).unionByName(renamed)

@@ -408,3 +408,15 @@ def test_clashing_ids_are_settled(spark):
     calm = df.where("absolute_path IN ('/a', '/c')")
     assert inventory.settled_ids(calm, 3) is calm
     assert inventory.duplicate_ids(inventory.settled_ids(df, 3)).count() == 0
+
+
+def test_only_new_files_are_joined_to_settle_ids(spark):
+    """Stored files pass through; of two new ones on a stored file's id both move, of two on a free id the second."""
+    rows = [("a", 1, None), ("b", 1, "ADDED"), ("c", 1, "ADDED"), ("d", 2, "ADDED"), ("e", 2, "ADDED"), ("f", 3, "UPDATED"), ("g", 1, "MISSING")]
+    df = spark.createDataFrame([(p, (i, p), t) for p, i, t in rows], "absolute_path string, next struct<media_file_id:long,path:string>, change_type string")
+    settled = inventory.settled_ids(df, 3)
+    plan = settled._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()
+    got = {r.absolute_path: r.next.media_file_id for r in settled.collect()}
+    assert len(got) == 7 and {p for p, i, _ in rows if got[p] != i} == {"b", "c", "e"}
+    assert len({got[p] for p in "abcdef"}) == 6
