@@ -26,6 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN = 128, 64, 16
 WIDEST = 1024
 SURE = 0.9
+TOGETHER = 1_000  # texts that a task holds as Python objects at once
 SAMPLE_TEXTS, SAMPLE_WINDOWS, MADE = 2_000, 3_000, 1_500
 EMBED, HIDDEN, EPOCHS, BATCH = 12, 16, 5, 64
 TAGS = 1 + 2 * len(KINDS)
@@ -189,6 +190,22 @@ def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
     return hs, kept
 
 
+def _states(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hidden states of _lstm, bit for bit, where nothing goes back: a step's own arrays are all that is held."""
+    steps, rows = x.shape[:2]
+    size = u.shape[0]
+    h, c = np.zeros((rows, size), x.dtype), np.zeros((rows, size), x.dtype)
+    hs = np.empty((steps, rows, size), x.dtype)
+    for t in range(steps):
+        z = x[t] @ w + b + h @ u
+        gates, g = _sigmoid(z[:, :3 * size]), np.tanh(z[:, 3 * size:])
+        i, f, o = gates[:, :size], gates[:, size:2 * size], gates[:, 2 * size:]
+        c = f * c + i * g
+        h = o * np.tanh(c)
+        hs[t] = h
+    return hs
+
+
 def _lstm_back(x, w, u, kept, dh_out):
     steps, rows, size = dh_out.shape
     dz = np.empty((steps, rows, 4 * size), x.dtype)
@@ -208,11 +225,13 @@ def _lstm_back(x, w, u, kept, dh_out):
 
 def _emissions(m: dict, codes: np.ndarray, keep: bool = False):
     x = m["embed"][codes.T]
+    if not keep:
+        both = np.concatenate([_states(x, m["wf"], m["uf"], m["bf"]), _states(x[::-1], m["wb"], m["ub"], m["bb"])[::-1]], 2)
+        return both @ m["v"] + m["c"]
     fore, kept_f = _lstm(x, m["wf"], m["uf"], m["bf"])
     back, kept_b = _lstm(x[::-1], m["wb"], m["ub"], m["bb"])
     both = np.concatenate([fore, back[::-1]], 2)
-    out = both @ m["v"] + m["c"]
-    return (out, x, both, kept_f, kept_b) if keep else out
+    return both @ m["v"] + m["c"], x, both, kept_f, kept_b
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -422,6 +441,13 @@ def learn(docs: DataFrame, text_col: str = "text") -> dict:
     return fit(np.stack(codes), np.stack(tags), epochs=EPOCHS)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most TOGETHER."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 _DETECTED = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -434,7 +460,7 @@ def detect(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             found = find(batch.column(1).to_pylist(), shared.value)
             counts = [pa.array([sum(s[0] == k for s in spans) for _, spans in found], pa.int64()) for k in KINDS]
             prints = [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found]
@@ -462,7 +488,7 @@ def mask(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column(at).to_pylist()
             new = [t if t is None else masked(t, s) for t, (_, s) in zip(texts, find(texts, shared.value))]
             yield pa.RecordBatch.from_arrays(

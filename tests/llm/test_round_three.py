@@ -3,14 +3,16 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.llm import common, decontaminate, hard_negatives, html_wrapper, lang_id, lm_score, merkle, pq_dedup, sharding
+from shelfmark.llm import common, decontaminate, hard_negatives, html_wrapper, lang_id, lm_score, merkle, pii, pq_dedup, sharding
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -346,3 +348,33 @@ def test_shards_by_recomputation(spark):
     for r in got:
         slots[r.shard].append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def _windows_of_texts(n=512):
+    codes = np.random.default_rng(2).integers(32, 127, (n, pii.WINDOW))
+    return codes, pii.fit(codes[:64], np.zeros((64, pii.WINDOW), np.int64), epochs=1)
+
+
+def test_windows_are_read_in_little_memory():
+    """States that only the way back needs are not held (about 77 MB a task before)."""
+    codes, model = _windows_of_texts()
+    kept = pii._emissions(model, codes, keep=True)[0]
+    tracemalloc.start()
+    try:
+        read = pii._emissions(model, codes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(read, kept)
+    assert peak < 32 << 20
+
+
+def test_texts_are_masked_a_few_at_a_time(spark, monkeypatch):
+    """Whatever the batches, a task holds TOGETHER texts as objects, and rows keep their order and columns."""
+    _, model = _windows_of_texts(64)
+    monkeypatch.setattr(pii, "TOGETHER", 2)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, 1, 3, 2, 4], "text": ["a@b.cd", None, "", "x", "10.0.0.1 y"]})
+    assert [b.num_rows for b in pii._few(iter([batch]))] == [2, 2, 1]
+    docs = spark.createDataFrame(batch.to_pylist(), "doc_id long, text string").coalesce(1)
+    rows = [(r["doc_id"], r["text"]) for r in pii.mask(docs, model).collect()]
+    assert sorted(rows) == [(1, None), (2, "x"), (3, ""), (4, "<IP> y"), (5, "<EMAIL>")]
