@@ -91,3 +91,20 @@ def test_large_results_of_small_inputs_are_spread(spark):
     for df in (search.search_movies(asked, movies), search.search_series(asked.select("title"), shows),
                linkage.title_results(asked.withColumnRenamed("title", "block"), movies)):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_given_pairs_are_ranked_by_ids_and_scores_alone(spark):
+    rng = random.Random(4)
+    titles = [None, "", "???", "Hot", "The Hot", "Hot Days", "Cold days", "Ünder"]
+    pairs = spark.createDataFrame(
+        [(i % 40, rng.choice(titles), rng.choice([None, 1990, 1998]), rng.choice(["MOVIE", "EPISODE", None]), rng.choice([None, 0.0, 5000.0, 5700.0]), rng.randrange(4),
+          i, rng.choice(titles), rng.choice(titles), rng.choice([None, 1998, 1999, 2005]), rng.choice([None, 0.0, 1.0, 2.0]), rng.choice([None, 0, 5000, 5600])) for i in range(400)],
+        "media_file_id long, parsed_title string, parsed_year int, candidate_type string, local_seconds double, position long, "
+        "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
+    want = sorted((r.media_file_id, r["rank"], r.match.provider_id, r.match.total_score) for r in linkage.match_movie_pairs(pairs).collect())
+    rows = linkage.movie_pair_ranks(pairs)
+    assert sorted(tuple(r) for r in rows.collect()) == want and len(want) == 400
+    # Titles are folded above their distinct sets, so once a set and not once a pair.
+    plan = _plan(rows)
+    for line in (x for x in plan.splitlines() if "Filter" in x):
+        assert "regexp_replace" not in line or plan.splitlines().index(line) < max(i for i, x in enumerate(plan.splitlines()) if "Aggregate" in x)
