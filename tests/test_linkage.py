@@ -158,3 +158,43 @@ def test_matches_become_identities_and_assignments(spark):
                     (3, 77, "AUTO", "ACTIVE", "KEPT"), (4, 9, "AUTO", "ACTIVE", "KEPT"), (6, 9, "AUTO", "ACTIVE", "KEPT")]
     again = identity.resolve(picked, identities.drop("outcome"), assignments.drop("outcome"), ts("2024-01-05 00:00:00"))
     assert {r.outcome for r in again[1].collect()} == {"KEPT"} and {r.outcome for r in again[0].collect()} <= {"UNCHANGED", "LEFT"}
+
+
+def test_an_evaluation_that_keeps_its_tables_holds_no_plan_of_all_steps(spark):
+    """A driver keeps the text of a plan with every stage of it that ends."""
+    rng = random.Random(8)
+    _, movies = catalog(spark, rng, 40)
+    films = asked(spark, rng, 20).withColumn("episode_title", F.lit(None).cast("string"))
+    show = {"candidate_type": F.lit("EPISODE"), "media_file_id": F.col("media_file_id") + 100, "parsed_series_title": F.lit("hot"),
+            "season_number": F.lit(1), "episode_number": (F.col("media_file_id") % 3).cast("int")}
+    none = {"parsed_series_title": F.lit(None).cast("string"), "season_number": F.lit(None).cast("int"), "episode_number": F.lit(None).cast("int")}
+    candidates = films.withColumns(none).unionByName(films.withColumns(show))
+    series = movies.select("provider_id", "title")
+    episodes = movies.select(F.col("provider_id").alias("series_provider_id"), F.lit(1).alias("season_number"), (F.col("provider_id") % 3).cast("int").alias("episode_number"),
+                             (F.col("provider_id") + 500).alias("provider_id"), F.lit("x").alias("episode_title"), "runtime_seconds")
+    errors = candidates.where("media_file_id % 7 = 0").select("media_file_id", F.lit("timeout").alias("error_message"))
+    whole = linkage.evaluate(candidates, movies, series, episodes, errors)
+    kept = []
+
+    def keep(df):
+        kept.append(df)
+        return written(df)
+
+    steps = linkage.evaluate(candidates, movies, series, episodes, errors, keep=keep)
+    rows = lambda df: {r.media_file_id: r.asDict(True) for r in df.collect()}
+    assert rows(steps) == rows(whole) and {r["status"] for r in rows(steps).values()} >= {"FAILED", "REVIEW_REQUIRED"}
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert max(size(df) for df in (*kept, steps)) < size(whole) / 3
+
+
+def test_a_run_evaluates_its_candidates_in_steps(monkeypatch):
+    from workload import q_linkage
+
+    asked_for = {}
+    monkeypatch.setattr(q_linkage, "written", lambda df: df)
+    monkeypatch.setattr(q_linkage.linkage, "recorded_attempts", lambda attempts, _: attempts)
+    monkeypatch.setattr(q_linkage, "run_ts", lambda: None)
+    monkeypatch.setattr(q_linkage, "_errors", lambda candidates: "errors")
+    monkeypatch.setattr(q_linkage.linkage, "evaluate", lambda *tables, **more: asked_for.update(more, tables=tables))
+    q_linkage.attempted(type("Tables", (), {"candidates": "c", "movies": "m", "series": "s", "episodes": "e"}))
+    assert asked_for["tables"] == ("c", "m", "s", "e", "errors") and asked_for["keep"] is q_linkage.written
