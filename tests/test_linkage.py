@@ -198,3 +198,24 @@ def test_a_run_evaluates_its_candidates_in_steps(monkeypatch):
     monkeypatch.setattr(q_linkage.linkage, "evaluate", lambda *tables, **more: asked_for.update(more, tables=tables))
     q_linkage.attempted(type("Tables", (), {"candidates": "c", "movies": "m", "series": "s", "episodes": "e"}))
     assert asked_for["tables"] == ("c", "m", "s", "e", "errors") and asked_for["keep"] is q_linkage.written
+
+
+def test_attempts_on_hits_are_evaluated_in_steps(spark, monkeypatch):
+    from workload import q_linkage
+    from workload.inputs import Catalog
+    from workload.registry import QUERIES
+
+    kept = []
+
+    def keep(df):
+        kept.append(df)
+        return written(df)
+
+    monkeypatch.setattr(q_linkage, "written", keep)
+    c = Catalog(spark, "/root/testdata/sf0.001")
+    given = c.hits.select("media_file_id", "position", "provider_id", "title", "original_title", "release_year", "popularity", "runtime_seconds")
+    whole = linkage.evaluate(c.candidates, c.movies, c.series, c.episodes, movie_hits=given, series_hits=q_linkage._series_hits(c))
+    steps = QUERIES["g10_attempts_on_hits"](spark, "/root/testdata/sf0.001")
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    sizes = [size(df) for df in (*kept, steps)]
+    assert len(kept) == 5 and max(sizes) < size(whole) * 0.6, (sizes, size(whole))
