@@ -108,3 +108,15 @@ def test_given_pairs_are_ranked_by_ids_and_scores_alone(spark):
     plan = _plan(rows)
     for line in (x for x in plan.splitlines() if "Filter" in x):
         assert "regexp_replace" not in line or plan.splitlines().index(line) < max(i for i, x in enumerate(plan.splitlines()) if "Aggregate" in x)
+
+
+def test_rows_of_a_result_come_together(spark):
+    """Files of all pairs hold a result once and not once a candidate."""
+    movies = spark.createDataFrame([(i, "Hot", None, 1990, 1.0, None) for i in range(50)],
+                                   "provider_id long, title string, original_title string, release_year int, popularity double, runtime_seconds long")
+    files = spark.createDataFrame([(i, "MOVIE", "hot", 1990, 5000.0) for i in range(40)],
+                                  "media_file_id long, candidate_type string, parsed_title string, parsed_year int, local_seconds double")
+    rows = [(r.media_file_id, r["rank"], r.provider_id) for r in linkage.movie_match_ranks(files, movies).collect()]
+    assert sorted(rows) == [(i, k + 1, k) for i in range(40) for k in range(50)]
+    rest = [r for r in rows if r[1] > linkage.DETAIL_LOOKUPS]
+    assert sum(a[2] != b[2] for a, b in zip(rest, rest[1:])) == 50 - linkage.DETAIL_LOOKUPS - 1
