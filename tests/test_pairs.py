@@ -120,3 +120,14 @@ def test_rows_of_a_result_come_together(spark):
     assert sorted(rows) == [(i, k + 1, k) for i in range(40) for k in range(50)]
     rest = [r for r in rows if r[1] > linkage.DETAIL_LOOKUPS]
     assert sum(a[2] != b[2] for a, b in zip(rest, rest[1:])) == 50 - linkage.DETAIL_LOOKUPS - 1
+
+
+def test_rows_of_an_episode_come_together(spark):
+    """Files of all pairs hold an episode once and not once a candidate."""
+    series = spark.createDataFrame([(i, "Show") for i in range(30)], "provider_id long, title string")
+    episodes = spark.createDataFrame([(i, 1, 1, 100 + i, None, 1000) for i in range(30)],
+                                     "series_provider_id long, season_number int, episode_number int, provider_id long, episode_title string, runtime_seconds long")
+    shows = spark.createDataFrame([(i, "EPISODE", "show", 1, 1, None, float(1000 + i % 2)) for i in range(20)], SHOWS)
+    rows = [(r.media_file_id, r["rank"], r.series_provider_id) for r in linkage.episode_ranks(shows, series, episodes).collect()]
+    assert sorted(rows) == [(i, k + 1, k) for i in range(20) for k in range(30)]
+    assert sum(a[2] != b[2] for a, b in zip(rows, rows[1:])) == 29
